@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import mixing, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
+    "op2_mixing": mixing.op2,
+    "op7_simhash": simhash.op7,
+    "op9_quality_rules": quality_rules.op9,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_mixing": mixing.SQL}

@@ -13,6 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 U = np.uint64
@@ -141,3 +142,23 @@ def by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]
 
 def text_expr(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def pieces(batches, text_col: str, limit: int = 3 << 20):
+    """Slices of record batches that hold about `limit` bytes of text each; a longer row is a slice of its own."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(text_col))), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes) // limit
+        cuts = np.r_[0, np.flatnonzero(np.diff(part)) + 1, len(sizes)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield batch.slice(a, b - a)
+
+
+def texts_of(col: pa.Array) -> list[bytes]:
+    """The rows as bytes; null is empty."""
+    return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
+
+
+WORD = r"[^\x20\x09-\x0D]+"
