@@ -15,13 +15,14 @@ which the budget ends is sorted by a single task.
 
 Defined cases: null and empty texts have size zero and take nothing; the null source is a source of its own,
 last in order; an empty table gives an empty mix; a source without words has target zero; rows that share an
-id are separate documents; columns other than id, text and source ride along and never clash.
+id are separate documents; columns other than id, text and source are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .simhash import ensure_checkpoints
 from .textkit import WORD
 
 _TIMES, _LAST = 65536, 4
@@ -52,14 +53,15 @@ def targets(sized: DataFrame, weights: tuple[int, ...], epochs: int, share: floa
     )
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, share: float = 1.0, bins: int = 4096, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, share: float = 1.0, bins: int = 4096) -> DataFrame:
     """A row for each input row: id, size, source_size, target, taken, copies and finish (time of its first copy).
 
-    carry: columns to keep besides. To write the mix itself, filter copies > 0 and sort by finish.
+    Sizes are counted once and checkpointed without the texts. `mixed` gives the mix with its texts.
     """
+    ensure_checkpoints(df.sparkSession)
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    own = df.select(*[F.col(c).alias(f"_carry_{c}") for c in carry], F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words_of(text_col).alias("_size"), key.alias("_r"))
-    sized = own.withColumn("_bin", F.conv(F.substring("_r", 1, 8), 16, 10).cast("long") % bins)
+    own = df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words_of(text_col).alias("_size"), key.alias("_r"))
+    sized = own.withColumn("_bin", F.conv(F.substring("_r", 1, 8), 16, 10).cast("long") % bins).checkpoint()
     wanted = targets(sized, weights, epochs, share)
     sums = sized.groupBy("_source", "_bin").agg(F.sum("_size").alias("_sum"))
     start = F.coalesce(F.sum("_sum").over(W.partitionBy("_source").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -80,15 +82,21 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         kept = F.lit(True)
         count = F.when(F.col("_size") > 0, F.lit(epochs)).otherwise(0)
     else:
-        at = F.struct(*[F.lit(x) for x in cut])
+        at = F.struct(F.lit(cut[0]), F.lit(cut[1]), F.lit(cut[2]), F.lit(cut[3]).cast("long"))
         count = sum((F.when((F.col("_size") > 0) & (F.struct(finish(e), F.col("_rank"), F.lit(e), F.col("_cum")) < at), 1).otherwise(0) for e in range(epochs)), F.lit(0))
     out = placed.withColumn("copies", count)
     return out.select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("copies") * F.col("_size")).cast("long").alias("taken"),
-        F.col("copies").cast("int"), finish(0).alias("finish"), *[F.col(f"_carry_{c}").alias(c) for c in carry],
+        F.col("copies").cast("int"), finish(0).alias("finish"),
     )
 
 
+def mixed(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: the rows of df taken, with copies and finish, globally range-sorted by finish."""
+    taken = mix(df, id_col, **options).where("copies > 0").select(F.col(id_col).alias("_taken"), "copies", "finish")
+    return df.join(taken, F.col(id_col).eqNullSafe(F.col("_taken"))).drop("_taken").repartitionByRange("finish").sortWithinPartitions("finish")
+
+
 def _cut(copies: DataFrame, times: DataFrame, total: DataFrame, share: float):
     """(finish, source's rank, copy, cumulative size) of the first copy that the budget doesn't hold; None if it holds all."""
     budget = total.head()[0]
