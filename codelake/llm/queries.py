@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_template, mixing, quality_rules, simhash, substring_dedup
+from . import html_template, mixing, quality_gam, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
     "op2_mixing": mixing.op2,
+    "op4_quality_gam": quality_gam.op4,
     "op5_html_template": html_template.op5,
     "op7_simhash": simhash.op7,
     "op9_quality_rules": quality_rules.op9,
