@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_template, mixing, quality_gam, quality_rules, simhash, substring_dedup
+from . import html_template, mixing, pii, quality_gam, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_html_template": html_template.op5,
     "op7_simhash": simhash.op7,
     "op9_quality_rules": quality_rules.op9,
+    "op10_pii": pii.op10,
 }
 SQL: dict[str, str] = {"op2_mixing": mixing.SQL}

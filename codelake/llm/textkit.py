@@ -65,9 +65,10 @@ def ids_of(col: pa.ChunkedArray) -> np.ndarray:
     return col.fill_null(NULL_ID).to_numpy().astype(np.int64) if isinstance(col, pa.ChunkedArray) else col.fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, words of each row). Words never cross rows."""
-    word = (raw != 32) & ((raw < 9) | (raw > 13))
+def word_bounds(raw: np.ndarray, off: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, words of each row). Words never cross rows. word: other bytes to make words of."""
+    if word is None:
+        word = (raw != 32) & ((raw < 9) | (raw > 13))
     first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
     last[:-1] &= ~word[1:]
