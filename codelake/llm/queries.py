@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import html_template, mixing, pii, quality_gam, quality_rules, simhash, substring_dedup
+from . import decontaminate, html_template, mixing, pii, quality_gam, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_quality_gam": quality_gam.op4,
     "op5_html_template": html_template.op5,
     "op7_simhash": simhash.op7,
+    "op8_decontaminate": decontaminate.op8,
     "op9_quality_rules": quality_rules.op9,
     "op10_pii": pii.op10,
 }
