@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_template, mixing, pii, quality_gam, quality_rules, simhash, substring_dedup
+from . import decontaminate, html_template, mixing, pii, quality_gam, quality_rules, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.op1,
     "op2_mixing": mixing.op2,
+    "op3_suffix_dedup": suffix_dedup.op3,
     "op4_quality_gam": quality_gam.op4,
     "op5_html_template": html_template.op5,
     "op7_simhash": simhash.op7,

@@ -94,7 +94,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             x = np.full(n + 1, U(base))
             x[0] = 1
             _tables[name] = np.cumprod(x, dtype=np.uint64)
-        _tables["byte"] = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
+        _tables["byte"] = mix(np.arange(1, 513, dtype=np.uint64) * _STEP)  # 512: codes besides bytes
     return _tables["up"], _tables["down"], _tables["byte"]
 
 
