@@ -162,7 +162,7 @@ def _sum_over(texts: DataFrame, rows: int, width: int, step) -> np.ndarray:
 
 
 def find_leaks(
-    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rank: int = 224, max_share: float = 0.02,
+    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", rank: int = 96, max_share: float = 0.003,
     cosine: float = 0.3, same: float = 0.75, close: float = 0.6, answer: float = 0.8, short: int = 8, max_items: int = 20_000, seed: int = 8,
 ) -> DataFrame:
     """(id, item_id, overlap, answer_overlap, similarity): a row for each text and item that it leaks."""
@@ -183,8 +183,8 @@ def find_leaks(
         at, term = vocabulary.find(tokens.h)
         first, *_, = _blocks(tokens, at)
         block = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(at)]))
-        pairs = np.unique(block * n + term)
-        total[:, 0] += np.bincount(pairs % n, minlength=n)
+        pairs = np.sort(block * n + term)
+        total[:, 0] += np.bincount(pairs[np.r_[True, pairs[1:] != pairs[:-1]][: len(pairs)]] % n, minlength=n)
         total[0, 1] += (-(-tokens.n // HALF)).sum()
 
     counts = _sum_over(texts, n, 2, count)
@@ -233,10 +233,19 @@ def find_leaks(
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     wanted = unit(np.stack([latent[np.searchsorted(vocabulary.terms, np.array(i.words, np.uint64))].sum(0) for i in items]))
 
+    holds = np.zeros((len(items), n), np.int16)  # how often an item has a term
+    for k, i in enumerate(items):
+        np.add.at(holds[k], np.searchsorted(vocabulary.terms, np.array(i.words, np.uint64)), 1)
+    sizes = np.array([len(i.words) for i in items])
+    sides = np.maximum(0, sizes - HALF)
+    needed = np.ceil(np.where(sizes >= short, close, 1) * sizes - 1e-9)
+
     def search(batches):
         for b in tk.pieces(batches, "_text"):
             tokens = _Tokens(b.column(1))
-            at, term = known(tokens)
+            every, terms = vocabulary.find(tokens.h)
+            ok = kept[terms]
+            at, term = every[ok], terms[ok]
             found: dict[tuple[int, int], list[float]] = {}
             if len(at):
                 first, row, start, joined = _blocks(tokens, at)
@@ -244,17 +253,26 @@ def find_leaks(
                 x = unit(x)
                 for lo in range(0, len(x), 8192):
                     near = x[lo : lo + 8192] @ wanted.T
-                    for p, k in zip(*np.nonzero(near >= cosine)):
-                        item, r, a = items[k], int(row[lo + p]), int(start[lo + p])
-                        side = max(0, len(item.words) - HALF)
-                        begin, end = int(tokens.end[r] - tokens.n[r]), int(tokens.end[r])
-                        words = tokens.h[max(begin, a - side) : min(end, a + 2 * HALF + side)].tolist()
+                    p, k = np.nonzero(near >= cosine)
+                    r, a = row[lo + p], start[lo + p]
+                    begin = np.maximum(tokens.end[r] - tokens.n[r], a - sides[k])
+                    end = np.minimum(tokens.end[r], a + 2 * HALF + sides[k])
+                    # no common subsequence is longer than the item's words whose terms occur there
+                    i, j = np.searchsorted(every, begin), np.searchsorted(every, end)
+                    pair = np.repeat(np.arange(len(p)), j - i)
+                    here = terms[np.arange(len(pair)) + np.repeat(i - (np.cumsum(j - i) - (j - i)), j - i)]
+                    own = np.sort(pair * n + here)
+                    own = own[np.r_[True, own[1:] != own[:-1]][: len(own)]]
+                    most = np.bincount(own // n, holds[k[own // n], own % n], minlength=len(p))
+                    for c in np.flatnonzero(most >= needed[k]).tolist():
+                        item, key = items[k[c]], (int(r[c]), int(k[c]))
+                        words = tokens.h[begin[c] : end[c]].tolist()
                         share = lcs(item.masks, len(item.words), words) / len(item.words)
                         if share < (close if len(item.words) >= short else 1):
                             continue
                         told = lcs(item.answer_masks, len(item.answer), words) / len(item.answer)
                         if share >= same or told >= answer:
-                            found[r, k] = max(found.get((r, k), [0.0, 0.0, 0.0]), [share, told, float(near[p, k])])
+                            found[key] = max(found.get(key, [0.0, 0.0, 0.0]), [share, told, float(near[p[c], k[c]])])
             keys = sorted(found)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array([r for r, _ in keys], pa.int64())), pa.array([items[k].id for _, k in keys], benchmark_type), *(pa.array([found[x][c] for x in keys], pa.float64()) for c in range(3))],
