@@ -299,25 +299,28 @@ def common_prefixes(t: np.ndarray, sa: np.ndarray, room: np.ndarray, least: int
 
 def _resolve(table: pa.Table, length: int) -> pa.Table:
     """Sorts a shard's stretches and answers each group with (row, first window, last window) of what starts earlier elsewhere."""
-    sizes, counts, ids, rows, starts, texts, keys = [], [], [], [], [], [], []
+    place, ids, rows, starts, keys = [], [], [], [], []
+    number: dict[bytes, int] = {}  # stretches that several groups sent are sorted once
     for key, x in zip(table.column("_key").to_pylist(), table.column("_data").to_pylist()):
-        m, k = np.frombuffer(x, np.uint32, 2)
+        m, k = np.frombuffer(x, np.uint32, 2).tolist()
         at = 8
-        sizes.append(np.frombuffer(x, np.uint16, m, at).astype(np.int64))
+        sizes = np.frombuffer(x, np.uint16, m, at)
         at += 2 * m
-        counts.append(np.frombuffer(x, np.uint32, m, at).astype(np.int64))
+        counts = np.frombuffer(x, np.uint32, m, at)
         at += 4 * m
         for out, kind in ((ids, np.int64), (rows, np.uint32), (starts, np.uint32)):
-            width = np.dtype(kind).itemsize * int(k)
+            width = np.dtype(kind).itemsize * k
             out.append(tk.unplanes(x[at : at + width], kind).astype(np.int64))
             at += width
-        texts.append(np.frombuffer(x, np.uint8, offset=int(at)))
-        keys.append(np.full(m, key))
-    sizes, counts, ids, rows, starts, keys = (np.concatenate(x) for x in (sizes, counts, ids, rows, starts, keys))
+        ends = (at + np.cumsum(sizes, dtype=np.int64)).tolist()
+        place.append(np.repeat([number.setdefault(x[a:b], len(number)) for a, b in zip([at, *ends], ends)], counts))
+        keys.append(np.full(k, key))
+    place, ids, rows, starts, keys = (np.concatenate(x) for x in (place, ids, rows, starts, keys))
+    sizes = np.array([len(x) for x in number])
+    counts = np.bincount(place)
     m = len(sizes)
-    place = np.repeat(np.arange(m), counts)
     order = np.lexsort((starts, ids, place))
-    ids, rows, starts = ids[order], rows[order], starts[order]
+    place, ids, rows, starts, keys = (x[order] for x in (place, ids, rows, starts, keys))
     head = np.cumsum(counts) - counts  # each stretch's earliest place
     later = np.ones(len(ids), bool)
     later[head] = False
@@ -328,7 +331,7 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
     inside = np.ones(len(t), bool)
     inside[ends - 1] = False
     inside[-1] = False
-    t[inside] = np.concatenate(texts).astype(np.uint16) + np.uint16(2)
+    t[inside] = np.frombuffer(b"".join(number), np.uint8).astype(np.uint16) + np.uint16(2)
     t[-1] = 0
     owner = np.repeat(np.arange(m), sizes + 1)
     room = np.concatenate([np.repeat(ends - 1, sizes + 1) - np.arange(len(t) - 1), [0]])
@@ -352,7 +355,7 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
     o, a, b = o[cut], offset[cut], offset[last[: len(cut)]]
     late = np.flatnonzero(later)
     stretch = place[late]
-    all_keys = np.r_[keys[o], keys[stretch]]
+    all_keys = np.r_[keys[head][o], keys[late]]
     all_rows = np.r_[rows[head][o], rows[late]]
     lo = np.r_[starts[head][o] + a, starts[late]]
     hi = np.r_[starts[head][o] + b, starts[late] + sizes[stretch] - length]
