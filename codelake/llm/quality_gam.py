@@ -91,7 +91,8 @@ def held_out(id_col: str, folds: int = 5) -> F.Column:
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> PairwiseGam | None:
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    chosen = known.select(F.col(id_col).alias("_of"), F.col(label_col).cast("double").alias("_y")).orderBy(F.xxhash64("_of"), "_of", "_y").limit(max_train)
+    known = known.select(F.col(id_col).alias("_of"), F.col(label_col).cast("double").alias("_y"))
+    chosen = tk.smallest(known, F.xxhash64("_of"), known.count(), max_train)
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     pairs = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_of")).select("_id", "_y", "_text")
 
