@@ -285,8 +285,8 @@ def find_leaks(
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of df that leak no item; rows that share a leaking row's id go with it."""
-    leaking = find_leaks(df, benchmark, id_col, **options).select(F.col(id_col).alias("_leaks")).distinct()
-    return df.join(leaking, F.col(id_col).eqNullSafe(F.col("_leaks")), "left_anti")
+    leaking = find_leaks(df, benchmark, id_col, **options).select(F.col(id_col).alias("__codelake_leaks")).distinct()
+    return df.join(leaking, F.col(id_col).eqNullSafe(F.col("__codelake_leaks")), "left_anti")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

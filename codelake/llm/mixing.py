@@ -71,7 +71,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     placed = sized.join(starts, F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_bin") == F.col("_hash"))).drop("_from", "_hash")
     own_bin = W.partitionBy("_rank", "_bin").orderBy("_r", "_id", "_size").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = placed.withColumn("_cum", F.col("_start") + F.sum("_size").over(own_bin))
-    finish = lambda e: (e * F.col("source_size") + F.col("_cum")).cast("double") / F.col("target")
+    finish = lambda e: F.when(F.col("target") > 0, (e * F.col("source_size") + F.col("_cum")).cast("double") / F.col("target"))
     # a copy's place in the whole order: finish time, then source, copy, shuffled place
     copies = placed.where("_size > 0").select("_size", "_rank", "_r", "_id", "_cum", F.posexplode(F.array(*[finish(e) for e in range(epochs)])).alias("_e", "_t"))
     copies = copies.withColumn("_tbin", F.floor(F.least("_t", F.lit(float(_LAST))) * _TIMES))
@@ -92,9 +92,12 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: the rows of df taken, with copies and finish, globally range-sorted by finish."""
-    taken = mix(df, id_col, **options).where("copies > 0").select(F.col(id_col).alias("_taken"), "copies", "finish")
-    return df.join(taken, F.col(id_col).eqNullSafe(F.col("_taken"))).drop("_taken").repartitionByRange("finish").sortWithinPartitions("finish")
+    """The mix itself: the rows of df taken, with copies and finish, globally range-sorted by finish.
+
+    Columns of df that are called copies or finish give way; rows that share an id go by the first of them."""
+    taken = mix(df, id_col, **options).where("copies > 0").select(F.col(id_col).alias("__codelake_taken"), "copies", "finish").dropDuplicates(["__codelake_taken"])
+    own = df.drop("copies", "finish")
+    return own.join(taken, F.col(id_col).eqNullSafe(F.col("__codelake_taken"))).drop("__codelake_taken").repartitionByRange("finish").sortWithinPartitions("finish")
 
 
 def _cut(copies: DataFrame, times: DataFrame, total: DataFrame, share: float):

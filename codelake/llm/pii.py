@@ -217,7 +217,7 @@ def redact(df: DataFrame, text_col: str = "text", precision: float = 0.98) -> Da
     """The rows of df with every span replaced by its kind in angle brackets; other columns as they are."""
     judge = Judge(precision)
     names = df.columns
-    rows = df.select(F.struct(*names).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+    rows = df.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col(text_col).cast("string").alias("_text"))
 
     def clean(text: str | None) -> str | None:
         if text is None:

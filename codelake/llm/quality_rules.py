@@ -155,7 +155,7 @@ def _measure(batch: pa.RecordBatch, min_repeat: int, max_covered: float, max_rep
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 8, max_covered: float = 0.15, max_repeat: int = 200) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 8, max_covered: float = 0.2, max_repeat: int = 200) -> DataFrame:
     """A row for each input row: id, the base counts, kept, covered_words and longest_repeat. No shuffle."""
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     run = lambda batches: (_measure(x, min_repeat, max_covered, max_repeat) for x in tk.pieces(batches, "_text"))
@@ -165,8 +165,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_good(df: DataFrame, **options) -> DataFrame:
     """The rows that pass, unchanged, in one pass: the verdict rides along with the row."""
     names = df.columns
-    texts = df.select(F.struct(*names).alias("_row"), F.lit(0).cast("long").alias("_id"), F.col(options.get("text_col", "text")).cast("string").alias("_text"))
-    least, share, most = options.get("min_repeat", 8), options.get("max_covered", 0.15), options.get("max_repeat", 200)
+    texts = df.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.lit(0).cast("long").alias("_id"), F.col(options.get("text_col", "text")).cast("string").alias("_text"))
+    least, share, most = options.get("min_repeat", 8), options.get("max_covered", 0.2), options.get("max_repeat", 200)
 
     def run(batches):
         for x in tk.pieces(batches, "_text"):
