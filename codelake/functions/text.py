@@ -171,32 +171,36 @@ def sanitize_query(text: str) -> str:
     return out
 
 
-@F.pandas_udf("string")
-def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series(["\n".join(difflib.unified_diff(a.split("\n"), b.split("\n"), lineterm="")) for a, b in zip(before, after)])
+def unified_diff(before: Column | str, after: Column | str) -> Column:
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(difflib.unified_diff(x.split("\n"), y.split("\n"), lineterm="")) for x, y in zip(a, b)])
 
+    return F.pandas_udf(run, "string")(before, after)
 
-@F.pandas_udf("string")
-def apply_edits(text: pd.Series, edits: pd.Series) -> pd.Series:
-    """edits: arrays of (start, end, replacement) by character; applied from the last start on."""
+
+def apply_edits(text: Column | str, edits: Column) -> Column:
+    """edits: arrays of (start, end, text) by character; applied from the last start on."""
 
     def one(t, es):
         for e in sorted(es, key=lambda e: -e["start"]):
             t = t[: e["start"]] + e["text"] + t[e["end"] :]
         return t
 
-    return pd.Series([one(t, e) for t, e in zip(text, edits)])
+    def run(texts: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([one(t, e) for t, e in zip(texts, own)])
+
+    return F.pandas_udf(run, "string")(text, edits)
 
 
 def _docs(fn):
     return lambda s, d: fn(table(s, d, "documents"))
 
 
-_W = F.explode(F.array_distinct(F.filter(F.split(ascii_lower(F.col("text")), "[^a-z]+"), lambda w: w != ""))).alias("word")
+_W = lambda: F.explode(F.array_distinct(F.filter(F.split(ascii_lower(F.col("text")), "[^a-z]+"), lambda w: w != ""))).alias("word")
 QUERIES = {
     "l01_code_tokens": lambda s, d: table(s, d, "orders").select("o_orderkey", F.array_join(code_tokens(F.concat(F.lit("getHTTPValue2_"), "o_orderpriority", F.lit("XMLParser"))), " ").alias("tokens")).where("o_orderkey <= 200"),
     "l02_index_tokens": _docs(lambda t: t.select("doc_id", F.size(index_tokens(F.col("text"))).cast("long").alias("n"), F.array_join(F.slice(index_tokens(F.col("text")), 1, 5), " ").alias("first"))),
-    "l03_stem": _docs(lambda t: t.select(_W).distinct().select("word", stem(F.col("word")).alias("stem"))),
+    "l03_stem": _docs(lambda t: t.select(_W()).distinct().select("word", stem(F.col("word")).alias("stem"))),
     "l04_keywords": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", keywords(F.col("text")).alias("kept")),
     "l05_normalize_symbol": lambda s, d: table(s, d, "part").select("p_partkey", normalize_symbol(F.concat(F.lit("::crate::"), F.replace("p_name", F.lit(" "), F.lit("->")), F.lit("?.go(x, y)"))).alias("symbol")),
     "l06_normalize_type": lambda s, d: table(s, d, "part").select("p_partkey", normalize_type(F.when(F.col("p_size") > 30, F.concat(F.lit("&mut Vec<"), "p_brand", F.lit(", E>"))).when(F.col("p_size") > 20, F.lit("Option<String>")).otherwise(F.concat(F.lit(" &"), "p_brand"))).alias("type")),

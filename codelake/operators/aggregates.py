@@ -118,7 +118,7 @@ QUERIES = {
     "a11_phase1": lambda s, d: nodes(s, d).agg(F.countDistinct("file_path").alias("files"), F.count_if(F.col("node_type").isin("Function", "Method", "Variable")).alias("signatures"), F.countDistinct("language").alias("languages")),
     "a12_phase2_imports": lambda s, d: _calls(s, d).join(nodes(s, d).select(F.col("node_id").alias("dst"), "node_type", "name"), "dst", "left").agg(F.count_if(F.col("node_type").isNotNull()).alias("internal"), F.count_if(F.col("node_type").isNull()).alias("external"), F.countDistinct("name").alias("names")),
     "a13_phase3_focus": _ne(lambda n, e: e.join(n.where("complexity > 0").orderBy(F.desc("complexity"), "node_id").limit(10).select(F.col("node_id").alias("src")), "src", "left_semi").join(n.select(F.col("node_id").alias("dst"), "file_path"), "dst").select("src", "dst", "file_path").distinct().groupBy("file_path").agg(F.count("*").alias("impact")).orderBy(F.desc("impact"), "file_path").limit(20)),
-    "a14_phase4_hotspots": _ne(lambda n, e: ranked_hotspots(n, e, ["auth", "critical", "error", "metallic", "steel"], 10, 50)),
+    "a14_phase4_hotspots": _ne(lambda n, e: ranked_hotspots(n, e, ["auth", "critical", "error", "widget", "hot"], 10, 50)),
     "a15_phase5": lambda s, d: _recommendations(s, d),
     "a16_class_inference": lambda s, d: nodes(s, d).where("node_type in ('Method', 'Class')").groupBy("file_path").agg(F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"), F.when(F.sum("complexity") == 0, F.count("*")).otherwise(F.sum("complexity")).cast("long").alias("complexity")),
     "a17_typed_edges": lambda s, d: edges(s, d).select("src", "dst", "edge_type").dropDuplicates(["src", "dst", "edge_type"]).groupBy("edge_type").agg(F.count("*").alias("n")),
@@ -171,7 +171,7 @@ SQL = {
     "a11_phase1": sql("SELECT count(DISTINCT file_path) AS files, count(*) FILTER (WHERE node_type IN ('Function', 'Method', 'Variable')) AS signatures, count(DISTINCT language) AS languages FROM nodes", NODES),
     "a12_phase2_imports": sql("SELECT count(n.node_id) AS internal, count(*) - count(n.node_id) AS external, count(DISTINCT name) AS names FROM edges e LEFT JOIN nodes n ON n.node_id = e.dst WHERE edge_type = 'Import'", NODES, EDGES),
     "a13_phase3_focus": sql("SELECT file_path, count(*) AS impact FROM (SELECT DISTINCT e.src, e.dst, n.file_path FROM edges e JOIN nodes n ON n.node_id = e.dst WHERE e.src IN (SELECT node_id FROM nodes WHERE complexity > 0 ORDER BY complexity DESC, node_id LIMIT 10)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", NODES, EDGES),
-    "a14_phase4_hotspots": sql("SELECT node_id, complexity, impact, round(0.45 * CASE WHEN mi > 0 THEN impact / mi ELSE 0 END + 0.45 * complexity / mc + 0.1 * CASE WHEN regexp_matches(lower(name), 'auth|critical|error|metallic|steel') THEN 1.0 ELSE 0.2 END, 6) AS score FROM (SELECT *, max(impact) OVER () AS mi, max(complexity) OVER () AS mc FROM (SELECT t.*, (SELECT count(*) FROM (SELECT dst FROM edges WHERE src = t.node_id AND dst <> t.node_id UNION SELECT b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = t.node_id AND b.dst <> t.node_id)) AS impact FROM t)) ORDER BY score DESC, node_id LIMIT 10", NODES, EDGES, "t AS (SELECT * FROM nodes WHERE complexity > 0 ORDER BY complexity DESC, node_id LIMIT 50)"),
+    "a14_phase4_hotspots": sql("SELECT node_id, complexity, impact, round(0.45 * CASE WHEN mi > 0 THEN impact / mi ELSE 0 END + 0.45 * complexity / mc + 0.1 * CASE WHEN regexp_matches(lower(name), 'auth|critical|error|widget|hot') THEN 1.0 ELSE 0.2 END, 6) AS score FROM (SELECT *, max(impact) OVER () AS mi, max(complexity) OVER () AS mc FROM (SELECT t.*, (SELECT count(*) FROM (SELECT dst FROM edges WHERE src = t.node_id AND dst <> t.node_id UNION SELECT b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = t.node_id AND b.dst <> t.node_id)) AS impact FROM t)) ORDER BY score DESC, node_id LIMIT 10", NODES, EDGES, "t AS (SELECT * FROM nodes WHERE complexity > 0 ORDER BY complexity DESC, node_id LIMIT 50)"),
     "a15_phase5": sql("SELECT 'Resolve ' || count(*) || ' import edges' AS message, CAST(0.95 AS DOUBLE) AS priority FROM edges WHERE edge_type = 'Import' HAVING count(*) > 0 UNION ALL SELECT 'Fix ' || count(*) || ' short files', 0.9 FROM documents WHERE n_chars < 10 HAVING count(*) > 0 UNION ALL (SELECT 'Focus on ' || file_path, 0.8 FROM nodes GROUP BY file_path ORDER BY sum(complexity) DESC, file_path LIMIT 1)", NODES, EDGES),
     "a16_class_inference": sql("SELECT file_path, min(node_id) AS first_id, max(node_id) AS last_id, CAST(CASE WHEN sum(complexity) = 0 THEN count(*) ELSE sum(complexity) END AS BIGINT) AS complexity FROM nodes WHERE node_type IN ('Method', 'Class') GROUP BY 1", NODES),
     "a17_typed_edges": sql("SELECT edge_type, count(*) AS n FROM (SELECT DISTINCT src, dst, edge_type FROM edges) GROUP BY 1", EDGES),

@@ -149,7 +149,7 @@ def _offsets(s, d) -> DataFrame:
 
 QUERIES = {
     "j01_codebases": lambda s, d: codebases(projects(s, d), nodes(s, d), edges(s, d)),
-    "j02": lambda s, d: dashboard(projects(s, d), nodes(s, d), edges(s, d), _refs(s, d), _deps(s, d)),
+    "j02_dashboard": lambda s, d: dashboard(projects(s, d), nodes(s, d), edges(s, d), _refs(s, d), _deps(s, d)),
     "j03_hotspot_join": lambda s, d: nodes(s, d).where("node_type = 'Class'").join(edges(s, d).groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("k")), "node_id", "left").select("node_id", F.coalesce("k", F.lit(0)).cast("long").alias("fan_out")),
     "j04_graph_links": lambda s, d: edges(s, d).join(nodes(s, d).where("project_id = 'parts'").select(F.col("node_id").alias("src")), "src", "left_semi").orderBy("src", "dst").limit(5000).select("src", "dst", "edge_type"),
     "j05_drop_file_edges": lambda s, d: _without_file(s, d, "n3").groupBy("edge_type").agg(F.count("*").alias("n")),
@@ -217,7 +217,7 @@ _BEST = "SELECT src, dst, CAST(confidence AS DOUBLE) AS confidence, label FROM b
 _CODE = "SELECT p.project_id, p.base_name, p.instance, p.fingerprint, coalesce(f.c, 0) AS file_count, coalesce(f.k, 0) AS node_count, coalesce(e.c, 0) AS edge_count FROM projects p LEFT JOIN (SELECT project_id, count(DISTINCT file_path) AS c, count(*) AS k FROM nodes GROUP BY 1) f ON f.project_id = p.project_id LEFT JOIN (SELECT n.project_id, count(*) AS c FROM edges e JOIN nodes n ON n.node_id = e.src GROUP BY 1) e ON e.project_id = p.project_id"
 SQL = {
     "j01_codebases": sql(_CODE, PROJECTS, NODES, EDGES),
-    "j02": sql("SELECT b.project_id, b.base_name, file_count, node_count, edge_count, (SELECT count(*) FROM edges e JOIN nodes n ON n.node_id = e.src WHERE e.edge_type = 'Import' AND n.project_id = b.project_id) AS import_edges, (SELECT count(*) FROM refs WHERE source_project = b.project_id) AS external_refs, (SELECT count(*) FROM deps WHERE deps.project_id = b.project_id) AS project_deps FROM base b", PROJECTS, NODES, EDGES, DEPS, REFS, f"base AS ({_CODE})"),
+    "j02_dashboard": sql("SELECT b.project_id, b.base_name, file_count, node_count, edge_count, (SELECT count(*) FROM edges e JOIN nodes n ON n.node_id = e.src WHERE e.edge_type = 'Import' AND n.project_id = b.project_id) AS import_edges, (SELECT count(*) FROM refs WHERE source_project = b.project_id) AS external_refs, (SELECT count(*) FROM deps WHERE deps.project_id = b.project_id) AS project_deps FROM base b", PROJECTS, NODES, EDGES, DEPS, REFS, f"base AS ({_CODE})"),
     "j03_hotspot_join": sql("SELECT n.node_id, count(e.dst) AS fan_out FROM nodes n LEFT JOIN edges e ON e.src = n.node_id WHERE node_type = 'Class' GROUP BY 1", NODES, EDGES),
     "j04_graph_links": sql("SELECT src, dst, edge_type FROM edges WHERE src IN (SELECT node_id FROM nodes WHERE project_id = 'parts') ORDER BY src, dst LIMIT 5000", NODES, EDGES),
     "j05_drop_file_edges": sql("SELECT edge_type, count(*) AS n FROM edges WHERE src NOT IN (SELECT node_id FROM nodes WHERE file_path = 'n3') AND dst NOT IN (SELECT node_id FROM nodes WHERE file_path = 'n3') GROUP BY 1", NODES, EDGES),

@@ -95,13 +95,13 @@ def _docs(fn):
     return lambda s, d: fn(table(s, d, "documents"))
 
 
-_SCORE = (F.col("n_chars") % 1000) / 1000
-_TOK = F.filter(F.split("text", "[ \n\t\r]+"), lambda w: w != "")
+_SCORE = lambda: (F.col("n_chars") % 1000) / 1000
+_TOK = lambda: F.filter(F.split("text", "[ \n\t\r]+"), lambda w: w != "")
 _PART = lambda s, d: table(s, d, "part")
 QUERIES = {
-    "w01_ranked": _docs(lambda t: ranked(t.select("doc_id", _SCORE.alias("score")), "score", "doc_id", 25)),
-    "w02_diversity": _docs(lambda t: diversified(t.select("doc_id", "source", _SCORE.alias("score")), "source", "score", "doc_id", 10)),
-    "w03_best_score": _docs(lambda t: best_of([t.select("doc_id", _SCORE.alias("score")), t.where("doc_id % 2 = 0").select("doc_id", (F.col("n_chars") % 777 / 777).alias("score"))], "doc_id", "score")),
+    "w01_ranked": _docs(lambda t: ranked(t.select("doc_id", _SCORE().alias("score")), "score", "doc_id", 25)),
+    "w02_diversity": _docs(lambda t: diversified(t.select("doc_id", "source", _SCORE().alias("score")), "source", "score", "doc_id", 10)),
+    "w03_best_score": _docs(lambda t: best_of([t.select("doc_id", _SCORE().alias("score")), t.where("doc_id % 2 = 0").select("doc_id", (F.col("n_chars") % 777 / 777).alias("score"))], "doc_id", "score")),
     "w04_best_fragment": lambda s, d: lines(s, d).groupBy("path").agg(F.max_by("line", F.struct(F.char_length("content"), -F.col("line"))).alias("line")),
     "w05_top3": _docs(lambda t: t.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where("r <= 3").select("source", "doc_id", "r")),
     "w06_char_budget": _docs(lambda t: within_budget(t.select("source", "doc_id", "n_chars"), "source", ["doc_id"], F.col("n_chars"), 20_000)),
@@ -117,9 +117,9 @@ QUERIES = {
     "o05_page": _docs(lambda t: page(t.select("doc_id", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], 20, 10)),
     "o07_phase_selection": lambda s, d: nodes(s, d).orderBy(F.desc("complexity"), "node_id").limit(10).select("node_id", "complexity"),
     "o08_sorted_targets": lambda s, d: edges(s, d).where("edge_type = 'Call' and src like 'p%'").groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("targets")),
-    "u01_candidates": _docs(lambda t: t.where(F.array_contains(_TOK, "the")).select("doc_id").union(t.where("n_chars > 5000").select("doc_id")).distinct()),
-    "u02_intersect": _docs(lambda t: all_of(t.select("doc_id", F.explode(F.array_distinct(_TOK)).alias("w")), "doc_id", "w", ["the", "and", "of"])),
-    "u03_overlap": _docs(lambda t: t.select("doc_id", F.round(overlap(F.array(*[F.lit(x) for x in ("the", "and", "nothing")]), _TOK), 6).alias("share"))),
+    "u01_candidates": _docs(lambda t: t.where(F.array_contains(_TOK(), "the")).select("doc_id").union(t.where("n_chars > 5000").select("doc_id")).distinct()),
+    "u02_intersect": _docs(lambda t: all_of(t.select("doc_id", F.explode(F.array_distinct(_TOK())).alias("w")), "doc_id", "w", ["the", "and", "of"])),
+    "u03_overlap": _docs(lambda t: t.select("doc_id", F.round(overlap(F.array(*[F.lit(x) for x in ("the", "and", "nothing")]), _TOK()), 6).alias("share"))),
     "u04_both_ways": lambda s, d: edges(s, d).where("src = 'p5'").select(F.col("dst").alias("n")).union(edges(s, d).where("dst = 'p5'").select("src")).distinct().where("n <> 'p5'"),
     "u05_merge": lambda s, d: nodes(s, d).where("complexity > 20").select("node_id").union(nodes(s, d).where("complexity > 40").select("node_id")).distinct().agg(F.count("*").alias("n")),
     "u06_union_all": lambda s, d: nodes(s, d).where("complexity > 20").unionByName(nodes(s, d).where("complexity > 40")).groupBy("node_type").agg(F.count("*").alias("n")),

@@ -93,22 +93,23 @@ def _quantised(s, d):
     return _pair(s, d).select("vec_id", "embedding", "other", codes.alias("q"), scale.alias("scale"), bias.alias("bias"))
 
 
-_E, _O = F.col("embedding"), F.col("other")
-_ADC = adc_dot(_E, F.col("q"), F.col("scale"), F.col("bias"))
-_BACK = dequantise(F.col("q"), F.col("scale"), F.col("bias"))
+_E = lambda: F.col("embedding")
+_O = lambda: F.col("other")
+_ADC = lambda: adc_dot(_E(), F.col("q"), F.col("scale"), F.col("bias"))
+_BACK = lambda: dequantise(F.col("q"), F.col("scale"), F.col("bias"))
 _r = lambda c: F.round(c, 5)
 QUERIES = {
-    "v01_cosine": lambda s, d: _pair(s, d).select("vec_id", F.round(cosine(_E, _O), 6).alias("score")),
+    "v01_cosine": lambda s, d: _pair(s, d).select("vec_id", F.round(cosine(_E(), _O()), 6).alias("score")),
     "v02_nearest": lambda s, d: nearest(_v(s, d), _v(s, d).where("vec_id % 100 = 0"), 10).select("query_id", "rank", "score"),
     "v03_nearest_nonzero": lambda s, d: nearest(_v(s, d), _v(s, d).where("vec_id % 100 = 0"), 5, True).select("query_id", "rank", "score"),
     "v04_lsh": lambda s, d: lsh_candidates(_v(s, d), _v(s, d).where("vec_id % 100 = 0"), 10),
     "v05_quantise": lambda s, d: _quantised(s, d).select("vec_id", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x).alias("codes"), F.array_min("q").alias("lo"), F.array_max("q").alias("hi")),
-    "v06_dequantise": lambda s, d: _quantised(s, d).select("vec_id", _r(_BACK[0]).alias("first")),
-    "v07_quantise_error": lambda s, d: _quantised(s, d).select("vec_id", _r(F.sqrt(F.aggregate(F.zip_with(_BACK, "other", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x) / 64)).alias("rmse")),
-    "v08_adc_dot": lambda s, d: _quantised(s, d).select("vec_id", _r(_ADC).alias("dot")),
-    "v09_adc_cosine": lambda s, d: _quantised(s, d).select("vec_id", _r(F.greatest(F.lit(0.0), 1 - _ADC / (norm(_E) * norm(_BACK)))).alias("distance")),
-    "v10_adc_l2": lambda s, d: _quantised(s, d).select("vec_id", _r(F.greatest(F.lit(0.0), dot(_E, _E) + dot(_BACK, _BACK) - 2 * _ADC)).alias("distance")),
-    "v11_adc_dot_distance": lambda s, d: _quantised(s, d).select("vec_id", _r(F.greatest(F.lit(0.0), (1 - _ADC) / 2)).alias("distance")),
+    "v06_dequantise": lambda s, d: _quantised(s, d).select("vec_id", _r(_BACK()[0]).alias("first")),
+    "v07_quantise_error": lambda s, d: _quantised(s, d).select("vec_id", _r(F.sqrt(F.aggregate(F.zip_with(_BACK(), "other", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x) / 64)).alias("rmse")),
+    "v08_adc_dot": lambda s, d: _quantised(s, d).select("vec_id", _r(_ADC()).alias("dot")),
+    "v09_adc_cosine": lambda s, d: _quantised(s, d).select("vec_id", _r(F.greatest(F.lit(0.0), 1 - _ADC() / (norm(_E()) * norm(_BACK())))).alias("distance")),
+    "v10_adc_l2": lambda s, d: _quantised(s, d).select("vec_id", _r(F.greatest(F.lit(0.0), dot(_E(), _E()) + dot(_BACK(), _BACK()) - 2 * _ADC())).alias("distance")),
+    "v11_adc_dot_distance": lambda s, d: _quantised(s, d).select("vec_id", _r(F.greatest(F.lit(0.0), (1 - _ADC()) / 2)).alias("distance")),
     "v15_overlay": lambda s, d: nearest(_v(s, d).where("vec_id % 7 <> 0").unionByName(_v(s, d).where("vec_id % 49 = 0")), _v(s, d).where("vec_id = 100"), 10).select("rank", "score"),
     "v17_embed_once": lambda s, d: embed_once(table(s, d, "documents").select("doc_id", "text"), "text", lambda t: F.char_length(t)).select("doc_id", "embedding"),
     "v19_hash_embedding": lambda s, d: table(s, d, "documents").select("doc_id", F.size(hash_embedding(F.col("text"))).alias("n")),
