@@ -119,7 +119,7 @@ def parse_manifest(name: str, text: str) -> list[tuple[str, str]]:
         if name == "bun.lock":
             return [(m[1], m[2]) for m in re.finditer(r"\[\s*\"(@?[^@\"]+)@([^\"]+)\"", text)]
         if name == "go.sum":
-            return sorted({(a, v.removesuffix("/go.mod")) for a, v in (x.split()[:2] for x in text.splitlines() if len(x.split()) >= 2)})
+            return sorted({(x[0], x[1].removesuffix("/go.mod")) for line in text.splitlines() if len(x := line.split()) >= 2 and x[1].startswith("v")})
         if name == "go.mod":
             block = re.findall(r"^\s*(?:require\s+)?([\w.-]+(?:\.[\w-]+)+/\S+|[\w.-]+\.[\w.-]+\S*)\s+(v\S+)", text, re.M)
             return [(a, b) for a, b in block]
