@@ -168,7 +168,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
-    """The rows whose id is the smallest of their component; of rows that share that id, all."""
+    """The rows whose id is the smallest of their component; of rows that share that id, all; rows without an id."""
     found = simhash_components(df, id_col, text_col, bits).where(f"{id_col} is null or {id_col} = component_id").select(F.col(id_col).alias("__codelake_kept")).distinct()
     return df.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__codelake_kept")), "left_semi")
 
