@@ -126,17 +126,20 @@ def _items(rows) -> list[Item]:
     return out
 
 
-def _tree_sum(parts: DataFrame, width: int) -> DataFrame:
-    """Sums blobs of doubles by slice, over salts first."""
+def _tree_sum(parts: DataFrame, width: int, tasks: int) -> DataFrame:
+    """Sums blobs of doubles by slice, sixteen tasks' at a time, level by level."""
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(_SLICE * width)
         for x in t.column("_data"):
             total += np.frombuffer(x.as_buffer(), np.float64)
-        return pa.table({"_slice": t.column("_slice").slice(0, 1), "_salt": pa.array([0], pa.int32()), "_data": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"_slice": t.column("_slice").slice(0, 1), "_salt": t.column("_salt").slice(0, 1), "_data": pa.array([total.tobytes()], pa.binary())})
 
     kind = "_slice int, _salt int, _data binary"
-    return parts.groupBy("_slice", "_salt").applyInArrow(add, kind).groupBy("_slice").applyInArrow(add, kind)
+    while tasks > 16:
+        tasks = -(-tasks // 16)
+        parts = parts.withColumn("_salt", (F.col("_salt") / 16).cast("int")).groupBy("_slice", "_salt").applyInArrow(add, kind)
+    return parts.groupBy("_slice").applyInArrow(add, kind)
 
 
 def _slices(total: np.ndarray, salt: int) -> pa.RecordBatch:
@@ -155,9 +158,10 @@ def _sum_over(texts: DataFrame, rows: int, width: int, step) -> np.ndarray:
         total = np.zeros((rows, width))
         for b in tk.pieces(batches, "_text"):
             step(total, _Tokens(b.column(b.num_columns - 1)))
-        yield _slices(total, TaskContext.get().partitionId() % 16)
+        yield _slices(total, TaskContext.get().partitionId())
 
-    got = _tree_sum(texts.select("_text").mapInArrow(run, "_slice int, _salt int, _data binary"), width).orderBy("_slice").toArrow()
+    parts = texts.select("_text").mapInArrow(run, "_slice int, _salt int, _data binary")
+    got = _tree_sum(parts, width, tk.group_count(texts, 16)).orderBy("_slice").toArrow()
     return np.concatenate([np.frombuffer(x.as_buffer(), np.float64).reshape(_SLICE, width) for x in got.column("_data")])[:rows]
 
 
