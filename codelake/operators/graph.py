@@ -32,7 +32,9 @@ PRESETS = {"llm_context": Preset(3, 50, 0.5, ("Module",)), "semantic": Preset(5,
 def reach(e: DataFrame, starts: DataFrame, depth: int, backward: bool = False) -> DataFrame:
     """(node_id, depth) of all that `starts` (node_id) reach in at most `depth` steps, themselves at 0."""
     ensure_checkpoints(e.sparkSession)
-    steps = e.select(F.col("dst" if backward else "src").alias("_from"), F.col("src" if backward else "dst").alias("_to")).distinct().checkpoint() if depth > 3 else e.select(F.col("dst" if backward else "src").alias("_from"), F.col("src" if backward else "dst").alias("_to"))
+    steps = e.select(F.col("dst" if backward else "src").alias("_from"), F.col("src" if backward else "dst").alias("_to"))
+    if depth > 1:  # read at every level
+        steps = steps.distinct().checkpoint()
     seen = starts.select("node_id", F.lit(0).alias("depth")).distinct()
     frontier = seen
     for level in range(1, depth + 1):

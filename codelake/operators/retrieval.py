@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from codelake.functions.text import ascii_lower, index_tokens
 from codelake.operators.ranking import stratified
+from codelake.plans.session import ensure_checkpoints
 from codelake.plans.views import NODES, nodes, sql, table
 
 #: Query patterns by intent, in the order they are tried, and stop words of query terms.
@@ -77,15 +78,17 @@ def fuse(scores: tuple[Column, Column, Column, Column], weights: tuple[float, ..
 def adjust(score: Column, name: Column, path: Column, query: str, exact_mode: bool = False) -> Column:
     """Qualified names x 0.7, exact x 1.8 or 2.2 and partial x 1.3 or 1.5 up to 1, archives x 0.1; after the clamp."""
     s, q = ascii_lower(name), query.lower()
-    out = F.when(s.contains("::") | s.contains("."), score * 0.7).otherwise(score)
-    out = F.when(s == q, F.least(F.lit(1.0), out * (2.2 if exact_mode else 1.8))).when(s.contains(q), F.least(F.lit(1.0), out * (1.5 if exact_mode else 1.3))).otherwise(out)
-    return F.when(path.rlike("(^|[/\\\\])\\.?archive([/\\\\]|$)"), out * 0.1).otherwise(out)
+    qualified = F.when(s.contains("::") | s.contains("."), 0.7).otherwise(1.0)
+    boost = F.when(s == q, 2.2 if exact_mode else 1.8).when(s.contains(q), 1.5 if exact_mode else 1.3).otherwise(1.0)
+    archived = F.when(path.rlike("(^|[/\\\\])\\.?archive([/\\\\]|$)"), 0.1).otherwise(1.0)
+    return F.least(F.lit(1.0), score * qualified * boost) * archived  # the score once, so that code stays small
 
 
 def tfidf_vocabulary(tokens: DataFrame, n: int, size: int = 768) -> DataFrame:
     """tokens: (doc, token, k), k its count. (token, idf) of moderate frequency, `size` of them spread evenly over the idf range."""
+    ensure_checkpoints(tokens.sparkSession)
     least, most = (1, n) if n < 50 else (max(n // 1000, 3), max(n // 4, max(n // 1000, 3) + 1))
-    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df").between(least, most))
+    df = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df").between(least, most)).checkpoint()
     return stratified(df.select("token", F.ln(F.lit(float(n)) / F.col("df")).alias("idf")), ["idf", "token"], size).select("token", "idf")
 
 
@@ -167,12 +170,17 @@ CONV = r"q AS (SELECT conv_id, turn, ['', 'show me how ', 'where is ', 'most com
 
 
 def _counts(s, d):
-    return token_counts(table(s, d, "documents"), "doc_id", "text")
+    ensure_checkpoints(s)
+    return token_counts(table(s, d, "documents"), "doc_id", "text").checkpoint()  # read by each step of the fit
 
 
-def _vocab(s, d):
-    docs = table(s, d, "documents")
-    return tfidf_vocabulary(_counts(s, d), docs.count())
+def _vocab(s, d, counts=None):
+    return tfidf_vocabulary(counts or _counts(s, d), table(s, d, "documents").count())
+
+
+def _weights(s, d):
+    counts = _counts(s, d)
+    return tfidf_weights(counts, _vocab(s, d, counts))
 
 
 _TS = lambda: text_score("a", F.col("name"), F.col("path"), F.col("tokens"), ["red", "bolt"])
@@ -198,7 +206,7 @@ QUERIES = {
     "r26_cascade": lambda s, d: cascade(nodes(s, d), [F.col("node_id") == "Customer#000000012", F.col("name") == "Customer#000000012", F.col("name").contains("Customer#000000012")], F.when(F.col("node_type") == "Module", 1).otherwise(0), "node_id").select("node_id", "tier"),
     "r27_name_in_file": lambda s, d: cascade(nodes(s, d), [(F.col("name") == "NATION_3") & (F.col("file_path") == "r9"), F.col("name") == "NATION_3", F.lower("name") == "nation_3"], "node_id").select("node_id", "tier"),
     "v13_tfidf_fit": lambda s, d: _vocab(s, d).select("token", F.round("idf", 6).alias("idf")),
-    "v14_tfidf_transform": lambda s, d: tfidf_weights(_counts(s, d), _vocab(s, d)).groupBy("doc").agg(F.count("*").alias("n"), F.round(F.max("weight"), 6).alias("top")),
+    "v14_tfidf_transform": lambda s, d: _weights(s, d).groupBy("doc").agg(F.count("*").alias("n"), F.round(F.max("weight"), 6).alias("top")),
 }
 _TSQL = "greatest(0, least(1, (CASE WHEN list_contains(tokens, 'red') THEN 1 ELSE 0 END + CASE WHEN list_contains(tokens, 'bolt') THEN 1 ELSE 0 END) / 2 + CASE WHEN lower(name) = 'a' THEN 1.0 WHEN contains(lower(name), 'a') THEN CASE WHEN contains(name, '.') OR contains(name, '::') THEN 0.3 ELSE 0.7 END ELSE 0 END - CASE WHEN contains(lower(path), 'test') OR contains(lower(name), 'test') THEN 0.3 ELSE 0 END))"
 _STOPS = ", ".join(f"'{t}'" for t in TERM_STOPS)
