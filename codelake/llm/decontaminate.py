@@ -1,7 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. The benchmark's terms (its size is checked, so this is a proven bound) are the vocabulary. A pass over
-   all texts counts in how many passages each occurs; terms in more than `max_share` of them are left out.
+   all texts counts in how many passages each occurs. Terms in more than `max_share` of them are left out of
+   the latent space, save the rarer half of each item's terms: no item is without direction, however often it leaks.
    A passage is 64 words, every 32 words, so an item lies in one or across two.
 2. A second pass multiplies the TF-IDF passage matrix A (and the items' rows) into a random matrix W:
    Y = A'A W, in one go, summed by a tree. On the driver, the Nystroem form of a randomised SVD turns Y (terms by
@@ -10,6 +11,9 @@
    of at least `cosine` are verified on the words around the passage: the longest common subsequence with the
    item, by bit-parallel additions, must reach `same` of the item's words, or `close` of them if also the answer
    (the item's last sentence) is there to `answer` of its words. Thus order-keeping paraphrases are found too.
+4. Beside the latent space, every place that shares three words in a row with an item is verified in the same way,
+   whatever its terms weigh. An item of nine words or more of which a quarter (1 - `same`) was replaced or left
+   out still has three in a row; shorter items are looked up by the fewer words that must be left in a row.
 
 A word is a run of ASCII letters and digits and non-ASCII characters, in lower case. Only benchmark items and
 sums as large as their vocabulary reach the driver.
@@ -126,6 +130,41 @@ def _items(rows) -> list[Item]:
     return out
 
 
+class _Grams:
+    """The items' runs of words, as many as every copy within `same` keeps in a row (three at most), and where they are."""
+
+    def __init__(self, numbers: list[np.ndarray], same: float, short: int):
+        by_size: dict[int, list] = {}
+        for k, t in enumerate(numbers):
+            lost = int((1 - same) * len(t) + 1e-9) if len(t) >= short else 0
+            size = min(3, -(-(len(t) - lost) // (lost + 1)))
+            by_size.setdefault(size, []).append((k, tk.rolling(t.astype(np.uint64), size)))
+        self.sizes = []
+        for size, own in sorted(by_size.items()):
+            h = np.concatenate([x for _, x in own])
+            item = np.repeat([k for k, _ in own], [len(x) for _, x in own])
+            offset = np.concatenate([np.arange(len(x)) for _, x in own])
+            order = np.argsort(h, kind="stable")
+            runs = Vocabulary(h)
+            self.sizes.append((size, runs, np.searchsorted(h[order], runs.terms), np.searchsorted(h[order], runs.terms, side="right"), item[order], offset[order]))
+
+    def hits(self, tokens: _Tokens, at: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, word at which the item would begin), each once, for words `at` with their term numbers."""
+        row, out = np.searchsorted(tokens.end, at, side="right"), []
+        for size, runs, lo, hi, item, offset in self.sizes:
+            m = len(at) - size + 1
+            if m <= 0:
+                continue
+            whole = np.flatnonzero((at[size - 1 :] - at[:m] == size - 1) & (row[size - 1 :] == row[:m]))
+            place, run = runs.find(tk.rolling(term.astype(np.uint64), size)[whole])
+            count = hi[run] - lo[run]
+            j = np.arange(count.sum()) + np.repeat(lo[run] - (np.cumsum(count) - count), count)
+            first = np.repeat(whole[place], count)
+            out.append(np.stack([row[first], item[j], at[first] - offset[j]]))
+        found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((3, 0), np.int64)
+        return found[0], found[1], found[2]
+
+
 def _tree_sum(parts: DataFrame, width: int, tasks: int) -> DataFrame:
     """Sums blobs of doubles by slice, sixteen tasks' at a time, level by level."""
 
@@ -194,10 +233,11 @@ def find_leaks(
     counts = _sum_over(texts, n, 2, count)
     total = counts[0, 1] + len(items)
     df_ = counts[:, 0] + np.bincount(np.concatenate([np.unique(np.searchsorted(vocabulary.terms, np.array(i.words, np.uint64))) for i in items]), minlength=n)
-    idf = np.where(df_ > max(max_share * total, 1.5 * len(items)), 0.0, np.log(1 + total / np.maximum(df_, 1)))
-    if not (idf > 0).any():
-        idf = np.log(1 + total / np.maximum(df_, 1))
-    kept = idf > 0
+    numbers = [np.searchsorted(vocabulary.terms, np.array(i.words, np.uint64)) for i in items]
+    kept = df_ <= max(max_share * total, 1.5 * len(items))
+    for t in map(np.unique, numbers):
+        kept[t[np.argsort(df_[t], kind="stable")[: -(-len(t) // 2)]]] = True
+    idf = np.where(kept, np.log(1 + total / np.maximum(df_, 1)), 0.0)
     width = rank + 8
     sketch = np.random.default_rng(seed).standard_normal((n, width)) * idf[:, None]
 
@@ -243,6 +283,7 @@ def find_leaks(
     sizes = np.array([len(i.words) for i in items])
     sides = np.maximum(0, sizes - HALF)
     needed = np.ceil(np.where(sizes >= short, close, 1) * sizes - 1e-9)
+    grams = _Grams(numbers, same, short)
 
     def search(batches):
         for b in tk.pieces(batches, "_text"):
@@ -251,6 +292,27 @@ def find_leaks(
             ok = kept[terms]
             at, term = every[ok], terms[ok]
             found: dict[tuple[int, int], list[float]] = {}
+
+            def verify(r: np.ndarray, k: np.ndarray, begin: np.ndarray, end: np.ndarray, near: np.ndarray) -> None:
+                """Candidates: rows, items, the words to look at and the cosine."""
+                # no common subsequence is longer than the item's words whose terms occur there
+                i, j = np.searchsorted(every, begin), np.searchsorted(every, end)
+                pair = np.repeat(np.arange(len(r)), j - i)
+                here = terms[np.arange(len(pair)) + np.repeat(i - (np.cumsum(j - i) - (j - i)), j - i)]
+                own = np.sort(pair * n + here)
+                own = own[np.r_[True, own[1:] != own[:-1]][: len(own)]]
+                most = np.bincount(own // n, holds[k[own // n], own % n], minlength=len(r))
+                for c in np.flatnonzero(most >= needed[k]).tolist():
+                    item, key = items[k[c]], (int(r[c]), int(k[c]))
+                    words = tokens.h[begin[c] : end[c]].tolist()
+                    share = lcs(item.masks, len(item.words), words) / len(item.words)
+                    if share < (close if len(item.words) >= short else 1):
+                        continue
+                    told = lcs(item.answer_masks, len(item.answer), words) / len(item.answer)
+                    if share >= same or told >= answer:
+                        found[key] = max(found.get(key, [0.0, 0.0, 0.0]), [share, told, float(near[c])])
+
+            start, x = np.zeros(0, np.int64), np.zeros((0, latent.shape[1]), np.float32)
             if len(at):
                 first, row, start, joined = _blocks(tokens, at)
                 x, _ = _passages(latent[term], first, joined)
@@ -259,24 +321,18 @@ def find_leaks(
                     near = x[lo : lo + 8192] @ wanted.T
                     p, k = np.nonzero(near >= cosine)
                     r, a = row[lo + p], start[lo + p]
-                    begin = np.maximum(tokens.end[r] - tokens.n[r], a - sides[k])
-                    end = np.minimum(tokens.end[r], a + 2 * HALF + sides[k])
-                    # no common subsequence is longer than the item's words whose terms occur there
-                    i, j = np.searchsorted(every, begin), np.searchsorted(every, end)
-                    pair = np.repeat(np.arange(len(p)), j - i)
-                    here = terms[np.arange(len(pair)) + np.repeat(i - (np.cumsum(j - i) - (j - i)), j - i)]
-                    own = np.sort(pair * n + here)
-                    own = own[np.r_[True, own[1:] != own[:-1]][: len(own)]]
-                    most = np.bincount(own // n, holds[k[own // n], own % n], minlength=len(p))
-                    for c in np.flatnonzero(most >= needed[k]).tolist():
-                        item, key = items[k[c]], (int(r[c]), int(k[c]))
-                        words = tokens.h[begin[c] : end[c]].tolist()
-                        share = lcs(item.masks, len(item.words), words) / len(item.words)
-                        if share < (close if len(item.words) >= short else 1):
-                            continue
-                        told = lcs(item.answer_masks, len(item.answer), words) / len(item.answer)
-                        if share >= same or told >= answer:
-                            found[key] = max(found.get(key, [0.0, 0.0, 0.0]), [share, told, float(near[p[c], k[c]])])
+                    verify(r, k, np.maximum(tokens.end[r] - tokens.n[r], a - sides[k]), np.minimum(tokens.end[r], a + 2 * HALF + sides[k]), near[p, k])
+            rows_, ks, froms = grams.hits(tokens, every, terms)
+            for lo in range(0, len(ks), 8192):
+                r, k, a = rows_[lo : lo + 8192], ks[lo : lo + 8192], froms[lo : lo + 8192]
+                top = tokens.end[r] - tokens.n[r]
+                begin, end = np.maximum(top, a - sizes[k] // 2), np.minimum(tokens.end[r], a + sizes[k] + sizes[k] // 2)
+                block = top + (np.maximum(a, top) - top) // HALF * HALF
+                near = np.zeros(len(r))
+                if len(start):
+                    p = np.minimum(np.searchsorted(start, block), len(start) - 1)
+                    near = np.where(start[p] == block, (x[p] * wanted[k]).sum(1), 0.0)
+                verify(r, k, begin, end, near)
             keys = sorted(found)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array([r for r, _ in keys], pa.int64())), pa.array([items[k].id for _, k in keys], benchmark_type), *(pa.array([found[x][c] for x in keys], pa.float64()) for c in range(3))],
