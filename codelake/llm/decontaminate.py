@@ -6,7 +6,8 @@
    A passage is 64 words, every 32 words, so an item lies in one or across two.
 2. A second pass multiplies the TF-IDF passage matrix A (and the items' rows) into a random matrix W:
    Y = A'A W, in one go, summed by a tree. On the driver, the Nystroem form of a randomised SVD turns Y (terms by
-   `rank` + 8) into A's leading right singular vectors.
+   `rank` + 8) into A's leading right singular vectors. Each 2 * `rank` items have a basis of their own, over their
+   own terms, so directions and sums grow with the items and none is crowded out.
 3. A third pass projects every passage and compares it with all items (a stated query set) by cosine. Candidates
    of at least `cosine` are verified on the words around the passage: the longest common subsequence with the
    item, by bit-parallel additions, must reach `same` of the item's words, or `close` of them if also the answer
@@ -237,60 +238,69 @@ def find_leaks(
     kept = df_ <= max(max_share * total, 1.5 * len(items))
     for t in map(np.unique, numbers):
         kept[t[np.argsort(df_[t], kind="stable")[: -(-len(t) // 2)]]] = True
-    idf = np.where(kept, np.log(1 + total / np.maximum(df_, 1)), 0.0)
-    width = rank + 8
-    sketch = np.random.default_rng(seed).standard_normal((n, width)) * idf[:, None]
-
-    def known(tokens: _Tokens):
-        at, term = vocabulary.find(tokens.h)
-        ok = kept[term]
-        return at[ok], term[ok]
+    idf = np.log(1 + total / np.maximum(df_, 1))
+    # a basis for each 2 * `rank` items or fewer: its terms are rows of stacked matrices, a term may be in several
+    width, owners = rank + 8, np.array_split(np.arange(len(items)), -(-len(items) // (2 * rank)))
+    owned = [np.unique(np.concatenate([numbers[k][kept[numbers[k]]] for k in own])) for own in owners]
+    low = np.cumsum([0, *(len(x) for x in owned)])
+    stacked, basis_of = np.concatenate(owned), np.repeat(np.arange(len(owned)), np.diff(low))
+    by_term = np.argsort(stacked, kind="stable")
+    bound = np.searchsorted(stacked[by_term], np.arange(n + 1))
+    weight = idf[stacked]
+    sketch = np.random.default_rng(seed).standard_normal((len(stacked), width)) * weight[:, None]
+
+    def known(at: np.ndarray, term: np.ndarray):
+        """(basis, words, rows of the stacked matrices) for each basis that has words here."""
+        m = bound[term + 1] - bound[term]
+        r = by_term[np.arange(m.sum()) + np.repeat(bound[term] - (np.cumsum(m) - m), m)]
+        at = np.repeat(at, m)
+        order = np.argsort(basis_of[r], kind="stable")
+        at, r = at[order], r[order]
+        cut = np.searchsorted(basis_of[r], np.arange(len(owned) + 1))
+        for g in np.flatnonzero(np.diff(cut)).tolist():
+            yield g, at[cut[g] : cut[g + 1]], r[cut[g] : cut[g + 1]]
 
     small = sketch.astype(np.float32)
 
     def multiply(total: np.ndarray, tokens: _Tokens) -> None:
-        at, term = known(tokens)
-        if not len(at):
-            return
-        first, _, _, joined = _blocks(tokens, at)
-        z, _ = _passages(small[term], first, joined)
-        norm, _ = _passages(idf[term] ** 2, first, joined)
-        share = _spread(z / norm[:, None].astype(np.float32), joined)
-        block = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(at)]))
-        order = np.argsort(term, kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0])
-        total[term[order][cut]] += np.add.reduceat(share[block[order]], cut, axis=0) * idf[term[order][cut], None]
-
-    y = _sum_over(texts, n, width, multiply)
-    for i in items:  # the items are rows too, so that their directions are never lost
-        t = np.searchsorted(vocabulary.terms, np.array(i.words, np.uint64))
-        if (norm := (idf[t] ** 2).sum()) > 0:
-            np.add.at(y, t, idf[t, None] * sketch[t].sum(0) / norm * max(1.0, total**0.5 / 16))
-    # the right singular vectors of A from Y = A'A W
-    omega = np.where(kept[:, None], sketch / np.where(kept, idf, 1)[:, None], 0)
-    core = omega.T @ y
-    core = (core + core.T) / 2
-    values, vectors = np.linalg.eigh(core)
-    good = values > 1e-9 * max(values.max(), 1e-300)
-    left, _, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    latent = (left[:, :rank] * idf[:, None]).astype(np.float32)
+        for _, at, term in known(*vocabulary.find(tokens.h)):
+            first, _, _, joined = _blocks(tokens, at)
+            z, _ = _passages(small[term], first, joined)
+            norm, _ = _passages(weight[term] ** 2, first, joined)
+            share = _spread(z / norm[:, None].astype(np.float32), joined)
+            block = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(at)]))
+            order = np.argsort(term, kind="stable")
+            cut = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0])
+            total[term[order][cut]] += np.add.reduceat(share[block[order]], cut, axis=0) * weight[term[order][cut], None]
+
+    sums = _sum_over(texts, len(stacked), width, multiply)
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    wanted = unit(np.stack([latent[np.searchsorted(vocabulary.terms, np.array(i.words, np.uint64))].sum(0) for i in items]))
-
-    holds = np.zeros((len(items), n), np.int16)  # how often an item has a term
-    for k, i in enumerate(items):
-        np.add.at(holds[k], np.searchsorted(vocabulary.terms, np.array(i.words, np.uint64)), 1)
+    latent, wanted = np.zeros((len(stacked), rank), np.float32), np.zeros((len(items), rank), np.float32)
+    for own, a, b in zip(owners, low, low[1:]):
+        y, inside = sums[a:b].copy(), [np.searchsorted(stacked[a:b], numbers[k][kept[numbers[k]]]) for k in own]
+        for t in inside:  # the items are rows too, so that their directions are never lost
+            np.add.at(y, t, weight[a:b][t, None] * sketch[a:b][t].sum(0) / (weight[a:b][t] ** 2).sum() * max(1.0, total**0.5 / 16))
+        # the right singular vectors of A from Y = A'A W
+        core = (sketch[a:b] / weight[a:b, None]).T @ y
+        core = (core + core.T) / 2
+        values, vectors = np.linalg.eigh(core)
+        good = values > 1e-9 * max(values.max(), 1e-300)
+        left, _, _ = np.linalg.svd(y @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
+        left = left[:, :rank]
+        latent[a:b, : left.shape[1]] = left * weight[a:b, None]
+        wanted[own] = unit(np.stack([latent[a:b][t].sum(0) for t in inside]))
+
+    basis_at = np.repeat(np.arange(len(owners)), [len(x) for x in owners])  # by item
     sizes = np.array([len(i.words) for i in items])
     sides = np.maximum(0, sizes - HALF)
     needed = np.ceil(np.where(sizes >= short, close, 1) * sizes - 1e-9)
+    held, often = np.unique(np.concatenate([k * n + t for k, t in enumerate(numbers)]), return_counts=True)  # how often an item has a term
     grams = _Grams(numbers, same, short)
 
     def search(batches):
         for b in tk.pieces(batches, "_text"):
             tokens = _Tokens(b.column(1))
             every, terms = vocabulary.find(tokens.h)
-            ok = kept[terms]
-            at, term = every[ok], terms[ok]
             found: dict[tuple[int, int], list[float]] = {}
 
             def verify(r: np.ndarray, k: np.ndarray, begin: np.ndarray, end: np.ndarray, near: np.ndarray) -> None:
@@ -301,7 +311,9 @@ def find_leaks(
                 here = terms[np.arange(len(pair)) + np.repeat(i - (np.cumsum(j - i) - (j - i)), j - i)]
                 own = np.sort(pair * n + here)
                 own = own[np.r_[True, own[1:] != own[:-1]][: len(own)]]
-                most = np.bincount(own // n, holds[k[own // n], own % n], minlength=len(r))
+                wants = k[own // n] * n + own % n
+                place = np.minimum(np.searchsorted(held, wants), len(held) - 1)
+                most = np.bincount(own // n, np.where(held[place] == wants, often[place], 0), minlength=len(r))
                 for c in np.flatnonzero(most >= needed[k]).tolist():
                     item, key = items[k[c]], (int(r[c]), int(k[c]))
                     words = tokens.h[begin[c] : end[c]].tolist()
@@ -312,16 +324,16 @@ def find_leaks(
                     if share >= same or told >= answer:
                         found[key] = max(found.get(key, [0.0, 0.0, 0.0]), [share, told, float(near[c])])
 
-            start, x = np.zeros(0, np.int64), np.zeros((0, latent.shape[1]), np.float32)
-            if len(at):
+            blocks = {}
+            for g, at, term in known(every, terms):
                 first, row, start, joined = _blocks(tokens, at)
                 x, _ = _passages(latent[term], first, joined)
-                x = unit(x)
+                blocks[g] = start, (x := unit(x))
                 for lo in range(0, len(x), 8192):
-                    near = x[lo : lo + 8192] @ wanted.T
+                    near = x[lo : lo + 8192] @ wanted[owners[g]].T
                     p, k = np.nonzero(near >= cosine)
-                    r, a = row[lo + p], start[lo + p]
-                    verify(r, k, np.maximum(tokens.end[r] - tokens.n[r], a - sides[k]), np.minimum(tokens.end[r], a + 2 * HALF + sides[k]), near[p, k])
+                    r, a, near, k = row[lo + p], start[lo + p], near[p, k], owners[g][k]
+                    verify(r, k, np.maximum(tokens.end[r] - tokens.n[r], a - sides[k]), np.minimum(tokens.end[r], a + 2 * HALF + sides[k]), near)
             rows_, ks, froms = grams.hits(tokens, every, terms)
             for lo in range(0, len(ks), 8192):
                 r, k, a = rows_[lo : lo + 8192], ks[lo : lo + 8192], froms[lo : lo + 8192]
@@ -329,9 +341,12 @@ def find_leaks(
                 begin, end = np.maximum(top, a - sizes[k] // 2), np.minimum(tokens.end[r], a + sizes[k] + sizes[k] // 2)
                 block = top + (np.maximum(a, top) - top) // HALF * HALF
                 near = np.zeros(len(r))
-                if len(start):
-                    p = np.minimum(np.searchsorted(start, block), len(start) - 1)
-                    near = np.where(start[p] == block, (x[p] * wanted[k]).sum(1), 0.0)
+                for g in np.unique(basis_at[k]).tolist():
+                    own = np.flatnonzero(basis_at[k] == g)
+                    if g in blocks:
+                        start, x = blocks[g]
+                        p = np.minimum(np.searchsorted(start, block[own]), len(start) - 1)
+                        near[own] = np.where(start[p] == block[own], (x[p] * wanted[k[own]]).sum(1), 0.0)
                 verify(r, k, begin, end, near)
             keys = sorted(found)
             yield pa.RecordBatch.from_arrays(
