@@ -65,17 +65,20 @@ def embed_once(df: DataFrame, text: str, embed) -> DataFrame:
 
 
 def lsh_candidates(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 6, tables: int = 10, seed: int = 5) -> DataFrame:
-    """Approximate nearest by random hyperplanes: same bucket in any table, then exact cosine."""
+    """Approximate nearest by random hyperplanes: same bucket or one a bit away in any table, then exact cosine."""
     import numpy as np
 
     planes = np.random.default_rng(seed).standard_normal((tables, bits, 64))
     sign = lambda t, b: F.when(dot(F.col("embedding"), F.array(*[F.lit(float(x)) for x in planes[t, b]])) >= 0, 1 << b).otherwise(0)
     code = F.array(*[F.struct(F.lit(t).alias("t"), sum((sign(t, b) for b in range(1, bits)), sign(t, 0)).alias("c")) for t in range(tables)])
     coded = lambda df: df.withColumn("_c", F.explode(code)).select("*", "_c.t", "_c.c").drop("_c")
-    q = coded(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), "t", "c")
-    pairs = coded(vectors).join(q, ["t", "c"]).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("_q")), 6).alias("score")).distinct()
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    probes = F.array(F.col("c"), *[F.col("c").bitwiseXOR(F.lit(1 << b)) for b in range(bits)])
+    q = coded(queries).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), "t", F.explode(probes).alias("c"))
+    pairs = coded(vectors).join(q, ["t", "c"]).select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("_q")), 6).alias("score"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # a pair that meets in several tables ties with itself, so a dense rank cuts before the shuffle
+    near = pairs.withColumn("_r", F.dense_rank().over(order)).where(F.col("_r") <= k).select("query_id", "vec_id", "score").distinct()
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _v(s, d):
