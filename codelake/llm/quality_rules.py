@@ -1,13 +1,14 @@
 """Quality rules by suffix-array repetition, over words.
 
 The suffix array of each document's words comes from doubling, a batch of documents at once: suffixes that
-share their first four words with another of their document are ranked by these words, then those that tie by
-eight words, sixteen and so on. The others take part in no repeat of four words and need no rank. (Words
+share their first words (`min_repeat`, three) with another of their document are ranked by these words, then those that tie by
+six words, twelve and so on. The others take part in no such repeat and need no rank. (Words
 are ordered by hash, which is an order like any other.) Longest-common-prefix intervals follow from permuted common
 prefixes: only where the words before differ is a prefix measured, the others are one word shorter than
 their predecessor's. A word position with a common prefix of `min_repeat` words or more starts a repeated
 substring; the union of these spans must not cover more than `max_covered` of the words, and none may
-be longer than `max_repeat` words.
+be longer than `max_repeat` words. The first limit turns away texts of short repeats that no five-word window shows
+twice ("word word word word other other ..."), the second a long passage that is pasted twice into a long text.
 
 Defined cases: null text has no words and fails; an empty or one-word text fails; identical rows are judged
 alike and on their own; columns other than the two named are ignored, whatever their names.
@@ -142,7 +143,7 @@ def _measure(batch: pa.RecordBatch, min_repeat: int, max_covered: float, max_rep
     dup = np.ones(len(lh), bool)
     dup[firsts] = False
     n_dup = np.bincount(lrow[dup], minlength=rows)
-    size = repeats(tk.span_hash(raw, s, e), row)
+    size = repeats(tk.span_hash(raw, s, e), row, min(min_repeat, 5))
     five = np.flatnonzero(size >= 5)
     n_repeat = by_row(covered(five, np.full(len(five), 5), len(s)))
     long = np.flatnonzero(size >= min_repeat)
@@ -155,7 +156,7 @@ def _measure(batch: pa.RecordBatch, min_repeat: int, max_covered: float, max_rep
     return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
-def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 8, max_covered: float = 0.2, max_repeat: int = 200) -> DataFrame:
+def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = 3, max_covered: float = 0.4, max_repeat: int = 50) -> DataFrame:
     """A row for each input row: id, the base counts, kept, covered_words and longest_repeat. No shuffle."""
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
     run = lambda batches: (_measure(x, min_repeat, max_covered, max_repeat) for x in tk.pieces(batches, "_text"))
@@ -166,7 +167,7 @@ def keep_good(df: DataFrame, **options) -> DataFrame:
     """The rows that pass, unchanged, in one pass: the verdict rides along with the row."""
     names = df.columns
     texts = df.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.lit(0).cast("long").alias("_id"), F.col(options.get("text_col", "text")).cast("string").alias("_text"))
-    least, share, most = options.get("min_repeat", 8), options.get("max_covered", 0.2), options.get("max_repeat", 200)
+    least, share, most = options.get("min_repeat", 3), options.get("max_covered", 0.4), options.get("max_repeat", 50)
 
     def run(batches):
         for x in tk.pieces(batches, "_text"):
