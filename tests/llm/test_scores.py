@@ -49,8 +49,45 @@ def test_quality_rules_against_brute_force(spark, docs):
         assert (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words, g.base_failed) == _base(r.text or "")
         w = WORD.findall(r.text or "")
         if len(w) < 200:
-            assert (g.covered_words, g.longest_repeat) == _repeats(w, 8)
-        assert not (g.kept and g.base_failed)
+            assert (g.covered_words, g.longest_repeat) == _repeats(w, 3)
+        assert g.kept == (not g.base_failed and g.covered_words <= 0.4 * g.n_words and g.longest_repeat <= 50)
+
+
+def _judged(text: str) -> bool:
+    """The verdict by brute force."""
+    w = WORD.findall(text)
+    if _base(text)[-1]:
+        return False
+    at: dict = {}
+    for i in range(len(w) - 50):
+        at.setdefault(tuple(w[i : i + 51]), []).append(i)
+    cover = set()
+    short: dict = {}
+    for i in range(len(w) - 2):
+        short.setdefault(tuple(w[i : i + 3]), []).append(i)
+    for v in short.values():
+        cover |= {j for i in v for j in range(i, i + 3) if len(v) > 1}
+    return len(cover) <= 0.4 * len(w) and not any(len(v) > 1 for v in at.values())
+
+
+def test_quality_verdict_turns_away_what_the_base_rule_keeps(spark):
+    own = [f"w{i}" for i in range(2000)]
+    texts = {
+        1: " ".join(w for w in own[:10] for _ in range(5)),  # no five-word window twice, nothing but repeats
+        2: " ".join([*own, *own[100:151]]),  # 51 words pasted again into 2,000
+        3: " ".join([*own, *own[100:150]]),
+        4: " ".join([*own[:8], *own[20:150], *own[:8]]),  # ends as it begins
+        5: " ".join(own[:300]),
+    }
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    assert {i: r.kept for i, r in got.items()} == {i: _judged(t) for i, t in texts.items()} == {1: False, 2: False, 3: True, 4: True, 5: True}
+    assert not any(r.base_failed for r in got.values())
+
+
+def test_quality_verdict_on_the_test_table(spark):
+    d = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    assert {r.doc_id: r.kept for r in quality_rules.op9(spark, d).collect()} == {i: _judged(t) for i, t in rows.items()}
 
 
 def test_quality_rules_on_repetitive_batches():
@@ -77,7 +114,7 @@ def test_quality_rules_on_repetitive_batches():
 def test_keep_good_keeps_rows_whole(docs, empty):
     kept = quality_rules.keep_good(docs)
     assert kept.columns == docs.columns
-    assert {r["a.b"] for r in kept.collect()} == {r["a.b"] for r in docs.collect() if not _base(r.text or "")[-1]}
+    assert {r["a.b"] for r in kept.collect()} == {r["a.b"] for r in docs.collect() if _judged(r.text or "")}
     assert quality_rules.keep_good(empty).count() == 0
 
 
@@ -152,15 +189,51 @@ def test_lm_scores_against_brute_force(docs, empty):
     trained = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
     c = Counter(w for i in trained for w in [*texts[i], None])
     n, v = sum(c.values()), len(c)
-    got = {r.doc_id: r for r in attention_lm.lm_scores(known, epochs=1).collect()}
+    got = {r.doc_id: r for r in attention_lm.lm_scores(known, least_mb=0.05).collect()}
     assert got.keys() == texts.keys()
     for i, w in texts.items():
         own = [*w, None]
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i not in trained, len(own), sum(c[x] > 0 for x in own), n)
         assert math.isclose(r.base_score, sum(math.log10((c[x] + 1) / (n + 1 * (v + 1))) for x in own), rel_tol=1e-9)
-        assert r.score < 0 and math.isfinite(r.score)
+        assert r.score < 0 and math.isfinite(r.score) and math.isfinite(r.attention_score)
     assert attention_lm.lm_scores(empty).count() == 0
+    again = known.limit(1).select("doc_id", "text")  # null and repeated ids are rows like any other
+    odd = again.union(again).union(again.selectExpr("cast(null as long)", "text")).union(again.selectExpr("cast(null as long)", "text"))
+    got = attention_lm.lm_scores(odd, least_mb=0.01).collect()
+    assert len(got) == 4 and sum(r.held_out for r in got if r.doc_id is None) == 0
+
+
+def test_lm_beats_word_counts_on_texts_it_has_not_seen(spark):
+    got = [r for r in attention_lm.op6(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    n = sum(r.n_tokens for r in got)
+    assert sum(r.score for r in got) / n > sum(r.base_score for r in got) / n + 0.01
+
+
+def test_lm_scores_follow_the_order_of_words(spark):
+    import random
+
+    r = random.Random(1)
+    pairs = [(f"{a}ort", f"{b}ale") for a in "bcdfghm" for b in "npqrstv"]
+    text = lambda: " ".join(w for _ in range(30) for w in r.choice(pairs))
+    df = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
+    turned = spark.createDataFrame([(1000, " ".join(w for _ in range(30) for w in r.choice(pairs)[::-1]))], "doc_id long, text string")
+    got = {x.doc_id: x for x in attention_lm.lm_scores(df.union(turned), least_mb=1).collect()}
+    same = [x.score / x.n_tokens for i, x in got.items() if i < 1000]
+    assert min(same) > got[1000].score / got[1000].n_tokens  # word counts alone would not tell them apart
+
+
+def test_trained_runs_grow_with_the_texts():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    batch = pa.record_batch([pa.array(range(40), pa.int64()), pa.array([text] * 40)], names=["_id", "_text"])
+    runs = lambda b, share: sum(len(x.as_py()) for y in attention_lm._runs([b], share, 4, attention_lm.TOKENIZER) for x in y.column("_ids"))
+    whole = runs(batch, 1.0)
+    ids, n = attention_lm.pieces_of(text.encode().split(), attention_lm.TOKENIZER)
+    assert whole == 4 * 40 * (len(ids) + 1)  # every word once, and the ends
+    assert 0.2 < runs(batch, 0.25) / whole < 0.3
+    assert 0.4 < runs(batch.slice(0, 20), 0.25) / runs(batch, 0.25) < 0.6
 
 
 def test_subwords_spell_their_words():
