@@ -10,13 +10,22 @@ Within a signature, up to 561 fingerprints are compared with each other; in a la
 looks up its 33 + 528 neighbours in the 33 free bits, so links grow with the members, not with their square.
 Classes are joined to components by alternating stars over the links, with a checkpoint each round.
 
-Defined cases: null text has no words; no words: fingerprint zero, linked like any other; fewer than three
-words: the whole sequence is the one shingle; null ids come after all others; columns other than the two
-named are ignored, whatever their names.
+`near_copies` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At that
+similarity a bit differs with a probability of about 0.15, far more than two of 64. So fingerprints are longer and cut
+into segments that each differ by at most one bit often enough (`_shape`): segments have a bit less than the
+logarithm of the number of rows, so that unlike texts rarely meet, and there are so many of them that a pair at 0.8 shares a one-wildcard
+variant with a probability of `recall`. Who shares one is compared by 64 bits of the fingerprint; of a small group all near
+pairs are taken, of a larger one the least spanning tree, which leaves a path of nearer pairs for each
+pair that it leaves out. All pairs taken are verified on the texts by their exact similarity.
+
+Defined cases: null text has no words; no words: fingerprint zero, linked like any other; fewer words than a shingle has: the
+whole sequence is the one shingle; null ids come after all others; rows without an id or that share one are rows like others; columns other than the two
+named are ignored (in `keep_one` kept as they are), whatever their names. Texts count as the same words if 64 hash bits agree.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 from itertools import combinations
@@ -124,9 +133,11 @@ def links(classes: DataFrame, parts: int, bits: int = 2) -> DataFrame:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """The folder that the cluster names; one of our own only where none is set, as in tests."""
+    """The folder that the cluster names. On a single machine, as in tests, one of our own where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "codelake-checkpoints"))
 
 
@@ -167,10 +178,199 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2) -> DataFrame:
-    """The rows whose id is the smallest of their component; of rows that share that id, all; rows without an id."""
-    found = simhash_components(df, id_col, text_col, bits).where(f"{id_col} is null or {id_col} = component_id").select(F.col(id_col).alias("__codelake_kept")).distinct()
-    return df.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("__codelake_kept")), "left_semi")
+def _shape(rows: int, similarity: float, recall: float) -> tuple[int, int]:
+    """(bits of a segment, segments)"""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = max(18, math.ceil(math.log2(max(rows, 2))) - 1)
+    hit = (1 - differ) ** bits + bits * differ * (1 - differ) ** (bits - 1)
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
+
+
+def _words(text: bytes) -> tuple[np.ndarray, int]:
+    """(hash of each word, hash of the sequence)"""
+    words = text.translate(_LOWER).split()
+    joined = b" ".join(words)
+    raw = np.frombuffer(joined, np.uint8)
+    s, e, _ = tk.word_bounds(raw, np.array([0, len(raw)]))
+    return tk.span_hash(raw, s, e), _HASH(joined, 7)
+
+
+def _shingles(h: np.ndarray, size: int) -> np.ndarray:
+    """The set of shingles, sorted."""
+    return np.unique(tk.rolling(h, min(size, max(len(h), 1))))
+
+
+def _sketch(shingles: np.ndarray, words: int) -> np.ndarray:
+    """The majority of each of 64 * words bits."""
+    ones = np.zeros(64 * words, np.int64)
+    for i in range(0, len(shingles), 1 << 14):
+        part = shingles[i : i + (1 << 14)]
+        wide = np.stack([tk.mix(part ^ U(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) for k in range(words)], 1)
+        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(shingles), bitorder="little").view(np.uint64)
+
+
+def _variants(batches, bits: int, segments: int):
+    """(signature, class, 64 bits of its fingerprint): each segment with each bit wildcarded."""
+    for b in batches:
+        cls = b.column("_cls").to_numpy()
+        fp = np.frombuffer(b"".join(b.column("_fp").to_pylist()), np.uint8).reshape(len(cls), -1)
+        one = np.unpackbits(fp, axis=1, bitorder="little")
+        near = np.ascontiguousarray(fp[:, :8]).view(np.int64).ravel()
+        weight = U(1) << np.arange(bits, dtype=np.uint64)
+        for k in range(segments):
+            own = one[:, k * bits : (k + 1) * bits].astype(np.uint64) @ weight
+            for i in range(bits):
+                sig = tk.mix((own & ~(U(1) << U(i))) ^ tk.mix(np.full(len(own), k * 64 + i, np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cls), pa.array(near)], names=["_sig", "_cls", "_near"])
+
+
+def _tree(near: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a least spanning forest by differing bits, of those with `most` or fewer."""
+    n = len(near)
+    best, to, out = np.full(n, 99, np.uint8), np.zeros(n, np.int64), np.zeros(n, bool)
+    edges, at = [], 0
+    for _ in range(n - 1):
+        out[at] = True
+        d = np.bitwise_count(near ^ near[at])
+        closer = d < best
+        best[closer] = d[closer]
+        to[closer] = at
+        best[out] = 100
+        at = int(np.argmin(best))
+        if best[at] <= most:
+            edges.append((to[at], at))
+        best[at] = 100
+    x = np.array(edges, np.int64).reshape(-1, 2)
+    return x[:, 0], x[:, 1]
+
+
+def _candidates_of(sig: np.ndarray, cls: np.ndarray, near: np.ndarray, most: int):
+    """Pairs of classes (smaller first) that share a signature and whose 64 bits are near."""
+    u = near.view(np.uint64)
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    size = np.diff(np.r_[first, len(sig)])
+    run, out, o = np.repeat(size, size), [], 1
+    small = np.flatnonzero((run > 1) & (run <= 8))
+    while len(small):
+        small = small[small + o < len(sig)]
+        small = small[sig[small] == sig[small + o]]
+        ok = small[np.bitwise_count(u[small] ^ u[small + o]) <= most]
+        out.append((cls[ok], cls[ok + o]))
+        o += 1
+    for f, n in zip(first[size > 8].tolist(), size[size > 8].tolist()):
+        x, y = _tree(u[f : f + n], most)
+        out.append((cls[f + x], cls[f + y]))
+    a, b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in out)]) for k in (0, 1))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    pairs = pairs[pairs[:, 0] < pairs[:, 1]]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["_a", "_b"])
+
+
+def _by_signature(batches, most: int):
+    rest = None
+    for x in batches:
+        own = [x.column(i).to_numpy() for i in range(3)]
+        if rest is not None:
+            own = [np.r_[a, b] for a, b in zip(rest, own)]
+        if not len(own[0]):
+            continue
+        cut = int(np.searchsorted(own[0], own[0][-1]))  # the last signature may go on
+        rest = [a[cut:] for a in own]
+        if cut:
+            yield _candidates_of(*(a[:cut] for a in own), most)
+    if rest is not None and len(rest[0]):
+        yield _candidates_of(*rest, most)
+
+
+def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, most_known: int = 1_000_000) -> DataFrame:
+    """(_cls, _root): the class of each text that has a near copy, and its component's; classes are by `classed`.
+
+    most_known: if no more classes than this are candidates, their texts are picked out by a list of them that
+    every task gets, and else by a join."""
+    rows = df.count()
+    bits, segments = _shape(rows, similarity, recall)
+    wide = -(-bits * segments // 64)
+    parts = max(tk.group_count(df, 2), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    texts = df.select(F.col(text_col).cast("string").alias("_text"))
+
+    def sketched(batches):
+        for x in tk.pieces(batches, "_text"):
+            got: dict[int, bytes] = {}
+            for t in tk.texts_of(x.column(0)):
+                h, cls = _words(t)
+                if cls not in got:
+                    got[cls] = _sketch(_shingles(h, shingle), wide).tobytes() if len(h) else bytes(8 * wide)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([*got], np.uint64).view(np.int64)), pa.array([*got.values()], pa.binary())], names=["_cls", "_fp"])
+
+    classes = texts.mapInArrow(sketched, "_cls long, _fp binary").groupBy("_cls").agg(F.min("_fp").alias("_fp")).checkpoint()
+    signed = classes.mapInArrow(lambda x: _variants(x, bits, segments), "_sig long, _cls long, _near long").repartition(parts, "_sig").sortWithinPartitions("_sig")
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = math.ceil(64 * differ + 3 * math.sqrt(64 * differ * (1 - differ)))
+    pairs = signed.mapInArrow(lambda x: _by_signature(x, most), "_a long, _b long").distinct().checkpoint()
+    held = pairs.select(F.col("_a").alias("_cls")).union(pairs.select("_b")).distinct().checkpoint()
+
+    def picked(batches, known):
+        for x in tk.pieces(batches, "_text"):
+            raw = tk.texts_of(x.column(0))
+            cls = np.array([_HASH(b" ".join(t.translate(_LOWER).split()), 7) for t in raw], np.uint64).view(np.int64)
+            first = np.zeros(len(cls), bool)
+            first[np.unique(cls, return_index=True)[1]] = True
+            if known is not None:
+                first &= np.isin(cls, known)
+            own = np.flatnonzero(first)
+            yield pa.RecordBatch.from_arrays([pa.array(cls[own]), pa.array([raw[i] for i in own.tolist()], pa.binary())], names=["_cls", "_raw"])
+
+    n = held.count()
+    known = held.toArrow().column(0).to_numpy() if n <= most_known else None  # 8 MB
+    own = texts.mapInArrow(lambda x: picked(x, known), "_cls long, _raw binary")
+    if known is None:
+        own = own.join(held, "_cls", "left_semi")
+    own = own.groupBy("_cls").agg(F.min("_raw").alias("_raw"))
+    both = pairs.join(own.withColumnsRenamed({"_cls": "_a", "_raw": "_x"}), "_a").join(own.withColumnsRenamed({"_cls": "_b", "_raw": "_y"}), "_b").select("_a", "_b", "_x", "_y")
+
+    def verified(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("_x").to_pylist(), b.column("_y").to_pylist()):
+                s, t = (_shingles(_words(z)[0], shingle) for z in (x, y))
+                same = len(np.intersect1d(s, t, assume_unique=True))
+                ok.append(same >= similarity * (len(s) + len(t) - same))
+            yield b.select(["_a", "_b"]).filter(pa.array(ok, pa.bool_()))
+
+    edges = both.mapInArrow(verified, "_a long, _b long")
+    return components(edges).withColumnRenamed("_node", "_cls")
+
+
+def classed(df: DataFrame, text_col: str) -> DataFrame:
+    """The rows with a column __codelake_class, the same for texts of the same words."""
+    names = df.columns
+    rows = df.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("_row"), F.col(text_col).cast("string").alias("_text"))
+
+    def run(batches):
+        for x in tk.pieces(batches, "_text"):
+            cls = np.array([_HASH(b" ".join(t.translate(_LOWER).split()), 7) for t in tk.texts_of(x.column(1))], np.uint64)
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(cls.view(np.int64))], names=["_row", "_cls"])
+
+    kind = rows.select("_row", F.lit(0).cast("long").alias("_cls")).schema
+    return rows.mapInArrow(run, kind).select(*[F.col(f"_row.`{n}`").alias(n) for n in names], F.col("_cls").alias("__codelake_class"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row of each group of near copies: that with the smallest id (rows without one come last, then by the hash of all columns)."""
+    ensure_checkpoints(df.sparkSession)
+    roots = near_copies(df, text_col, **options)
+    own = classed(df, text_col)
+    best = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(*[F.col(f"`{n}`") for n in df.columns]).alias("row"))
+    rows = own.select("__codelake_class", best.alias("_best")).groupBy("__codelake_class", "_best").agg(F.count("*").alias("_n"))
+    least = rows.groupBy("__codelake_class").agg(F.min(F.struct("_best", "_n")).alias("_m"))
+    rooted = least.join(roots, least["__codelake_class"] == roots["_cls"], "left").select("__codelake_class", "_m", F.coalesce("_root", "__codelake_class").alias("_root"))
+    chosen = rooted.groupBy("_root").agg(F.min(F.struct("_m", "__codelake_class")).alias("_c"))
+    chosen = chosen.select(F.col("_c.__codelake_class").alias("__codelake_of"), F.col("_c._m._best").alias("__codelake_best"), F.col("_c._m._n").alias("_n")).checkpoint()
+    joined = lambda kept: own.join(kept, (F.col("__codelake_class") == F.col("__codelake_of")) & best.eqNullSafe(F.col("__codelake_best")), "left_semi").select(*[F.col(f"`{n}`") for n in df.columns])
+    if chosen.where("_n > 1").isEmpty():
+        return joined(chosen)
+    return joined(chosen.where("_n = 1")).union(joined(chosen.where("_n > 1")).dropDuplicates())
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

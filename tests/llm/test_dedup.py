@@ -124,11 +124,59 @@ def test_links_of_large_signatures_lose_nothing():
     assert pairs == want and len(fs) > 561
 
 
-def test_keep_one_keeps_columns_and_one_of_each_group(docs):
-    kept = simhash.keep_one(docs.where("doc_id is not null"))
+def _groups(texts: list[str]) -> list[int]:
+    """The component of each text under a Jaccard similarity of five-word shingles of 0.8 or more, by all pairs."""
+    sets = []
+    for t in texts:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_keep_one_keeps_columns_and_one_row_of_each_group(spark, docs):
+    twice = docs.union(docs.where("doc_id is null")).union(docs.limit(5))  # repeated rows, rows without an id
+    kept = simhash.keep_one(twice)
     assert kept.columns == docs.columns
-    marks = [(i, _fingerprint(t)) for i, t in _rows(docs) if i != LAST]
-    assert {r.doc_id for r in kept.collect()} == set(_components(marks).values())
+    rows = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in twice.collect()))
+    group = _groups([t for _, _, t in rows])
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect())
+    assert len(got) == len(set(group))
+    assert {group[rows.index(x)] for x in got} == set(group)
+    assert [x[:2] for x in got] == sorted(rows[g][:2] for g in set(group))
+
+
+def test_near_copies_at_the_threshold_are_found(spark):
+    import random
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("bcdfghjkl") + r.choice("aeiou") for _ in range(3))
+    texts = []
+    for _ in range(60):
+        base = [word() for _ in range(r.randint(120, 400))]
+        texts.append(base)
+        for _ in range(4):  # one word in fifty is another
+            texts.append([word() if k % 50 == r.randint(20, 30) else w for k, w in enumerate(base)])
+        texts.append([word() if k % 12 == 5 else w for k, w in enumerate(base)])  # too many to be a near copy
+    texts += [[w if i else word() for i, w in enumerate(texts[0])] for _ in range(300)]  # a large group of near copies
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    group = _groups([t for _, t in rows])
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert set(group) <= kept  # none is dropped without a near copy that stays
+    copies = len(rows) - len(set(group))
+    assert len(rows) - len(kept) >= 0.98 * copies and copies > 400
+    assert simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), most_known=0).count() >= 0.98 * copies  # the other way to the texts
 
 
 def test_empty_tables(empty):
