@@ -69,6 +69,79 @@ def test_html_templates_go_by_host(spark):
     assert got[205].startswith("The same page\nAbout us")  # copies of one page make no template
 
 
+def test_html_templates_tell_what_nothing_else_does(spark):
+    import random
+
+    r = random.Random(1)
+    para = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(12))
+    menus, ends = [para() for _ in range(3)], [para() for _ in range(3)]
+    main = [(f"<p>{(a := para())}</p><p>{(b := para())}</p>", f"{a}\n{b}") for _ in range(40)]
+    pages = [(i, f"https://t.org/{i}", f"<body><div class=k{i}>{menus[i % 3]}</div><div class=body>{html}</div><div class=z>{ends[i % 3]}</div></body>") for i, (html, _) in enumerate(main)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for options in ({}, {"declared": False}, {"max_sent": 0}):  # lists known to all tasks, and the join by host
+        got = {x.page_id: x.text for x in html_template.extract_main_text(df, **options).collect()}
+        assert got == {i: text for i, (_, text) in enumerate(main)}
+    without = {x.page_id: x.text for x in html_template.extract_main_text(df, min_pages=10**9).collect()}
+    assert all(menus[i % 3] in t and ends[i % 3] in t for i, t in without.items())
+
+
+def test_templates_change_pages_of_the_test_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    text = lambda **o: {x.page_id: x.text for x in html_template.extract_main_text(df, declared=False, **o).collect()}
+    a, b = text(), text(min_pages=10**9)
+    assert sum(a[i] != b[i] for i in a) > 0
+    whole = {x.page_id: x.text for x in html_template.extract_main_text(df).collect()}
+    assert all(t in b[i] for i, t in whole.items())  # main texts are runs of the pages' texts, and templates are not in them
+    assert all(t in a[i] for i, t in whole.items())
+
+
+def _main_text(html: str) -> str:
+    """The test table's pages by a pattern of their own: the article's blocks."""
+    import html as h
+
+    article = re.search(r"<article>(.*?)(?:</article>|\Z)", html or "", re.S)
+    blocks = re.split(r"</?(?:p|h1)>", article[1]) if article else []
+    lines = [" ".join(h.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in blocks]
+    return "\n".join(x for x in lines if x)
+
+
+def test_html_against_brute_force_on_the_test_table(spark):
+    d = "/root/testdata/sf0.01"
+    rows = {r.page_id: r.html for r in spark.read.parquet(f"{d}/pages.parquet").collect()}
+    got = {r.page_id: (r.text, r.n_chars) for r in html_template.op5(spark, d).collect()}
+    assert got == {i: ((t := _main_text(x)), len(t)) for i, x in rows.items()}
+
+
+def test_class_names_of_furniture():
+    page = lambda name, tag="div": html_template.Page(f"<body><{tag} class='{name}'>x</{tag}><p>y</p></body>").text()
+    assert [page(x) for x in ("cookie-notice", "site-header", "ad", "related-posts", "comments2 x")] == ["y"] * 5
+    assert [page(x) for x in ("article-header", "shared-lines", "notice-of-intent", "headers")] == ["x\ny"] * 4
+    assert html_template.Page("<article><header class=header><h1>t</h1></header><p>y</p><div class=comments>c</div></article>").text() == "t\ny"
+
+
+def test_html_and_personal_data_in_linear_time():
+    import time
+
+    judge = pii.Judge(0.95)
+    n = 1_000_000
+    # whatever the form of a text, a megabyte takes little more than ten times a tenth of it
+    for make in (lambda k: "<a " * (k // 3) + '"', lambda k: "<div>x" * (k // 6), lambda k: "<b><hr>" * (k // 7), lambda k: "<p>" + "</i>" * (k // 4), lambda k: "<a '\"" * (k // 5)):
+        times = []
+        for k in (n // 10, n):
+            at = time.process_time()
+            page = html_template.Page(make(k))
+            page.hashes(), page.text(frozenset([1]))
+            times.append(time.process_time() - at)
+        assert times[1] < 30 * times[0] + 1, make(30)
+    for unit in ("a", "7", "a.", "1.", "7-", "key_", "+1 ", "a@", "A1", "1 ", "=a", "ab1", "(0"):
+        times = []
+        for k in (n // 20, n // 2):
+            at = time.process_time()
+            pii.spans_of(unit * (k // len(unit)), judge)
+            times.append(time.process_time() - at)
+        assert times[1] < 30 * times[0] + 1, (unit, times)
+
+
 def test_decontamination_finds_copies_and_paraphrases(spark, docs, empty):
     import random
 
@@ -116,6 +189,16 @@ def _brute(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def test_pii_base_on_texts_of_marks():
+    import random
+
+    r = random.Random(3)
+    for chars in ("a1.@", "1.2 ", "0.-+ 1(", "@.a-_ ", "12 -4"):
+        for _ in range(400):
+            text = "".join(r.choice(chars) for _ in range(r.randint(0, 60)))
+            assert [(k, *s) for k, v in pii.base_spans(text).items() for s in v] == _brute(text), text
+
+
 def test_pii_base_and_more(spark, docs, empty):
     got = {r.doc_id: r for r in pii.find_pii(docs.withColumn("doc_id", docs["`a.b`"])).collect()}
     rows = {r["a.b"]: r.text or "" for r in docs.collect()}
@@ -133,6 +216,6 @@ def test_pii_base_and_more(spark, docs, empty):
 
 
 def test_pii_judge_on_examples_it_has_not_seen():
-    judge = pii.Judge(0.98)
+    judge = pii.Judge(0.95)
     for kind, (precision, recall) in judge.held_out.items():
-        assert precision >= 0.95 and recall >= 0.6, kind
+        assert precision >= 0.92 and recall >= 0.9, (kind, precision, recall)
