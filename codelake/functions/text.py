@@ -75,7 +75,11 @@ def normalize_symbol(c: Column) -> Column:
 
 
 #: Types too common to link by.
-COMMON_TYPES = "bool char f32 f64 i32 i64 int string String str u32 u64 usize void".split()
+COMMON_TYPES = (
+    "str string String &str int i32 i64 u32 u64 usize f32 f64 bool void None null undefined any Any object Object self Self cls this bytes Bytes Vec List list dict Dict HashMap Option Result Error Exception T U K V"
+).split()
+#: White space, by which texts are cut into words in any language.
+SPACE = "[\\t\\n\\x0B\\f\\r \\x{85}\\p{Z}]+"
 
 
 def normalize_type(c: Column) -> Column:
@@ -156,7 +160,7 @@ def naive_chunks(df: DataFrame, id_col: str, text_col: str, lines: int = 200) ->
 
 
 def token_chunks(df: DataFrame, id_col: str, text_col: str, size: int = 512) -> DataFrame:
-    words = F.filter(F.split(F.col(text_col), "\\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.col(text_col), SPACE), lambda w: w != "")
     out = df.select(F.col(id_col), words.alias("_w")).where(F.size("_w") > 0).withColumn("_i", F.explode(F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / size).cast("int"))))
     return out.select(id_col, F.col("_i").cast("long").alias("chunk"), F.array_join(F.slice("_w", F.col("_i") * size + 1, F.lit(size)), " ").alias("content"))
 
@@ -173,7 +177,7 @@ def sanitize_query(text: str) -> str:
 
 def unified_diff(before: Column | str, after: Column | str) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(difflib.unified_diff(x.split("\n"), y.split("\n"), lineterm="")) for x, y in zip(a, b)])
+        return pd.Series(["\n".join(difflib.unified_diff((x or "").split("\n"), (y or "").split("\n"), lineterm="")) for x, y in zip(a, b)])
 
     return F.pandas_udf(run, "string")(before, after)
 
@@ -197,29 +201,30 @@ def _docs(fn):
 
 
 _W = lambda: F.explode(F.array_distinct(F.filter(F.split(ascii_lower(F.col("text")), "[^a-z]+"), lambda w: w != ""))).alias("word")
+_TYPES = ["String", "User", "Vec", "char", "HashMap", "Widget", "T", "Job", "None", "Result"]
 QUERIES = {
-    "l01_code_tokens": lambda s, d: table(s, d, "orders").select("o_orderkey", F.array_join(code_tokens(F.concat(F.lit("getHTTPValue2_"), "o_orderpriority", F.lit("XMLParser"))), " ").alias("tokens")).where("o_orderkey <= 200"),
+    "l01_code_tokens": lambda s, d: table(s, d, "orders").select("o_orderkey", F.array_join(code_tokens(F.concat(F.lit("getHTTPValue2_"), "o_orderpriority", F.lit("XMLParser"))), " ").alias("tokens")),
     "l02_index_tokens": _docs(lambda t: t.select("doc_id", F.size(index_tokens(F.col("text"))).cast("long").alias("n"), F.array_join(F.slice(index_tokens(F.col("text")), 1, 5), " ").alias("first"))),
     "l03_stem": _docs(lambda t: t.select(_W()).distinct().select("word", stem(F.col("word")).alias("stem"))),
     "l04_keywords": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", keywords(F.col("text")).alias("kept")),
     "l05_normalize_symbol": lambda s, d: table(s, d, "part").select("p_partkey", normalize_symbol(F.concat(F.lit("::crate::"), F.replace("p_name", F.lit(" "), F.lit("->")), F.lit("?.go(x, y)"))).alias("symbol")),
     "l06_normalize_type": lambda s, d: table(s, d, "part").select("p_partkey", normalize_type(F.when(F.col("p_size") > 30, F.concat(F.lit("&mut Vec<"), "p_brand", F.lit(", E>"))).when(F.col("p_size") > 20, F.lit("Option<String>")).otherwise(F.concat(F.lit(" &"), "p_brand"))).alias("type")),
-    "l07_common_types": lambda s, d: table(s, d, "part").select("p_partkey", F.when(F.col("p_size") > 25, "String").otherwise(F.col("p_brand")).isin(COMMON_TYPES).alias("common")),
+    "l07_common_types": lambda s, d: table(s, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, _TYPES)), (F.col("p_partkey") % len(_TYPES) + 1).cast("int")).isin(COMMON_TYPES).alias("common")),
     "l08_trigrams": lambda s, d: table(s, d, "supplier").select("s_suppkey", F.explode(trigrams(F.lower("s_name"))).alias("tri")),
     "l09_links": lambda s, d: table(s, d, "pages").select("page_id", F.explode(links_of(F.col("html"))).alias("link")),
     "l10_second_line": _docs(lambda t: t.select("doc_id", F.coalesce(F.get(F.filter(F.split("text", "\n"), lambda x: ~x.startswith("#")), 1), F.lit("")).alias("signature"))),
     "l11_replace_word": _docs(lambda t: t.select("doc_id", F.md5(replace_word(F.col("text"), "the", "THE").cast("binary")).alias("h"))),
     "l13_squeeze": _docs(lambda t: t.select("doc_id", F.md5(F.trim(F.regexp_replace("text", "[ \\t\\n\\r]+", " ")).cast("binary")).alias("h"))),
     "l14_apply_edits": _docs(lambda t: t.select("doc_id", F.md5(apply_edits("text", F.array(F.struct(F.lit(0).alias("start"), F.lit(2).alias("end"), F.lit("[[").alias("text")), F.struct(F.lit(3).alias("start"), F.lit(3).alias("end"), F.lit("+").alias("text")))).cast("binary")).alias("h"))),
-    "l15_diff": _docs(lambda t: t.where("doc_id < 50").select("doc_id", F.length(unified_diff("text", F.concat("text", F.lit("\nmore")))).cast("long").alias("n"))),
+    "l15_diff": _docs(lambda t: t.select("doc_id", F.length(unified_diff("text", F.concat("text", F.lit("\nmore")))).cast("long").alias("n"))),
     "l16_enriched_content": lambda s, d: table(s, d, "part").select("p_partkey", F.concat_ws("\n", F.format_string("// type:%s complexity:%d", "p_type", "p_size"), "p_name").alias("content")),
     "l18_token_estimate": _docs(lambda t: t.select("doc_id", token_estimate(F.col("text")).alias("tokens"))),
     "l19_truncate": _docs(lambda t: t.select("doc_id", truncate(F.col("text"), 80).alias("short"))),
     "l20_symbol_id": lambda s, d: table(s, d, "part").select("p_partkey", F.sha2(F.concat_ws("::", F.lit("parts"), "p_name", "p_type"), 256).alias("symbol_id")),
     "l21_project_id": lambda s, d: table(s, d, "nation").select("n_nationkey", project_key(F.lower("n_name"), F.col("n_name"), F.col("n_regionkey")).alias("id")),
-    "l22_redact_log": _docs(lambda t: t.where("text rlike '(?i)token *='").select("doc_id", F.md5(redact_log(F.col("text")).cast("binary")).alias("h"))),
+    "l22_redact_log": _docs(lambda t: t.select("doc_id", F.md5(redact_log(F.col("text")).cast("binary")).alias("h"))),
     "l23_naive_chunks": _docs(lambda t: naive_chunks(t, "doc_id", "text", 5).select("doc_id", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("h"))),
-    "l24_token_chunks": _docs(lambda t: token_chunks(t.where("length(text) = octet_length(text)"), "doc_id", "text", 64).select("doc_id", "chunk", F.md5(F.col("content").cast("binary")).alias("h"))),
+    "l24_token_chunks": _docs(lambda t: token_chunks(t, "doc_id", "text", 64).select("doc_id", "chunk", F.md5(F.col("content").cast("binary")).alias("h"))),
     "l25_clean_call": lambda s, d: table(s, d, "events").select("event_id", F.substring_index(F.concat("event_type", F.lit("("), "props"), "(", 1).alias("name")),
     "l26_alias_map": lambda s, d: table(s, d, "part").groupBy(F.element_at(F.split("p_name", " "), -1).alias("alias")).agg(F.min_by("p_name", "p_partkey").alias("target")),
     "l28_docs_summary": _docs(lambda t: t.agg(F.count("*").alias("files"), F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: F.ltrim(x).startswith("#")))).cast("long").alias("headings"), F.sum(F.size(F.filter(F.split("text", "\n"), lambda x: F.upper(x).rlike("TODO|FIXME|ACTION")))).cast("long").alias("todos"))),
@@ -230,6 +235,7 @@ QUERIES = {
 }
 _CODEW = "SELECT DISTINCT unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z]+')) AS word FROM documents"
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_KEPT = rf"list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g') NOT IN ({_STOP}) AND strlen(regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g')) > 1)"
 _STEM = r"""SELECT word, CASE WHEN length(word) <= 3 THEN word
 WHEN ends_with(word, 'ing') THEN CASE WHEN length(word) >= 5 AND substr(word, length(word) - 3, 1) = substr(word, length(word) - 4, 1) AND NOT regexp_matches(substr(word, length(word) - 3, 1), '[aeiou]') THEN substr(word, 1, length(word) - 4) WHEN regexp_matches(substr(word, 1, length(word) - 3), '[aeiou][^aeiou]$') THEN substr(word, 1, length(word) - 3) || 'e' ELSE substr(word, 1, length(word) - 3) END
 WHEN ends_with(word, 'ied') AND length(word) > 4 THEN substr(word, 1, length(word) - 3) || 'y'
@@ -237,13 +243,17 @@ WHEN ends_with(word, 'ed') THEN CASE WHEN length(word) >= 4 AND substr(word, len
 WHEN ends_with(word, 'ies') AND length(word) > 4 THEN substr(word, 1, length(word) - 3) || 'y'
 WHEN ends_with(word, 'es') AND length(word) > 4 AND regexp_matches(substr(word, 1, length(word) - 2), '(s|x|z|ch|sh)$') THEN substr(word, 1, length(word) - 2)
 WHEN ends_with(word, 's') AND NOT ends_with(word, 'ss') THEN substr(word, 1, length(word) - 1) ELSE word END AS stem"""
+_LAST = "least(3, len(l))"  # lines of context before what is added at the end
 SQL = {
+    "l01_code_tokens": r"SELECT o_orderkey, array_to_string(list_transform(list_filter(regexp_extract_all(regexp_replace('getHTTPValue2_' || o_orderpriority || 'XMLParser', '(\p{Lu}+)(\p{Lu}\p{Ll})', '\1 \2', 'g'), '[0-9]+|\p{Lu}?\p{Ll}+|\p{Lu}+|\p{Lo}+'), lambda t: strlen(t) >= 2 OR regexp_matches(t, '^[0-9]+$')), lambda t: lower(t)), ' ') AS tokens FROM orders",
+    "l11_replace_word": r"SELECT doc_id, md5(replace(regexp_replace(regexp_replace(replace(text, chr(1), ''), '([^\p{L}\p{N}_])', chr(1) || '\1' || chr(1), 'g'), '(^|' || chr(1) || ')the(' || chr(1) || '|$)', '\1THE\2', 'g'), chr(1), '')) AS h FROM documents",
+    "l15_diff": f"SELECT doc_id, CAST(10 + length('@@ -' || (len(l) - {_LAST} + 1) || CASE WHEN {_LAST} = 1 THEN '' ELSE ',' || {_LAST} END || ' +' || (len(l) - {_LAST} + 1) || ',' || ({_LAST} + 1) || ' @@') + list_sum(list_transform(list_slice(l, len(l) - {_LAST} + 1, len(l)), lambda x: length(x) + 2)) + 6 AS BIGINT) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)",
     "l02_index_tokens": r"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, array_to_string(list_slice(t, 1, 5), ' ') AS first FROM (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+'), lambda x: strlen(x) >= 2) AS t FROM documents)",
     "l03_stem": f"{_STEM} FROM ({_CODEW}) WHERE word <> ''",
-    "l04_keywords": rf"SELECT conv_id, turn, CASE WHEN len(k) = 0 THEN text ELSE array_to_string(k, ' ') END AS kept FROM (SELECT *, list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g') NOT IN ({_STOP}) AND strlen(regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g')) > 1) AS k FROM conversations)",
+    "l04_keywords": f"SELECT conv_id, turn, CASE WHEN len(k) = 0 THEN text ELSE array_to_string(k, ' ') END AS kept FROM (SELECT *, {_KEPT} AS k FROM conversations)",
     "l05_normalize_symbol": "SELECT p_partkey, 'crate.' || replace(p_name, ' ', '.') || '.go' AS symbol FROM part",
     "l06_normalize_type": "SELECT p_partkey, CASE WHEN p_size > 30 THEN p_brand WHEN p_size > 20 THEN 'Option<String>' ELSE p_brand END AS type FROM part",
-    "l07_common_types": "SELECT p_partkey, p_size > 25 AS common FROM part",
+    "l07_common_types": f"SELECT p_partkey, {_TYPES}[p_partkey % {len(_TYPES)} + 1] IN ({', '.join(repr(t) for t in COMMON_TYPES)}) AS common FROM part",
     "l08_trigrams": "SELECT DISTINCT s_suppkey, substr(lower(s_name), i, 3) AS tri FROM (SELECT s_suppkey, s_name, unnest(range(1, length(s_name) - 1)) AS i FROM supplier)",
     "l09_links": """SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS link FROM pages""",
     "l10_second_line": "SELECT doc_id, coalesce(list_extract(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(x, '#')), 2), '') AS signature FROM documents",
@@ -254,9 +264,9 @@ SQL = {
     "l19_truncate": "SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS short FROM documents",
     "l20_symbol_id": "SELECT p_partkey, sha256('parts::' || p_name || '::' || p_type) AS symbol_id FROM part",
     "l21_project_id": "SELECT n_nationkey, lower(n_name) || '_' || substr(sha256(n_name), 1, 8) || '_' || n_regionkey AS id FROM nation",
-    "l22_redact_log": r"""SELECT doc_id, md5(regexp_replace(text, '(?i)(token|password|secret|api_key)(\s*[=:]\s*)["'']?[A-Za-z0-9_\-]{8,}["'']?', '\1\2[REDACTED]', 'g')) AS h FROM documents WHERE regexp_matches(text, '(?i)token *=')""",
+    "l22_redact_log": r"""SELECT doc_id, md5(regexp_replace(text, '(?i)(token|password|secret|api_key)(\s*[=:]\s*)["'']?[A-Za-z0-9_\-]{8,}["'']?', '\1\2[REDACTED]', 'g')) AS h FROM documents""",
     "l23_naive_chunks": "SELECT doc_id, CAST(i AS BIGINT) AS start_line, CAST(least(len(l), i + 5) AS BIGINT) AS end_line, md5(array_to_string(list_slice(l, i + 1, i + 5), chr(10))) AS h FROM (SELECT doc_id, l, unnest(range(0, len(l), 5)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM documents))",
-    "l24_token_chunks": r"SELECT doc_id, CAST(i AS BIGINT) AS chunk, md5(array_to_string(list_slice(w, i * 64 + 1, i * 64 + 64), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 64 + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE length(text) = strlen(text)) WHERE len(w) > 0)",
+    "l24_token_chunks": r"SELECT doc_id, CAST(i AS BIGINT) AS chunk, md5(array_to_string(list_slice(w, i * 64 + 1, i * 64 + 64), ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // 64 + 1)) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\t\n\x0B\f\r \x{85}\p{Z}]+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0)",
     "l25_clean_call": "SELECT event_id, event_type AS name FROM events",
     "l26_alias_map": "SELECT list_extract(string_split(p_name, ' '), -1) AS alias, arg_min(p_name, p_partkey) AS target FROM part GROUP BY 1",
     "l28_docs_summary": "SELECT count(*) AS files, CAST(sum(len(list_filter(string_split(text, chr(10)), lambda x: starts_with(ltrim(x), '#')))) AS BIGINT) AS headings, CAST(sum(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(upper(x), 'TODO|FIXME|ACTION')))) AS BIGINT) AS todos FROM documents",

@@ -88,37 +88,87 @@ def type_flow(sigs: DataFrame) -> DataFrame:
     return a.union(b).union(c).groupBy("src", "dst").agg(F.max(F.struct("confidence", "type")).alias("m")).select("src", "dst", "m.confidence", F.col("m.type").alias("label"))
 
 
+#: Names too common to be resolved by their last segment alone.
+COMMON_NAMES = (
+    "new clone name len get set add remove push pop iter next send recv read write open close start stop run exec call apply map filter fold collect into from to as is has can should will do done ok err some none true false nil null"
+    " self super init free drop copy dup swap cmp eq ne lt le gt ge hash fmt dbg print println format parse unwrap expect ok_or ok_or_else map_err and_then or_else unwrap_or unwrap_or_else unwrap_or_default is_some is_none is_ok is_err"
+    " as_ref as_mut as_str as_bytes trim split join replace contains starts_with ends_with find rfind matches to_string to_owned to_vec into_string into_bytes into_vec into_iter keys values entries execute handle process update create"
+    " delete save load fetch build make spawn fork warn info error trace debug log json yaml toml xml html csv Ok Err Some None Result Option Vec Box Rc Arc Cell RefCell Mutex RwLock String str HashMap HashSet BTreeMap BTreeSet VecDeque"
+    " LinkedList JsonRpcError Error Response Request Value serde serde_json display render"
+).split()
+
+
+def _tails(name: Column) -> Column:
+    """Keys of a dotted name: the whole, and its last two and three segments."""
+    parts = F.split(name, "\\.")
+    tail = lambda k: F.when(F.size(parts) >= k, F.concat(F.lit("s:"), F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - k + 1), F.lit(k)), ".")))
+    return F.array_distinct(F.array_compact(F.array(F.concat(F.lit("e:"), name), tail(2), tail(3))))
+
+
+def _last(name: Column) -> Column:
+    return F.element_at(F.split(name, "\\."), -1)
+
+
 def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """calls(caller, target) to symbols(node_id, qname): by the whole name, else by the last segment."""
-    last = lambda c: F.element_at(F.split(c, "\\."), -1)
-    exact = calls.join(symbols.select(F.col("qname").alias("target"), "node_id"), "target").select("caller", "target", "node_id", F.lit("exact").alias("how"))
-    rest = calls.join(symbols.select(F.col("qname").alias("target")), "target", "left_anti")
-    loose = rest.withColumn("_l", last(F.col("target"))).where("length(_l) > 2").join(symbols.select(last(F.col("qname")).alias("_l"), "node_id"), "_l").select("caller", "target", "node_id", F.lit("last").alias("how"))
-    return exact.union(loose).distinct()
+    """calls(caller, target) to symbols(node_id, qname): every symbol of the whole name, of the last two or three segments, or, for a
+    name of one segment, of that as the last; if there is none, by the last segment alone unless that is a common or short name."""
+    wanted = calls.select("caller", "target").distinct()
+    bare = F.array(F.concat(F.lit("e:"), "target"), F.concat(F.lit("l:"), "target"))
+    keys = wanted.select("caller", "target", F.explode(F.when(F.instr("target", ".") > 0, _tails(F.col("target"))).otherwise(bare)).alias("_k"))
+    own = symbols.select("node_id", F.explode(F.array_union(_tails(F.col("qname")), F.array(F.concat(F.lit("l:"), _last(F.col("qname")))))).alias("_k"))
+    direct = keys.join(own, "_k").select("caller", "target", "node_id").distinct()
+    rest = wanted.join(direct.select("caller", "target").distinct(), ["caller", "target"], "left_anti").withColumn("_l", _last(F.col("target")))
+    rest = rest.where((F.octet_length("_l") > 2) & ~F.col("_l").isin(COMMON_NAMES))
+    loose = rest.join(symbols.select(_last(F.col("qname")).alias("_l"), "node_id"), "_l").select("caller", "target", "node_id")
+    return direct.withColumn("how", F.lit("direct")).union(loose.withColumn("how", F.lit("last")))
+
+
+def import_targets(imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(importer, target, resolved): the first symbol of the whole name or of its last two or three segments, else of the last segment, else an external node."""
+    wanted = imports.select("target").distinct()
+    keys = wanted.select("target", F.explode(_tails(F.col("target"))).alias("_k"))
+    own = symbols.select("node_id", F.explode(_tails(F.col("qname"))).alias("_k")).groupBy("_k").agg(F.min("node_id").alias("node_id"))
+    direct = keys.join(own, "_k").groupBy("target").agg(F.min("node_id").alias("_d"))
+    ends = symbols.groupBy(_last(F.col("qname")).alias("_l")).agg(F.min("node_id").alias("_n"))
+    found = wanted.withColumn("_l", _last(F.col("target"))).join(direct, "target", "left").join(ends, "_l", "left")
+    return imports.join(found, "target").select("importer", "target", F.coalesce("_d", "_n", F.concat(F.lit("external:"), "target")).alias("resolved"))
 
 
 def ranked_imports(imports: DataFrame, symbols: DataFrame, top: int = 3) -> DataFrame:
-    """Candidates by score: exact 300, suffix 200, last segment 100, same language 50, module 120; the best `top`."""
-    last = lambda c: F.element_at(F.split(c, "\\."), -1)
-    both = imports.withColumn("_l", last(F.col("target"))).join(symbols.withColumn("_l", last(F.col("qname"))), "_l")
-    score = (
-        F.when(F.col("target") == F.col("qname"), 300).otherwise(0) + F.when(F.col("qname").endswith(F.concat(F.lit("."), "target")), 200).otherwise(0) + 100
-        + F.when(F.col("lang") == F.col("language"), 50).otherwise(0) + F.when(F.col("node_type") == "Module", 120).otherwise(0)
-    )
-    rank = F.row_number().over(W.partitionBy("importer", "target").orderBy(F.desc("score"), "node_id"))
-    return both.withColumn("score", score.cast("int")).withColumn("rank", rank).where(F.col("rank") <= top).select("importer", "target", "node_id", "score", "rank")
+    """Candidates by score: exact 300, suffix 200, last segment 100, same language 50, module 120; the best `top`.
+
+    A name may be the last segment of very many symbols. Only the first `top` by id of each name, kind and language, and of each
+    name and kind in any language, can be among the best, so no more than these meet an import."""
+    last, parts = _last(F.col("qname")), F.split("qname", "\\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("s:"), F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+    keys = F.array_distinct(F.concat(tails, F.array(F.concat(F.lit("e:"), "qname"), F.concat(F.lit("l:"), last))))
+    own = symbols.select("node_id", "qname", "language", (F.col("node_type") == "Module").alias("_m"), F.explode(keys).alias("_k"))
+    own = own.withColumn("_one", F.row_number().over(W.partitionBy("_k", "_m", "language").orderBy("node_id"))).where(F.col("_one") <= top)
+    own = own.withColumn("_any", F.row_number().over(W.partitionBy("_k", "_m").orderBy("node_id")))
+    asked = F.array(F.concat(F.lit("e:"), "target"), F.concat(F.lit("s:"), "target"), F.concat(F.lit("l:"), _last(F.col("target"))))
+    wanted = imports.select("target", "lang").distinct().withColumn("_k", F.explode(asked))
+    meet = wanted.join(own.withColumnRenamed("language", "lang"), ["_k", "lang"]).select("target", "lang", "node_id", "qname", F.lit(50).alias("_s"), "_m")
+    rest = wanted.join(own.where(F.col("_any") <= top), "_k").where(~F.col("lang").eqNullSafe(F.col("language"))).select("target", "lang", "node_id", "qname", F.lit(0).alias("_s"), "_m")
+    score = F.when(F.col("target") == F.col("qname"), 300).otherwise(0) + F.when(F.col("qname").endswith(F.concat(F.lit("."), "target")), 200).otherwise(0) + 100 + F.col("_s") + F.when(F.col("_m"), 120).otherwise(0)
+    both = meet.union(rest).distinct().withColumn("score", score.cast("int"))
+    best = both.withColumn("rank", F.row_number().over(W.partitionBy("target", "lang").orderBy(F.desc("score"), "node_id"))).where(F.col("rank") <= top)
+    return imports.join(best, ["target", "lang"]).select("importer", "target", "node_id", "score", "rank")
+
+
+def _qname(key: str, name: str) -> Column:
+    return F.concat(F.lit("m"), F.floor(F.col(key) / 8).cast("string"), F.lit("."), F.replace(F.col(name), F.lit(" "), F.lit(".")))
 
 
 def _symbols(s, d) -> DataFrame:
-    """Parts as symbols: the name's words make a dotted name."""
-    return table(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), F.replace("p_name", F.lit(" "), F.lit(".")).alias("qname"), F.col("p_brand").alias("language"), F.when(F.col("p_size") > 40, "Module").otherwise("Function").alias("node_type"))
+    """Parts as symbols: a module of eight parts and the name's words make a dotted name."""
+    return table(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), _qname("p_partkey", "p_name").alias("qname"), F.col("p_brand").alias("language"), F.when(F.col("p_size") > 40, "Module").otherwise("Function").alias("node_type"))
 
 
 def _wanted(s, d) -> DataFrame:
-    """Names that customers import: whole names, last words, unknown ones."""
-    p = table(s, d, "part").where("p_partkey % 50 = 0")
-    name = F.replace("p_name", F.lit(" "), F.lit("."))
-    return p.select(F.col("p_partkey").alias("importer"), F.when(F.col("p_partkey") % 100 == 0, name).when(F.col("p_partkey") % 150 == 0, F.lit("no.such.thing")).otherwise(F.element_at(F.split(name, "\\."), -1)).alias("target"), F.col("p_brand").alias("lang"))
+    """Names that parts import: whole names, a few of two segments or of one, unknown ones, common ones."""
+    k, name = F.col("p_partkey"), F.replace("p_name", F.lit(" "), F.lit("."))
+    target = F.when(k % 10 == 0, "no.such.thing").when(k % 50 == 7, name).when(k % 50 == 9, _last(name)).when(k % 50 == 11, F.concat(F.lit("x."), _last(name))).when(k % 50 == 13, "x.new").otherwise(_qname("p_partkey", "p_name"))
+    return table(s, d, "part").select(k.alias("importer"), target.alias("target"), F.col("p_brand").alias("lang"))
 
 
 def _sigs(s, d) -> DataFrame:
@@ -129,8 +179,11 @@ def _sigs(s, d) -> DataFrame:
     return table(s, d, "supplier").select(q(k).alias("qname"), F.when(k % 5 == 0, F.lit(None)).otherwise(t(k)).alias("returns"), F.array(t(k + 3), t(k * 2)).alias("params"), F.array(q(k + 17), q(k + 1)).alias("calls"))
 
 
-SYMBOLS = "symbols AS (SELECT 'p' || p_partkey AS node_id, replace(p_name, ' ', '.') AS qname, p_brand AS language, CASE WHEN p_size > 40 THEN 'Module' ELSE 'Function' END AS node_type, list_extract(string_split(p_name, ' '), -1) AS last FROM part)"
-WANTED = "wanted AS (SELECT p_partkey AS importer, CASE WHEN p_partkey % 100 = 0 THEN replace(p_name, ' ', '.') WHEN p_partkey % 150 = 0 THEN 'no.such.thing' ELSE list_extract(string_split(p_name, ' '), -1) END AS target, p_brand AS lang FROM part WHERE p_partkey % 50 = 0), imports AS (SELECT *, list_extract(string_split(target, '.'), -1) AS last FROM wanted)"
+SYMBOLS = "symbols AS (SELECT 'p' || p_partkey AS node_id, 'm' || (p_partkey // 8) || '.' || replace(p_name, ' ', '.') AS qname, p_brand AS language, CASE WHEN p_size > 40 THEN 'Module' ELSE 'Function' END AS node_type, list_extract(string_split(p_name, ' '), -1) AS last FROM part)"
+WANTED = "wanted AS (SELECT p_partkey AS importer, CASE WHEN p_partkey % 10 = 0 THEN 'no.such.thing' WHEN p_partkey % 50 = 7 THEN replace(p_name, ' ', '.') WHEN p_partkey % 50 = 9 THEN list_extract(string_split(p_name, ' '), -1) WHEN p_partkey % 50 = 11 THEN 'x.' || list_extract(string_split(p_name, ' '), -1) WHEN p_partkey % 50 = 13 THEN 'x.new' ELSE 'm' || (p_partkey // 8) || '.' || replace(p_name, ' ', '.') END AS target, p_brand AS lang FROM part), imports AS (SELECT *, list_extract(string_split(target, '.'), -1) AS last, len(string_split(target, '.')) AS parts FROM wanted)"
+LOOSE = "SELECT i.importer, i.target, s.node_id, 'last' AS how FROM imports i JOIN symbols s ON s.last = i.last WHERE strlen(i.last) > 2 AND i.last NOT IN (" + ", ".join(f"'{x}'" for x in COMMON_NAMES) + ") AND i.importer NOT IN (SELECT importer FROM meets)"
+#: Every symbol that a name stands for without its last segment alone.
+MEETS = "meets AS (SELECT i.importer, i.target, s.node_id FROM imports i JOIN symbols s ON s.last = i.last AND (i.parts = 1 OR ends_with('.' || s.qname, '.' || list_extract(string_split(i.target, '.'), -2) || '.' || i.last)))"
 SIGS = "sigs AS (SELECT 's' || s_suppkey AS qname, CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'T' || (s_suppkey % 17) END AS returns, ['T' || ((s_suppkey + 3) % 17), 'T' || ((s_suppkey * 2) % 17)] AS params, ['s' || (s_suppkey + 17), 's' || (s_suppkey + 1)] AS calls FROM supplier)"
 
 
@@ -147,10 +200,17 @@ def _offsets(s, d) -> DataFrame:
     return nodes(s, d).select("file_path").distinct().withColumn("off", F.explode(F.array(*[F.lit(x).cast("long") for x in (5, 117, 250, 1003, 90)])))
 
 
+def edge_fingerprint(e: DataFrame) -> DataFrame:
+    """n, total and mixed: count, sum and exclusive or of the edges' hashes, whatever their order; nothing is gathered."""
+    h = F.md5(F.concat_ws("|", "src", "dst", "edge_type").cast("binary"))
+    number = lambda at: F.conv(F.substring(h, at, 12), 16, 10).cast("long")
+    return e.agg(F.count("*").alias("n"), F.sum(number(1).cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(number(13)).alias("mixed"))
+
+
 QUERIES = {
     "j01_codebases": lambda s, d: codebases(projects(s, d), nodes(s, d), edges(s, d)),
     "j02_dashboard": lambda s, d: dashboard(projects(s, d), nodes(s, d), edges(s, d), _refs(s, d), _deps(s, d)),
-    "j03_hotspot_join": lambda s, d: nodes(s, d).where("node_type = 'Class'").join(edges(s, d).groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("k")), "node_id", "left").select("node_id", F.coalesce("k", F.lit(0)).cast("long").alias("fan_out")),
+    "j03_hotspot_join": lambda s, d: nodes(s, d).join(edges(s, d).groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("k")), "node_id", "left").select("node_id", F.coalesce("k", F.lit(0)).cast("long").alias("fan_out")),
     "j04_graph_links": lambda s, d: edges(s, d).join(nodes(s, d).where("project_id = 'parts'").select(F.col("node_id").alias("src")), "src", "left_semi").orderBy("src", "dst").limit(5000).select("src", "dst", "edge_type"),
     "j05_drop_file_edges": lambda s, d: _without_file(s, d, "n3").groupBy("edge_type").agg(F.count("*").alias("n")),
     "j07_type_flow": lambda s, d: type_flow(_sigs(s, d)).where("confidence = 0.85"),
@@ -158,13 +218,13 @@ QUERIES = {
     "j09_shared_param": lambda s, d: type_flow(_sigs(s, d)).where("confidence = 0.45"),
     "j10_shared_methods": lambda s, d: _class_pairs(s, d),
     "j12_resolve_calls": lambda s, d: resolve_calls(_wanted(s, d).select(F.col("importer").alias("caller"), "target"), _symbols(s, d)),
-    "j15_import_targets": lambda s, d: _wanted(s, d).join(_symbols(s, d).groupBy(F.col("qname").alias("target")).agg(F.min("node_id").alias("node_id")), "target", "left").select("importer", "target", F.coalesce("node_id", F.concat(F.lit("external:"), "target")).alias("resolved")),
+    "j15_import_targets": lambda s, d: import_targets(_wanted(s, d), _symbols(s, d)),
     "j16_ranked_imports": lambda s, d: ranked_imports(_wanted(s, d), _symbols(s, d)),
     "j17_innermost_symbol": lambda s, d: innermost(_offsets(s, d), with_ranges(nodes(s, d)).select("file_path", "node_id", "byte_start", "byte_end"), "file_path", "off"),
     "j18_overlap": lambda s, d: with_ranges(nodes(s, d)).where("byte_end > 150 and byte_start < 420").select("node_id", "file_path", "byte_start", "byte_end"),
-    "j19_packages": lambda s, d: longest_prefix(_symbols(s, d).select("qname").distinct(), "qname", table(s, d, "part").select(F.substring_index(F.replace("p_name", F.lit(" "), F.lit(".")), ".", 2).alias("pkg")).where("pkg like 'a%'"), "pkg"),
+    "j19_packages": lambda s, d: longest_prefix(_symbols(s, d).select("qname").distinct(), "qname", table(s, d, "part").where("p_partkey % 16 < 8").select(F.substring_index(_qname("p_partkey", "p_name"), ".", 1).alias("pkg")).union(table(s, d, "part").where("p_size > 45").select(F.substring_index(_qname("p_partkey", "p_name"), ".", 2))), "pkg"),
     "j20_resolve_symbol": lambda s, d: _resolve(s, d, "n2", "Customer#000000010"),
-    "j22_enrich": lambda s, d: table(s, d, "part").where("p_partkey <= 200").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id")).join(edges(s, d).groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("callers")), "node_id", "left").join(edges(s, d).groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("deps")), "node_id", "left").fillna(0, ["callers", "deps"]),
+    "j22_enrich": lambda s, d: nodes(s, d).select("node_id").join(edges(s, d).groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("callers")), "node_id", "left").join(edges(s, d).groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("deps")), "node_id", "left").fillna(0, ["callers", "deps"]),
     "j23_file_dependencies": lambda s, d: edges(s, d).join(nodes(s, d).select(F.col("node_id").alias("src"), F.col("file_path").alias("f")), "src").join(nodes(s, d).select(F.col("node_id").alias("dst"), F.col("file_path").alias("t")), "dst").where("f <> t").groupBy("f").agg(F.countDistinct("t").alias("n")),
     "j24_drift": lambda s, d: drift(_files(s, d, 0), _files(s, d, 1), "path", "hash").select("path", "kind"),
     "j25_changed_files": lambda s, d: drift(_files(s, d, 2), _files(s, d, 3), "path", "hash").where("kind <> 'same'").groupBy("kind").agg(F.count("*").alias("n")),
@@ -172,7 +232,7 @@ QUERIES = {
     "s13_edge_upsert": lambda s, d: upsert(edges(s, d).where("edge_type = 'Call'").select("src", "dst", F.lit("old").alias("meta")), edges(s, d).where("edge_type = 'Call' and confidence > 0.95").select("src", "dst", F.lit("new").alias("meta")), ["src", "dst"], F.col("meta")).groupBy("meta").agg(F.count("*").alias("n")),
     "s14_symbol_upsert": lambda s, d: upsert(nodes(s, d).select("project_id", "name", F.lit(None).cast("string").alias("signature"), "complexity"), nodes(s, d).where("complexity > 30").select("project_id", "name", F.lit(None).cast("string").alias("signature"), (F.col("complexity") + 100).alias("complexity")), ["project_id", "name", "signature"], F.col("complexity")).groupBy("project_id").agg(F.count("*").alias("n"), F.count_if(F.col("complexity") > 100).alias("updated")),
     "s15_delete_by_project": lambda s, d: nodes(s, d).where("project_id <> 'orders'").groupBy("project_id").agg(F.count("*").alias("n")),
-    "s18_fingerprint": lambda s, d: edges(s, d).where("edge_type = 'Import'").agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list(F.sha2(F.concat_ws("|", "src", "dst", "edge_type"), 256)))), 256).alias("fingerprint")),
+    "s18_fingerprint": lambda s, d: edge_fingerprint(edges(s, d)),
     "s19_merge_stores": lambda s, d: nodes(s, d).where("complexity < 30").unionByName(nodes(s, d).where("complexity > 20")).dropDuplicates(["node_id"]).groupBy("node_type").agg(F.count("*").alias("n")),
     "m08_project_dep_upsert": lambda s, d: upsert(_deps(s, d).withColumn("kind", F.lit("a")), _deps(s, d).where("project_id < 'n2'").withColumn("kind", F.lit("b")), ["project_id", "depends_on"], F.col("kind")),
     "m14_file_tree": lambda s, d: table(s, d, "pages").select("url", F.substring_index("url", "/", -1).alias("base")).orderBy("url"),
@@ -218,19 +278,19 @@ _CODE = "SELECT p.project_id, p.base_name, p.instance, p.fingerprint, coalesce(f
 SQL = {
     "j01_codebases": sql(_CODE, PROJECTS, NODES, EDGES),
     "j02_dashboard": sql("SELECT b.project_id, b.base_name, file_count, node_count, edge_count, (SELECT count(*) FROM edges e JOIN nodes n ON n.node_id = e.src WHERE e.edge_type = 'Import' AND n.project_id = b.project_id) AS import_edges, (SELECT count(*) FROM refs WHERE source_project = b.project_id) AS external_refs, (SELECT count(*) FROM deps WHERE deps.project_id = b.project_id) AS project_deps FROM base b", PROJECTS, NODES, EDGES, DEPS, REFS, f"base AS ({_CODE})"),
-    "j03_hotspot_join": sql("SELECT n.node_id, count(e.dst) AS fan_out FROM nodes n LEFT JOIN edges e ON e.src = n.node_id WHERE node_type = 'Class' GROUP BY 1", NODES, EDGES),
+    "j03_hotspot_join": sql("SELECT n.node_id, count(e.dst) AS fan_out FROM nodes n LEFT JOIN edges e ON e.src = n.node_id GROUP BY 1", NODES, EDGES),
     "j04_graph_links": sql("SELECT src, dst, edge_type FROM edges WHERE src IN (SELECT node_id FROM nodes WHERE project_id = 'parts') ORDER BY src, dst LIMIT 5000", NODES, EDGES),
     "j05_drop_file_edges": sql("SELECT edge_type, count(*) AS n FROM edges WHERE src NOT IN (SELECT node_id FROM nodes WHERE file_path = 'n3') AND dst NOT IN (SELECT node_id FROM nodes WHERE file_path = 'n3') GROUP BY 1", NODES, EDGES),
     "j07_type_flow": sql(_BEST + "0.85", _FLOW), "j08_shared_return": sql(_BEST + "0.65", _FLOW), "j09_shared_param": sql(_BEST + "0.45", _FLOW),
     "j10_shared_methods": "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS shared, CAST(CASE WHEN count(*) >= 4 THEN 0.75 ELSE 0.6 END AS DOUBLE) AS confidence FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) a JOIN (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 3",
-    "j12_resolve_calls": sql("SELECT DISTINCT i.importer AS caller, i.target, s.node_id, 'exact' AS how FROM imports i JOIN symbols s ON s.qname = i.target UNION SELECT i.importer, i.target, s.node_id, 'last' FROM imports i JOIN symbols s ON s.last = i.last WHERE length(i.last) > 2 AND i.target NOT IN (SELECT qname FROM symbols)", SYMBOLS, WANTED),
-    "j15_import_targets": sql("SELECT importer, target, coalesce((SELECT min(node_id) FROM symbols WHERE qname = target), 'external:' || target) AS resolved FROM imports", SYMBOLS, WANTED),
+    "j12_resolve_calls": sql("SELECT importer AS caller, target, node_id, 'direct' AS how FROM meets UNION ALL " + LOOSE, SYMBOLS, WANTED, MEETS),
+    "j15_import_targets": sql("SELECT i.importer, i.target, coalesce(CASE WHEN i.parts > 1 THEN m.n END, l.n, 'external:' || i.target) AS resolved FROM imports i LEFT JOIN (SELECT importer, min(node_id) AS n FROM meets GROUP BY 1) m ON m.importer = i.importer LEFT JOIN (SELECT last, min(node_id) AS n FROM symbols GROUP BY 1) l ON l.last = i.last", SYMBOLS, WANTED, MEETS),
     "j16_ranked_imports": sql("SELECT importer, target, node_id, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY importer, target ORDER BY score DESC, node_id) AS rank FROM (SELECT i.importer, i.target, s.node_id, CASE WHEN i.target = s.qname THEN 300 ELSE 0 END + CASE WHEN ends_with(s.qname, '.' || i.target) THEN 200 ELSE 0 END + 100 + CASE WHEN i.lang = s.language THEN 50 ELSE 0 END + CASE WHEN s.node_type = 'Module' THEN 120 ELSE 0 END AS score FROM imports i JOIN symbols s ON i.last = s.last)) WHERE rank <= 3", SYMBOLS, WANTED),
     "j17_innermost_symbol": sql("SELECT file_path, off, node_id, byte_start, byte_end FROM (SELECT o.file_path, o.off, r.node_id, r.byte_start, r.byte_end, row_number() OVER (PARTITION BY o.file_path, o.off ORDER BY r.byte_end - r.byte_start, r.node_id) AS k FROM (SELECT f.file_path, t.off FROM (SELECT DISTINCT file_path FROM nodes) f CROSS JOIN (VALUES (5), (117), (250), (1003), (90)) t(off)) o JOIN ranged r ON r.file_path = o.file_path AND r.byte_start <= o.off AND o.off < r.byte_end) WHERE k = 1", NODES, RANGED),
     "j18_overlap": sql("SELECT node_id, file_path, byte_start, byte_end FROM ranged WHERE byte_end > 150 AND byte_start < 420", NODES, RANGED),
-    "j19_packages": sql("SELECT q.qname, (SELECT p FROM (SELECT DISTINCT array_to_string(list_slice(string_split(qname, '.'), 1, 2), '.') AS p FROM symbols) WHERE p LIKE 'a%' AND (q.qname = p OR starts_with(q.qname, p || '.')) ORDER BY length(p) DESC LIMIT 1) AS package FROM (SELECT DISTINCT qname FROM symbols) q", SYMBOLS),
+    "j19_packages": sql("SELECT qname, arg_max(p, length(p)) AS package FROM (SELECT DISTINCT qname, string_split(qname, '.') AS w FROM symbols) q LEFT JOIN (SELECT DISTINCT 'm' || (p_partkey // 8) AS p FROM part WHERE p_partkey % 16 < 8 UNION SELECT DISTINCT 'm' || (p_partkey // 8) || '.' || string_split(p_name, ' ')[1] FROM part WHERE p_size > 45) k ON string_split(p, '.')[1] = w[1] AND starts_with(qname, p || '.') GROUP BY 1", SYMBOLS),
     "j20_resolve_symbol": sql("SELECT node_id, project_id, CASE WHEN project_id = 'n2' THEN 0 WHEN project_id IN (SELECT depends_on FROM deps WHERE deps.project_id = 'n2') THEN 1 ELSE 2 END AS tier FROM nodes WHERE name = 'Customer#000000010'", PROJECTS, NODES, DEPS),
-    "j22_enrich": sql("SELECT 'p' || p_partkey AS node_id, coalesce(a.c, 0) AS callers, coalesce(b.c, 0) AS deps FROM part LEFT JOIN (SELECT dst, count(*) AS c FROM edges GROUP BY 1) a ON a.dst = 'p' || p_partkey LEFT JOIN (SELECT src, count(*) AS c FROM edges GROUP BY 1) b ON b.src = 'p' || p_partkey WHERE p_partkey <= 200", EDGES),
+    "j22_enrich": sql("SELECT node_id, coalesce(a.c, 0) AS callers, coalesce(b.c, 0) AS deps FROM nodes LEFT JOIN (SELECT dst, count(*) AS c FROM edges GROUP BY 1) a ON a.dst = node_id LEFT JOIN (SELECT src, count(*) AS c FROM edges GROUP BY 1) b ON b.src = node_id", NODES, EDGES),
     "j23_file_dependencies": sql("SELECT a.file_path AS f, count(DISTINCT b.file_path) AS n FROM edges e JOIN nodes a ON a.node_id = e.src JOIN nodes b ON b.node_id = e.dst WHERE a.file_path <> b.file_path GROUP BY 1", NODES, EDGES),
     "j24_drift": f"SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.hash = b.hash THEN 'same' ELSE 'changed' END AS kind FROM ({_file_sql(0)}) a FULL JOIN ({_file_sql(1)}) b ON a.path = b.path",
     "j25_changed_files": f"SELECT kind, count(*) AS n FROM (SELECT CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.hash = b.hash THEN 'same' ELSE 'changed' END AS kind FROM ({_file_sql(2)}) a FULL JOIN ({_file_sql(3)}) b ON a.path = b.path) WHERE kind <> 'same' GROUP BY 1",
@@ -238,7 +298,7 @@ SQL = {
     "s13_edge_upsert": sql("SELECT CASE WHEN confidence > 0.95 THEN 'new' ELSE 'old' END AS meta, count(*) AS n FROM (SELECT src, dst, max(confidence) AS confidence FROM edges WHERE edge_type = 'Call' GROUP BY 1, 2) GROUP BY 1", EDGES),
     "s14_symbol_upsert": sql("SELECT project_id, count(*) AS n, count(*) FILTER (WHERE m > 30) AS updated FROM (SELECT project_id, name, max(complexity) AS m FROM nodes GROUP BY 1, 2) GROUP BY 1", NODES),
     "s15_delete_by_project": sql("SELECT project_id, count(*) AS n FROM nodes WHERE project_id <> 'orders' GROUP BY 1", NODES),
-    "s18_fingerprint": sql("SELECT sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT sha256(src || '|' || dst || '|' || edge_type) AS h FROM edges WHERE edge_type = 'Import')", EDGES),
+    "s18_fingerprint": sql("SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) AS total, bit_xor(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS mixed FROM (SELECT md5(src || '|' || dst || '|' || edge_type) AS h FROM edges)", EDGES),
     "s19_merge_stores": sql("SELECT node_type, count(*) AS n FROM nodes GROUP BY 1", NODES),
     "m08_project_dep_upsert": sql("SELECT project_id, depends_on, CASE WHEN project_id < 'n2' THEN 'b' ELSE 'a' END AS kind FROM deps", PROJECTS, DEPS),
     "m14_file_tree": "SELECT url, list_extract(string_split(url, '/'), -1) AS base FROM pages ORDER BY url",

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from codelake.functions.text import ascii_lower, index_tokens
+from codelake.functions.text import SPACE, ascii_lower, index_tokens
 from codelake.operators.ranking import stratified
 from codelake.plans.session import ensure_checkpoints
 from codelake.plans.views import NODES, nodes, sql, table
@@ -163,10 +163,10 @@ def _conv(s, d):
     """Conversation turns as queries, some made questions."""
     q = F.col("text")
     lead = F.element_at(F.array(*[F.lit(x) for x in ("", "show me how ", "where is ", "most complex ", "what ")]), (F.col("conv_id") % 5 + 1).cast("int"))
-    return table(s, d, "conversations").select("conv_id", "turn", F.concat(lead, F.regexp_replace(F.substring(q, 1, 60), "\\s+", " ")).alias("q"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.concat(lead, F.regexp_replace(q, SPACE, " ")).alias("q"))
 
 
-CONV = r"q AS (SELECT conv_id, turn, ['', 'show me how ', 'where is ', 'most complex ', 'what '][conv_id % 5 + 1] || regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g') AS q FROM conversations)"
+CONV = r"q AS (SELECT conv_id, turn, ['', 'show me how ', 'where is ', 'most complex ', 'what '][conv_id % 5 + 1] || regexp_replace(text, '[\t\n\x0B\f\r \x{85}\p{Z}]+', ' ', 'g') AS q FROM conversations)"
 
 
 def _counts(s, d):
@@ -210,13 +210,14 @@ QUERIES = {
 }
 _TSQL = "greatest(0, least(1, (CASE WHEN list_contains(tokens, 'red') THEN 1 ELSE 0 END + CASE WHEN list_contains(tokens, 'bolt') THEN 1 ELSE 0 END) / 2 + CASE WHEN lower(name) = 'a' THEN 1.0 WHEN contains(lower(name), 'a') THEN CASE WHEN contains(name, '.') OR contains(name, '::') THEN 0.3 ELSE 0.7 END ELSE 0 END - CASE WHEN contains(lower(path), 'test') OR contains(lower(name), 'test') THEN 0.3 ELSE 0 END))"
 _STOPS = ", ".join(f"'{t}'" for t in TERM_STOPS)
+_TERMS = rf"list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(q), '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]+$', '')), lambda w: strlen(w) >= 3 AND w NOT IN ({_STOPS}))))"
 _INTENT = "CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN '{n}'" for n, p in INTENTS) + " WHEN regexp_matches(lower(q), 'how|what|why|where|when|which') THEN 'semantic' ELSE 'text' END"
 _TFIDF = r"""k AS (SELECT doc_id AS doc, token, count(*) AS k FROM (SELECT doc_id, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+')) AS token FROM documents) WHERE strlen(token) >= 2 GROUP BY 1, 2),
 n AS (SELECT count(*) AS n FROM documents), df AS (SELECT token, count(*) AS df FROM k GROUP BY 1), f AS (SELECT token, df, ln(CAST(n AS DOUBLE) / df) AS idf FROM df, n WHERE df BETWEEN greatest(n // 1000, 3) AND greatest(n // 4, greatest(n // 1000, 3) + 1)),
 p AS (SELECT *, row_number() OVER (ORDER BY idf, token) - 1 AS place FROM f), v AS (SELECT token, idf FROM p WHERE place IN (SELECT least(CAST(floor(i * ((SELECT count(*) FROM f) / CAST(least(768, (SELECT count(*) FROM f)) AS DOUBLE))) AS BIGINT), (SELECT count(*) FROM f) - 1) FROM range(768) t(i) WHERE i < (SELECT count(*) FROM f)))"""
 SQL = {
     "r03_intent": sql(f"SELECT conv_id, turn, {_INTENT} AS intent FROM q", CONV),
-    "r04_terms": sql(rf"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(q), '\s+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]+$', '')), lambda w: strlen(w) >= 3 AND w NOT IN ({_STOPS})))), ' ') AS terms FROM q", CONV),
+    "r04_terms": sql(f"SELECT conv_id, turn, array_to_string({_TERMS}, ' ') AS terms FROM q", CONV),
     "r05_query_type": sql(f"SELECT conv_id, turn, CASE WHEN i IN ('how_works', 'semantic') THEN 'semantic' WHEN i IN ('where_handled', 'bottlenecks') THEN 'structural' ELSE 'text' END AS kind FROM (SELECT conv_id, turn, {_INTENT} AS i FROM q)", CONV),
     "r06_route": sql("SELECT node_id, CASE WHEN regexp_matches(CASE WHEN complexity > 25 THEN replace(name, ' ', '::') ELSE name END, '^[A-Za-z0-9_:.]+$') THEN 'exact_symbol' ELSE 'semantic' END AS route FROM parts", PARTS),
     "r08_text_score": sql(f"SELECT node_id, round({_TSQL}, 6) AS score FROM parts", PARTS),
