@@ -6,8 +6,9 @@ text is dealt into shards so that equal strings meet:
 1. Every `length`-byte window has an anchor, its `_K`-gram with the smallest hash, so equal windows have equal
    anchors. Groups of documents send each shard their distinct anchor hashes (4 bytes each, packed exchange);
    the shard marks those that occur more than once. The rest cannot hold a repeat.
-2. For each marked anchor, the stretch of text whose windows it anchors goes to the anchor's shard; equal
-   stretches of a group go once, with the list of their places.
+2. For each marked anchor, the stretch of text whose windows it anchors goes to the anchor's shard; of equal
+   stretches of a group only the earliest goes, with its place. All windows of the others start earlier in that one, so
+   the group cuts them itself: a line that a third of all documents share costs its shard one place a group.
 3. A shard sorts all suffixes of its stretches (`suffix_array`), takes permuted common prefixes
    (`common_prefixes`), and in each interval of prefixes of `length` or more keeps the earliest window.
    It answers with the others' places.
@@ -19,7 +20,7 @@ leftmost-smaller suffixes by induction, names them, sorts the names recursively
 
 Defined cases: null text is empty; documents shorter than `length` lose nothing; null ids come after all
 others; rows that share an id count by their starts, as one document's; columns other than the two named
-are ignored, whatever their names. A single text must be under 64 MiB.
+are ignored, whatever their names. Long texts are looked at in overlapping parts, which changes no window.
 """
 
 from __future__ import annotations
@@ -81,27 +82,69 @@ class _Group:
         self.length = length
 
     def pieces(self, limit: int = 2 << 20):
-        """(bytes, first row, row starts, anchors)"""
+        """(bytes, first row, row starts, anchors, offset of the bytes in a row that is cut)"""
         a = 0
         while a < len(self.texts):
+            if len(self.texts[a]) > 2 * limit:  # parts share all but one byte of a window, so each window is in one of them
+                for at in range(0, len(self.texts[a]) - self.length + 1, limit):
+                    data = self.texts[a][at : at + limit + self.length - 1]
+                    off = np.array([0, len(data)], np.int64)
+                    yield data, a, off, anchors(np.frombuffer(data, np.uint8), off, self.length), at
+                a += 1
+                continue
             b, size = a, 0
             while b < len(self.texts) and (b == a or size + len(self.texts[b]) <= limit):
                 size += len(self.texts[b])
                 b += 1
             data = b"".join(self.texts[a:b])
             off = np.concatenate([[0], np.cumsum([len(t) for t in self.texts[a:b]])]).astype(np.int64)
-            yield data, a, off, anchors(np.frombuffer(data, np.uint8), off, self.length)
+            yield data, a, off, anchors(np.frombuffer(data, np.uint8), off, self.length), 0
             a = b
 
+    def stretches(self):
+        """For each piece: bytes, and of each stretch the anchor's hash, a hash of its bytes, its place in them, size, row and start,
+        whether it is the first of its bytes in the piece."""
+        for data, first, off, (h, lo, hi, row), at in self.pieces():
+            size = hi - lo + self.length
+            key = tk.span_hash(np.frombuffer(data, np.uint8), lo, lo + size) if len(lo) else h
+            yield data, h, key, lo, size, row + first, lo - off[row] + at, _first_of(key)
+
+
+def _first_of(key: np.ndarray) -> np.ndarray:
+    """True for the first of equal keys."""
+    out = np.zeros(len(key), bool)
+    out[np.unique(key, return_index=True)[1]] = True
+    return out
+
+
+def _union(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges [lo, hi) of rows, sorted, those that meet as one."""
+    if not len(row):
+        return row, lo, hi
+    k = np.lexsort((lo, row))
+    row, lo, hi = row[k], lo[k], hi[k]
+    wide = int(hi.max()) + 1
+    far = np.maximum.accumulate(hi + row * wide)
+    cut = np.flatnonzero(np.r_[True, (lo + row * wide)[1:] > far[:-1]])
+    return row[cut], lo[cut], far[np.r_[cut[1:] - 1, len(row) - 1]] - row[cut] * wide
+
 
 def _code(h: np.ndarray, shards: int) -> np.ndarray:
     return (h % U(shards) << U(30)) | (h >> U(34))
 
 
 def _ask(table: pa.Table, length: int, shards: int) -> pa.Table:
-    code = np.sort(np.concatenate([np.zeros(0, np.uint64), *(_code(x[0], shards) for _, _, _, x in _Group(table, length).pieces())]))
+    codes, flags = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    for _, _, _, (h, *_), _ in _Group(table, length).pieces():
+        code, n = np.unique(_code(h, shards), return_counts=True)
+        codes.append(code)
+        flags.append(n > 1)
+    code, many = np.concatenate(codes), np.concatenate(flags)
+    order = np.argsort(code, kind="stable")
+    code, many = code[order], many[order]
     first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]][: len(code)])
-    many = np.diff(np.r_[first, len(code)]) > 1
+    if len(first):
+        many = np.logical_or.reduceat(many, first) | (np.diff(np.r_[first, len(code)]) > 1)
     code = code[first]
     entry = ((code & U((1 << 30) - 1)) << U(2) | U(2) | many.astype(np.uint64)).astype(np.uint32)
     cut = np.searchsorted(code, np.arange(shards + 1, dtype=np.uint64) << U(30))
@@ -113,27 +156,26 @@ def _send(table: pa.Table, answers: pa.Table, length: int, shards: int) -> pa.Ta
     if not len(table) or not len(answers):
         return _rows([])
     group = _Group(table, length)
-    found = list(group.pieces())
-    known = np.unique(np.concatenate([_code(x[0], shards) for _, _, _, x in found]))
+    datas, parts = [], []
+    for data, h, key, lo, size, row, start, lead in group.stretches():
+        parts.append([np.full(int(lead.sum()), len(datas)), *(x[lead] for x in (_code(h, shards), key, lo, size, row, start))])
+        datas.append(data)
+    piece, code, key, lo, size, row, start = (np.concatenate(x) for x in zip(*parts))
+    known = np.unique(code)
     cut = np.searchsorted(known, np.arange(shards + 1, dtype=np.uint64) << U(30))
     hit = np.zeros(len(known), bool)
     for b, data in zip(answers.column("_bucket").to_pylist(), answers.column("_data").to_pylist()):
         hit[cut[b] : cut[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=cut[b + 1] - cut[b]).astype(bool)
-    shard_of: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-    for data, first, off, (h, lo, hi, row) in found:
-        code = _code(h, shards)
-        own = np.flatnonzero(hit[np.searchsorted(known, code)])
-        for b, x, y, r, s in zip((code[own] >> U(30)).tolist(), lo[own].tolist(), (hi[own] + length).tolist(), (row[own] + first).tolist(), (lo[own] - off[row[own]]).tolist()):
-            shard_of.setdefault(b, {}).setdefault(data[x:y], []).append((r, s))
-    key = table.column("_key")[0].as_py()
-    out = []
-    for b, stretches in shard_of.items():
-        places = np.array([p for ps in stretches.values() for p in ps], np.int64)
-        sizes = np.array([len(x) for x in stretches], np.uint16)
-        counts = np.array([len(ps) for ps in stretches.values()], np.uint32)
-        head = np.array([len(sizes), len(places)], np.uint32).tobytes()
-        ids = group.ids[places[:, 0]]
-        out.append((b, key, head + sizes.tobytes() + counts.tobytes() + tk.planes(ids) + tk.planes(places[:, 0].astype(np.uint32)) + tk.planes(places[:, 1].astype(np.uint32)) + b"".join(stretches)))
+    own = np.flatnonzero(hit[np.searchsorted(known, code)] & _first_of(key))
+    own = own[np.argsort(code[own] >> U(30), kind="stable")]
+    shard = (code[own] >> U(30)).astype(np.int64)
+    ends = np.r_[np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)] if len(shard) else []
+    out, a, of = [], 0, table.column("_key")[0].as_py()
+    for b in ends:
+        k = own[a:b]
+        texts = b"".join(datas[i][x : x + n] for i, x, n in zip(piece[k].tolist(), lo[k].tolist(), size[k].tolist()))
+        out.append((int(shard[a]), of, np.array([len(k)], np.uint32).tobytes() + size[k].astype(np.uint16).tobytes() + tk.planes(group.ids[row[k]]) + tk.planes(row[k].astype(np.uint32)) + tk.planes(start[k].astype(np.uint32)) + texts))
+        a = b
     return _rows(out)
 
 
@@ -302,19 +344,16 @@ def _resolve(table: pa.Table, length: int) -> pa.Table:
     place, ids, rows, starts, keys = [], [], [], [], []
     number: dict[bytes, int] = {}  # stretches that several groups sent are sorted once
     for key, x in zip(table.column("_key").to_pylist(), table.column("_data").to_pylist()):
-        m, k = np.frombuffer(x, np.uint32, 2).tolist()
-        at = 8
-        sizes = np.frombuffer(x, np.uint16, m, at)
-        at += 2 * m
-        counts = np.frombuffer(x, np.uint32, m, at)
-        at += 4 * m
+        m = int(np.frombuffer(x, np.uint32, 1)[0])
+        sizes = np.frombuffer(x, np.uint16, m, 4)
+        at = 4 + 2 * m
         for out, kind in ((ids, np.int64), (rows, np.uint32), (starts, np.uint32)):
-            width = np.dtype(kind).itemsize * k
+            width = np.dtype(kind).itemsize * m
             out.append(tk.unplanes(x[at : at + width], kind).astype(np.int64))
             at += width
         ends = (at + np.cumsum(sizes, dtype=np.int64)).tolist()
-        place.append(np.repeat([number.setdefault(x[a:b], len(number)) for a, b in zip([at, *ends], ends)], counts))
-        keys.append(np.full(k, key))
+        place.append(np.array([number.setdefault(x[a:b], len(number)) for a, b in zip([at, *ends], ends)], np.int64))
+        keys.append(np.full(m, key))
     place, ids, rows, starts, keys = (np.concatenate(x) for x in (place, ids, rows, starts, keys))
     sizes = np.array([len(x) for x in number])
     counts = np.bincount(place)
@@ -375,13 +414,19 @@ def _cut(table: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     if not len(table):
         return pa.table([pa.array([], k) for k in kinds], names=names)
     group = _Group(table, length)
-    row, lo, hi = (np.zeros(0, np.int64) for _ in range(3))
+    found = [[np.zeros(0, np.int64)] * 3]
     for x in answers.column("_data").to_pylist():
         third = len(x) // 3
         r, a, d = (tk.unplanes(x[i * third : (i + 1) * third], np.uint32).astype(np.int64) for i in range(3))
-        row, lo, hi = np.r_[row, r], np.r_[lo, a], np.r_[hi, a + d + length]
-    k = np.lexsort((lo, row))
-    row, lo, hi = row[k], lo[k], hi[k]
+        found.append([r, a, a + d + length])
+    keys, leads = [np.zeros(0, np.uint64)], [[np.zeros(0, np.int64)] * 3]
+    for _, _, key, _, size, row, start, lead in group.stretches():  # what the group holds earlier itself
+        found.append(_union(row[~lead], start[~lead], (start + size)[~lead]))
+        keys.append(key[lead])
+        leads.append([row[lead], start[lead], (start + size)[lead]])
+    later = ~_first_of(np.concatenate(keys))
+    found.append([np.concatenate(x)[later] for x in zip(*leads)])
+    row, lo, hi = _union(*(np.concatenate(x) for x in zip(*found)))
     span = np.searchsorted(row, np.arange(len(group.texts) + 1))
     n_bytes, n_removed, n_spans, kept = [], [], [], []
     for i, text in enumerate(group.texts):

@@ -56,6 +56,17 @@ def test_suffix_dedup_against_brute_force(docs, length):
     assert sorted(got) == sorted(want)
 
 
+def test_suffix_dedup_of_long_and_repetitive_texts(spark):
+    """A passage past 64 MiB, a text of one letter and a text of one line again and again."""
+    rng = np.random.default_rng(9)
+    passage = "".join(chr(97 + x) for x in rng.integers(0, 26, 300))
+    long = rng.integers(97, 123, 70 << 20, dtype=np.uint8).tobytes().decode() + passage
+    line = "".join(chr(97 + x) for x in rng.integers(0, 26, 130)) + "\n"
+    rows = [(1, passage), (2, long), (3, "x" * 3_000_000), (4, line * 20_000), (5, "y" + "x" * 150)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans").collect()}
+    assert got == {1: (300, 0, 0), 2: (len(long), 300, 1), 3: (3_000_000, 2_999_999, 1), 4: (131 * 20_000, 131 * 19_999, 1), 5: (151, 150, 1)}
+
+
 def test_suffix_array_and_prefixes_against_sorting():
     rng = np.random.default_rng(2)
     for n, symbols in [(1, 1), (2, 1), (7, 2), (60, 1), (200, 2), (300, 5), (400, 200)]:
