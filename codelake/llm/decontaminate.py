@@ -210,16 +210,20 @@ def find_leaks(
     cosine: float = 0.3, same: float = 0.75, close: float = 0.6, answer: float = 0.8, short: int = 8, max_items: int = 20_000, seed: int = 8,
 ) -> DataFrame:
     """(id, item_id, overlap, answer_overlap, similarity): a row for each text and item that it leaks."""
-    spark = df.sparkSession
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return _scan(texts, benchmark, False, text_col, item_col, rank, max_share, cosine, same, close, answer, short, max_items, seed).withColumnsRenamed({"_id": id_col, "_item": item_col})
+
+
+def _scan(texts: DataFrame, benchmark: DataFrame, drop: bool, text_col: str, item_col: str, rank: int, max_share: float, cosine: float, same: float, close: float, answer: float, short: int, max_items: int, seed: int) -> DataFrame:
+    """texts: _id and _text. What leaks (_id, _item and figures), or, if `drop`, the _id of the rows that leak nothing."""
+    spark = texts.sparkSession
     kinds = f"_id {dict(texts.dtypes)['_id']}, _item {dict(benchmark.dtypes)[item_col]}, overlap double, answer_overlap double, similarity double"
     rows = benchmark.select(item_col, F.col(text_col).cast("string")).limit(max_items + 1).collect()
     if len(rows) > max_items:
         raise ValueError(f"the benchmark has over {max_items} items; raise max_items with the executors' memory")
     items = _items(sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r[0])))
-    names = {"_id": id_col, "_item": item_col}
     if not items:
-        return spark.createDataFrame([], kinds).withColumnsRenamed(names)
+        return texts.select("_id") if drop else spark.createDataFrame([], kinds)
     vocabulary = Vocabulary(np.array([w for i in items for w in i.words], np.uint64))
     n = len(vocabulary.terms)
 
@@ -348,6 +352,11 @@ def find_leaks(
                         p = np.minimum(np.searchsorted(start, block[own]), len(start) - 1)
                         near[own] = np.where(start[p] == block[own], (x[p] * wanted[k[own]]).sum(1), 0.0)
                 verify(r, k, begin, end, near)
+            if drop:
+                clean = np.ones(b.num_rows, bool)
+                clean[[r for r, _ in found]] = False
+                yield b.select(["_id"]).filter(pa.array(clean))
+                continue
             keys = sorted(found)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array([r for r, _ in keys], pa.int64())), pa.array([items[k].id for _, k in keys], benchmark_type), *(pa.array([found[x][c] for x in keys], pa.float64()) for c in range(3))],
@@ -355,13 +364,16 @@ def find_leaks(
             )
 
     benchmark_type = pa.array([i.id for i in items]).type if dict(benchmark.dtypes)[item_col] != "bigint" else pa.int64()
-    return texts.mapInArrow(search, kinds).withColumnsRenamed(names)
+    return texts.mapInArrow(search, texts.select("_id").schema if drop else kinds)
 
 
-def drop_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of df that leak no item; rows that share a leaking row's id go with it."""
-    leaking = find_leaks(df, benchmark, id_col, **options).select(F.col(id_col).alias("__codelake_leaks")).distinct()
-    return df.join(leaking, F.col(id_col).eqNullSafe(F.col("__codelake_leaks")), "left_anti")
+def drop_leaks(
+    df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", rank: int = 96, max_share: float = 0.003, cosine: float = 0.3, same: float = 0.75, close: float = 0.6, answer: float = 0.8,
+    short: int = 8, max_items: int = 20_000, seed: int = 8,
+) -> DataFrame:
+    """The rows of df that leak no item, unchanged, in one pass: the verdict rides along with the row, whatever its id."""
+    rows = df.select(F.struct(*[F.col(f"`{n}`") for n in df.columns]).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    return _scan(rows, benchmark, True, text_col, item_col, rank, max_share, cosine, same, close, answer, short, max_items, seed).select("_id.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -53,14 +53,14 @@ def targets(sized: DataFrame, weights: tuple[int, ...], epochs: int, share: floa
     )
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, share: float = 1.0, bins: int = 4096) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, share: float = 1.0, bins: int = 4096, more: tuple[Column, ...] = ()) -> DataFrame:
     """A row for each input row: id, size, source_size, target, taken, copies and finish (time of its first copy).
 
-    Sizes are counted once and checkpointed without the texts. `mixed` gives the mix with its texts.
+    Sizes are counted once and checkpointed without the texts. `mixed` gives the mix with its texts. more: columns of df to pass on.
     """
     ensure_checkpoints(df.sparkSession)
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    own = df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words_of(text_col).alias("_size"), key.alias("_r"))
+    own = df.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), words_of(text_col).alias("_size"), key.alias("_r"), F.struct(F.lit(0).alias("_0"), *more).alias("_more"))
     sized = own.withColumn("_bin", F.conv(F.substring("_r", 1, 8), 16, 10).cast("long") % bins).checkpoint()
     wanted = targets(sized, weights, epochs, share)
     sums = sized.groupBy("_source", "_bin").agg(F.sum("_size").alias("_sum"))
@@ -69,7 +69,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     starts = sums.select(F.col("_source").alias("_from"), F.col("_bin").alias("_hash"), start.alias("_start"))
     starts = starts.join(wanted, F.col("_from").eqNullSafe(F.col("_of"))).drop("_of")
     placed = sized.join(starts, F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_bin") == F.col("_hash"))).drop("_from", "_hash")
-    own_bin = W.partitionBy("_rank", "_bin").orderBy("_r", "_id", "_size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    own_bin = W.partitionBy("_rank", "_bin").orderBy("_r", "_id", "_size", "_more").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = placed.withColumn("_cum", F.col("_start") + F.sum("_size").over(own_bin))
     finish = lambda e: F.when(F.col("target") > 0, (e * F.col("source_size") + F.col("_cum")).cast("double") / F.col("target"))
     # a copy's place in the whole order: finish time, then source, copy, shuffled place
@@ -87,17 +87,24 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     out = placed.withColumn("copies", count)
     return out.select(
         F.col("_id").alias(id_col), F.col("_size").alias("size"), "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("copies") * F.col("_size")).cast("long").alias("taken"),
-        F.col("copies").cast("int"), finish(0).alias("finish"),
+        F.col("copies").cast("int"), finish(0).alias("finish"), *([F.col("_more")] if more else []),
     )
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: the rows of df taken, with copies and finish, globally range-sorted by finish.
 
-    Columns of df that are called copies or finish give way; rows that share an id go by the first of them."""
-    taken = mix(df, id_col, **options).where("copies > 0").select(F.col(id_col).alias("__codelake_taken"), "copies", "finish").dropDuplicates(["__codelake_taken"])
-    own = df.drop("copies", "finish")
-    return own.join(taken, F.col(id_col).eqNullSafe(F.col("__codelake_taken"))).drop("__codelake_taken").repartitionByRange("finish").sortWithinPartitions("finish")
+    Rows are told apart by the hash of all their columns; rows that agree in all are interchangeable. If df has a column
+    copies or finish, it stays, and those of the mix are called mix_copies and mix_finish."""
+    names = [n if n not in df.columns else f"mix_{n}" for n in ("copies", "finish")]
+    row = F.xxhash64(*[F.col(f"`{n}`") for n in df.columns])
+    every = mix(df, id_col, more=(row.alias("row"),), **options).select(F.col(id_col).alias("__codelake_id"), F.col("_more.row").alias("__codelake_row"), F.col("copies").alias("__codelake_copies"), F.col("finish").alias("__codelake_finish")).checkpoint()
+    own = df.withColumn("__codelake_hash", row)
+    if not every.groupBy("__codelake_id", "__codelake_row").count().where("count > 1").isEmpty():
+        own = own.dropDuplicates([id_col, "__codelake_hash"])
+    both = own.join(every.where("__codelake_copies > 0"), F.col(id_col).eqNullSafe(F.col("__codelake_id")) & (F.col("__codelake_hash") == F.col("__codelake_row")))
+    out = both.select(*[F.col(f"`{n}`") for n in df.columns], F.col("__codelake_copies").alias(names[0]), F.col("__codelake_finish").alias(names[1]))
+    return out.repartitionByRange(names[1]).sortWithinPartitions(names[1])
 
 
 def _cut(copies: DataFrame, times: DataFrame, total: DataFrame, share: float):
@@ -115,7 +122,7 @@ def _cut(copies: DataFrame, times: DataFrame, total: DataFrame, share: float):
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("copies", "finish")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: Sizes, targets in closed form, finish times and the running total, by plain windows.

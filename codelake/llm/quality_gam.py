@@ -7,8 +7,8 @@ a score is a sum of looked-up bins. The model is fitted on the driver on at most
 rows of len(FEATURES) numbers. Only the labels of those rows are broadcast, so that bound holds for them too.
 
 Defined cases: null and empty texts have all features zero and get a score like any row; a null id is
-scored and never trained on; null labels are not learnt from; without any usable label every score is
-0.5; ids that repeat are scored row by row; columns other than those named are ignored, whatever
+scored and never trained on; null labels are not learnt from, of an id's labels the least; without any usable label every score is
+0.5; ids that repeat are scored row by row, and no more than `max_train` of their rows are learnt from; columns other than those named are ignored, whatever
 their names.
 """
 
@@ -91,7 +91,7 @@ def held_out(id_col: str, folds: int = 5) -> F.Column:
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> PairwiseGam | None:
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.select(F.col(id_col).alias("_of"), F.col(label_col).cast("double").alias("_y"))
+    known = known.groupBy(F.col(id_col).alias("_of")).agg(F.min(label_col).cast("double").alias("_y"))
     chosen = tk.smallest(known, F.xxhash64("_of"), known.count(), max_train)
     texts = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     pairs = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_of")).select("_id", "_y", "_text")
@@ -101,7 +101,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col:
             x = features(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=["_id", "_y", "_x"])
 
-    got = pairs.mapInArrow(run, f"_id {dict(pairs.dtypes)['_id']}, _y double, _x array<double>").toArrow().sort_by([("_id", "ascending"), ("_y", "ascending")])
+    found = pairs.mapInArrow(run, f"_id {dict(pairs.dtypes)['_id']}, _y double, _x array<double>")
+    rows = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_of"), "left_semi").select("_id").count()
+    if rows > max_train:  # ids that repeat
+        found = tk.smallest(found, F.xxhash64("_id", "_x"), rows, max_train)
+    got = found.toArrow().sort_by([("_id", "ascending"), ("_y", "ascending")])
     if not got.num_rows:
         return None
     x = got.column("_x").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)

@@ -304,7 +304,8 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
             yield pa.RecordBatch.from_arrays([pa.array(np.array([*got], np.uint64).view(np.int64)), pa.array([*got.values()], pa.binary())], names=["_cls", "_fp"])
 
     classes = texts.mapInArrow(sketched, "_cls long, _fp binary").groupBy("_cls").agg(F.min("_fp").alias("_fp")).checkpoint()
-    signed = classes.mapInArrow(lambda x: _variants(x, bits, segments), "_sig long, _cls long, _near long").repartition(parts, "_sig").sortWithinPartitions("_sig")
+    dealt = classes.repartition(parts, "_cls")  # a class has bits * segments rows next
+    signed = dealt.mapInArrow(lambda x: _variants(x, bits, segments), "_sig long, _cls long, _near long").repartition(parts, "_sig").sortWithinPartitions("_sig")
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = math.ceil(64 * differ + 3 * math.sqrt(64 * differ * (1 - differ)))
     pairs = signed.mapInArrow(lambda x: _by_signature(x, most), "_a long, _b long").distinct().checkpoint()
@@ -332,8 +333,8 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
     def verified(batches):
         for b in batches:
             ok = []
-            for x, y in zip(b.column("_x").to_pylist(), b.column("_y").to_pylist()):
-                s, t = (_shingles(_words(z)[0], shingle) for z in (x, y))
+            for x, y in zip(b.column("_x"), b.column("_y")):  # a pair's texts at a time
+                s, t = (_shingles(_words(z.as_py())[0], shingle) for z in (x, y))
                 same = len(np.intersect1d(s, t, assume_unique=True))
                 ok.append(same >= similarity * (len(s) + len(t) - same))
             yield b.select(["_a", "_b"]).filter(pa.array(ok, pa.bool_()))

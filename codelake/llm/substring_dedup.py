@@ -193,7 +193,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     block = (window + 1) // 2
     groups = tk.group_count(df, group_mb)
-    texts = tk.dealt(df.select(F.col(id_col).cast("long").alias("_id"), tk.text_expr(text_col).alias("_text")), groups, "_id")
+    texts = tk.dealt(df.select(F.col(id_col).cast("long").alias("_id"), tk.text_expr(text_col).alias("_text")), groups, "_id", "_text")
     pack = "_bucket int, _key int, _data binary"
     asked = texts.groupBy("_key").applyInArrow(lambda t: _ask(t, block, groups), pack)
     met = asked.groupBy("_bucket").applyInArrow(_meet, pack)

@@ -455,7 +455,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError(f"length must be {2 * _K} at least")
     groups = tk.group_count(df, group_mb)
     shards = groups * shards_a_group
-    texts = tk.dealt(df.select(F.col(id_col).cast("long").alias("_id"), tk.text_expr(text_col).alias("_text")), groups, "_id")
+    texts = tk.dealt(df.select(F.col(id_col).cast("long").alias("_id"), tk.text_expr(text_col).alias("_text")), groups, "_id", "_text")
     pack = "_bucket int, _key int, _data binary"
     asked = texts.groupBy("_key").applyInArrow(lambda t: _ask(t, length, shards), pack)
     met = asked.groupBy("_bucket").applyInArrow(_meet, pack)

@@ -23,14 +23,17 @@ _tables: dict[str, np.ndarray] = {}
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of a frame's size: file bytes for a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's estimate of a frame's size (file bytes for a scan); where it has none, the texts' sizes are summed."""
+    guess = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if guess < 1e17:
+        return guess
+    sizes = [F.coalesce(F.sum(F.octet_length(F.col(f"`{n}`"))), F.lit(0)) for n, kind in df.dtypes if kind in ("string", "binary")]
+    return int(df.agg(sum(sizes, F.lit(0))).head()[0])
 
 
 def group_count(df: DataFrame, group_mb: float) -> int:
     """So many groups that each holds about group_mb of the input's files, and every core has one."""
-    n = math.ceil(input_bytes(df) / (group_mb * 1e6)) if input_bytes(df) < 1e17 else 0
-    return int(max(n, df.sparkSession.sparkContext.defaultParallelism))
+    return int(max(math.ceil(input_bytes(df) / (group_mb * 1e6)), df.sparkSession.sparkContext.defaultParallelism))
 
 
 def dealt(df: DataFrame, groups: int, *by: str) -> DataFrame:

@@ -140,6 +140,23 @@ def test_quality_scores(spark, docs, empty):
     assert quality_gam.quality_scores(empty, labels).count() == 0
 
 
+def test_training_rows_are_bounded_when_ids_repeat(spark, docs):
+    one = docs.where("doc_id is not null and text is not null").limit(1)
+    import zlib as z
+
+    trained = next(i for i in range(100) if z.crc32(str(i).encode()) % 5)
+    many = spark.range(500).selectExpr(f"{trained}L as doc_id", "concat('some text ', id) as text")
+    labels = spark.createDataFrame([(trained, q % 2) for q in range(50)], "doc_id long, quality int")
+    seen = []
+    fit = boosting.PairwiseGam.fit
+    boosting.PairwiseGam.fit = lambda self, x, y, *a, **k: (seen.append(len(x)), fit(self, x, y, *a, **k))[1]
+    try:
+        assert quality_gam.quality_scores(many.union(one.select("doc_id", "text")), labels, max_train=20).count() == 501
+    finally:
+        boosting.PairwiseGam.fit = fit
+    assert seen and seen[0] <= 20
+
+
 def test_held_out_quality_on_the_test_table(spark):
     d = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in quality_gam.op4(spark, d).collect()}

@@ -41,8 +41,14 @@ def test_mixing_targets_and_limits(spark, docs, empty):
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
     assert mixing.mix(docs).count() == docs.count()
     assert mixing.mix(empty).count() == 0
-    mixed = mixing.mixed(docs.where("doc_id is not null"))
+    mixed = mixing.mixed(docs)
     assert mixed.columns == [*docs.columns, "copies", "finish"]
+    odd = df.union(df.limit(40)).union(df.limit(1).selectExpr("cast(null as long)", "text", "source")).withColumn("copies", df.doc_id % 3)
+    mixed = mixing.mixed(odd)
+    assert mixed.columns == ["doc_id", "text", "source", "copies", "mix_copies", "finish"]
+    taken = lambda x: sorted((r.doc_id is None, r.doc_id or 0, r[-2]) for r in x.collect())
+    want = sorted((r.doc_id is None, r.doc_id or 0, r.copies) for r in mixing.mix(odd, more=(odd.copies,)).collect() if r.copies)
+    assert taken(mixed) == want == taken(mixing.mixed(odd.repartition(5)))
 
 
 def test_html_main_text(spark):
@@ -169,6 +175,12 @@ def test_decontamination_finds_copies_and_paraphrases(spark, docs, empty):
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0
     assert decontaminate.find_leaks(empty, bench).count() == 0
     assert decontaminate.drop_leaks(docs, bench).columns == docs.columns
+    odd = docs.withColumn("doc_id", docs.doc_id * 0).withColumn("text", docs.text)  # ids all null or zero, clashing names
+    leak = odd.limit(1).withColumn("text", bench.limit(1).select("text").head()[0] and __import__("pyspark").sql.functions.lit(bench.orderBy("item_id").head().text))
+    kept = decontaminate.drop_leaks(odd.union(leak).union(leak), bench)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, odd.collect()))
+    got = decontaminate.find_leaks(odd.union(leak).union(leak), bench).collect()
+    assert len(got) == 2 and {r.item_id for r in got} == {0}
     with pytest.raises(ValueError):
         decontaminate.find_leaks(df, bench, max_items=3)
 
