@@ -49,7 +49,7 @@ def parse_python(path: str, text: str) -> list[dict]:
     """Signatures of a module's functions, methods and classes. A syntax error is one row with the error."""
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError) as e:
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         return [{"path": path, "language": "python", "error": str(e)[:200], "params": [], "calls": [], "bases": []}]
     starts = [0]
     for line in text.encode().split(b"\n"):
@@ -110,7 +110,10 @@ def parse(sources: DataFrame) -> DataFrame:
             rows = []
             for path, language, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if language == "python":
-                    rows += parse_python(path, text or "")
+                    try:
+                        rows += parse_python(path, text or "")
+                    except RecursionError as e:  # the tree is deeper than its visitor may go
+                        rows.append({"path": path, "language": "python", "error": str(e)[:200], "params": [], "calls": [], "bases": []})
                 elif language in PATTERNS:
                     rows += parse_pattern(path, language, text or "")
             yield pa.RecordBatch.from_pylist(rows, schema)
@@ -146,7 +149,7 @@ def build_graph(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = typed_nodes(signatures)
     contained = n.where(F.col("qname").contains(".")).select(F.col("node_id").alias("dst"), "file_path", F.regexp_replace("qname", "\\.[^.]*$", "").alias("qname")).join(n.select("file_path", "qname", F.col("node_id").alias("src")), ["file_path", "qname"]).select("src", "dst", F.lit("Containment").alias("edge_type"), F.lit(None).cast("double").alias("confidence"))
     callers = good.select(F.concat_ws(":", "path", "qname").alias("caller"), F.explode(F.transform("calls", normalize_symbol)).alias("target")).where("target <> ''")
-    calls = resolve_calls(callers, n.select("qname", "node_id")).where("caller <> node_id").select(F.col("caller").alias("src"), F.col("node_id").alias("dst"), F.lit("Call").alias("edge_type"), F.when(F.col("how") == "exact", 1.0).otherwise(0.7).alias("confidence"))
+    calls = resolve_calls(callers, n.select("qname", "node_id")).where("caller <> node_id").select(F.col("caller").alias("src"), F.col("node_id").alias("dst"), F.lit("Call").alias("edge_type"), F.when(F.col("how") == "direct", 1.0).otherwise(0.7).alias("confidence"))
     classes = n.where("node_type = 'Class'").select("name", F.col("node_id").alias("dst"))
     bases = good.select(F.concat_ws(":", "path", "qname").alias("src"), F.explode("bases").alias("name")).join(classes, "name").select("src", "dst", F.lit("Inheritance").alias("edge_type"), F.lit(0.9).alias("confidence"))
     imports = sources.select("path", F.explode(imports_of(F.col("content"), F.col("language"))).alias("target")).select(F.concat("path", F.lit(":__module__")).alias("src"), F.concat(F.lit("external:"), "target").alias("dst"), F.lit("Import").alias("edge_type"), F.lit(None).cast("double").alias("confidence"))
@@ -190,10 +193,10 @@ def flow_graph(text: str, name: str) -> tuple[list[str], list[tuple[int, int, st
 
 def valid_syntax(text: Column) -> Column:
     def run(texts: pd.Series) -> pd.Series:
-        def ok(t: str) -> bool:
+        def ok(t: str | None) -> bool:
             try:
                 ast.parse(t)
-            except (SyntaxError, ValueError):
+            except (SyntaxError, ValueError, TypeError, RecursionError, MemoryError):  # a null is no program
                 return False
             return True
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from codelake.plans.session import ensure_checkpoints
 from codelake.plans.views import EDGES, LINES, NODES, edges, lines, nodes, projects, sql, table
 
 
@@ -61,8 +62,11 @@ def stratified(df: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
-    """place: the global rank from 0. A range shuffle, then offsets of partitions (a row each) added."""
-    sortd = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    """place: the global rank from 0. A range shuffle, then offsets of partitions (a row each) added.
+
+    The ranges are written before they are counted: they come from a sample, and another run might draw them elsewhere."""
+    ensure_checkpoints(df.sparkSession)
+    sortd = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()).checkpoint()
     counts = sortd.groupBy("_p").agg(F.count("*").alias("_c"))
     starts = counts.withColumn("_s", F.coalesce(F.sum("_c").over(W.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     own = F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1

@@ -6,8 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from codelake.functions.text import SPACE, ascii_lower, index_tokens
+from codelake.functions.text import SPACE, ascii_lower, index_tokens, naive_chunks
 from codelake.operators.ranking import stratified
+from codelake.operators.vectors import _D, nearest
 from codelake.plans.session import ensure_checkpoints
 from codelake.plans.views import NODES, nodes, sql, table
 
@@ -131,6 +132,55 @@ def search(symbols: DataFrame, tfidf: DataFrame | None, query: Query) -> DataFra
     return top.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "node_id"))).select("rank", "node_id", "name", "score")
 
 
+def query_tokens(text: str) -> list[str]:
+    return sorted({t for t in "".join(c if c.isalnum() else " " for c in text.lower()).split() if len(t.encode()) >= 2})
+
+
+def candidates(postings: DataFrame, near: DataFrame, fragments: DataFrame, wanted: list[str]) -> DataFrame:
+    """(doc, by_postings, by_vector, by_fragment): what a query's tokens, its nearest vectors and its fragments bring.
+
+    postings: (doc, token); near: (doc, neural); fragments: (doc, tokens), of which all wanted tokens must be in one."""
+    hit = lambda df, name: df.select("doc").distinct().withColumn("_by", F.lit(name))
+    whole = F.size(F.array_intersect(F.array(*map(F.lit, wanted)), "tokens")) == len(wanted)
+    found = hit(postings.where(F.col("token").isin(wanted)), "p").union(hit(near, "v")).union(hit(fragments.where(whole), "f"))
+    has = lambda name: F.max(F.when(F.col("_by") == name, True).otherwise(False))
+    return found.groupBy("doc").agg(has("p").alias("by_postings"), has("v").alias("by_vector"), has("f").alias("by_fragment"))
+
+
+def tfidf_scores(weights: DataFrame, vocabulary: DataFrame, wanted: list[str]) -> DataFrame:
+    """(doc, tfidf): cosine of the query's and the documents' weights; only postings of the query's tokens are read."""
+    q = vocabulary.where(F.col("token").isin(wanted))  # a row a token of the query at most
+    q = q.select("token", (F.col("idf") / F.sqrt(F.sum(F.col("idf") * F.col("idf")).over(W.partitionBy(F.lit(0))))).alias("q"))
+    return weights.where(F.col("token").isin(wanted)).join(F.broadcast(q), "token").groupBy("doc").agg(F.sum(F.col("weight") * F.col("q")).alias("tfidf"))
+
+
+def hybrid_search(docs: DataFrame, found: DataFrame, tfidf: DataFrame, near: DataFrame, query: Query) -> DataFrame:
+    """The `top_k` best of the candidates by four scores. docs: doc, name, path, complexity, tokens; found: (doc, ...); near: (doc, neural).
+
+    A candidate of a search that is not semantic needs a text, tf-idf or vector score; then the scores are fused, adjusted, held against the limit and ranked."""
+    wanted = query_tokens(query.text)
+    own = docs.join(found.select("doc"), "doc", "left_semi").join(tfidf, "doc", "left").join(near, "doc", "left").fillna(0.0, ["tfidf", "neural"])
+    own = own.withColumn("text", text_score(query.text, F.col("name"), F.col("path"), F.col("tokens"), wanted)).withColumn("neural", F.greatest(F.col("neural"), F.lit(0.0)))
+    if query.kind != "semantic":
+        own = own.where((F.col("text") > 0) | (F.col("tfidf") > 0) | (F.col("neural") > 0))
+    overall = fuse((F.col("tfidf"), F.col("neural"), structural_score(F.col("complexity")), F.col("text")), WEIGHTS[query.kind, query.neural])
+    scored = own.withColumn("score", F.round(adjust(overall, F.col("name"), F.col("path"), query.text, query.kind == "exact"), 6)).where((F.col("score") > 0) & (F.col("score") >= query.limit))
+    top = scored.orderBy(F.desc("score"), "doc").limit(query.top_k)
+    return top.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "doc"))).select("rank", "doc", "score")
+
+
+def staged_search(docs: DataFrame, postings: DataFrame, vectors: DataFrame, vector: DataFrame, wanted: list[str], fetch: int, k: int) -> DataFrame:
+    """The documents that share most of the query's tokens (`fetch` of them), ranked by their vectors."""
+    first = postings.where(F.col("token").isin(wanted)).groupBy("doc").agg(F.countDistinct("token").alias("shared")).orderBy(F.desc("shared"), "doc").limit(fetch)
+    own = docs.select("doc").join(first, "doc").join(vectors.withColumnRenamed("vec_id", "doc"), "doc").select(F.col("doc").alias("vec_id"), "embedding")
+    return nearest(own, vector, k).select("rank", F.col("vec_id").alias("doc"), "score")
+
+
+def semantic_search(vectors: DataFrame, vector: DataFrame, k: int, limit: float = THRESHOLDS["semantic"]) -> DataFrame:
+    """The `k` nearest vectors alone, as far as they reach the limit."""
+    return nearest(vectors, vector, k).where(F.col("score") >= limit).select("rank", F.col("vec_id").alias("doc"), "score")
+
+
 def cascade(df: DataFrame, tiers: list[Column], *ties) -> DataFrame:
     """The row of the first tier that has any."""
     tier = None
@@ -183,13 +233,48 @@ def _weights(s, d):
     return tfidf_weights(counts, _vocab(s, d, counts))
 
 
+_ASK = Query("tionth and theer", "text", 20, True, 0.05)
+
+
+def _found(s, d):
+    """What a search over documents takes: documents, their postings, fragments of five lines, weights, the nearest 100 vectors."""
+    t = table(s, d, "documents")
+    docs = t.select(F.col("doc_id").alias("doc"), F.substring_index("text", " ", 1).alias("name"), F.col("source").alias("path"), (F.col("n_chars") % 100).alias("complexity"), index_tokens(F.col("text")).alias("tokens"))
+    counts = _counts(s, d)
+    fragments = naive_chunks(t, "doc_id", "text", 5).select(F.col("doc_id").alias("doc"), index_tokens(F.col("content")).alias("tokens"))
+    vectors = table(s, d, "embeddings").select("vec_id", "embedding")
+    near = nearest(vectors, vectors.where("vec_id = 5"), 100).select(F.col("vec_id").alias("doc"), F.col("score").alias("neural"))
+    return docs, counts, fragments, vectors, near
+
+
+def _hybrid(s, d):
+    docs, counts, fragments, _, near = _found(s, d)
+    vocabulary, wanted = _vocab(s, d, counts), query_tokens(_ASK.text)
+    return hybrid_search(docs, candidates(counts, near, fragments, wanted), tfidf_scores(tfidf_weights(counts, vocabulary), vocabulary, wanted), near, _ASK)
+
+
+def _candidates(s, d):
+    _, counts, fragments, _, near = _found(s, d)
+    return candidates(counts, near, fragments, query_tokens(_ASK.text))
+
+
+def _staged(s, d):
+    docs, counts, _, vectors, _ = _found(s, d)
+    return staged_search(docs, counts, vectors, vectors.where("vec_id = 5"), query_tokens(_ASK.text), 200, 10)
+
+
+def _semantic(s, d):
+    v = table(s, d, "embeddings").select("vec_id", "embedding")
+    return semantic_search(v, v.where("vec_id = 11"), 15)
+
+
 _TS = lambda: text_score("a", F.col("name"), F.col("path"), F.col("tokens"), ["red", "bolt"])
 QUERIES = {
     "r03_intent": lambda s, d: _conv(s, d).select("conv_id", "turn", intent(F.col("q")).alias("intent")),
     "r04_terms": lambda s, d: _conv(s, d).select("conv_id", "turn", F.array_join(terms(F.col("q")), " ").alias("terms")),
     "r05_query_type": lambda s, d: _conv(s, d).select("conv_id", "turn", query_type(intent(F.col("q"))).alias("kind")),
     "r06_route": lambda s, d: _parts(s, d).select("node_id", route(F.when(F.col("complexity") > 25, F.replace("name", F.lit(" "), F.lit("::"))).otherwise(F.col("name"))).alias("route")),
-    "r07_search": lambda s, d: search(_parts(s, d), None, Query("red bolt", "text", 20)),
+    "r07_search": _hybrid,
     "r08_text_score": lambda s, d: _parts(s, d).select("node_id", F.round(_TS(), 6).alias("score")),
     "r09_structural": lambda s, d: _parts(s, d).select("node_id", structural_score(F.col("complexity") * 4).alias("score")),
     "r11_weights": lambda s, d: _parts(s, d).select("node_id", F.round(fuse((F.lit(0.5), F.lit(0.2), structural_score(F.col("complexity")), F.lit(0.1)), WEIGHTS["exact", True]), 6).alias("score")),
@@ -198,8 +283,9 @@ QUERIES = {
     "r14_adjust": lambda s, d: _parts(s, d).select("node_id", F.round(adjust(structural_score(F.col("complexity")), F.col("name"), F.col("path"), "hot"), 6).alias("score")),
     "r15_drop": lambda s, d: _parts(s, d).withColumn("text", _TS()).where("text > 0 or complexity > 45").select("node_id"),
     "r16_rerank": lambda s, d: _parts(s, d).select("node_id", F.round(F.least(F.lit(1.0), structural_score(F.col("complexity")) * 1.2), 6).alias("score")).orderBy(F.desc("score"), "node_id").limit(30),
-    "r18_staged": lambda s, d: _parts(s, d).where(F.exists("tokens", lambda t: t.isin("red", "bolt"))).select("node_id", F.round(_TS(), 6).alias("score")).orderBy(F.desc("score"), "node_id").limit(10),
-    "r19_semantic_only": lambda s, d: search(_parts(s, d), None, Query("blue gear", "semantic", 15)),
+    "r18_staged": _staged,
+    "r19_semantic_only": _semantic,
+    "u01_candidates": _candidates,
     "r23_incremental": lambda s, d: incremental(_parts(s, d).select("node_id", "complexity"), _parts(s, d).where("complexity = 7").select("node_id"), _parts(s, d).where("complexity = 9").select("node_id", (F.col("complexity") + 100).alias("complexity")), "node_id").groupBy("complexity").agg(F.count("*").alias("n")),
     "r24_coherence": lambda s, d: coherence(_parts(s, d).where("complexity > 5"), _parts(s, d).where("complexity > 7").select("node_id", F.explode("tokens").alias("t")), "node_id"),
     "r25_fuzzy_node": lambda s, d: _parts(s, d).withColumn("score", F.when(F.col("name").contains("bolt"), 100).otherwise(0) + F.when(F.col("node_id").contains("7"), 50).otherwise(0) + F.least(F.col("complexity"), F.lit(50))).orderBy(F.desc("score"), "node_id").limit(1).select("node_id", "score"),
@@ -215,6 +301,18 @@ _INTENT = "CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN '{n}'" for n,
 _TFIDF = r"""k AS (SELECT doc_id AS doc, token, count(*) AS k FROM (SELECT doc_id, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\p{L}\p{N}]+')) AS token FROM documents) WHERE strlen(token) >= 2 GROUP BY 1, 2),
 n AS (SELECT count(*) AS n FROM documents), df AS (SELECT token, count(*) AS df FROM k GROUP BY 1), f AS (SELECT token, df, ln(CAST(n AS DOUBLE) / df) AS idf FROM df, n WHERE df BETWEEN greatest(n // 1000, 3) AND greatest(n // 4, greatest(n // 1000, 3) + 1)),
 p AS (SELECT *, row_number() OVER (ORDER BY idf, token) - 1 AS place FROM f), v AS (SELECT token, idf FROM p WHERE place IN (SELECT least(CAST(floor(i * ((SELECT count(*) FROM f) / CAST(least(768, (SELECT count(*) FROM f)) AS DOUBLE))) AS BIGINT), (SELECT count(*) FROM f) - 1) FROM range(768) t(i) WHERE i < (SELECT count(*) FROM f)))"""
+_QT = query_tokens(_ASK.text)
+_IN = "(" + ", ".join(f"'{t}'" for t in _QT) + ")"
+_SIM = f"round({_D('q.embedding', 'v.embedding')} / (sqrt({_D('q.embedding', 'q.embedding')}) * sqrt({_D('v.embedding', 'v.embedding')})), 6)"
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FOUND = rf"""near AS (SELECT v.vec_id AS doc, {_SIM} AS neural FROM embeddings v JOIN embeddings q ON q.vec_id = 5 ORDER BY neural DESC, doc LIMIT 100),
+fragments AS (SELECT doc_id AS doc, regexp_split_to_array({_LOW.format("array_to_string(list_slice(l, i + 1, i + 5), chr(10))")}, '[^\p{{L}}\p{{N}}]+') AS tokens FROM (SELECT doc_id, l, unnest(range(0, len(l), 5)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '\n$', ''), chr(10)) AS l FROM documents))),
+found AS (SELECT DISTINCT doc, 'p' AS b FROM k WHERE token IN {_IN} UNION SELECT doc, 'v' FROM near UNION SELECT doc, 'f' FROM fragments WHERE {' AND '.join(f"list_contains(tokens, '{t}')" for t in _QT)})"""
+_SCORED = f"""w AS (SELECT k.doc, k.token, k.k / t.total * v.idf AS w FROM k JOIN v USING (token) JOIN (SELECT doc, sum(k) AS total FROM k GROUP BY 1) t USING (doc)), m AS (SELECT doc, sqrt(sum(w * w)) AS m FROM w GROUP BY 1),
+qw AS (SELECT token, idf / sqrt(sum(idf * idf) OVER ()) AS q FROM v WHERE token IN {_IN}), tf AS (SELECT w.doc, sum(w.w / m.m * qw.q) AS tfidf FROM w JOIN m ON m.doc = w.doc JOIN qw ON qw.token = w.token WHERE m.m > 1e-9 GROUP BY 1),
+own AS (SELECT doc_id AS doc, string_split(text, ' ')[1] AS name, source AS path, n_chars % 100 AS complexity, '{_ASK.text}' AS qt, (SELECT count(DISTINCT token) FROM k WHERE k.doc = doc_id AND token IN {_IN}) / {len(_QT)} AS shared FROM documents WHERE doc_id IN (SELECT doc FROM found)),
+s AS (SELECT own.*, coalesce(tfidf, 0) AS tfidf, greatest(coalesce(neural, 0), 0) AS neural, greatest(0, least(1, shared + CASE WHEN {_LOW.format("name")} = qt THEN 1 WHEN contains({_LOW.format("name")}, qt) THEN CASE WHEN contains(name, '::') OR contains(name, '.') THEN 0.3 ELSE 0.7 END WHEN name <> '' AND contains(qt, {_LOW.format("name")}) THEN 0.4 ELSE 0 END
+  - CASE WHEN contains({_LOW.format("path")}, 'test') OR contains({_LOW.format("name")}, 'test') THEN 0.3 ELSE 0 END)) AS text FROM own LEFT JOIN tf ON tf.doc = own.doc LEFT JOIN near ON near.doc = own.doc)"""
 SQL = {
     "r03_intent": sql(f"SELECT conv_id, turn, {_INTENT} AS intent FROM q", CONV),
     "r04_terms": sql(f"SELECT conv_id, turn, array_to_string({_TERMS}, ' ') AS terms FROM q", CONV),
@@ -228,7 +326,14 @@ SQL = {
     "r14_adjust": sql("SELECT node_id, round(CASE WHEN starts_with(path, 'archive/') THEN 0.1 ELSE 1 END * CASE WHEN lower(name) = 'hot' THEN least(1, complexity / 100 * 1.8) WHEN contains(lower(name), 'hot') THEN least(1, complexity / 100 * 1.3) ELSE complexity / 100 END, 6) AS score FROM parts", PARTS),
     "r15_drop": sql(f"SELECT node_id FROM parts WHERE {_TSQL} > 0 OR complexity > 45", PARTS),
     "r16_rerank": sql("SELECT node_id, round(least(1, complexity / 100 * 1.2), 6) AS score FROM parts ORDER BY complexity DESC, node_id LIMIT 30", PARTS),
-    "r18_staged": sql(f"SELECT node_id, round({_TSQL}, 6) AS score FROM parts WHERE list_contains(tokens, 'red') OR list_contains(tokens, 'bolt') ORDER BY {_TSQL} DESC, node_id LIMIT 10", PARTS),
+    "r07_search": sql(
+        "SELECT CAST(row_number() OVER (ORDER BY score DESC, doc) AS INTEGER) AS rank, doc, score FROM (SELECT doc, round(least(1, greatest(0, least(1, tfidf * 0.2 + neural * 0.05 + least(complexity / 100, 1) * 0.05 + text * 0.7))"
+        " * CASE WHEN contains(name, '::') OR contains(name, '.') THEN 0.7 ELSE 1 END * CASE WHEN lower(name) = qt THEN 1.8 WHEN contains(lower(name), qt) THEN 1.3 ELSE 1 END), 6) AS score FROM s WHERE text > 0 OR tfidf > 0 OR neural > 0) WHERE score >= 0.05 ORDER BY score DESC, doc LIMIT 20",
+        _TFIDF, _FOUND, _SCORED,
+    ),
+    "r18_staged": sql(f"SELECT CAST(row_number() OVER (ORDER BY score DESC, doc) AS INTEGER) AS rank, doc, score FROM (SELECT doc, {_SIM} AS score FROM (SELECT doc FROM (SELECT doc, count(*) AS shared FROM k WHERE token IN {_IN} GROUP BY 1) ORDER BY shared DESC, doc LIMIT 200) JOIN embeddings v ON v.vec_id = doc JOIN embeddings q ON q.vec_id = 5) ORDER BY score DESC, doc LIMIT 10", _TFIDF),
+    "r19_semantic_only": f"SELECT CAST(row_number() OVER (ORDER BY score DESC, doc) AS INTEGER) AS rank, doc, score FROM (SELECT v.vec_id AS doc, {_SIM} AS score FROM embeddings v JOIN embeddings q ON q.vec_id = 11 ORDER BY score DESC, doc LIMIT 15) WHERE score >= 0.05",
+    "u01_candidates": sql("SELECT doc, bool_or(b = 'p') AS by_postings, bool_or(b = 'v') AS by_vector, bool_or(b = 'f') AS by_fragment FROM found GROUP BY 1", _TFIDF, _FOUND),
     "r23_incremental": "SELECT CASE WHEN p_size = 9 THEN 109 ELSE p_size END AS complexity, count(*) AS n FROM part WHERE p_size <> 7 GROUP BY 1",
     "r24_coherence": "SELECT 0::BIGINT AS dead_postings, count(*) FILTER (WHERE p_size > 5 AND p_size <= 7) AS rows_without_postings, 0::BIGINT AS repeated FROM part",
     "r25_fuzzy_node": sql("SELECT node_id, CASE WHEN contains(name, 'bolt') THEN 100 ELSE 0 END + CASE WHEN contains(node_id, '7') THEN 50 ELSE 0 END + least(complexity, 50) AS score FROM parts ORDER BY score DESC, node_id LIMIT 1", PARTS),

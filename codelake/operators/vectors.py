@@ -125,6 +125,7 @@ _QUANT = _PAIR + """, k AS (SELECT *, 254 / greatest(CAST(list_max(o) AS DOUBLE)
 q AS (SELECT *, list_transform(o, lambda x: CAST(greatest(-128, least(127, round(CAST(x AS DOUBLE) * scale + bias))) AS INTEGER)) AS q FROM b), z AS (SELECT *, list_transform(q, lambda x: (x - bias) / scale) AS back FROM q)"""
 _NEAR = lambda where, base, k: f"SELECT query_id, rank, score FROM (SELECT query_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({_D('q.embedding', 'v.embedding')} / (sqrt({_D('q.embedding', 'q.embedding')}) * sqrt({_D('v.embedding', 'v.embedding')})), 6) AS score FROM embeddings q, ({base}) v WHERE {where})) WHERE rank <= {k}"
 SQL = {
+    "j06_vector_metadata": "SELECT label, count(*) AS n FROM (SELECT v.label, round(" + _D("q.embedding", "v.embedding") + " / (sqrt(" + _D("q.embedding", "q.embedding") + ") * sqrt(" + _D("v.embedding", "v.embedding") + ")), 6) AS score, v.vec_id FROM embeddings v JOIN embeddings q ON q.vec_id = 7 ORDER BY score DESC, v.vec_id LIMIT 10) GROUP BY 1",
     "v01_cosine": sql(f"SELECT vec_id, round({_D('e', 'o')} / (sqrt({_D('e', 'e')}) * sqrt({_D('o', 'o')})), 6) AS score FROM p", _PAIR),
     "v02_nearest": _NEAR("q.vec_id % 100 = 0", "SELECT * FROM embeddings", 10),
     "v03_nearest_nonzero": _NEAR("q.vec_id % 100 = 0", "SELECT * FROM embeddings", 5),

@@ -9,6 +9,9 @@ from pyspark.sql import SparkSession
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """The shared folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. On a single machine, as in tests, one of our own where none is set."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "codelake-checkpoints"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "codelake-checkpoints"))

@@ -35,15 +35,17 @@ def fragment_sync(refs: DataFrame, current: DataFrame) -> tuple[DataFrame, DataF
     return kept, fresh
 
 
-def watch(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, key: str = "path", once: bool = False):
+def watch(spark: SparkSession, folder: str, schema: str, out: str, checkpoint: str, key: str = "path", once: bool = False, order: str | None = None):
     """A stream over files of records in `folder`: each batch upserts into the Parquet store `out` by key.
 
     A batch writes a generation of its own and readers take the newest row of each key, so a batch that is
-    retried after a failure replaces its own generation and nothing else.
+    retried after a failure replaces its own generation and nothing else. Of a batch's rows of one key the newest by `order`
+    stays, of equally new ones the greatest by all columns.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates([key]).write.mode("overwrite").parquet(f"{out}/generation={number}")
+        newest = F.max(F.struct(*([F.col(order).alias("_order")] if order else []), *[F.col(c) for c in batch.columns]))
+        batch.groupBy(F.col(key).alias("_key")).agg(newest.alias("_r")).select(*[F.col(f"_r.{c}").alias(c) for c in batch.columns]).write.mode("overwrite").parquet(f"{out}/generation={number}")
 
     stream = spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="500 milliseconds")).start()
