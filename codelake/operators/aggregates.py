@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from codelake.operators.graph import reach_by
 from codelake.plans.views import EDGES, NODES, PROJECTS, edges, nodes, projects, sql, table
 
 
@@ -104,6 +105,33 @@ def _calls(s, d):
     return edges(s, d).where("edge_type = 'Import'")
 
 
+def focus_files(n: DataFrame, e: DataFrame, top: int, files: int, depth: int = 6) -> DataFrame:
+    """Files by how many nodes of theirs the `top` most complex nodes reach, one count a node and entry."""
+    entries = n.orderBy(F.desc("complexity"), "node_id").limit(top).select(F.col("node_id").alias("start"), "node_id")
+    hit = reach_by(e, entries, depth).where("depth > 0").select("start", "node_id")
+    return hit.join(n.select("node_id", "file_path"), "node_id").groupBy("file_path").agg(F.count("*").alias("impact")).orderBy(F.desc("impact"), "file_path").limit(files)
+
+
+def impact_totals(n: DataFrame, e: DataFrame, changed: DataFrame, depth: int = 6) -> DataFrame:
+    """For each changed node, what it reaches, itself included: nodes, files and names of interfaces."""
+    hit = reach_by(e, changed.select(F.col("node_id").alias("start"), "node_id"), depth).select("start", "node_id").join(n, "node_id")
+    return hit.groupBy(F.col("start").alias("src")).agg(F.countDistinct("node_id").alias("nodes"), F.countDistinct("file_path").alias("files"), F.countDistinct(F.when(F.col("node_type").isin("Function", "Method", "Class"), F.col("name"))).alias("apis"))
+
+
+def quality_gate(runs: DataFrame, by: str, value: str) -> DataFrame:
+    """The gate of an 8-bit index against its base: nDCG at 10 may fall by 0.01, p50 rise by 5 %, p99 by 10 %.
+
+    runs: by, base (boolean), value (a latency, by which results are ranked as well), user_id (a third of them relevant), event_id."""
+    rel = F.col("user_id") % 3 == 0
+    rk = F.row_number().over(W.partitionBy(by, "base").orderBy(F.desc(value), "event_id"))
+    ideal = F.row_number().over(W.partitionBy(by, "base").orderBy(F.when(rel, 0).otherwise(1), "event_id"))
+    gain = lambda r: F.sum(F.when(rel & (F.col(r) <= 10), 1 / F.log2(F.col(r) + 1)))
+    each = runs.withColumn("rk", rk).withColumn("irk", ideal).groupBy(by, "base").agg(F.coalesce(gain("rk") / gain("irk"), F.lit(0.0)).alias("g"), F.percentile(value, 0.5).alias("a"), F.percentile(value, 0.99).alias("z"))
+    pick = lambda c, yes: F.max(F.when(F.col("base") == yes, F.col(c)))
+    out = each.groupBy(by).agg((pick("g", True) - pick("g", False)).alias("ndcg_drop"), (pick("a", False) / pick("a", True)).alias("p50"), (pick("z", False) / pick("z", True)).alias("p99"))
+    return out.select(by, F.round("ndcg_drop", 6).alias("ndcg_drop"), F.round("p50", 6).alias("p50"), F.round("p99", 6).alias("p99"), ((F.col("ndcg_drop") <= 0.01) & (F.col("p50") <= 1.05) & (F.col("p99") <= 1.10)).alias("promoted"))
+
+
 QUERIES = {
     "a01_nodes_by_type": lambda s, d: count_by(nodes(s, d), "node_type"),
     "a02_edges_by_type": lambda s, d: count_by(edges(s, d), "edge_type"),
@@ -117,18 +145,18 @@ QUERIES = {
     "a10_completeness": _ne(lambda n, e: n.join(e.groupBy(F.col("src").alias("node_id")).agg(F.max((F.col("edge_type") == "Call").cast("int")).alias("calls"), F.max((F.col("edge_type") == "Import").cast("int")).alias("imports")), "node_id", "left").groupBy("language").agg(F.avg(F.coalesce("calls", F.lit(0))).alias("c"), F.avg(F.coalesce("imports", F.lit(0))).alias("i"), F.avg((F.col("complexity") > 0).cast("int")).alias("r")).select("language", F.round((F.col("c") + F.col("i") + F.col("r")) / 3, 6).alias("score"))),
     "a11_phase1": lambda s, d: nodes(s, d).agg(F.countDistinct("file_path").alias("files"), F.count_if(F.col("node_type").isin("Function", "Method", "Variable")).alias("signatures"), F.countDistinct("language").alias("languages")),
     "a12_phase2_imports": lambda s, d: _calls(s, d).join(nodes(s, d).select(F.col("node_id").alias("dst"), "node_type", "name"), "dst", "left").agg(F.count_if(F.col("node_type").isNotNull()).alias("internal"), F.count_if(F.col("node_type").isNull()).alias("external"), F.countDistinct("name").alias("names")),
-    "a13_phase3_focus": _ne(lambda n, e: e.join(n.where("complexity > 0").orderBy(F.desc("complexity"), "node_id").limit(10).select(F.col("node_id").alias("src")), "src", "left_semi").join(n.select(F.col("node_id").alias("dst"), "file_path"), "dst").select("src", "dst", "file_path").distinct().groupBy("file_path").agg(F.count("*").alias("impact")).orderBy(F.desc("impact"), "file_path").limit(20)),
+    "a13_phase3_focus": _ne(lambda n, e: focus_files(n, e.where("edge_type in ('Call', 'DataDependency', 'Inheritance')"), 10, 20)),
     "a14_phase4_hotspots": _ne(lambda n, e: ranked_hotspots(n, e, ["auth", "critical", "error", "widget", "hot"], 10, 50)),
     "a15_phase5": lambda s, d: _recommendations(s, d),
     "a16_class_inference": lambda s, d: nodes(s, d).where("node_type in ('Method', 'Class')").groupBy("file_path").agg(F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"), F.when(F.sum("complexity") == 0, F.count("*")).otherwise(F.sum("complexity")).cast("long").alias("complexity")),
     "a17_typed_edges": lambda s, d: edges(s, d).select("src", "dst", "edge_type").dropDuplicates(["src", "dst", "edge_type"]).groupBy("edge_type").agg(F.count("*").alias("n")),
-    "a18_impact_totals": _ne(lambda n, e: e.where("src in ('c1', 'c2', 'n3')").join(n.select(F.col("node_id").alias("dst"), "file_path"), "dst").groupBy("src").agg(F.countDistinct("dst").alias("nodes"), F.countDistinct("file_path").alias("files"))),
+    "a18_impact_totals": _ne(lambda n, e: impact_totals(n, e.where("edge_type in ('Call', 'DataDependency', 'Inheritance')"), n.where("node_id in ('c1', 'c2', 'n3')"))),
     "a19_clone_groups": lambda s, d: projects(s, d).groupBy("fingerprint").agg(F.count("*").alias("n"), F.concat_ws(",", F.array_sort(F.collect_list("project_id"))).alias("members")).where("n > 1"),
     "a20_change_categories": lambda s, d: table(s, d, "pages").select("url", F.when(F.col("url").rlike("\\.html$"), "tracked_source").when(F.col("url").contains("?"), "untracked_notes").otherwise("other").alias("category")).distinct().groupBy("category").agg(F.count("*").alias("n")),
     "a21_coverage": lambda s, d: _coverage(table(s, d, "documents").where("doc_id % 3 <> 0").select("doc_id"), table(s, d, "labels").select("doc_id"), "doc_id"),
     "a22_ndcg": lambda s, d: ndcg_at(table(s, d, "documents").join(table(s, d, "labels"), "doc_id").withColumn("rk", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).withColumn("rel", F.col("quality") == 1), "source", "rk", "rel"),
     "a23_percentile": lambda s, d: nearest_rank(table(s, d, "events").select("event_type", F.col("value")), "event_type", "value", 0.95),
-    "a24_gate": lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.avg("value").alias("v")).agg(F.max("v").alias("hi"), F.min("v").alias("lo")).select(((F.col("hi") - F.col("lo")) <= 0.05 * F.col("hi")).alias("promoted")),
+    "a24_gate": lambda s, d: quality_gate(table(s, d, "events").withColumn("base", F.col("event_id") % 2 == 0), "event_type", "value"),
     "a25_histogram": lambda s, d: histogram(table(s, d, "events"), "value", [1, 5, 10, 50, 100]),
     "a26_vector_stats": lambda s, d: table(s, d, "embeddings").select("vec_id", F.array_min("embedding").cast("double").alias("lo"), F.array_max("embedding").cast("double").alias("hi"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 5).alias("total")),
     "a27_annotation": _ne(lambda n, e: e.join(n.select(F.col("node_id").alias("dst"), "node_type"), "dst", "left").groupBy("edge_type").agg(F.count_if(F.col("node_type") == "Class").alias("resolved"), F.count_if(F.col("node_type") == "Method").alias("builtin"), F.count_if(~F.coalesce(F.col("node_type").isin("Class", "Method"), F.lit(False))).alias("unresolved"))),
@@ -170,18 +198,25 @@ SQL = {
     "a10_completeness": sql("SELECT language, round((avg(c) + avg(i) + avg(CASE WHEN complexity > 0 THEN 1 ELSE 0 END)) / 3, 6) AS score FROM (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.src = n.node_id AND edge_type = 'Call') THEN 1 ELSE 0 END AS c, CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.src = n.node_id AND edge_type = 'Import') THEN 1 ELSE 0 END AS i FROM nodes n) GROUP BY 1", NODES, EDGES),
     "a11_phase1": sql("SELECT count(DISTINCT file_path) AS files, count(*) FILTER (WHERE node_type IN ('Function', 'Method', 'Variable')) AS signatures, count(DISTINCT language) AS languages FROM nodes", NODES),
     "a12_phase2_imports": sql("SELECT count(n.node_id) AS internal, count(*) - count(n.node_id) AS external, count(DISTINCT name) AS names FROM edges e LEFT JOIN nodes n ON n.node_id = e.dst WHERE edge_type = 'Import'", NODES, EDGES),
-    "a13_phase3_focus": sql("SELECT file_path, count(*) AS impact FROM (SELECT DISTINCT e.src, e.dst, n.file_path FROM edges e JOIN nodes n ON n.node_id = e.dst WHERE e.src IN (SELECT node_id FROM nodes WHERE complexity > 0 ORDER BY complexity DESC, node_id LIMIT 10)) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20", NODES, EDGES),
+    "a13_phase3_focus": sql(
+        "SELECT file_path, count(*) AS impact FROM (SELECT DISTINCT start, node_id FROM w WHERE depth > 0) JOIN nodes USING (node_id) GROUP BY 1 ORDER BY impact DESC, file_path LIMIT 20", NODES, EDGES,
+        "steps AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type IN ('Call', 'DataDependency', 'Inheritance'))", "w0(start, node_id, depth) AS (SELECT node_id, node_id, 0 FROM (SELECT node_id FROM nodes ORDER BY complexity DESC, node_id LIMIT 10) UNION SELECT start, dst, depth + 1 FROM w0 JOIN steps ON src = node_id WHERE depth < 6)",
+        "w AS (SELECT start, node_id, min(depth) AS depth FROM w0 GROUP BY 1, 2)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "a14_phase4_hotspots": sql("SELECT node_id, complexity, impact, round(0.45 * CASE WHEN mi > 0 THEN impact / mi ELSE 0 END + 0.45 * complexity / mc + 0.1 * CASE WHEN regexp_matches(lower(name), 'auth|critical|error|widget|hot') THEN 1.0 ELSE 0.2 END, 6) AS score FROM (SELECT *, max(impact) OVER () AS mi, max(complexity) OVER () AS mc FROM (SELECT t.*, (SELECT count(*) FROM (SELECT dst FROM edges WHERE src = t.node_id AND dst <> t.node_id UNION SELECT b.dst FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = t.node_id AND b.dst <> t.node_id)) AS impact FROM t)) ORDER BY score DESC, node_id LIMIT 10", NODES, EDGES, "t AS (SELECT * FROM nodes WHERE complexity > 0 ORDER BY complexity DESC, node_id LIMIT 50)"),
     "a15_phase5": sql("SELECT 'Resolve ' || count(*) || ' import edges' AS message, CAST(0.95 AS DOUBLE) AS priority FROM edges WHERE edge_type = 'Import' HAVING count(*) > 0 UNION ALL SELECT 'Fix ' || count(*) || ' short files', 0.9 FROM documents WHERE n_chars < 10 HAVING count(*) > 0 UNION ALL (SELECT 'Focus on ' || file_path, 0.8 FROM nodes GROUP BY file_path ORDER BY sum(complexity) DESC, file_path LIMIT 1)", NODES, EDGES),
     "a16_class_inference": sql("SELECT file_path, min(node_id) AS first_id, max(node_id) AS last_id, CAST(CASE WHEN sum(complexity) = 0 THEN count(*) ELSE sum(complexity) END AS BIGINT) AS complexity FROM nodes WHERE node_type IN ('Method', 'Class') GROUP BY 1", NODES),
     "a17_typed_edges": sql("SELECT edge_type, count(*) AS n FROM (SELECT DISTINCT src, dst, edge_type FROM edges) GROUP BY 1", EDGES),
-    "a18_impact_totals": sql("SELECT src, count(DISTINCT dst) AS nodes, count(DISTINCT file_path) AS files FROM edges e JOIN nodes n ON n.node_id = e.dst WHERE src IN ('c1', 'c2', 'n3') GROUP BY 1", NODES, EDGES),
+    "a18_impact_totals": sql(
+        "SELECT start AS src, count(DISTINCT node_id) AS nodes, count(DISTINCT file_path) AS files, count(DISTINCT name) FILTER (WHERE node_type IN ('Function', 'Method', 'Class')) AS apis FROM w0 JOIN nodes USING (node_id) GROUP BY 1", NODES, EDGES,
+        "steps AS (SELECT DISTINCT src, dst FROM edges WHERE edge_type IN ('Call', 'DataDependency', 'Inheritance'))", "w0(start, node_id, depth) AS (SELECT node_id, node_id, 0 FROM nodes WHERE node_id IN ('c1', 'c2', 'n3') UNION SELECT start, dst, depth + 1 FROM w0 JOIN steps ON src = node_id WHERE depth < 6)",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
     "a19_clone_groups": sql("SELECT fingerprint, count(*) AS n, string_agg(project_id, ',' ORDER BY project_id) AS members FROM projects GROUP BY 1 HAVING count(*) > 1", PROJECTS),
     "a20_change_categories": r"SELECT CASE WHEN regexp_matches(url, '\.html$') THEN 'tracked_source' WHEN contains(url, '?') THEN 'untracked_notes' ELSE 'other' END AS category, count(DISTINCT url) AS n FROM pages GROUP BY 1",
     "a21_coverage": "SELECT count(*) FILTER (WHERE i IS NULL) AS missing, count(*) FILTER (WHERE d IS NULL) AS orphaned, round(100 * (count(d) - count(*) FILTER (WHERE i IS NULL)) / count(d), 6) AS percent FROM (SELECT DISTINCT doc_id AS d FROM documents WHERE doc_id % 3 <> 0) FULL JOIN (SELECT DISTINCT doc_id AS i FROM labels) ON d = i",
     "a22_ndcg": "SELECT source, CASE WHEN sum(rel) = 0 THEN 0 ELSE round(sum(CASE WHEN rk <= 10 AND rel = 1 THEN 1 / log2(rk + 1) ELSE 0 END) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) r(i) WHERE i <= sum(rel)), 6) END AS ndcg FROM (SELECT source, CASE WHEN quality = 1 THEN 1 ELSE 0 END AS rel, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, d.doc_id) AS rk FROM documents d JOIN labels l ON d.doc_id = l.doc_id) GROUP BY source",
     "a23_percentile": "SELECT event_type, value AS percentile FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i = least(n - 1, CAST(floor(n * 0.95) AS BIGINT))",
-    "a24_gate": "SELECT max(v) - min(v) <= 0.05 * max(v) AS promoted FROM (SELECT avg(value) AS v FROM events GROUP BY event_type)",
+    "a24_gate": "SELECT event_type, round(ndcg_drop, 6) AS ndcg_drop, round(p50, 6) AS p50, round(p99, 6) AS p99, ndcg_drop <= 0.01 AND p50 <= 1.05 AND p99 <= 1.10 AS promoted FROM (SELECT event_type, max(g) FILTER (WHERE base) - max(g) FILTER (WHERE NOT base) AS ndcg_drop, max(a) FILTER (WHERE NOT base) / max(a) FILTER (WHERE base) AS p50, max(z) FILTER (WHERE NOT base) / max(z) FILTER (WHERE base) AS p99 FROM (SELECT event_type, base, coalesce(sum(CASE WHEN rel AND rk <= 10 THEN 1 / log2(rk + 1) END) / sum(CASE WHEN irk <= 10 AND rel THEN 1 / log2(irk + 1) END), 0) AS g, quantile_cont(value, 0.5) AS a, quantile_cont(value, 0.99) AS z FROM (SELECT event_type, event_id % 2 = 0 AS base, value, user_id % 3 = 0 AS rel, row_number() OVER (PARTITION BY event_type, event_id % 2 ORDER BY value DESC, event_id) AS rk, row_number() OVER (PARTITION BY event_type, event_id % 2 ORDER BY CASE WHEN user_id % 3 = 0 THEN 0 ELSE 1 END, event_id) AS irk FROM events) GROUP BY 1, 2) GROUP BY 1)",
     "a25_histogram": "SELECT CAST(b AS DOUBLE) AS bound, count(*) FILTER (WHERE value <= b) AS n, count(value) AS total, round(sum(value), 4) AS total_value FROM events CROSS JOIN (VALUES (1), (5), (10), (50), (100)) t(b) GROUP BY b",
     "a26_vector_stats": "SELECT vec_id, CAST(list_min(embedding) AS DOUBLE) AS lo, CAST(list_max(embedding) AS DOUBLE) AS hi, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 5) AS total FROM embeddings",
     "a27_annotation": sql("SELECT edge_type, count(*) FILTER (WHERE node_type = 'Class') AS resolved, count(*) FILTER (WHERE node_type = 'Method') AS builtin, count(*) FILTER (WHERE node_type IS NULL OR node_type NOT IN ('Class', 'Method')) AS unresolved FROM edges e LEFT JOIN nodes n ON n.node_id = e.dst GROUP BY 1", NODES, EDGES),

@@ -14,6 +14,7 @@ from pyspark.sql.types import _parse_datatype_string
 
 from codelake.functions.text import COMMON_TYPES, imports_of, normalize_symbol
 from codelake.operators.joins import resolve_calls, type_flow
+from codelake.plans.views import table
 
 SIGNATURE = (
     "path string, language string, name string, qname string, returns string, params array<string>, calls array<string>, bases array<string>, is_method boolean, is_async boolean, visibility string,"
@@ -230,22 +231,44 @@ def _src(s):
     return s.createDataFrame(_CODE, "path string, language string, content string")
 
 
+def _evidence(s, d):
+    """Suppliers with how many different parts they share in, modulo six."""
+    over = table(s, d, "lineitem").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.countDistinct("l_partkey").alias("n"))
+    return table(s, d, "supplier").select("s_suppkey").join(over, "s_suppkey", "left").select("s_suppkey", (F.col("s_suppkey") % 11).alias("k"), (F.coalesce("n", F.lit(0)) % 6).alias("over"))
+
+
+def _modules(s, d):
+    """Brands as Python modules: a function a part, a class with a method; one module is broken."""
+    name = F.concat(F.lit("f"), F.col("p_partkey").cast("string"))
+    body = F.when(F.col("p_size") > 25, F.concat(F.lit("    for i in x:\n        if i:\n            g"), F.col("p_size").cast("string"), F.lit("(i)\n"))).otherwise(F.concat(F.lit("    return Item.run(x, "), F.col("p_size").cast("string"), F.lit(")\n")))
+    made = table(s, d, "part").groupBy("p_brand").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("def "), name, F.lit("(x: Item, y=1):\n"), body, F.lit("\n")))), "").alias("defs"))
+    head = F.concat(F.lit("import os\nfrom pkg."), F.lower(F.replace("p_brand", F.lit("#"), F.lit("_"))), F.lit(" import z\n\nclass Item:\n    def run(self, n):\n        return os.read(n)\n\n"))
+    good = made.select(F.concat("p_brand", F.lit(".py")).alias("path"), F.lit("python").alias("language"), F.concat(head, "defs").alias("content"))
+    return good.union(s.createDataFrame([("broken.py", "python", "def broken(:\n")], good.schema))
+
+
 QUERIES = {
-    "s06_parse": lambda s, d: parse(_src(s)).where("error is null").select("path", "qname", F.size("params").alias("params"), "is_method"),
-    "x02_typed_nodes": lambda s, d: typed_nodes(parse(_src(s))).select("node_id", "node_type"),
-    "x01_graph": lambda s, d: build_graph(_src(s))[1].select("src", "dst", "edge_type"),
-    "x09_complexity": lambda s, d: parse(_src(s)).where("language = 'python' and error is null").select("qname", "complexity", "nesting"),
-    "x10_parse_stats": lambda s, d: parse_stats(_src(s), parse(_src(s))),
-    "x07_imports": lambda s, d: _src(s).select("path", F.explode(imports_of(F.col("content"), F.col("language"))).alias("target")),
-    "x04_inheritance": lambda s, d: s.range(8).select("id", inheritance_confidence(F.col("id") == 7, F.col("id"), F.col("id") == 1, F.col("id") == 0).alias("confidence")),
-    "m43_valid_syntax": lambda s, d: _src(s).where("language = 'python'").select("path", valid_syntax(F.col("content")).alias("ok")),
+    "s06_parse": lambda s, d: parse(_modules(s, d)).where("error is null").select("path", "qname", F.size("params").alias("params"), "is_method", "complexity", "nesting", F.array_join("calls", ",").alias("calls")),
+    "x02_typed_nodes": lambda s, d: typed_nodes(parse(_modules(s, d))).select("node_id", "node_type", "complexity"),
+    "x01_graph": lambda s, d: build_graph(_modules(s, d))[1].groupBy("edge_type").agg(F.count("*").alias("n")),
+    "x09_complexity": lambda s, d: parse(_modules(s, d)).where("error is null").groupBy("path").agg(F.sum("complexity").alias("complexity"), F.max("nesting").alias("nesting")),
+    "x10_parse_stats": lambda s, d: parse_stats(_modules(s, d), parse(_modules(s, d))),
+    "x07_imports": lambda s, d: _modules(s, d).select("path", F.explode(imports_of(F.col("content"), F.col("language"))).alias("target")),
+    "x04_inheritance": lambda s, d: _evidence(s, d).select("s_suppkey", inheritance_confidence(F.col("k") == 7, F.col("over"), F.col("k") % 3 == 1, F.col("k") % 4 == 0).alias("confidence")),
+    "m43_valid_syntax": lambda s, d: table(s, d, "part").select("p_partkey", valid_syntax(F.when(F.col("p_partkey") % 5 == 0, F.lit(None)).when(F.col("p_partkey") % 5 == 1, F.concat(F.lit("def "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("(:\n"))).otherwise(F.concat(F.lit("def "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("():\n    return "), F.col("p_size").cast("string")))).alias("ok")),
 }
+#: What the modules parse to, from the table alone.
+_PARSED = (
+    "SELECT p_brand || '.py' AS path, 'f' || p_partkey AS qname, 2 AS params, false AS is_method, CASE WHEN p_size > 25 THEN 3 ELSE 1 END AS complexity, CASE WHEN p_size > 25 THEN 2 ELSE 0 END AS nesting, CASE WHEN p_size > 25 THEN 'g' || p_size ELSE 'Item.run' END AS calls, 'Function' AS node_type FROM part"
+    " UNION ALL SELECT DISTINCT p_brand || '.py', 'Item', 0, false, 1, 0, 'os.read', 'Class' FROM part UNION ALL SELECT DISTINCT p_brand || '.py', 'Item.run', 1, true, 1, 0, 'os.read', 'Method' FROM part"
+)
 SQL = {
-    "s06_parse": "SELECT * FROM (VALUES ('a.py', 'Base', 0, false), ('a.py', 'Base.run', 1, true), ('a.py', 'Child', 0, false), ('a.py', 'Child.run', 1, true), ('a.py', 'make', 0, false), ('a.py', 'consume', 1, false), ('c.js', 'Dog', 0, false), ('c.js', 'bark', 2, false), ('d.go', 'T', 0, false), ('d.go', 'Do', 1, false), ('e.rs', 'P', 0, false), ('e.rs', 'go', 1, false)) t(path, qname, params, is_method)",
-    "x02_typed_nodes": "SELECT * FROM (VALUES ('a.py:Base', 'Class'), ('a.py:Base.run', 'Method'), ('a.py:Child', 'Class'), ('a.py:Child.run', 'Method'), ('a.py:make', 'Function'), ('a.py:consume', 'Function'), ('c.js:Dog', 'Class'), ('c.js:bark', 'Function'), ('d.go:T', 'Class'), ('d.go:Do', 'Function'), ('e.rs:P', 'Class'), ('e.rs:go', 'Function')) t(node_id, node_type)",
-    "x09_complexity": "SELECT * FROM (VALUES ('Base', 4, 1), ('Base.run', 4, 1), ('Child', 1, 0), ('Child.run', 1, 0), ('make', 1, 0), ('consume', 1, 0)) t(qname, complexity, nesting)",
-    "x10_parse_stats": "SELECT 5::BIGINT AS total, 4::BIGINT AS ok, 1::BIGINT AS failed, 12::BIGINT AS signatures",
-    "x07_imports": "SELECT * FROM (VALUES ('a.py', 'os'), ('a.py', 'pkg.util'), ('c.js', 'lib'), ('e.rs', 'std::fmt')) t(path, target)",
-    "x04_inheritance": "SELECT id, CASE id WHEN 0 THEN 0.7 WHEN 1 THEN 0.5 WHEN 2 THEN 0.45 WHEN 3 THEN 0.6 WHEN 7 THEN 0.9 ELSE 0.75 END::DOUBLE AS confidence FROM (SELECT unnest(range(8)) AS id)",
-    "m43_valid_syntax": "SELECT * FROM (VALUES ('a.py', true), ('b.py', false)) t(path, ok)",
+    "x01_graph": f"SELECT 'Containment' AS edge_type, count(DISTINCT p_brand) AS n FROM part UNION ALL SELECT 'Import', 2 * count(DISTINCT p_brand) FROM part UNION ALL SELECT 'Call', CAST(count(*) FILTER (WHERE p_size <= 25) * (SELECT count(DISTINCT p_brand) FROM part) AS BIGINT) FROM part",
+    "s06_parse": f"SELECT path, qname, params, is_method, complexity, nesting, calls FROM ({_PARSED})",
+    "x02_typed_nodes": f"SELECT path || ':' || qname AS node_id, node_type, complexity FROM ({_PARSED})",
+    "x09_complexity": f"SELECT path, CAST(sum(complexity) AS BIGINT) AS complexity, max(nesting) AS nesting FROM ({_PARSED}) GROUP BY 1",
+    "x10_parse_stats": "SELECT count(DISTINCT p_brand) + 1 AS total, count(DISTINCT p_brand) AS ok, 1::BIGINT AS failed, CAST(count(*) + 2 * count(DISTINCT p_brand) AS BIGINT) AS signatures FROM part",
+    "x07_imports": "SELECT DISTINCT p_brand || '.py' AS path, unnest(['os', 'pkg.' || lower(replace(p_brand, '#', '_'))]) AS target FROM part",
+    "x04_inheritance": "SELECT s_suppkey, CAST(CASE WHEN c >= 0.45 THEN c END AS DOUBLE) AS confidence FROM (SELECT s_suppkey, greatest(CASE WHEN k = 7 THEN 0.9 ELSE 0 END, CASE WHEN o >= 4 THEN 0.75 WHEN o = 3 THEN 0.6 WHEN o = 2 THEN 0.45 ELSE 0 END, CASE WHEN k % 3 = 1 THEN 0.5 ELSE 0 END, CASE WHEN k % 4 = 0 THEN 0.7 ELSE 0 END) AS c FROM (SELECT s_suppkey, s_suppkey % 11 AS k, (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_suppkey = s_suppkey) % 6 AS o FROM supplier))",
+    "m43_valid_syntax": "SELECT p_partkey, p_partkey % 5 > 1 AS ok FROM part",
 }

@@ -55,7 +55,7 @@ def adc_dot(query: Column, codes: Column, scale: Column, bias: Column) -> Column
 
 def hash_embedding(text: Column, n: int = 64) -> Column:
     """A deterministic stand-in where no model is at hand."""
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.xxhash64(text, i) / F.lit(2.0**63))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.conv(F.substring(F.md5(F.concat(text, F.lit("|"), i.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**31) - 1)
 
 
 def embed_once(df: DataFrame, text: str, embed) -> DataFrame:
@@ -114,8 +114,8 @@ QUERIES = {
     "v10_adc_l2": lambda s, d: _quantised(s, d).select("vec_id", _r(F.greatest(F.lit(0.0), dot(_E(), _E()) + dot(_BACK(), _BACK()) - 2 * _ADC())).alias("distance")),
     "v11_adc_dot_distance": lambda s, d: _quantised(s, d).select("vec_id", _r(F.greatest(F.lit(0.0), (1 - _ADC()) / 2)).alias("distance")),
     "v15_overlay": lambda s, d: nearest(_v(s, d).where("vec_id % 7 <> 0").unionByName(_v(s, d).where("vec_id % 49 = 0")), _v(s, d).where("vec_id = 100"), 10).select("rank", "score"),
-    "v17_embed_once": lambda s, d: embed_once(table(s, d, "documents").select("doc_id", "text"), "text", lambda t: F.char_length(t)).select("doc_id", "embedding"),
-    "v19_hash_embedding": lambda s, d: table(s, d, "documents").select("doc_id", F.size(hash_embedding(F.col("text"))).alias("n")),
+    "v17_embed_once": lambda s, d: embed_once(table(s, d, "documents").select("doc_id", "text"), "text", lambda t: hash_embedding(t, 4)).select("doc_id", F.round(F.col("embedding")[0], 9).alias("first"), F.round(F.col("embedding")[3], 9).alias("last")),
+    "v19_hash_embedding": lambda s, d: table(s, d, "documents").select("doc_id", hash_embedding(F.col("source")).alias("e")).select("doc_id", F.size("e").alias("n"), F.round(F.aggregate("e", F.lit(0.0), lambda a, x: a + x), 6).alias("total")),
     "j06_vector_metadata": lambda s, d: nearest(_v(s, d), _v(s, d).where("vec_id = 7"), 10).join(_v(s, d).select("vec_id", "label"), "vec_id").groupBy("label").agg(F.count("*").alias("n")),
     "s23_vector_store": lambda s, d: _v(s, d).where(F.size("embedding") == 64).groupBy("label").agg(F.count("*").alias("n")),
 }
@@ -124,6 +124,7 @@ _PAIR = "p AS (SELECT a.vec_id, a.embedding AS e, b.embedding AS o FROM embeddin
 _QUANT = _PAIR + """, k AS (SELECT *, 254 / greatest(CAST(list_max(o) AS DOUBLE) - CAST(list_min(o) AS DOUBLE), 1e-9) AS scale, CAST(list_min(o) AS DOUBLE) AS lo FROM p), b AS (SELECT *, -lo * scale - 127 AS bias FROM k),
 q AS (SELECT *, list_transform(o, lambda x: CAST(greatest(-128, least(127, round(CAST(x AS DOUBLE) * scale + bias))) AS INTEGER)) AS q FROM b), z AS (SELECT *, list_transform(q, lambda x: (x - bias) / scale) AS back FROM q)"""
 _NEAR = lambda where, base, k: f"SELECT query_id, rank, score FROM (SELECT query_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round({_D('q.embedding', 'v.embedding')} / (sqrt({_D('q.embedding', 'q.embedding')}) * sqrt({_D('v.embedding', 'v.embedding')})), 6) AS score FROM embeddings q, ({base}) v WHERE {where})) WHERE rank <= {k}"
+_HASHED = lambda c, i: f"round(CAST(CAST('0x' || substr(md5({c} || '|' || {i}), 1, 8) AS BIGINT) AS DOUBLE) / 2147483648.0 - 1, 9)"
 SQL = {
     "j06_vector_metadata": "SELECT label, count(*) AS n FROM (SELECT v.label, round(" + _D("q.embedding", "v.embedding") + " / (sqrt(" + _D("q.embedding", "q.embedding") + ") * sqrt(" + _D("v.embedding", "v.embedding") + ")), 6) AS score, v.vec_id FROM embeddings v JOIN embeddings q ON q.vec_id = 7 ORDER BY score DESC, v.vec_id LIMIT 10) GROUP BY 1",
     "v01_cosine": sql(f"SELECT vec_id, round({_D('e', 'o')} / (sqrt({_D('e', 'e')}) * sqrt({_D('o', 'o')})), 6) AS score FROM p", _PAIR),
@@ -137,7 +138,7 @@ SQL = {
     "v10_adc_l2": sql(f"SELECT vec_id, round(greatest(0, {_D('e', 'e')} + {_D('back', 'back')} - 2 * {_D('e', 'back')}), 5) AS distance FROM z", _QUANT),
     "v11_adc_dot_distance": sql(f"SELECT vec_id, round(greatest(0, (1 - {_D('e', 'back')}) / 2), 5) AS distance FROM z", _QUANT),
     "v15_overlay": "SELECT rank, score FROM (" + _NEAR("q.vec_id = 100", "SELECT * FROM embeddings WHERE vec_id % 7 <> 0 OR vec_id % 49 = 0", 10) + ")",
-    "v17_embed_once": "SELECT doc_id, CAST(length(text) AS INTEGER) AS embedding FROM documents",
-    "v19_hash_embedding": "SELECT doc_id, 64 AS n FROM documents",
+    "v17_embed_once": f"SELECT doc_id, {_HASHED('text', 0)} AS first, {_HASHED('text', 3)} AS last FROM documents",
+    "v19_hash_embedding": f"SELECT doc_id, CAST(len(e) AS INTEGER) AS n, round(list_sum(e), 6) AS total FROM (SELECT doc_id, list_transform(range(64), lambda i: {_HASHED('source', 'i')}) AS e FROM documents)",
     "s23_vector_store": "SELECT label, count(*) AS n FROM embeddings WHERE len(embedding) = 64 GROUP BY 1",
 }

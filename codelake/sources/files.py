@@ -170,6 +170,30 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("s"))
 
 
+def portable_fingerprint(df: DataFrame) -> DataFrame:
+    """n, total and mixed: a fingerprint that other engines compute alike; by md5 of the columns joined by |, nulls left out."""
+    h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]).cast("binary"))
+    number = lambda at: F.conv(F.substring(h, at, 12), 16, 10).cast("long")
+    return df.agg(F.count("*").alias("n"), F.sum(number(1).cast("decimal(38,0)")).cast("string").alias("total"), F.bit_xor(number(13)).alias("mixed"))
+
+
+def _requirements(s, d):
+    """A manifest a brand, with its parts as packages."""
+    line = F.concat(F.lit("pkg-"), F.col("p_partkey").cast("string"), F.element_at(F.array(*map(F.lit, ("==", ">=", "~= "))), (F.col("p_partkey") % 3 + 1).cast("int")), F.col("p_size").cast("string"), F.lit(".0 ; python_version > '3'"))
+    return table(s, d, "part").groupBy(F.concat("p_brand", F.lit("/requirements.txt")).alias("path")).agg(F.concat(F.lit("# made\n-r x.txt\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("content"))
+
+
+_NAMES = ["Cargo.toml", "package.json", "readme.md", "go.sum", "Cargo.tom"]
+_AT = lambda key, values: F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def _tree(s, d):
+    """Pages as files of projects: a project a language and host, its marker, files of four languages."""
+    p = table(s, d, "pages")
+    root = F.concat(F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("/"), (F.col("page_id") % 3).cast("string"))
+    return p.select(F.concat(root, F.lit("/f"), F.col("page_id").cast("string"), _AT("page_id", [".py", ".rs", ".py", ".txt", ".go", ".go", ".go"])).alias("path")).union(p.select(F.concat(root, F.lit("/.git/HEAD"))).distinct())
+
+
 _FIXTURE = [
     ("a/Cargo.lock", '[[package]]\nname = "serde"\nversion = "1.0.1"\n\n[[package]]\nname = "tokio"\nversion = "1.2.0"\n'),
     ("b/package.json", '{"dependencies": {"left-pad": "^1.0"}, "devDependencies": {"jest": "29"}}'),
@@ -186,18 +210,18 @@ QUERIES = {
     "s04_file_hash": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash")),
     "s02_scan": lambda s, d: scan(table(s, d, "documents").select(F.format_string("%06d", "doc_id").alias("path"), F.octet_length("text").cast("long").alias("length")), 300, 400_000),
     "s12_append": lambda s, d: nodes(s, d).where("node_type = 'Class'").unionByName(nodes(s, d).where("node_type = 'Module'")).groupBy("node_type").agg(F.count("*").alias("n")),
-    "s20_manifests": lambda s, d: dependencies(s.createDataFrame(_FIXTURE, "path string, content string")),
-    "s21_manifest_discovery": lambda s, d: s.createDataFrame(_FIXTURE, "path string, content string").where(F.element_at(F.split("path", "/"), -1).isin(list(MANIFESTS))).select("path"),
-    "s22_projects": lambda s, d: discover_projects(s.createDataFrame([("p/.git/HEAD",), ("p/a.py",), ("p/b.py",), ("p/c.rs",), ("q/x/.git/HEAD",), ("q/x/m.go",), ("q/y.js",)], "path string")),
-    "a06_fingerprint": lambda s, d: fingerprint(nodes(s, d)).select("n"),
+    "s20_manifests": lambda s, d: dependencies(_requirements(s, d)),
+    "s21_manifest_discovery": lambda s, d: table(s, d, "pages").select(F.concat("url", F.lit("/"), _AT("page_id", _NAMES)).alias("path")).where(F.element_at(F.split("path", "/"), -1).isin(list(MANIFESTS))).select("path"),
+    "s22_projects": lambda s, d: discover_projects(_tree(s, d)),
+    "a06_fingerprint": lambda s, d: portable_fingerprint(nodes(s, d)),
 }
 SQL = {
     "s03_skip_dirs": "SELECT page_id, page_id % 3 <> 1 AS skipped FROM pages",
     "s04_file_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "s02_scan": "SELECT path, length FROM (SELECT printf('%06d', doc_id) AS path, strlen(text) AS length, sum(strlen(text)) OVER (ORDER BY doc_id) AS t FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 300)) WHERE t <= 400000",
     "s12_append": sql("SELECT node_type, count(*) AS n FROM nodes WHERE node_type IN ('Class', 'Module') GROUP BY 1", NODES),
-    "s20_manifests": "SELECT * FROM (VALUES ('a/Cargo.lock', 'serde', '1.0.1', 'cargo'), ('a/Cargo.lock', 'tokio', '1.2.0', 'cargo'), ('b/package.json', 'left-pad', '^1.0', 'npm'), ('b/package.json', 'jest', '29', 'npm'), ('c/requirements.txt', 'numpy', '2.0', 'python'), ('c/requirements.txt', 'pandas', '1.5', 'python'), ('c/requirements.txt', 'requests', '*', 'python'), ('d/go.sum', 'github.com/a/b', 'v1.2.3', 'go'), ('e/Gemfile.lock', 'rails', '7.0.1', 'ruby'), ('e/Gemfile.lock', 'rack', '2.2.3', 'ruby'), ('f/pyproject.toml', 'flask', '2.0', 'python'), ('f/pyproject.toml', 'click', '*', 'python'), ('f/pyproject.toml', 'attrs', '22.1', 'python'), ('i/composer.lock', 'a/b', '1.0', 'composer'), ('j/yarn.lock', 'lodash', '4.17.21', 'npm')) t(path, name, version, ecosystem)",
-    "s21_manifest_discovery": "SELECT * FROM (VALUES ('a/Cargo.lock'), ('b/package.json'), ('c/requirements.txt'), ('d/go.sum'), ('e/Gemfile.lock'), ('f/pyproject.toml'), ('g/package-lock.json'), ('i/composer.lock'), ('j/yarn.lock')) t(path)",
-    "s22_projects": "SELECT * FROM (VALUES ('p', 'python', 2::BIGINT), ('q/x', 'go', 1::BIGINT)) t(root, language, n)",
-    "a06_fingerprint": sql("SELECT count(*) AS n FROM nodes", NODES),
+    "s20_manifests": "SELECT p_brand || '/requirements.txt' AS path, 'pkg-' || p_partkey AS name, p_size || '.0' AS version, 'python' AS ecosystem FROM part",
+    "s21_manifest_discovery": f"SELECT url || '/' || f AS path FROM (SELECT url, {_NAMES}[page_id % {len(_NAMES)} + 1] AS f FROM pages) WHERE f IN ({', '.join(repr(m) for m in MANIFESTS)})",
+    "s22_projects": "SELECT root, language, n FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY n DESC, language) AS r FROM (SELECT regexp_extract(url, '://([^/?#]*)', 1) || '/' || (page_id % 3) AS root, ['python', 'rust', 'python', NULL, 'go', 'go', 'go'][page_id % 7 + 1] AS language, count(*) AS n FROM pages GROUP BY 1, 2) WHERE language IS NOT NULL) WHERE r = 1",
+    "a06_fingerprint": sql("SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) AS total, bit_xor(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS mixed FROM (SELECT md5(concat_ws('|', node_id, node_type, name, complexity, language, project_id, file_path)) AS h FROM nodes)", NODES),
 }
