@@ -16,7 +16,7 @@ into segments that each differ by at most one bit often enough (`_shape`): segme
 logarithm of the number of rows, so that unlike texts rarely meet, and there are so many of them that a pair at 0.8 shares a one-wildcard
 variant with a probability of `recall`. Who shares one is compared by 64 bits of the fingerprint; of a small group all near
 pairs are taken, of a larger one the least spanning tree, which leaves a path of nearer pairs for each
-pair that it leaves out. All pairs taken are verified on the texts by their exact similarity.
+pair that it leaves out. Pairs taken are compared by the whole fingerprint, and the rest verified on the texts by their exact similarity.
 
 Defined cases: null text has no words; no words: fingerprint zero, linked like any other; fewer words than a shingle has: the
 whole sequence is the one shingle; null ids come after all others; rows without an id or that share one are rows like others; columns other than the two
@@ -181,7 +181,7 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def _shape(rows: int, similarity: float, recall: float) -> tuple[int, int]:
     """(bits of a segment, segments)"""
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = max(18, math.ceil(math.log2(max(rows, 2))) - 1)
+    bits = max(16, math.ceil(math.log2(max(rows, 2))) - 2)
     hit = (1 - differ) ** bits + bits * differ * (1 - differ) ** (bits - 1)
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
@@ -221,7 +221,7 @@ def _variants(batches, bits: int, segments: int):
         for k in range(segments):
             own = one[:, k * bits : (k + 1) * bits].astype(np.uint64) @ weight
             for i in range(bits):
-                sig = tk.mix((own & ~(U(1) << U(i))) ^ tk.mix(np.full(len(own), k * 64 + i, np.uint64)))
+                sig = own & ~(U(1) << U(i)) | U(k * bits + i << bits)  # segment, wildcarded bit and the other bits
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cls), pa.array(near)], names=["_sig", "_cls", "_near"])
 
 
@@ -251,14 +251,14 @@ def _candidates_of(sig: np.ndarray, cls: np.ndarray, near: np.ndarray, most: int
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     size = np.diff(np.r_[first, len(sig)])
     run, out, o = np.repeat(size, size), [], 1
-    small = np.flatnonzero((run > 1) & (run <= 8))
+    small = np.flatnonzero((run > 1) & (run <= 64))
     while len(small):
         small = small[small + o < len(sig)]
         small = small[sig[small] == sig[small + o]]
         ok = small[np.bitwise_count(u[small] ^ u[small + o]) <= most]
         out.append((cls[ok], cls[ok + o]))
         o += 1
-    for f, n in zip(first[size > 8].tolist(), size[size > 8].tolist()):
+    for f, n in zip(first[size > 64].tolist(), size[size > 64].tolist()):
         x, y = _tree(u[f : f + n], most)
         out.append((cls[f + x], cls[f + y]))
     a, b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in out)]) for k in (0, 1))
@@ -307,8 +307,16 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
     dealt = classes.repartition(parts, "_cls")  # a class has bits * segments rows next
     signed = dealt.mapInArrow(lambda x: _variants(x, bits, segments), "_sig long, _cls long, _near long").repartition(parts, "_sig").sortWithinPartitions("_sig")
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = math.ceil(64 * differ + 3 * math.sqrt(64 * differ * (1 - differ)))
-    pairs = signed.mapInArrow(lambda x: _by_signature(x, most), "_a long, _b long").distinct().checkpoint()
+    most = lambda n: math.ceil(n * differ + 2.5 * math.sqrt(n * differ * (1 - differ)))  # noqa: E731  of n bits, for all but one pair in a hundred
+    pairs = signed.mapInArrow(lambda x: _by_signature(x, most(64)), "_a long, _b long").distinct()
+
+    def nearer(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, wide) for c in ("_x", "_y"))
+            yield b.select(["_a", "_b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most(64 * wide)))
+
+    both = pairs.join(classes.select(F.col("_cls").alias("_a"), F.col("_fp").alias("_x")), "_a").join(classes.select(F.col("_cls").alias("_b"), F.col("_fp").alias("_y")), "_b")
+    pairs = both.select("_a", "_b", "_x", "_y").mapInArrow(nearer, "_a long, _b long").checkpoint()
     held = pairs.select(F.col("_a").alias("_cls")).union(pairs.select("_b")).distinct().checkpoint()
 
     def picked(batches, known):
