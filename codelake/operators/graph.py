@@ -200,6 +200,7 @@ def _rsql(body: str, *views: str) -> str:
 
 _RISK = {"remove": "CASE WHEN nodes > 5 OR files > 3 THEN 'high' WHEN nodes > 0 THEN 'medium' ELSE 'low' END", "edit": "CASE WHEN files > 3 THEN 'high' WHEN files > 1 THEN 'medium' ELSE 'low' END"}
 RING = "ring AS (SELECT src, dst FROM edges WHERE edge_type IN ('Import', 'Containment', 'Inheritance') UNION SELECT 'n' || n_nationkey, 'r0' FROM nation)"
+CYCLIC = "SELECT DISTINCT a.src AS node_id FROM ring a WHERE a.src = a.dst UNION SELECT a.src FROM ring a JOIN ring b ON b.src = a.dst WHERE b.dst = a.src UNION SELECT a.src FROM ring a JOIN ring b ON b.src = a.dst JOIN ring c ON c.src = b.dst WHERE c.dst = a.src"
 _IMP = lambda start, change: _rsql(f"SELECT *, {_RISK[change]} AS risk FROM (SELECT count(*) AS nodes, count(DISTINCT file_path) AS files FROM (SELECT node_id FROM r WHERE depth > 0 UNION SELECT node_id FROM b WHERE depth > 0) x JOIN nodes USING (node_id))", NODES, EDGES, _rec(f"'{start}'", 5), _rec(f"'{start}'", 5, True, "b"))
 SQL = {
     "g01_forward": _rsql("SELECT * FROM r", EDGES, _rec("'c1'", 3)),
@@ -216,7 +217,7 @@ SQL = {
         NODES, EDGES, _rec("'Brand#12'", 5).replace("SELECT unnest(['Brand#12']), 0", "SELECT node_id, 0 FROM nodes WHERE file_path = 'Brand#12'"), _rec("'Brand#12'", 5, True, "b").replace("SELECT unnest(['Brand#12']), 0", "SELECT node_id, 0 FROM nodes WHERE file_path = 'Brand#12'"),
     ),
     "g11_rename_impact": _rsql("SELECT DISTINCT file_path FROM (SELECT node_id FROM r UNION SELECT node_id FROM b) JOIN nodes USING (node_id)", NODES, EDGES, _rec("'o7'", 5), _rec("'o7'", 5, True, "b")),
-    "g12_import_cycles": sql("SELECT DISTINCT a.src AS node_id FROM ring a WHERE a.src = a.dst UNION SELECT a.src FROM ring a JOIN ring b ON b.src = a.dst WHERE b.dst = a.src UNION SELECT a.src FROM ring a JOIN ring b ON b.src = a.dst JOIN ring c ON c.src = b.dst WHERE c.dst = a.src", EDGES, RING),
+    "g12_import_cycles": sql(CYCLIC, EDGES, RING),
     "g13_undefined": sql("SELECT edge_type, count(*) AS n FROM edges WHERE dst NOT IN (SELECT node_id FROM nodes WHERE node_type <> 'Class') GROUP BY 1", NODES, EDGES),
     "g14_propagation": _rsql("SELECT node_id FROM r WHERE depth > 0", PROJECTS, DEPS, "rev AS (SELECT depends_on AS src, project_id AS dst FROM deps)", _rec("'n20'", 4, where="true", table="rev")),
     "g15_dependents": sql("SELECT DISTINCT project_id FROM deps WHERE depends_on = 'n20'", PROJECTS, DEPS),

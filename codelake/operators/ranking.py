@@ -121,7 +121,6 @@ QUERIES = {
     "o05_page": _docs(lambda t: page(t.select("doc_id", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], 20, 10)),
     "o07_phase_selection": lambda s, d: nodes(s, d).orderBy(F.desc("complexity"), "node_id").limit(10).select("node_id", "complexity"),
     "o08_sorted_targets": lambda s, d: edges(s, d).where("edge_type = 'Call' and src like 'p%'").groupBy("src").agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("targets")),
-    "u01_candidates": _docs(lambda t: t.where(F.array_contains(_TOK(), "the")).select("doc_id").union(t.where("n_chars > 5000").select("doc_id")).distinct()),
     "u02_intersect": _docs(lambda t: all_of(t.select("doc_id", F.explode(F.array_distinct(_TOK())).alias("w")), "doc_id", "w", ["the", "and", "of"])),
     "u03_overlap": _docs(lambda t: t.select("doc_id", F.round(overlap(F.array(*[F.lit(x) for x in ("the", "and", "nothing")]), _TOK()), 6).alias("share"))),
     "u04_both_ways": lambda s, d: edges(s, d).where("src = 'p5'").select(F.col("dst").alias("n")).union(edges(s, d).where("dst = 'p5'").select("src")).distinct().where("n <> 'p5'"),
@@ -150,7 +149,6 @@ SQL = {
     "o05_page": "SELECT doc_id, n_chars, (SELECT count(*) FROM documents) > 30 AS has_more FROM documents ORDER BY n_chars DESC, doc_id LIMIT 10 OFFSET 20",
     "o07_phase_selection": sql("SELECT node_id, complexity FROM nodes ORDER BY complexity DESC, node_id LIMIT 10", NODES),
     "o08_sorted_targets": sql("SELECT src, string_agg(DISTINCT dst, ',' ORDER BY dst) AS targets FROM edges WHERE edge_type = 'Call' AND src LIKE 'p%' GROUP BY 1", EDGES),
-    "u01_candidates": r"SELECT doc_id FROM documents WHERE n_chars > 5000 OR list_contains(regexp_split_to_array(text, '[ \n\t\r]+'), 'the')",
     "u02_intersect": r"SELECT doc_id FROM documents WHERE list_contains(regexp_split_to_array(text, '[ \n\t\r]+'), 'the') AND list_contains(regexp_split_to_array(text, '[ \n\t\r]+'), 'and') AND list_contains(regexp_split_to_array(text, '[ \n\t\r]+'), 'of')",
     "u03_overlap": r"SELECT doc_id, round((CASE WHEN list_contains(w, 'the') THEN 1 ELSE 0 END + CASE WHEN list_contains(w, 'and') THEN 1 ELSE 0 END + CASE WHEN list_contains(w, 'nothing') THEN 1 ELSE 0 END) / 3, 6) AS share FROM (SELECT doc_id, regexp_split_to_array(text, '[ \n\t\r]+') AS w FROM documents)",
     "u04_both_ways": sql("SELECT DISTINCT n FROM (SELECT dst AS n FROM edges WHERE src = 'p5' UNION SELECT src FROM edges WHERE dst = 'p5') WHERE n <> 'p5'", EDGES),

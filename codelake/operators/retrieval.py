@@ -194,11 +194,13 @@ def incremental(index: DataFrame, removed: DataFrame, added: DataFrame, key: str
 
 
 def coherence(index: DataFrame, postings: DataFrame, key: str) -> DataFrame:
-    """Counts of what should be zero: postings without a row, rows without a posting, ids that repeat."""
+    """Counts of what should be zero: postings without a row, rows without a posting, ids that repeat, rows without an id, postings that repeat."""
     dead = postings.join(index.select(key), key, "left_anti").agg(F.count("*").alias("dead_postings"))
     bare = index.join(postings.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("rows_without_postings"))
     twice = index.groupBy(key).count().where("count > 1").agg(F.count("*").alias("repeated"))
-    return dead.join(bare, F.lit(True)).join(twice, F.lit(True))  # three single rows
+    null = index.where(F.col(key).isNull()).agg(F.count("*").alias("without_id"))
+    pairs = postings.groupBy(*postings.columns).count().where("count > 1").agg(F.count("*").alias("repeated_postings"))
+    return dead.join(bare, F.lit(True)).join(twice, F.lit(True)).join(null, F.lit(True)).join(pairs, F.lit(True))  # five single rows
 
 
 def _parts(s, d) -> DataFrame:
@@ -268,6 +270,22 @@ def _semantic(s, d):
     return semantic_search(v, v.where("vec_id = 11"), 15)
 
 
+def _broken(s, d):
+    """An index with rows that repeat or lack an id, and postings without a row or twice."""
+    p = _parts(s, d)
+    rows = p.where("complexity > 5").select(F.when(F.col("complexity") != 30, F.col("node_id")).alias("node_id")).unionByName(p.where("complexity > 45").select("node_id"))
+    return rows, p.where("complexity > 7 or complexity < 3").unionByName(p.where("complexity = 8")).select("node_id", F.explode("tokens").alias("t"))
+
+
+def _cascades(s, d):
+    """Three names asked for: an id, a name, a part of a name."""
+    out = None
+    for asked in ("c12", "Customer#000000012", "#00000012"):
+        one = cascade(nodes(s, d), [F.col("node_id") == asked, F.col("name") == asked, F.col("name").contains(asked)], F.when(F.col("node_type") == "Module", 1).otherwise(0), "node_id").select(F.lit(asked).alias("asked"), "node_id", "tier")
+        out = one if out is None else out.union(one)
+    return out
+
+
 _TS = lambda: text_score("a", F.col("name"), F.col("path"), F.col("tokens"), ["red", "bolt"])
 QUERIES = {
     "r03_intent": lambda s, d: _conv(s, d).select("conv_id", "turn", intent(F.col("q")).alias("intent")),
@@ -287,9 +305,9 @@ QUERIES = {
     "r19_semantic_only": _semantic,
     "u01_candidates": _candidates,
     "r23_incremental": lambda s, d: incremental(_parts(s, d).select("node_id", "complexity"), _parts(s, d).where("complexity = 7").select("node_id"), _parts(s, d).where("complexity = 9").select("node_id", (F.col("complexity") + 100).alias("complexity")), "node_id").groupBy("complexity").agg(F.count("*").alias("n")),
-    "r24_coherence": lambda s, d: coherence(_parts(s, d).where("complexity > 5"), _parts(s, d).where("complexity > 7").select("node_id", F.explode("tokens").alias("t")), "node_id"),
+    "r24_coherence": lambda s, d: coherence(_broken(s, d)[0], _broken(s, d)[1], "node_id"),
     "r25_fuzzy_node": lambda s, d: _parts(s, d).withColumn("score", F.when(F.col("name").contains("bolt"), 100).otherwise(0) + F.when(F.col("node_id").contains("7"), 50).otherwise(0) + F.least(F.col("complexity"), F.lit(50))).orderBy(F.desc("score"), "node_id").limit(1).select("node_id", "score"),
-    "r26_cascade": lambda s, d: cascade(nodes(s, d), [F.col("node_id") == "Customer#000000012", F.col("name") == "Customer#000000012", F.col("name").contains("Customer#000000012")], F.when(F.col("node_type") == "Module", 1).otherwise(0), "node_id").select("node_id", "tier"),
+    "r26_cascade": lambda s, d: _cascades(s, d),
     "r27_name_in_file": lambda s, d: cascade(nodes(s, d), [(F.col("name") == "NATION_3") & (F.col("file_path") == "r9"), F.col("name") == "NATION_3", F.lower("name") == "nation_3"], "node_id").select("node_id", "tier"),
     "v13_tfidf_fit": lambda s, d: _vocab(s, d).select("token", F.round("idf", 6).alias("idf")),
     "v14_tfidf_transform": lambda s, d: _weights(s, d).groupBy("doc").agg(F.count("*").alias("n"), F.round(F.max("weight"), 6).alias("top")),
@@ -335,9 +353,9 @@ SQL = {
     "r19_semantic_only": f"SELECT CAST(row_number() OVER (ORDER BY score DESC, doc) AS INTEGER) AS rank, doc, score FROM (SELECT v.vec_id AS doc, {_SIM} AS score FROM embeddings v JOIN embeddings q ON q.vec_id = 11 ORDER BY score DESC, doc LIMIT 15) WHERE score >= 0.05",
     "u01_candidates": sql("SELECT doc, bool_or(b = 'p') AS by_postings, bool_or(b = 'v') AS by_vector, bool_or(b = 'f') AS by_fragment FROM found GROUP BY 1", _TFIDF, _FOUND),
     "r23_incremental": "SELECT CASE WHEN p_size = 9 THEN 109 ELSE p_size END AS complexity, count(*) AS n FROM part WHERE p_size <> 7 GROUP BY 1",
-    "r24_coherence": "SELECT 0::BIGINT AS dead_postings, count(*) FILTER (WHERE p_size > 5 AND p_size <= 7) AS rows_without_postings, 0::BIGINT AS repeated FROM part",
+    "r24_coherence": sql("SELECT (SELECT count(*) FROM p WHERE node_id NOT IN (SELECT node_id FROM x WHERE node_id IS NOT NULL)) AS dead_postings, (SELECT count(*) FROM x WHERE node_id IS NULL OR node_id NOT IN (SELECT node_id FROM p)) AS rows_without_postings, (SELECT count(*) FROM (SELECT node_id FROM x GROUP BY 1 HAVING count(*) > 1)) AS repeated, (SELECT count(*) FROM x WHERE node_id IS NULL) AS without_id, (SELECT count(*) FROM (SELECT node_id, t FROM p GROUP BY 1, 2 HAVING count(*) > 1)) AS repeated_postings", PARTS, "x AS (SELECT CASE WHEN complexity = 30 THEN NULL ELSE node_id END AS node_id FROM parts WHERE complexity > 5 UNION ALL SELECT node_id FROM parts WHERE complexity > 45)", "p AS (SELECT node_id, unnest(tokens) AS t FROM parts WHERE complexity > 7 OR complexity < 3 UNION ALL SELECT node_id, unnest(tokens) FROM parts WHERE complexity = 8)"),
     "r25_fuzzy_node": sql("SELECT node_id, CASE WHEN contains(name, 'bolt') THEN 100 ELSE 0 END + CASE WHEN contains(node_id, '7') THEN 50 ELSE 0 END + least(complexity, 50) AS score FROM parts ORDER BY score DESC, node_id LIMIT 1", PARTS),
-    "r26_cascade": sql("SELECT node_id, 1 AS tier FROM nodes WHERE name = 'Customer#000000012' ORDER BY node_id LIMIT 1", NODES),
+    "r26_cascade": sql("SELECT asked, node_id, tier FROM (SELECT a.asked, node_id, tier, row_number() OVER (PARTITION BY a.asked ORDER BY tier, CASE WHEN node_type = 'Module' THEN 1 ELSE 0 END, node_id) AS r FROM (SELECT asked, n.node_id, n.node_type, CASE WHEN node_id = asked THEN 0 WHEN name = asked THEN 1 WHEN contains(name, asked) THEN 2 END AS tier FROM nodes n, (VALUES ('c12'), ('Customer#000000012'), ('#00000012')) t(asked)) a WHERE tier IS NOT NULL) WHERE r = 1", NODES),
     "r27_name_in_file": sql("SELECT node_id, CASE WHEN name = 'NATION_3' THEN 1 ELSE 2 END AS tier FROM nodes WHERE lower(name) = 'nation_3' ORDER BY 2, 1 LIMIT 1", NODES),
     "v13_tfidf_fit": sql("SELECT token, round(idf, 6) AS idf FROM v", _TFIDF),
     "v14_tfidf_transform": sql("SELECT doc, count(*) AS n, round(max(w) / sqrt(sum(w * w)), 6) AS top FROM (SELECT k.doc, k.k / t.total * v.idf AS w FROM k JOIN v USING (token) JOIN (SELECT doc, sum(k) AS total FROM k GROUP BY 1) t USING (doc)) GROUP BY 1", _TFIDF),

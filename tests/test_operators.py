@@ -184,3 +184,102 @@ def test_save_replaces_only_its_projects(spark, tmp_path):
     files.save_by_project(df, str(tmp_path / "s"))
     files.save_by_project(spark.createDataFrame([("b", 2)], df.schema), str(tmp_path / "s"))
     assert {(r.project_id, r.v) for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {("a", 1), ("b", 2)}
+
+
+MANIFESTS = {
+    "a/Cargo.lock": ('[[package]]\nname = "serde"\nversion = "1.0.1"\n\n[[package]]\nname = "tokio"\nversion = "1.2.0"\n', [("serde", "1.0.1"), ("tokio", "1.2.0")]),
+    "a/Cargo.toml": ('[package]\nname = "x"\n[dependencies]\nserde = "1.0"\ntokio = { version = "1.2", features = ["full"] }\n', [("serde", "1.0"), ("tokio", "1.2")]),
+    "b/package.json": ('{"dependencies": {"left-pad": "^1.0"}, "devDependencies": {"jest": "29"}}', [("left-pad", "^1.0"), ("jest", "29")]),
+    "b/package-lock.json": ('{"packages": {"": {}, "node_modules/a": {"version": "1.0.0"}, "node_modules/a/node_modules/@s/b": {"version": "2.0.0"}}}', [("a", "1.0.0"), ("@s/b", "2.0.0")]),
+    "c/requirements.txt": ("# comment\nnumpy==2.0\npandas>=1.5 ; python_version > '3'\n-r other.txt\nrequests\n", [("numpy", "2.0"), ("pandas", "1.5"), ("requests", "*")]),
+    "c/Pipfile.lock": ('{"default": {"flask": {"version": "==2.0"}}, "develop": {"pytest": {"version": "==8.0"}}}', [("flask", "2.0"), ("pytest", "8.0")]),
+    "c/poetry.lock": ('[[package]]\nname = "click"\nversion = "8.1"\n', [("click", "8.1")]),
+    "d/go.sum": ("github.com/a/b v1.2.3 h1:x\ngithub.com/a/b v1.2.3/go.mod h1:y\n", [("github.com/a/b", "v1.2.3")]),
+    "d/go.mod": ("module x.org/y\n\nrequire (\n\tgithub.com/a/b v1.2.3\n\tgolang.org/x/z v0.1.0 // indirect\n)\n", [("github.com/a/b", "v1.2.3"), ("golang.org/x/z", "v0.1.0")]),
+    "e/Gemfile.lock": ("GEM\n  specs:\n    rails (7.0.1)\n      rack (>= 2)\n    rack (2.2.3)\n", [("rails", "7.0.1"), ("rack", "2.2.3")]),
+    "f/pyproject.toml": ('[project]\ndependencies = ["flask>=2.0", "click"]\n[tool.poetry.dependencies]\npython = "^3.9"\nattrs = "^22.1"\n', [("flask", "2.0"), ("click", "*"), ("attrs", "22.1")]),
+    "g/package-lock.json": ("{broken", []), "h/notes.txt": ("numpy==1", []),
+    "i/composer.lock": ('{"packages": [{"name": "a/b", "version": "1.0"}]}', [("a/b", "1.0")]), "j/yarn.lock": ('lodash@^4.0.0:\n  version "4.17.21"\n', [("lodash", "4.17.21")]),
+    "k/pnpm-lock.yaml": ("packages:\n  /lodash@4.17.21:\n    resolution: {}\n  '@s/b@2.0.0':\n    dev: true\n", [("lodash", "4.17.21"), ("@s/b", "2.0.0")]),
+    "l/bun.lock": ('{"packages": {"a": ["a@1.0.0", ""], "@s/b": ["@s/b@2.1.0", ""]}}', [("a", "1.0.0"), ("@s/b", "2.1.0")]),
+}
+
+
+@pytest.mark.parametrize("path", sorted(MANIFESTS))
+def test_manifests_of_each_ecosystem(path):
+    content, want = MANIFESTS[path]
+    assert sorted(files.parse_manifest(path.rsplit("/", 1)[-1], content)) == sorted(want)
+
+
+def test_manifests_as_rows(spark):
+    got = files.dependencies(spark.createDataFrame([(p, c) for p, (c, _) in MANIFESTS.items()], "path string, content string"))
+    assert sorted((r.path, r.name, r.version) for r in got.collect()) == sorted((p, *x) for p, (_, w) in MANIFESTS.items() for x in w)
+
+
+LANGUAGES = [
+    ("c.js", "javascript", "import {x} from 'lib'\nclass Dog extends Animal {}\nfunction bark(a, b) { if (a) { woof(b) } }\n"), ("d.go", "go", "type T struct {}\nfunc (t T) Do(x int) { helper(x) }\n"),
+    ("e.rs", "rust", "use std::fmt;\nstruct P;\nfn go(p: &P) -> u8 { if true { stop() } 1 }\n"), ("b.py", "python", "def broken(:\n"), ("n.py", "python", None), ("deep.py", "python", "x = " + "(" * 5000 + ")" * 5000),
+]
+
+
+def test_parsers_of_other_languages_and_of_broken_texts(spark):
+    got = extraction.parse(spark.createDataFrame(LANGUAGES, "path string, language string, content string")).collect()
+    assert sorted((r.path, r.qname, len(r.params)) for r in got if r.error is None) == [("c.js", "Dog", 0), ("c.js", "bark", 2), ("d.go", "Do", 1), ("d.go", "T", 0), ("e.rs", "P", 0), ("e.rs", "go", 1)]
+    assert {r.path for r in got if r.error} == {"b.py", "deep.py"}
+
+
+def test_syntax_of_nulls_and_deep_nesting(spark):
+    df = spark.createDataFrame([(1, None), (2, "x = 1"), (3, "def broken(:"), (4, "x = " + "(" * 5000 + ")" * 5000), (5, "a\x00b")], "i int, t string")
+    assert {r.i: r.ok for r in df.select("i", extraction.valid_syntax(F.col("t")).alias("ok")).collect()} == {1: False, 2: True, 3: False, 4: False, 5: False}
+
+
+def test_status_records():
+    assert extraction.git_status("1 .M N... 100644 100644 100644 aa bb a b.py\0? n.txt\0") == [(".M", "a b.py"), ("?", "n.txt")]
+    assert extraction.git_status("2 R. N... 1 1 1 a b R100 new name\0old\0! x\0") == [("R.", "new name"), ("!", "x")]
+
+
+def test_newest_row_of_a_batch_stays(spark, tmp_path):
+    spark.createDataFrame([("a", 1, "old"), ("a", 3, "new"), ("a", 2, "mid"), ("b", 1, "x")], "path string, seq int, v string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    incremental.watch(spark, str(tmp_path / "in"), "path string, seq int, v string", str(tmp_path / "out"), str(tmp_path / "ck"), once=True, order="seq").awaitTermination(60)
+    assert {(r.path, r.v) for r in incremental.latest(spark, str(tmp_path / "out")).collect()} == {("a", "new"), ("b", "x")}
+
+
+def test_ranks_of_a_range_shuffle_are_dense(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
+    assert sorted(r.place for r in ranking.numbered(df, ["x"], 16).collect()) == list(range(1000))
+    assert all(r.place == r.x for r in ranking.numbered(df, ["x"], 16).collect())
+
+
+def test_calls_by_suffix_and_not_by_common_names(spark):
+    symbols = spark.createDataFrame([("1", "a.b.load"), ("2", "c.b.load"), ("3", "a.new"), ("4", "z.helper")], "node_id string, qname string")
+    calls = spark.createDataFrame([("x", "a.b.load"), ("y", "b.load"), ("z", "q.helper"), ("u", "q.new"), ("v", "helper")], "caller string, target string")
+    got = {(r.caller, r.node_id, r.how) for r in joins.resolve_calls(calls, symbols).collect()}
+    assert got == {("x", "1", "direct"), ("x", "2", "direct"), ("y", "1", "direct"), ("y", "2", "direct"), ("z", "4", "last"), ("v", "4", "direct")}
+
+
+def test_ranked_imports_against_all_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    symbols = [(f"s{i:03}", ".".join(r.choice("abc") for _ in range(r.randint(1, 4))), r.choice(["py", "rs", None]), r.choice(["Module", "Function"])) for i in range(200)]
+    imports = [(i, ".".join(r.choice("abc") for _ in range(r.randint(1, 3))), r.choice(["py", "rs", "go"])) for i in range(60)]
+    want = set()
+    for i, target, lang in imports:
+        scored = []
+        for node, q, language, kind in symbols:
+            if q.split(".")[-1] == target.split(".")[-1]:
+                scored.append((-(300 * (q == target) + 200 * q.endswith("." + target) + 100 + 50 * (language == lang) + 120 * (kind == "Module")), node))
+        want |= {(i, node, -score, k + 1) for k, (score, node) in enumerate(sorted(scored)[:3])}
+    got = joins.ranked_imports(spark.createDataFrame(imports, "importer int, target string, lang string"), spark.createDataFrame(symbols, "node_id string, qname string, language string, node_type string"))
+    assert {(x.importer, x.node_id, x.score, x["rank"]) for x in got.collect()} == want
+
+
+def test_eight_bit_search_finds_nine_of_ten(spark):
+    from codelake.operators import supplement
+    from codelake.plans.views import table
+
+    v = table(spark, "/root/testdata/sf0.01", "embeddings")
+    q = v.where("vec_id % 100 = 0")
+    want = {(r.query_id, r.vec_id) for r in vectors.nearest(v, q, 10).collect()}
+    got = {(r.query_id, r.vec_id) for r in supplement.int8_search(v, q, 10).collect()}
+    assert len(got & want) >= 0.9 * len(want)
