@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .textkit import U
+from .textkit import U, pack_rows as _rows
 
 _RING = U((1 << 30) - 1)
 
@@ -82,11 +82,6 @@ def _ask(table: pa.Table, block: int, buckets: int) -> pa.Table:
     return _rows(rows)
 
 
-def _rows(rows: list) -> pa.Table:
-    cols = list(zip(*rows)) or [[], [], []]
-    return pa.table({"_bucket": pa.array(cols[0], pa.int32()), "_key": pa.array(cols[1], pa.int32()), "_data": pa.array(cols[2], pa.binary())})
-
-
 def _meet(table: pa.Table) -> pa.Table:
     """A bit for each entry of each group: its hash is in the index, and held in more than one place."""
     packs = [np.frombuffer(x, np.uint32) for x in table.column("_data").to_pylist()]
@@ -186,7 +181,7 @@ def _remove(table: pa.Table, answers: pa.Table, window: int) -> pa.Table:
     return pa.table({"_id": ids if len(ids) else pa.array([], pa.int64()), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, group_mb: float = 5) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, group_mb: float = 5, one_hop: int = tk.ONE_HOP) -> DataFrame:
     """A row for each input row: id, n_words, n_removed, kept (the words left, joined by one space).
 
     group_mb: size of a group of texts in file bytes. A task holds one group, about thirty times that.
@@ -194,12 +189,13 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     block = (window + 1) // 2
     groups = tk.group_count(df, group_mb)
     texts = tk.dealt(df.select(F.col(id_col).cast("long").alias("_id"), tk.text_expr(text_col).alias("_text")), groups, "_id", "_text")
-    pack = "_bucket int, _key int, _data binary"
-    asked = texts.groupBy("_key").applyInArrow(lambda t: _ask(t, block, groups), pack)
-    met = asked.groupBy("_bucket").applyInArrow(_meet, pack)
-    windows = texts.groupBy("_key").cogroup(met.groupBy("_key")).applyInArrow(lambda t, a: _ask_windows(t, a, block, window, groups), pack)
-    smaller = windows.groupBy("_bucket").applyInArrow(_meet_windows, pack)
-    out = texts.groupBy("_key").cogroup(smaller.groupBy("_key")).applyInArrow(lambda t, a: _remove(t, a, window), "_id long, n_words long, n_removed long, kept string")
+    x = tk.Exchange(groups, groups, one_hop)
+    grouped = texts.groupBy("_key")
+    asked = x.relay(grouped.applyInArrow(lambda t: x.send(_ask(t, block, groups), "_bucket"), tk.PACK), "_bucket")
+    met = x.relay(asked.groupBy("_bucket").applyInArrow(lambda t: x.send(_meet(x.receive(t, "_bucket")), "_key"), tk.PACK), "_key")
+    windows = grouped.cogroup(met.groupBy("_key")).applyInArrow(lambda t, a: x.send(_ask_windows(t, x.receive(a, "_key"), block, window, groups), "_bucket"), tk.PACK)
+    smaller = x.relay(windows, "_bucket").groupBy("_bucket").applyInArrow(lambda t: x.send(_meet_windows(x.receive(t, "_bucket")), "_key"), tk.PACK)
+    out = grouped.cogroup(x.relay(smaller, "_key").groupBy("_key")).applyInArrow(lambda t, a: _remove(t, x.receive(a, "_key"), window), "_id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("_id", id_col)
 
 

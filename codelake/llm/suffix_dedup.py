@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import textkit as tk
-from .substring_dedup import _meet, _rows
-from .textkit import U
+from .substring_dedup import _meet
+from .textkit import U, pack_rows as _rows
 
 _K = 32
 _PLACE = 26
@@ -449,19 +449,20 @@ def _cut(table: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     return pa.table([ids, *(pa.array(x, k) for x, k in zip((n_bytes, n_removed, n_spans, kept), kinds[1:]))], names=names)
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, group_mb: float = 5, shards_a_group: int = 3) -> DataFrame:
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, group_mb: float = 5, shards_a_group: int = 3, one_hop: int = tk.ONE_HOP) -> DataFrame:
     """A row for each input row: id, n_bytes, n_removed, n_spans, kept (the bytes left)."""
     if length < 2 * _K:
         raise ValueError(f"length must be {2 * _K} at least")
     groups = tk.group_count(df, group_mb)
     shards = groups * shards_a_group
     texts = tk.dealt(df.select(F.col(id_col).cast("long").alias("_id"), tk.text_expr(text_col).alias("_text")), groups, "_id", "_text")
-    pack = "_bucket int, _key int, _data binary"
-    asked = texts.groupBy("_key").applyInArrow(lambda t: _ask(t, length, shards), pack)
-    met = asked.groupBy("_bucket").applyInArrow(_meet, pack)
-    sent = texts.groupBy("_key").cogroup(met.groupBy("_key")).applyInArrow(lambda t, a: _send(t, a, length, shards), pack)
-    earlier = sent.groupBy("_bucket").applyInArrow(lambda t: _resolve(t, length), pack)
-    return texts.groupBy("_key").cogroup(earlier.groupBy("_key")).applyInArrow(lambda t, a: _cut(t, a, length), OUT).withColumnRenamed("_id", id_col)
+    x = tk.Exchange(groups, shards, one_hop)
+    grouped = texts.groupBy("_key")
+    asked = x.relay(grouped.applyInArrow(lambda t: x.send(_ask(t, length, shards), "_bucket"), tk.PACK), "_bucket")
+    met = x.relay(asked.groupBy("_bucket").applyInArrow(lambda t: x.send(_meet(x.receive(t, "_bucket")), "_key"), tk.PACK), "_key")
+    sent = grouped.cogroup(met.groupBy("_key")).applyInArrow(lambda t, a: x.send(_send(t, x.receive(a, "_key"), length, shards), "_bucket"), tk.PACK)
+    earlier = x.relay(sent, "_bucket").groupBy("_bucket").applyInArrow(lambda t: x.send(_resolve(x.receive(t, "_bucket"), length), "_key"), tk.PACK)
+    return grouped.cogroup(x.relay(earlier, "_key").groupBy("_key")).applyInArrow(lambda t, a: _cut(t, x.receive(a, "_key"), length), OUT).withColumnRenamed("_id", id_col)
 
 
 def sha256_of(data: bytes) -> str:

@@ -5,11 +5,16 @@ A word is `[^\\x20\\x09-\\x0D]+`. The separators are ASCII, so words are cut on
 The packed exchange moves facts on billions of n-grams without a row for each: rows are dealt
 into groups by id, a group sends each hash bucket one sorted blob, the bucket answers with one blob
 a group. A key that fills a third of the corpus costs its bucket one entry a group, whatever its count.
+
+Groups and buckets both grow with the corpus, so a blob from each group to each bucket would be rows in their square.
+Beyond `ONE_HOP` groups a blob takes two hops (`Exchange`): a group sends one row to each of the square root of all buckets, a relay for as many
+groups as that sorts them and sends one row a bucket. Rows then grow as groups to the power of 1.5, and are as much larger.
 """
 
 from __future__ import annotations
 
 import math
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +143,65 @@ def unplanes(b: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+ONE_HOP = 1024
+PACK = "_bucket int, _key int, _data binary"
+
+
+def pack_rows(rows: list) -> pa.Table:
+    """(bucket, group, blob)"""
+    cols = list(zip(*rows)) or [[], [], []]
+    return pa.table({"_bucket": pa.array(cols[0], pa.int32()), "_key": pa.array(cols[1], pa.int32()), "_data": pa.array(cols[2], pa.binary())})
+
+
+class Exchange:
+    """Blobs between groups and buckets, in one hop or two. Every send is followed by a relay and received by whoever is named in `to`."""
+
+    def __init__(self, groups: int, buckets: int, one_hop: int = ONE_HOP):
+        self.span = {"_key": math.isqrt(groups - 1) + 1, "_bucket": math.isqrt(buckets - 1) + 1} if groups > one_hop else None
+
+    def send(self, t: pa.Table, to: str) -> pa.Table:
+        """Rows for neighbouring receivers as one."""
+        if self.span is None:
+            return t
+        other, by = ({"_key", "_bucket"} - {to}).pop(), {}
+        for a, o, x in zip(t.column(to).to_pylist(), t.column(other).to_pylist(), t.column("_data").to_pylist()):
+            by.setdefault((a // self.span[to], o), []).append(struct.pack("<iq", a, len(x)) + x)
+        return self._table(to, other, [(a, o, b"".join(x)) for (a, o), x in by.items()])
+
+    def relay(self, df: DataFrame, to: str) -> DataFrame:
+        if self.span is None:
+            return df
+        other = ({"_key", "_bucket"} - {to}).pop()
+        return df.groupBy(to, F.floor(F.col(other) / self.span[other]).alias("_cell")).applyInArrow(lambda t: self._sorted(t, to, other), PACK)
+
+    def _sorted(self, t: pa.Table, to: str, other: str) -> pa.Table:
+        by: dict[int, list[bytes]] = {}
+        for o, x in zip(t.column(other).to_pylist(), t.column("_data").to_pylist()):
+            for a, blob in self._blobs(x):
+                by.setdefault(a, []).append(struct.pack("<iq", o, len(blob)) + blob)
+        cell = t.column(other)[0].as_py() // self.span[other]
+        return self._table(to, other, [(a, cell, b"".join(x)) for a, x in by.items()])
+
+    def receive(self, t: pa.Table, to: str) -> pa.Table:
+        """The rows as they were sent."""
+        if self.span is None:
+            return t
+        other = ({"_key", "_bucket"} - {to}).pop()
+        return self._table(to, other, [(a, o, blob) for a, x in zip(t.column(to).to_pylist(), t.column("_data").to_pylist()) for o, blob in self._blobs(x)])
+
+    @staticmethod
+    def _table(to: str, other: str, rows: list) -> pa.Table:
+        return pack_rows([(a, o, x) if to == "_bucket" else (o, a, x) for a, o, x in rows])
+
+    @staticmethod
+    def _blobs(x: bytes):
+        at = 0
+        while at < len(x):
+            a, n = struct.unpack_from("<iq", x, at)
+            yield a, x[at + 12 : at + 12 + n]
+            at += 12 + n
+
+
 def by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(order that groups entries by bucket and keeps their order, bounds of each bucket)."""
     order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")

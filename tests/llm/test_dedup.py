@@ -33,6 +33,8 @@ def test_substring_dedup_against_brute_force(docs):
     got = [(LAST if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(docs).collect()]
     assert sorted(got) == sorted(want)
     assert sum(x[2] for x in want) > 300
+    got = [(LAST if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.substring_dedup(docs, one_hop=0).collect()]
+    assert sorted(got) == sorted(want)  # through relays
 
 
 @pytest.mark.parametrize("length", [64, 100])
@@ -52,10 +54,27 @@ def test_suffix_dedup_against_brute_force(docs, length):
         gone = gone[: len(t)]
         spans = int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(t) else 0
         want.append((i, len(t), int(gone.sum()), spans, bytes(np.frombuffer(t, np.uint8)[~gone])))
-    got = [(LAST if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(docs, length=length).collect()]
+    got = [(LAST if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.suffix_dedup(docs, length=length, one_hop=0 if length == 64 else 1024).collect()]
     assert sorted(got) == sorted(want)
 
 
+def test_blobs_arrive_through_relays_in_fewer_rows():
+    groups = buckets = 400
+    x = textkit.Exchange(groups, buckets)
+    assert x.span is None and textkit.Exchange(2000, 6000).span == {"_key": 45, "_bucket": 78}
+    x = textkit.Exchange(groups, buckets, one_hop=0)
+    sent = [x.send(textkit.pack_rows([(b, k, bytes([b % 251, k % 251])) for b in range(buckets)]), "_bucket") for k in range(groups)]
+    assert sum(len(t) for t in sent) == groups * 20
+    cells: dict = {}
+    for t in sent:
+        for r in t.to_pylist():
+            cells.setdefault((r["_bucket"], r["_key"] // 20), []).append((r["_bucket"], r["_key"], r["_data"]))
+    relayed = [x._sorted(textkit.pack_rows(rows), "_bucket", "_key") for rows in cells.values()]
+    assert sum(len(t) for t in relayed) == buckets * 20
+    got = {(r["_bucket"], r["_key"]): r["_data"] for t in relayed for r in x.receive(t, "_bucket").to_pylist()}
+    assert got == {(b, k): bytes([b % 251, k % 251]) for b in range(buckets) for k in range(groups)}
+
+
 def test_suffix_dedup_of_long_and_repetitive_texts(spark):
     """A passage past 64 MiB, a text of one letter and a text of one line again and again."""
     rng = np.random.default_rng(9)
