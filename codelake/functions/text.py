@@ -237,9 +237,9 @@ _CODEW = "SELECT DISTINCT unnest(regexp_split_to_array(translate(text, 'ABCDEFGH
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _KEPT = rf"list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g') NOT IN ({_STOP}) AND strlen(regexp_replace(lower(w), '^[^\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+$', '', 'g')) > 1)"
 _STEM = r"""SELECT word, CASE WHEN length(word) <= 3 THEN word
-WHEN ends_with(word, 'ing') THEN CASE WHEN length(word) >= 5 AND substr(word, length(word) - 3, 1) = substr(word, length(word) - 4, 1) AND NOT regexp_matches(substr(word, length(word) - 3, 1), '[aeiou]') THEN substr(word, 1, length(word) - 4) WHEN regexp_matches(substr(word, 1, length(word) - 3), '[aeiou][^aeiou]$') THEN substr(word, 1, length(word) - 3) || 'e' ELSE substr(word, 1, length(word) - 3) END
+WHEN ends_with(word, 'ing') THEN CASE WHEN length(word) >= 5 AND substr(word, length(word) - 3, 1) = substr(word, length(word) - 4, 1) AND NOT regexp_matches(substr(word, length(word) - 3, 1), '[aeiouAEIOU]') THEN substr(word, 1, length(word) - 4) WHEN regexp_matches(substr(word, 1, length(word) - 3), '[aeiouAEIOU][^aeiouAEIOU]$') THEN substr(word, 1, length(word) - 3) || 'e' ELSE substr(word, 1, length(word) - 3) END
 WHEN ends_with(word, 'ied') AND length(word) > 4 THEN substr(word, 1, length(word) - 3) || 'y'
-WHEN ends_with(word, 'ed') THEN CASE WHEN length(word) >= 4 AND substr(word, length(word) - 2, 1) = substr(word, length(word) - 3, 1) AND NOT regexp_matches(substr(word, length(word) - 2, 1), '[aeiou]') THEN substr(word, 1, length(word) - 3) ELSE substr(word, 1, length(word) - 2) END
+WHEN ends_with(word, 'ed') THEN CASE WHEN length(word) >= 4 AND substr(word, length(word) - 2, 1) = substr(word, length(word) - 3, 1) AND NOT regexp_matches(substr(word, length(word) - 2, 1), '[aeiouAEIOU]') THEN substr(word, 1, length(word) - 3) ELSE substr(word, 1, length(word) - 2) END
 WHEN ends_with(word, 'ies') AND length(word) > 4 THEN substr(word, 1, length(word) - 3) || 'y'
 WHEN ends_with(word, 'es') AND length(word) > 4 AND regexp_matches(substr(word, 1, length(word) - 2), '(s|x|z|ch|sh)$') THEN substr(word, 1, length(word) - 2)
 WHEN ends_with(word, 's') AND NOT ends_with(word, 'ss') THEN substr(word, 1, length(word) - 1) ELSE word END AS stem"""
