@@ -7,7 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codelake.functions.text import apply_edits, code_tokens, keywords, stem, token_estimate, unified_diff
-from codelake.operators import aggregates, extraction, graph, joins, lookups, ranking, retrieval
+from codelake.operators import aggregates, extraction, graph, joins, lookups, ranking, retrieval, vectors
+from codelake.plans.session import ensure_checkpoints
 from codelake.sources import files
 from codelake.streaming import incremental
 
@@ -52,19 +53,40 @@ class Index:
     def _documents(self) -> DataFrame:
         return self.nodes.select("node_id", "name", F.col("file_path").alias("path"), "complexity", F.array_union(code_tokens(F.col("name")), code_tokens(F.col("qname"))).alias("tokens"))
 
-    def search(self, text: str, kind: str | None = None, top_k: int = 10, scope: str | None = None) -> DataFrame:
-        """Ranked symbols; the scope is a filter before the ranking. Without a kind, the query's form and words choose it."""
+    def _texts(self) -> DataFrame:
+        """(node_id, text): each symbol's name and own text."""
+        own = F.decode(F.substring(F.encode("content", "utf-8"), (F.col("byte_start") + 1).cast("int"), (F.col("byte_end") - F.col("byte_start")).cast("int")), "utf-8")
+        return self.nodes.join(self.sources.select(F.col("path").alias("file_path"), "content"), "file_path").select("node_id", F.concat_ws(" ", "qname", own).alias("text"))
+
+    def lexicon(self) -> tuple[DataFrame, DataFrame]:
+        """(weights, vocabulary) of the symbols' texts, made once an index."""
+        if not hasattr(self, "_lexicon"):
+            ensure_checkpoints(self.nodes.sparkSession)
+            counts = retrieval.token_counts(self._texts(), "node_id", "text").checkpoint()
+            vocabulary = retrieval.tfidf_vocabulary(counts, self.nodes.count()).checkpoint()
+            self._lexicon = retrieval.tfidf_weights(counts, vocabulary).checkpoint(), vocabulary
+        return self._lexicon
+
+    def _tfidf(self, text: str) -> DataFrame:
+        weights, vocabulary = self.lexicon()
+        return retrieval.tfidf_scores(weights, vocabulary, retrieval.query_tokens(text)).withColumnRenamed("doc", "node_id")
+
+    def search(self, text: str, kind: str | None = None, top_k: int = 10, scope: str | None = None, vectors_: DataFrame | None = None, vector: DataFrame | None = None) -> DataFrame:
+        """Ranked symbols; the scope is a filter before the ranking. Without a kind, the query's form and words choose it.
+
+        vectors_ and vector: embeddings of the symbols and of the query (vec_id, embedding), if there are any."""
         spark = self.nodes.sparkSession
         if kind is None:
             one = spark.createDataFrame([(text,)], "q string").select(retrieval.route(F.col("q")).alias("r"), retrieval.query_type(retrieval.intent(F.col("q"))).alias("t")).head()
             kind = "exact" if one["r"] == "exact_symbol" else one["t"]
-        return retrieval.search(self._documents().where(lookups.in_scope(F.col("path"), scope)), None, retrieval.Query(text, kind, top_k))
+        near = vectors.nearest(vectors_, vector, 10 * top_k).select(F.col("vec_id").alias("node_id"), F.col("score").alias("neural")) if vector is not None else None
+        return retrieval.search(self._documents().where(lookups.in_scope(F.col("path"), scope)), self._tfidf(text), retrieval.Query(text, kind, top_k), near)
 
     def analyze(self, text: str, top_k: int = 10) -> DataFrame:
         """The question as it is, without stop words and stemmed: the best score of each symbol, fewer from one file."""
         spark = self.nodes.sparkSession
         one = spark.createDataFrame([(text,)], "q string").select(keywords(F.col("q")).alias("k"), F.array_join(F.transform(F.split(keywords(F.col("q")), " "), stem), " ").alias("s")).head()
-        found = [retrieval.search(self._documents(), None, retrieval.Query(q, "semantic", 15)) for q in dict.fromkeys((text, one["k"], one["s"]))]
+        found = [retrieval.search(self._documents(), self._tfidf(q), retrieval.Query(q, "semantic", 15)) for q in dict.fromkeys((text, one["k"], one["s"]))]
         best = ranking.best_of([f.select("node_id", "score") for f in found], "node_id", "score").join(self.nodes.select("node_id", "name", "file_path"), "node_id")
         return ranking.diversified(best, "file_path", "score", "node_id", top_k)
 
@@ -140,8 +162,10 @@ class Index:
         return sums.withColumn("risk", graph.impact_risk(F.col("nodes"), F.col("files"), change))
 
     def rename_files(self, symbol: str) -> DataFrame:
-        """Files that a rename touches: of the definition and of what refers to it."""
-        return graph.reach(self.edges, self._start(symbol), 5, True).join(self.nodes.select("node_id", "file_path"), "node_id").select("file_path").distinct()
+        """Files that a rename touches: of the definition, of what refers to it and of what has the same name."""
+        found = self._start(symbol).join(self.nodes, "node_id").select("name", "file_path")
+        back = graph.reach(self.edges, self._start(symbol), 5, True).join(self.nodes.select("node_id", "file_path"), "node_id").select("file_path")
+        return back.union(self.nodes.join(found.select("name").distinct(), "name", "left_semi").select("file_path")).distinct()
 
     def preview(self, path: str, edits: Column) -> DataFrame:
         """A unified diff of a file under edits (an array of start, end, text)."""

@@ -118,15 +118,17 @@ class Query:
         return THRESHOLDS.get(self.kind, 0.1) if self.threshold is None else self.threshold
 
 
-def search(symbols: DataFrame, tfidf: DataFrame | None, query: Query) -> DataFrame:
-    """symbols: node_id, name, path, complexity, tokens. Scores, drops what doesn't reach the limit, ranks the top k."""
-    wanted = [t for t in "".join(c if c.isalnum() else " " for c in query.text.lower()).split() if len(t.encode()) >= 2]
+def search(symbols: DataFrame, tfidf: DataFrame | None, query: Query, near: DataFrame | None = None) -> DataFrame:
+    """symbols: node_id, name, path, complexity, tokens; tfidf: (node_id, tfidf); near: (node_id, neural) of the nearest vectors. Scores, drops what doesn't reach the limit, ranks the top k."""
+    wanted = query_tokens(query.text)
     text = text_score(query.text, F.col("name"), F.col("path"), F.col("tokens"), wanted)
     scored = symbols.withColumn("text", text).withColumn("structural", structural_score(F.col("complexity")))
     scored = scored.join(tfidf, "node_id", "left").fillna(0.0, ["tfidf"]) if tfidf is not None else scored.withColumn("tfidf", F.lit(0.0))
+    scored = scored.join(near, "node_id", "left").fillna(0.0, ["neural"]) if near is not None else scored.withColumn("neural", F.lit(0.0))
+    scored = scored.withColumn("neural", F.greatest("neural", F.lit(0.0)))
     if query.kind != "semantic":
-        scored = scored.where((F.col("text") > 0) | (F.col("tfidf") > 0))
-    overall = fuse((F.col("tfidf"), F.lit(0.0), F.col("structural"), F.col("text")), WEIGHTS[query.kind, query.neural])
+        scored = scored.where((F.col("text") > 0) | (F.col("tfidf") > 0) | (F.col("neural") > 0))
+    overall = fuse((F.col("tfidf"), F.col("neural"), F.col("structural"), F.col("text")), WEIGHTS[query.kind, query.neural or near is not None])
     scored = scored.withColumn("score", F.round(adjust(overall, F.col("name"), F.col("path"), query.text, query.kind == "exact"), 6)).where((F.col("score") > 0) & (F.col("score") >= query.limit))
     top = scored.orderBy(F.desc("score"), "node_id").limit(query.top_k)
     return top.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "node_id"))).select("rank", "node_id", "name", "score")

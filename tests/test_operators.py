@@ -148,6 +148,10 @@ def test_surface(index, spark, tmp_path):
     assert index.status().head().files == 2
     assert index.search("fetch").head().name == "fetch"
     assert index.search("load", scope="elsewhere").count() == 0
+    assert index.search("os read key", "semantic").head().name == "fetch"  # by its text: its name says nothing of it
+    v = spark.createDataFrame([(r.node_id, [1.0, float(r.name == "show")]) for r in index.nodes.collect()], "vec_id string, embedding array<float>")
+    near = index.search("zzz", "semantic", vectors_=v, vector=v.where("vec_id like '%show'"))
+    assert near.head().name == "show" and index.search("zzz", "semantic").count() == 0
     assert index.analyze("how does fetching work").head().name == "fetch"
     assert index.grep("fet").head().name == "fetch"
     assert index.lookup("fetch").head().callers >= 1
