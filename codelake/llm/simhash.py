@@ -251,14 +251,14 @@ def _candidates_of(sig: np.ndarray, cls: np.ndarray, near: np.ndarray, most: int
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
     size = np.diff(np.r_[first, len(sig)])
     run, out, o = np.repeat(size, size), [], 1
-    small = np.flatnonzero((run > 1) & (run <= 64))
+    small = np.flatnonzero((run > 1) & (run <= 16))
     while len(small):
         small = small[small + o < len(sig)]
         small = small[sig[small] == sig[small + o]]
         ok = small[np.bitwise_count(u[small] ^ u[small + o]) <= most]
         out.append((cls[ok], cls[ok + o]))
         o += 1
-    for f, n in zip(first[size > 64].tolist(), size[size > 64].tolist()):
+    for f, n in zip(first[size > 16].tolist(), size[size > 16].tolist()):
         x, y = _tree(u[f : f + n], most)
         out.append((cls[f + x], cls[f + y]))
     a, b = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in out)]) for k in (0, 1))
@@ -305,7 +305,7 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
 
     classes = texts.mapInArrow(sketched, "_cls long, _fp binary").groupBy("_cls").agg(F.min("_fp").alias("_fp")).checkpoint()
     dealt = classes.repartition(parts, "_cls")  # a class has bits * segments rows next
-    signed = dealt.mapInArrow(lambda x: _variants(x, bits, segments), "_sig long, _cls long, _near long").repartition(parts, "_sig").sortWithinPartitions("_sig")
+    signed = dealt.mapInArrow(lambda x: _variants(x, bits, segments), "_sig long, _cls long, _near long").repartition(parts, "_sig").sortWithinPartitions("_sig", "_near", "_cls")  # one order everywhere, so that trees of the same texts agree
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = lambda n: math.ceil(n * differ + 2.5 * math.sqrt(n * differ * (1 - differ)))  # noqa: E731  of n bits, for all but one pair in a hundred
     pairs = signed.mapInArrow(lambda x: _by_signature(x, most(64)), "_a long, _b long").distinct()
