@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .simhash import ensure_checkpoints
-from .textkit import WORD
+from .textkit import WORD, row_hash
 
 _TIMES, _LAST = 65536, 4
 
@@ -97,7 +97,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     Rows are told apart by the hash of all their columns; rows that agree in all are interchangeable. If df has a column
     copies or finish, it stays, and those of the mix are called mix_copies and mix_finish."""
     names = [n if n not in df.columns else f"mix_{n}" for n in ("copies", "finish")]
-    row = F.xxhash64(*[F.col(f"`{n}`") for n in df.columns])
+    row = row_hash(df)
     every = mix(df, id_col, more=(row.alias("row"),), **options).select(F.col(id_col).alias("__codelake_id"), F.col("_more.row").alias("__codelake_row"), F.col("copies").alias("__codelake_copies"), F.col("finish").alias("__codelake_finish")).checkpoint()
     own = df.withColumn("__codelake_hash", row)
     if not every.groupBy("__codelake_id", "__codelake_row").count().where("count > 1").isEmpty():

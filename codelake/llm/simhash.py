@@ -370,7 +370,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     ensure_checkpoints(df.sparkSession)
     roots = near_copies(df, text_col, **options)
     own = classed(df, text_col)
-    best = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), F.xxhash64(*[F.col(f"`{n}`") for n in df.columns]).alias("row"))
+    best = F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("id"), tk.row_hash(df).alias("row"))
     rows = own.select("__codelake_class", best.alias("_best")).groupBy("__codelake_class", "_best").agg(F.count("*").alias("_n"))
     least = rows.groupBy("__codelake_class").agg(F.min(F.struct("_best", "_n")).alias("_m"))
     rooted = least.join(roots, least["__codelake_class"] == roots["_cls"], "left").select("__codelake_class", "_m", F.coalesce("_root", "__codelake_class").alias("_root"))
@@ -379,7 +379,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     joined = lambda kept: own.join(kept, (F.col("__codelake_class") == F.col("__codelake_of")) & best.eqNullSafe(F.col("__codelake_best")), "left_semi").select(*[F.col(f"`{n}`") for n in df.columns])
     if chosen.where("_n > 1").isEmpty():
         return joined(chosen)
-    return joined(chosen.where("_n = 1")).union(joined(chosen.where("_n > 1")).dropDuplicates())
+    return joined(chosen.where("_n = 1")).union(joined(chosen.where("_n > 1")).dropDuplicates(tk.hashable(df)))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -41,6 +41,15 @@ def group_count(df: DataFrame, group_mb: float) -> int:
     return int(max(math.ceil(input_bytes(df) / (group_mb * 1e6)), df.sparkSession.sparkContext.defaultParallelism))
 
 
+def hashable(df: DataFrame) -> list[str]:
+    """The columns that can be hashed and compared: all but those with maps."""
+    return [n for n, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+
+
+def row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{n}`") for n in hashable(df)])
+
+
 def dealt(df: DataFrame, groups: int, *by: str) -> DataFrame:
     """Rows with a column _key, dealt by the hash of `by` into `groups` groups, one exchange."""
     return df.withColumn("_key", F.pmod(F.xxhash64(*by), F.lit(groups)).cast("int")).repartition(groups, "_key")
