@@ -302,3 +302,25 @@ def test_eight_bit_search_makes_no_pairs_and_takes_queries_in_blocks(spark):
     copies = spark.createDataFrame([(i, [1.0, 2.0, float(i % 2)]) for i in range(3000)] + [(5000, [0.0, 0.0, 0.0])], "vec_id long, embedding array<float>").repartition(3)
     got = rows(supplement.int8_search(copies, copies.where("vec_id in (0, 1, 5000)"), 3))
     assert got[:6] == [(0, k + 1, 2 * k, 1.0) for k in range(3)] + [(1, k + 1, 2 * k + 1, 1.0) for k in range(3)] and [x[3] for x in got[6:]] == [0.0] * 3
+
+
+def _called(spark, n: int = 60):
+    symbols = [(f"s{i}", f"m{i % 7}.{'big' if i % 3 else 'odd'}.{'load' if i % 2 else 'helper'}") for i in range(n)] + [("bare", "load")]
+    calls = [(i, ("load", "x.helper", "big.load", "m1.q.odd.helper", "x.new", "gone.where")[i % 6]) for i in range(n)] + [(0, "load")]
+    ends = lambda q, t: ("." + q).endswith("." + ".".join(t.split(".")[-2:]))
+    want = set()
+    for caller, t in calls:
+        last = t.split(".")[-1]
+        direct = [s for s, q in symbols if ("." in t and "." in q and ends(q, t)) or ("." not in t and q.split(".")[-1] == t)]
+        loose = [s for s, q in symbols if q.split(".")[-1] == last] if last not in joins.COMMON_NAMES else []
+        want |= {(caller, t, s, "direct" if direct else "last") for s in direct or loose}
+    return spark.createDataFrame(calls, "caller int, target string"), spark.createDataFrame(symbols, "node_id string, qname string"), want
+
+
+def test_calls_of_frequent_names_meet_in_blocks_and_pairs_are_not_shuffled(spark):
+    calls, symbols, want = _called(spark)
+    got = joins.resolve_calls(calls, symbols, block=4)
+    rows = [(r.caller, r.target, r.node_id, r.how) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.split("Join")[0].count("Aggregate")  # nothing is gathered after the pairs are made
