@@ -144,6 +144,14 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, block: int = 1 << 13) ->
     return meet("direct", own.distinct()).union(meet("last", own))
 
 
+def call_counts(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """how, n: the pairs that resolve_calls makes, counted without making them; both rows even if none is there."""
+    wanted, _ = called(calls, symbols)
+    total = lambda how: F.coalesce(F.sum(F.when(F.col("how") == how, F.col("_n"))), F.lit(0)).cast("long")
+    both = wanted.agg(F.array(*[F.struct(F.lit(how).alias("how"), total(how).alias("n")) for how in ("direct", "last")]).alias("_x"))
+    return both.select(F.inline("_x"))
+
+
 def import_targets(imports: DataFrame, symbols: DataFrame) -> DataFrame:
     """(importer, target, resolved): the first symbol of the whole name or of its last two or three segments, else of the last segment, else an external node."""
     wanted = imports.select("target").distinct()

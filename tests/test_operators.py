@@ -324,3 +324,14 @@ def test_calls_of_frequent_names_meet_in_blocks_and_pairs_are_not_shuffled(spark
     assert len(rows) == len(want) and set(rows) == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not plan.split("Join")[0].count("Aggregate")  # nothing is gathered after the pairs are made
+
+
+def test_calls_are_counted_without_pairs(spark):
+    from collections import Counter
+
+    calls, symbols, want = _called(spark)
+    counts = lambda c, s: {r["how"]: r["n"] for r in joins.call_counts(c, s).collect()}
+    assert counts(calls, symbols) == Counter(x[3] for x in want)
+    assert counts(calls.limit(0), symbols) == {"direct": 0, "last": 0}
+    many = spark.range(200_000).select(F.col("id").alias("caller"), F.lit("load").alias("target"))
+    assert counts(many, spark.range(200_000).select(F.concat(F.lit("n"), "id").alias("node_id"), F.concat(F.lit("m"), "id", F.lit(".load")).alias("qname"))) == {"direct": 200_000**2, "last": 0}
