@@ -153,14 +153,16 @@ def call_counts(calls: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def import_targets(imports: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(importer, target, resolved): the first symbol of the whole name or of its last two or three segments, else of the last segment, else an external node."""
+    """(importer, target, resolved): the first symbol of the whole name or of its last two or three segments, else of the last segment, else an external node.
+
+    Tables as large as the names are merged, as broadcasts of them would be built by the driver."""
     wanted = imports.select("target").distinct()
     keys = wanted.select("target", F.explode(_tails(F.col("target"))).alias("_k"))
     own = symbols.select("node_id", F.explode(_tails(F.col("qname"))).alias("_k")).groupBy("_k").agg(F.min("node_id").alias("node_id"))
-    direct = keys.join(own, "_k").groupBy("target").agg(F.min("node_id").alias("_d"))
+    direct = keys.join(own.hint("merge"), "_k").groupBy("target").agg(F.min("node_id").alias("_d"))
     ends = symbols.groupBy(_last(F.col("qname")).alias("_l")).agg(F.min("node_id").alias("_n"))
-    found = wanted.withColumn("_l", _last(F.col("target"))).join(direct, "target", "left").join(ends, "_l", "left")
-    return imports.join(found, "target").select("importer", "target", F.coalesce("_d", "_n", F.concat(F.lit("external:"), "target")).alias("resolved"))
+    found = wanted.withColumn("_l", _last(F.col("target"))).join(direct.hint("merge"), "target", "left").join(ends, "_l", "left")
+    return imports.join(found.hint("merge"), "target").select("importer", "target", F.coalesce("_d", "_n", F.concat(F.lit("external:"), "target")).alias("resolved"))
 
 
 def ranked_imports(imports: DataFrame, symbols: DataFrame, top: int = 3) -> DataFrame:

@@ -335,3 +335,13 @@ def test_calls_are_counted_without_pairs(spark):
     assert counts(calls.limit(0), symbols) == {"direct": 0, "last": 0}
     many = spark.range(200_000).select(F.col("id").alias("caller"), F.lit("load").alias("target"))
     assert counts(many, spark.range(200_000).select(F.concat(F.lit("n"), "id").alias("node_id"), F.concat(F.lit("m"), "id", F.lit(".load")).alias("qname"))) == {"direct": 200_000**2, "last": 0}
+
+
+def test_references_are_checked_without_pairs(spark, monkeypatch):
+    from codelake.operators import supplement
+
+    calls, symbols, want = _called(spark)
+    monkeypatch.delattr(joins, "resolve_calls")
+    ring = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
+    got = {r["kind"]: r["n"] for r in supplement.reference_check(calls.withColumnRenamed("caller", "importer"), symbols, ring, 3).collect()}
+    assert got["undefined_call"] == 60 - len({x[0] for x in want}) and got["cycle"] == 2
