@@ -18,6 +18,11 @@ variant with a probability of `recall`. Who shares one is compared by 64 bits of
 pairs are taken, of a larger one the least spanning tree, which leaves a path of nearer pairs for each
 pair that it leaves out. Pairs taken are compared by the whole fingerprint, and the rest verified on the texts by their exact similarity.
 
+Fingerprints miss a pair now and then, and a tree may rest on a pair that the texts do not bear out. So `_rest` joins what these links
+leave apart, exactly: two sets of similarity 0.8 share one of the first shingles of either, a fifth of them, in any one order of all
+shingles. Texts that share as many of these as the similarity asks for and are not yet in one component are candidates, less those whose
+counts of shingles in 64 bins exclude it, and are verified on the texts. Frequent shingles come last in the order; only this order is from a sample.
+
 Defined cases: null text has no words; no words: fingerprint zero, linked like any other; fewer words than a shingle has: the
 whole sequence is the one shingle; null ids come after all others; rows without an id or that share one are rows like others; columns other than the two
 named are ignored (in `keep_one` kept as they are), whatever their names. Texts count as the same words if 64 hash bits agree.
@@ -214,7 +219,7 @@ def _variants(batches, bits: int, segments: int):
     """(signature, class, 64 bits of its fingerprint): each segment with each bit wildcarded."""
     for b in batches:
         cls = b.column("_cls").to_numpy()
-        fp = np.frombuffer(b"".join(b.column("_fp").to_pylist()), np.uint8).reshape(len(cls), -1)
+        fp = np.frombuffer(b"".join(b.column("_fp").to_pylist()), np.uint8).reshape(len(cls), -1)[:, : -4 * _BINS]  # the counts of its shingles follow
         one = np.unpackbits(fp, axis=1, bitorder="little")
         near = np.ascontiguousarray(fp[:, :8]).view(np.int64).ravel()
         weight = U(1) << np.arange(bits, dtype=np.uint64)
@@ -267,6 +272,131 @@ def _candidates_of(sig: np.ndarray, cls: np.ndarray, near: np.ndarray, most: int
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["_a", "_b"])
 
 
+_BINS = 64
+
+
+def _bins(shingles: np.ndarray) -> np.ndarray:
+    """How many of the shingles fall in each bin; two sets share no more than the lesser of each bin."""
+    return np.bincount((tk.mix(shingles) >> U(58)).astype(np.int64), minlength=_BINS).astype(np.uint32)
+
+
+def _prefix(shingles: np.ndarray, similarity: float, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of all, so many that sets of that similarity share one. heavy: sorted, last in the order, by rank."""
+    many = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    own = tk.mix(shingles)
+    if len(heavy):
+        at = np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)
+        late = np.where(heavy[at] == shingles, rank[at], 0)
+        return shingles[np.lexsort((own, late))[:many]]
+    return shingles[np.argsort(own)[:many]]
+
+
+def _apart(sig: np.ndarray, cls: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float) -> pa.RecordBatch:
+    """Pairs of classes (smaller first) of different components whose sizes allow the similarity, how many of the shingles they share here, and
+    how many they must share in all; rows sorted by shingle, size and class.
+
+    Of the text whose first shingles end earlier, all first shingles that the other has are among the other's first. So at most the
+    larger rest of the two can be shared besides, and the similarity asks for the others."""
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])][: len(sig)]  # copies of a text
+    sig, cls, n, root = (x[new] for x in (sig, cls, n, root))
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+    size = np.diff(np.r_[first, len(sig)])
+    mixed = np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first) if len(sig) else np.zeros(0, bool)
+    run = np.repeat(np.where(mixed, size, 0), size)
+    out, o, at = [], 1, np.flatnonzero((run > 1) & (run <= 64))
+    while len(at):
+        at = at[at + o < len(sig)]
+        at = at[(sig[at] == sig[at + o]) & (n[at] >= similarity * n[at + o] - 1e-9)]
+        ok = at[root[at] != root[at + o]]
+        out.append((ok, ok + o))
+        o += 1
+    for f, k in zip(first[mixed & (size > 64)].tolist(), size[mixed & (size > 64)].tolist()):
+        order = f + np.argsort(root[f : f + k], kind="stable")  # by component, then by size
+        cut = np.flatnonzero(np.r_[True, root[order][1:] != root[order][:-1]])
+        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), k]):
+            x, y = order[lo:hi], order[hi:]
+            for i in x.tolist():  # those of later components
+                ok = y[(n[y] >= similarity * n[i] - 1e-9) & (n[i] >= similarity * n[y] - 1e-9)]
+                out.append((np.full(len(ok), i), ok))
+    i, j = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in out)]) for k in (0, 1))
+    after = np.ceil(similarity * n - 1e-9).astype(np.int64) - 1  # shingles that are not among the first
+    need = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9).astype(np.int64) - np.maximum(after[i], after[j])
+    pairs, one, many = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1), axis=0, return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(many), pa.array(need[one])], names=["_a", "_b", "_c", "_need"])
+
+
+def _rest(texts: DataFrame, rows: int, roots: DataFrame, parts: int, shingle: int, similarity: float, most_known: int) -> DataFrame:
+    """(_a, _b): candidates for links between components, none left out."""
+    spark, share = texts.sparkSession, min(1.0, 20_000 / max(rows, 1))
+
+    def sampled(batches):
+        for x in tk.pieces(batches, "_text"):
+            got = {}
+            for t in tk.texts_of(x.column(0)):
+                h, cls = _words(t)
+                if len(h) and tk.mix(np.array([cls], np.uint64))[0] < share * 2**64:
+                    got[cls] = _shingles(h, shingle)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([*got], np.uint64).view(np.int64)), pa.array([v.tobytes() for v in got.values()], pa.binary())], names=["_cls", "_all"])
+
+    def spread(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in b.column("_all").to_pylist())]))], names=["_sig"])
+
+    often = texts.mapInArrow(sampled, "_cls long, _all binary").dropDuplicates(["_cls"]).select("_cls", "_all").mapInArrow(spread, "_sig long").groupBy("_sig").agg(F.count("*").alias("_n"))
+    got = often.where("_n > 2").orderBy(F.desc("_n"), "_sig").limit(500_000).toArrow()  # of the sample: only places shingles in the order
+    order = np.argsort(got.column(0).to_numpy().view(np.uint64))
+    held = spark.sparkContext.broadcast((got.column(0).to_numpy().view(np.uint64)[order], got.column(1).to_numpy()[order]))
+
+    def begun(batches):
+        heavy, rank = held.value
+        seen: set[int] = set()
+        for x in tk.pieces(batches, "_text"):
+            sig, cls, size = [np.zeros(0, np.uint64)], [], []
+            for t in tk.texts_of(x.column(0)):
+                h, c = _words(t)
+                if not len(h) or c in seen:
+                    continue
+                seen.add(c)
+                s = _shingles(h, shingle)
+                sig.append(_prefix(s, similarity, heavy, rank))
+                cls.append(c)
+                size.append(len(s))
+            many = [len(v) for v in sig[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(cls, np.uint64).view(np.int64), many)), pa.array(np.repeat(np.array(size, np.int64), many))], names=["_sig", "_cls", "_n"])
+
+    entries = texts.mapInArrow(begun, "_sig long, _cls long, _n long")
+    if roots.count() <= most_known:
+        r = roots.orderBy("_node").toArrow()  # 16 MB
+        known = spark.sparkContext.broadcast((r.column("_node").to_numpy(), r.column("_root").to_numpy()))
+        own = entries
+    else:
+        known, own = None, entries.join(roots.withColumnRenamed("_node", "_cls"), "_cls", "left").select("_sig", "_cls", "_n", F.coalesce("_root", "_cls").alias("_root"))
+
+    def root_of(cls: np.ndarray) -> np.ndarray:
+        node, root = known.value
+        at = np.minimum(np.searchsorted(node, cls), max(len(node) - 1, 0))
+        return np.where(node[at] == cls, root[at], cls) if len(node) else cls
+
+    def paired(batches):
+        rest = None
+        for b in batches:
+            now = [c.to_numpy() for c in b.columns]
+            if rest is not None:
+                now = [np.r_[x, y] for x, y in zip(rest, now)]
+            if not len(now[0]):
+                continue
+            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last shingle may go on
+            rest = [x[cut:] for x in now]
+            if cut:
+                now = [x[:cut] for x in now]
+                yield _apart(*now[:3], now[3] if known is None else root_of(now[1]), similarity)
+        if rest is not None and len(rest[0]):
+            yield _apart(*rest[:3], rest[3] if known is None else root_of(rest[1]), similarity)
+
+    met = own.repartition(parts, "_sig").sortWithinPartitions("_sig", "_n", "_cls").mapInArrow(paired, "_a long, _b long, _c long, _need long")
+    return met.groupBy("_a", "_b").agg(F.sum("_c").alias("_c"), F.max("_need").alias("_need")).where("_c >= _need").select("_a", "_b")
+
+
 def _by_signature(batches, most: int):
     rest = None
     for x in batches:
@@ -300,7 +430,8 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
             for t in tk.texts_of(x.column(0)):
                 h, cls = _words(t)
                 if cls not in got:
-                    got[cls] = _sketch(_shingles(h, shingle), wide).tobytes() if len(h) else bytes(8 * wide)
+                    own = _shingles(h, shingle) if len(h) else np.zeros(0, np.uint64)
+                    got[cls] = (_sketch(own, wide).tobytes() if len(h) else bytes(8 * wide)) + _bins(own).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(np.array([*got], np.uint64).view(np.int64)), pa.array([*got.values()], pa.binary())], names=["_cls", "_fp"])
 
     classes = texts.mapInArrow(sketched, "_cls long, _fp binary").groupBy("_cls").agg(F.min("_fp").alias("_fp")).checkpoint()
@@ -312,12 +443,18 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
 
     def nearer(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, wide) for c in ("_x", "_y"))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, wide + _BINS // 2)[:, :wide] for c in ("_x", "_y"))
             yield b.select(["_a", "_b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most(64 * wide)))
 
-    both = pairs.join(classes.select(F.col("_cls").alias("_a"), F.col("_fp").alias("_x")), "_a").join(classes.select(F.col("_cls").alias("_b"), F.col("_fp").alias("_y")), "_b")
-    pairs = both.select("_a", "_b", "_x", "_y").mapInArrow(nearer, "_a long, _b long").checkpoint()
-    held = pairs.select(F.col("_a").alias("_cls")).union(pairs.select("_b")).distinct().checkpoint()
+    def possible(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, 2 * wide + _BINS)[:, 2 * wide :].astype(np.int64) for c in ("_x", "_y"))
+            same = np.minimum(x, y).sum(1)
+            yield b.select(["_a", "_b"]).filter(pa.array(same >= similarity * (x.sum(1) + y.sum(1) - same) - 1e-9))
+
+    def compared(pairs: DataFrame, keep) -> DataFrame:
+        both = pairs.join(classes.select(F.col("_cls").alias("_a"), F.col("_fp").alias("_x")), "_a").join(classes.select(F.col("_cls").alias("_b"), F.col("_fp").alias("_y")), "_b")
+        return both.select("_a", "_b", "_x", "_y").mapInArrow(keep, "_a long, _b long").checkpoint()
 
     def picked(batches, known):
         for x in tk.pieces(batches, "_text"):
@@ -330,14 +467,6 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
             own = np.flatnonzero(first)
             yield pa.RecordBatch.from_arrays([pa.array(cls[own]), pa.array([raw[i] for i in own.tolist()], pa.binary())], names=["_cls", "_raw"])
 
-    n = held.count()
-    known = held.toArrow().column(0).to_numpy() if n <= most_known else None  # 8 MB
-    own = texts.mapInArrow(lambda x: picked(x, known), "_cls long, _raw binary")
-    if known is None:
-        own = own.join(held, "_cls", "left_semi")
-    own = own.groupBy("_cls").agg(F.min("_raw").alias("_raw"))
-    both = pairs.join(own.withColumnsRenamed({"_cls": "_a", "_raw": "_x"}), "_a").join(own.withColumnsRenamed({"_cls": "_b", "_raw": "_y"}), "_b").select("_a", "_b", "_x", "_y")
-
     def verified(batches):
         for b in batches:
             ok = []
@@ -347,8 +476,21 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
                 ok.append(same >= similarity * (len(s) + len(t) - same))
             yield b.select(["_a", "_b"]).filter(pa.array(ok, pa.bool_()))
 
-    edges = both.mapInArrow(verified, "_a long, _b long")
-    return components(edges).withColumnRenamed("_node", "_cls")
+    def true(pairs: DataFrame) -> DataFrame:
+        """The pairs that the texts bear out."""
+        held = pairs.select(F.col("_a").alias("_cls")).union(pairs.select("_b")).distinct().checkpoint()
+        known = held.toArrow().column(0).to_numpy() if held.count() <= most_known else None  # 8 MB
+        own = texts.mapInArrow(lambda x: picked(x, known), "_cls long, _raw binary")
+        if known is None:
+            own = own.join(held, "_cls", "left_semi")
+        own = own.groupBy("_cls").agg(F.min("_raw").alias("_raw"))
+        both = pairs.join(own.withColumnsRenamed({"_cls": "_a", "_raw": "_x"}), "_a").join(own.withColumnsRenamed({"_cls": "_b", "_raw": "_y"}), "_b").select("_a", "_b", "_x", "_y")
+        return both.mapInArrow(verified, "_a long, _b long")
+
+    roots = components(true(compared(pairs, nearer)))
+    more = compared(_rest(texts, rows, roots, parts, shingle, similarity, most_known), possible)
+    linked = roots.select(F.col("_node").alias("_a"), F.col("_root").alias("_b"))
+    return components(linked.union(true(more))).withColumnRenamed("_node", "_cls")
 
 
 def classed(df: DataFrame, text_col: str) -> DataFrame:

@@ -209,6 +209,59 @@ def test_near_copies_at_the_threshold_are_found(spark):
     assert simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), most_known=0).count() >= 0.98 * copies  # the other way to the texts
 
 
+def test_no_near_copy_is_left_out(spark):
+    import random
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("bcdfghjkl") + r.choice("aeiou") for _ in range(4))
+    passage = [word() for _ in range(30)]  # in most texts
+    texts = []
+    for i in range(400):
+        base = [word() for _ in range(94)] if i % 4 else [*passage, *(word() for _ in range(64))]
+        texts += [base, [*base[:84], *(word() for _ in range(10))]]  # 80 shingles of 100: at the threshold
+        if i % 10 == 0:
+            texts.append([*base[:83], *(word() for _ in range(11))])  # under it
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    group = _groups([t for _, t in rows])
+    assert len(set(group)) == 440
+    assert {x.doc_id for x in simhash.keep_one(df).collect()} == set(group)
+    assert simhash.near_copies(df, recall=0.1, most_known=0).count() == 400  # by joins, and after fingerprints that miss most; a component less its root
+
+
+def test_pairs_of_one_shingle_join_components_only():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    cls, n, root = np.arange(300), np.sort(r.integers(50, 100, 300)), r.integers(0, 40, 300)
+    want = {(i, j) for i in range(300) for j in range(i) if root[i] != root[j] and n[j] >= 0.8 * n[i]}
+    twice = np.repeat(np.arange(300), 2)  # a copy of each
+    got = simhash._apart(np.zeros(600, np.int64), cls[twice], n[twice], root[twice], 0.8)
+    assert {(y, x) for x, y in zip(*(c.to_pylist() for c in got.columns[:2]))} == want
+    short = simhash._apart(np.repeat([1, 2], 40), np.tile(cls[:40], 2), np.tile(n[:40], 2), np.tile(root[:40], 2), 0.8)
+    assert {(y, x) for x, y in zip(*(c.to_pylist() for c in short.columns[:2]))} == {p for p in want if max(p) < 40}
+    assert set(short.column("_c").to_pylist()) == {2}  # both shingles
+    assert simhash._apart(*[np.zeros(0, np.int64)] * 4, 0.8).num_rows == 0
+
+
+def test_first_shingles_shared_reach_what_the_similarity_asks_for():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _ in range(300):
+        size, k = int(r.integers(1, 200)), int(r.integers(0, 12))
+        x = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
+        y = np.unique(np.r_[x[r.random(len(x)) > r.random() / 5], r.integers(0, 2**63, k).astype(np.uint64)])
+        same = len(np.intersect1d(x, y))
+        if not len(y) or same < 0.8 * (len(x) + len(y) - same):
+            continue
+        shared = np.intersect1d(simhash._prefix(x, 0.8, *none), simhash._prefix(y, 0.8, *none))
+        sig, n = np.repeat(shared.view(np.int64), 2), np.tile(np.sort([len(x), len(y)]), len(shared))
+        got = simhash._apart(sig, np.tile([0, 1], len(shared)), n, np.tile([0, 1], len(shared)), 0.8)
+        assert got.num_rows == 1 and got.column("_c")[0].as_py() == len(shared) >= got.column("_need")[0].as_py()
+
+
 def test_empty_tables(empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
     assert suffix_dedup.suffix_dedup(empty).count() == 0
