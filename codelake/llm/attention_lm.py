@@ -8,10 +8,10 @@ spelling of it and the word's share of the training corpus' words that begin wit
 C / (C + T) (C: how many such words, T: how many different ones), so no weight is set by hand. `attention_score`
 has the attention's spelling alone.
 
-Training: every text outside the fold is cut into runs of `_RUN` bytes at words; a share of all runs (by hash, `share`, more where
-that would be under `least_mb`) is dealt into parts of `part_mb`, which each take a model through a slice of
-their windows; the models are averaged by windows, level by level, in `rounds`. So training grows with the input, in
-Spark; the driver holds one model and one count a vocabulary id. Word counts come from all training texts, by a packed
+Training: every text outside the fold is cut into runs of `_RUN` bytes at words; all runs (`share` = 1; a caller may ask for less, by hash)
+are dealt into parts of `part_mb`, which each take a model through a slice of
+their windows; the models are averaged by windows, level by level, in `rounds`. So training has every text once, or more often where
+they are under `least_mb`, and grows with the input, in Spark; the driver holds one model and one count a vocabulary id. Word counts come from all training texts, by a packed
 exchange: a group of texts sends each bucket its distinct words with their counts, the bucket answers with the totals, so no
 vocabulary of words is broadcast.
 
@@ -351,7 +351,7 @@ def _score(table: pa.Table, answers: pa.Table, buckets: int, scorer: Scorer, end
 
 
 def lm_scores(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, vocabulary: int = 1600, share: float = 1 / 16, least_mb: float = 6, part_mb: float = 8,
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, vocabulary: int = 1600, share: float = 1, least_mb: float = 6, part_mb: float = 8,
     rounds: int = 3, rate: float = 0.01, group_mb: float = 5, one_hop: int = tk.ONE_HOP,
 ) -> DataFrame:
     """A row for each input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score, attention_score."""

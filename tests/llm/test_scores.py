@@ -263,3 +263,25 @@ def test_subwords_spell_their_words():
         own = ids[at : at + k]
         assert e.decode_bytes([int(x) // 2 for x in own]) == b" " + w and [int(x) % 2 for x in own] == [0] * (k - 1) + [1]
         at += k
+
+
+def test_the_language_model_learns_from_every_text(spark, monkeypatch):
+    import pyarrow as pa
+
+    from codelake.llm import attention_lm as lm
+
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(words[i::4]) for i in range(4)] + ["", " "]
+    asked = {}
+
+    def train(df, n_bytes, path, vocabulary, share, least_mb, part_mb, rounds, rate):
+        asked["share"] = share
+        return lm.Scorer(path, vocabulary)
+
+    monkeypatch.setattr(lm, "train", train)
+    lm.lm_scores(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array([t.encode() for t in texts], pa.binary())], names=["_id", "_text"])
+    runs = [np.frombuffer(x, np.int32) for b in lm._runs([batch], asked["share"], 3, lm.TOKENIZER) for x in b.column("_ids").to_pylist()]
+    ids = np.concatenate(runs)
+    assert (ids >= 0).sum() == sum(len(lm.pieces_of(lm.words_of(t.encode()), lm.TOKENIZER)[0]) for t in texts)
+    assert (ids[ids >= 0] % 2).sum() == len(words)  # each word ends once
