@@ -20,8 +20,10 @@ pair that it leaves out. Pairs taken are compared by the whole fingerprint, and
 
 Fingerprints miss a pair now and then, and a tree may rest on a pair that the texts do not bear out. So `_rest` joins what these links
 leave apart, exactly: two sets of similarity 0.8 share one of the first shingles of either, a fifth of them, in any one order of all
-shingles. Texts that share as many of these as the similarity asks for and are not yet in one component are candidates, less those whose
-counts of shingles in 64 bins exclude it, and are verified on the texts. Frequent shingles come last in the order; only this order is from a sample.
+shingles. A first pass finds the shingles that texts of different components have among these; a second sends each text's own such
+shingles, as a list, to the buckets that they hash to. Texts that share as many of these as the similarity asks for and are not yet in one component are candidates,
+told once, by the bucket of their least common shingle, less those whose counts of shingles in 256 bins exclude it, and are verified on the texts.
+Frequent shingles come last in the order; only this order is from a sample.
 
 Defined cases: null text has no words; no words: fingerprint zero, linked like any other; fewer words than a shingle has: the
 whole sequence is the one shingle; null ids come after all others; rows without an id or that share one are rows like others; columns other than the two
@@ -219,7 +221,7 @@ def _variants(batches, bits: int, segments: int):
     """(signature, class, 64 bits of its fingerprint): each segment with each bit wildcarded."""
     for b in batches:
         cls = b.column("_cls").to_numpy()
-        fp = np.frombuffer(b"".join(b.column("_fp").to_pylist()), np.uint8).reshape(len(cls), -1)[:, : -4 * _BINS]  # the counts of its shingles follow
+        fp = np.frombuffer(b"".join(b.column("_fp").to_pylist()), np.uint8).reshape(len(cls), -1)[:, :-_BINS]  # the counts of its shingles follow
         one = np.unpackbits(fp, axis=1, bitorder="little")
         near = np.ascontiguousarray(fp[:, :8]).view(np.int64).ravel()
         weight = U(1) << np.arange(bits, dtype=np.uint64)
@@ -272,12 +274,18 @@ def _candidates_of(sig: np.ndarray, cls: np.ndarray, near: np.ndarray, most: int
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["_a", "_b"])
 
 
-_BINS = 64
+_BINS, _FULL = 256, 255
 
 
 def _bins(shingles: np.ndarray) -> np.ndarray:
-    """How many of the shingles fall in each bin; two sets share no more than the lesser of each bin."""
-    return np.bincount((tk.mix(shingles) >> U(58)).astype(np.int64), minlength=_BINS).astype(np.uint32)
+    """How many of the shingles fall in each bin, `_FULL` for so many or more."""
+    return np.minimum(np.bincount((tk.mix(shingles) >> U(56)).astype(np.int64), minlength=_BINS), _FULL).astype(np.uint8)
+
+
+def _possible(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the bins of two sets, a row each, allow the similarity: they share no more than the lesser of each bin."""
+    same, both = np.minimum(x, y).sum(1, dtype=np.int64), x.sum(1, dtype=np.int64) + y.sum(1, dtype=np.int64)
+    return (same >= similarity * (both - same) - 1e-9) | (x == _FULL).any(1) | (y == _FULL).any(1)
 
 
 def _prefix(shingles: np.ndarray, similarity: float, heavy: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -325,8 +333,56 @@ def _apart(sig: np.ndarray, cls: np.ndarray, n: np.ndarray, root: np.ndarray, si
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(many), pa.array(need[one])], names=["_a", "_b", "_c", "_need"])
 
 
+def _mixed(batches):
+    """Shingles that texts of different components have among their first."""
+    every = [[c.to_numpy() for c in b.columns] for b in batches]
+    sig, root = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in every)]) for k in (0, 1))
+    order = np.lexsort((root, sig))
+    sig, root = sig[order], root[order]
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
+    last = np.r_[first[1:], len(sig)][: len(first)] - 1
+    yield pa.RecordBatch.from_arrays([pa.array(sig[first[root[first] < root[last]]])], names=["_sig"])
+
+
+def _spread(batches, buckets: int):
+    """Each text's shingles to each bucket that has one of them."""
+    for b in batches:
+        own = [np.frombuffer(x, np.int64) for x in b.column("_own").to_pylist()]
+        to = [np.unique(x.view(np.uint64) % U(buckets)).astype(np.int32) for x in own]
+        at = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in to]))
+        for lo in range(0, len(at), 10_000):
+            part = b.take(at.slice(lo, 10_000))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to)[lo : lo + 10_000]), *part.columns], names=["_bucket", *part.schema.names])
+
+
+def _met(table: pa.Table, buckets: int, similarity: float) -> pa.Table:
+    """Pairs of a bucket's texts, of different components, that share as many of their first shingles as the similarity asks for; each pair in
+    the bucket of the least shingle that both have."""
+    cls, at = np.unique(table.column("_cls").to_numpy(), return_index=True)  # copies of a text
+    n, root, lists = table.column("_n").to_numpy()[at], table.column("_root").to_numpy()[at], table.column("_own").take(pa.array(at)).to_pylist()
+    own, bucket = [np.frombuffer(x, np.uint64) for x in lists], table.column("_bucket")[0].as_py()
+    here = [x[x % U(buckets) == bucket] for x in own]
+    sig, row = np.concatenate(here).view(np.int64), np.repeat(np.arange(len(cls)), [len(x) for x in here])
+    order = np.lexsort((row, n[row], sig))
+    pairs = _apart(sig[order], row[order], n[row[order]], root[row[order]], similarity)
+    a, b, need = (pairs.column(c).to_numpy() for c in ("_a", "_b", "_need"))
+    size = np.array([len(x) for x in own], np.int64)
+    sets: dict[int, set] = {}
+    found = []
+    for k in np.flatnonzero(np.minimum(size[a], size[b]) >= need).tolist():
+        i, j = int(a[k]), int(b[k])
+        for v in (i, j):
+            if v not in sets:
+                sets[v] = set(own[v].tolist())
+        same = sets[i] & sets[j]
+        if len(same) >= need[k] and min(same) % buckets == bucket:
+            found.append((i, j))
+    x = cls[np.array(found, np.int64).reshape(-1, 2)]
+    return pa.table([pa.array(np.ascontiguousarray(v)) for v in (x.min(1), x.max(1))] if len(x) else [pa.array([], pa.int64())] * 2, names=["_a", "_b"])
+
+
 def _rest(texts: DataFrame, rows: int, roots: DataFrame, parts: int, shingle: int, similarity: float, most_known: int) -> DataFrame:
-    """(_a, _b): candidates for links between components, none left out."""
+    """(_a, _b): candidates for links between components, each once, none left out."""
     spark, share = texts.sparkSession, min(1.0, 20_000 / max(rows, 1))
 
     def sampled(batches):
@@ -348,10 +404,11 @@ def _rest(texts: DataFrame, rows: int, roots: DataFrame, parts: int, shingle: in
     held = spark.sparkContext.broadcast((got.column(0).to_numpy().view(np.uint64)[order], got.column(1).to_numpy()[order]))
 
     def begun(batches):
+        """(class, size, first shingles) of a task's texts, once."""
         heavy, rank = held.value
         seen: set[int] = set()
         for x in tk.pieces(batches, "_text"):
-            sig, cls, size = [np.zeros(0, np.uint64)], [], []
+            sig, cls, size = [], [], []
             for t in tk.texts_of(x.column(0)):
                 h, c = _words(t)
                 if not len(h) or c in seen:
@@ -361,40 +418,72 @@ def _rest(texts: DataFrame, rows: int, roots: DataFrame, parts: int, shingle: in
                 sig.append(_prefix(s, similarity, heavy, rank))
                 cls.append(c)
                 size.append(len(s))
-            many = [len(v) for v in sig[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.repeat(np.array(cls, np.uint64).view(np.int64), many)), pa.array(np.repeat(np.array(size, np.int64), many))], names=["_sig", "_cls", "_n"])
+            yield sig, np.array(cls, np.uint64).view(np.int64), np.array(size, np.int64)
 
-    entries = texts.mapInArrow(begun, "_sig long, _cls long, _n long")
-    if roots.count() <= most_known:
+    few = roots.count() <= most_known
+    if few:
         r = roots.orderBy("_node").toArrow()  # 16 MB
         known = spark.sparkContext.broadcast((r.column("_node").to_numpy(), r.column("_root").to_numpy()))
-        own = entries
-    else:
-        known, own = None, entries.join(roots.withColumnRenamed("_node", "_cls"), "_cls", "left").select("_sig", "_cls", "_n", F.coalesce("_root", "_cls").alias("_root"))
 
     def root_of(cls: np.ndarray) -> np.ndarray:
         node, root = known.value
         at = np.minimum(np.searchsorted(node, cls), max(len(node) - 1, 0))
         return np.where(node[at] == cls, root[at], cls) if len(node) else cls
 
-    def paired(batches):
-        rest = None
+    def entries(batches):
+        for sig, cls, _ in begun(batches):
+            every = np.concatenate([np.zeros(0, np.uint64), *sig]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(root_of(cls) if few else cls, [len(x) for x in sig]))], names=["_sig", "_root"])
+
+    def rooted(rows: DataFrame, cls: str, root: str) -> DataFrame:
+        """The rows with each class's component as `root`, by a join."""
+        own = roots.select(F.col("_node"), F.col("_root").alias("_to"))
+        return rows.join(own, rows[cls] == own["_node"], "left").withColumn(root, F.coalesce("_to", cls)).drop("_node", "_to")
+
+    first = texts.mapInArrow(entries, "_sig long, _root long")
+    first = first if few else rooted(first, "_root", "_root")
+    mixed = first.repartition(parts, "_sig").mapInArrow(_mixed, "_sig long").checkpoint()
+    listed = mixed.count() <= most_known
+    if listed:
+        common = spark.sparkContext.broadcast(np.sort(mixed.toArrow().column(0).to_numpy().view(np.uint64)))  # 8 MB
+
+    def chosen(batches):
+        for sig, cls, size in begun(batches):
+            if listed and len(common.value):
+                sig = [x[common.value[np.minimum(np.searchsorted(common.value, x), len(common.value) - 1)] == x] for x in sig]
+            elif listed:
+                sig = [x[:0] for x in sig]
+            own = np.flatnonzero([len(x) > 0 for x in sig])
+            yield pa.RecordBatch.from_arrays([pa.array(cls[own]), pa.array(size[own]), pa.array([sig[i].tobytes() for i in own.tolist()], pa.binary())], names=["_cls", "_n", "_own"])
+
+    def parted(batches):
         for b in batches:
-            now = [c.to_numpy() for c in b.columns]
-            if rest is not None:
-                now = [np.r_[x, y] for x, y in zip(rest, now)]
-            if not len(now[0]):
-                continue
-            cut = int(np.searchsorted(now[0], now[0][-1]))  # the last shingle may go on
-            rest = [x[cut:] for x in now]
-            if cut:
-                now = [x[:cut] for x in now]
-                yield _apart(*now[:3], now[3] if known is None else root_of(now[1]), similarity)
-        if rest is not None and len(rest[0]):
-            yield _apart(*rest[:3], rest[3] if known is None else root_of(rest[1]), similarity)
+            own = [np.frombuffer(x, np.int64) for x in b.column("_own").to_pylist()]
+            many = [len(x) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(k).to_numpy(), many)) for k in (0, 1)] + [pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], names=["_cls", "_n", "_sig"])
+
+    def gathered(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(x, np.int64).tobytes() for x in b.column(2).to_pylist()], pa.binary())], names=["_cls", "_n", "_own"])
 
-    met = own.repartition(parts, "_sig").sortWithinPartitions("_sig", "_n", "_cls").mapInArrow(paired, "_a long, _b long, _c long, _need long")
-    return met.groupBy("_a", "_b").agg(F.sum("_c").alias("_c"), F.max("_need").alias("_need")).where("_c >= _need").select("_a", "_b")
+    def told(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(root_of(b.column(0).to_numpy()))], names=["_cls", "_n", "_own", "_root"])
+
+    kind = "_bucket int, _cls long, _n long, _own binary, _root long"
+    if listed and few:
+        sent = texts.mapInArrow(lambda x: _spread(told(chosen(x)), parts), kind)  # one Python worker a task
+    else:
+        if listed:
+            lists = texts.mapInArrow(chosen, "_cls long, _n long, _own binary")
+        else:
+            lists = texts.mapInArrow(lambda x: parted(chosen(x)), "_cls long, _n long, _sig long").join(mixed, "_sig", "left_semi")
+            lists = lists.groupBy("_cls", "_n").agg(F.collect_set("_sig").alias("_sigs")).mapInArrow(gathered, "_cls long, _n long, _own binary")
+        if few:
+            sent = lists.mapInArrow(lambda x: _spread(told(x), parts), kind)
+        else:
+            sent = rooted(lists, "_cls", "_root").select("_cls", "_n", "_own", "_root").mapInArrow(lambda x: _spread(x, parts), kind)
+    return sent.groupBy("_bucket").applyInArrow(lambda t: _met(t, parts, similarity), "_a long, _b long")
 
 
 def _by_signature(batches, most: int):
@@ -443,14 +532,13 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
 
     def nearer(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, wide + _BINS // 2)[:, :wide] for c in ("_x", "_y"))
-            yield b.select(["_a", "_b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most(64 * wide)))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, wide + _BINS // 8)[:, :wide] for c in ("_x", "_y"))
+            yield b.filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most(64 * wide)))
 
     def possible(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(b.num_rows, 2 * wide + _BINS)[:, 2 * wide :].astype(np.int64) for c in ("_x", "_y"))
-            same = np.minimum(x, y).sum(1)
-            yield b.select(["_a", "_b"]).filter(pa.array(same >= similarity * (x.sum(1) + y.sum(1) - same) - 1e-9))
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, 8 * wide + _BINS)[:, 8 * wide :] for c in ("_x", "_y"))
+            yield b.select(["_a", "_b"]).filter(pa.array(_possible(x, y, similarity)))
 
     def compared(pairs: DataFrame, keep) -> DataFrame:
         both = pairs.join(classes.select(F.col("_cls").alias("_a"), F.col("_fp").alias("_x")), "_a").join(classes.select(F.col("_cls").alias("_b"), F.col("_fp").alias("_y")), "_b")
@@ -487,7 +575,7 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
         both = pairs.join(own.withColumnsRenamed({"_cls": "_a", "_raw": "_x"}), "_a").join(own.withColumnsRenamed({"_cls": "_b", "_raw": "_y"}), "_b").select("_a", "_b", "_x", "_y")
         return both.mapInArrow(verified, "_a long, _b long")
 
-    roots = components(true(compared(pairs, nearer)))
+    roots = components(true(compared(pairs, lambda x: possible(nearer(x)))))
     more = compared(_rest(texts, rows, roots, parts, shingle, similarity, most_known), possible)
     linked = roots.select(F.col("_node").alias("_a"), F.col("_root").alias("_b"))
     return components(linked.union(true(more))).withColumnRenamed("_node", "_cls")

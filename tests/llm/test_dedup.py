@@ -262,6 +262,39 @@ def test_first_shingles_shared_reach_what_the_similarity_asks_for():
         assert got.num_rows == 1 and got.column("_c")[0].as_py() == len(shared) >= got.column("_need")[0].as_py()
 
 
+def test_a_pair_is_told_once_however_many_shingles_it_shares(spark):
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    shared = r.integers(0, 2**63, 40).astype(np.uint64)
+    lists = [np.unique(np.r_[shared, r.integers(0, 2**63, 5).astype(np.uint64)]) for _ in range(6)]  # 15 pairs of 40 shingles
+    lists.append(np.unique(np.r_[shared[:3], r.integers(0, 2**63, 42).astype(np.uint64)]))  # too few of them
+    rows = pa.table({"_cls": pa.array([*range(7), 0]), "_n": pa.array([200] * 8), "_own": pa.array([x.tobytes() for x in [*lists, lists[0]]], pa.binary()), "_root": pa.array([0, 0, 2, 3, 4, 5, 6, 0])})
+    sent = pa.Table.from_batches(simhash._spread(rows.to_batches(), 7))
+    got = []
+    for b in range(7):
+        own = sent.filter(pa.compute.equal(sent.column("_bucket"), b))
+        if len(own):
+            t = simhash._met(own, 7, 0.8)
+            got += zip(t.column("_a").to_pylist(), t.column("_b").to_pylist())
+    assert sorted(got) == [(i, j) for i in range(6) for j in range(i + 1, 6) if (i, j) != (0, 1)]
+
+
+def test_bins_leave_no_pair_out_and_most_unlike_ones():
+    r = np.random.default_rng(7)
+    kept = 0
+    for k in range(400):
+        x = r.integers(0, 2**63, int(r.integers(100, 400))).astype(np.uint64)
+        y = np.r_[x[r.random(len(x)) > (0.05 if k % 2 else 0.15)], r.integers(0, 2**63, len(x) // (20 if k % 2 else 7)).astype(np.uint64)]
+        same = len(np.intersect1d(x, y))
+        ok = bool(simhash._possible(simhash._bins(x)[None], simhash._bins(y)[None], 0.8)[0])
+        assert ok or same < 0.8 * (len(x) + len(y) - same)
+        kept += ok and not k % 2  # similarities of three quarters
+    assert kept < 60
+    x = r.integers(0, 2**63, 200_000).astype(np.uint64)  # bins are full
+    assert simhash._possible(simhash._bins(x)[None], simhash._bins(x[:170_000])[None], 0.8)[0]
+
+
 def test_empty_tables(empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
     assert suffix_dedup.suffix_dedup(empty).count() == 0
