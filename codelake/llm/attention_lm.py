@@ -139,6 +139,21 @@ class Scorer:
 _RUN = 768
 
 
+def _sealed(runs: list[np.ndarray]) -> bytes:
+    """Runs of ids in few bytes: sizes, then the ids' bytes by place, compressed."""
+    sizes, ids = np.array([len(runs), *map(len, runs)], np.int32), np.concatenate([np.zeros(0, np.int32), *runs]).astype(np.int32)
+    raw = sizes.tobytes() + ids.view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _opened(data: bytes) -> list[np.ndarray]:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+    n = int(np.frombuffer(raw, np.int32, 1)[0])
+    sizes = np.frombuffer(raw, np.int32, n, 4)
+    ids = np.ascontiguousarray(np.frombuffer(raw, np.uint8, -1, 4 + 4 * n).reshape(4, -1).T).view(np.int32).ravel()
+    return np.split(ids, np.cumsum(sizes)[:-1]) if n else []
+
+
 def _runs(batches, share: float, parts: int, path: str):
     """(part, ids with an end of -1) of the runs of words chosen."""
     last = U(min(int(share * 2**64), 2**64 - 1))
@@ -165,10 +180,20 @@ def _runs(batches, share: float, parts: int, path: str):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([x.astype(np.int32).tobytes() for x in out], pa.binary())], names=["_part", "_ids"])
 
 
+def _bundled(batches):
+    """A batch's runs of each part in one row, sealed."""
+    for b in batches:
+        by_part: dict[int, list[np.ndarray]] = {}
+        for part, x in zip(b.column("_part").to_pylist(), b.column("_ids").to_pylist()):
+            if x:
+                by_part.setdefault(part, []).append(np.frombuffer(x, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([*by_part], pa.int32()), pa.array([_sealed(x) for x in by_part.values()], pa.binary())], names=["_part", "_ids"])
+
+
 def _counted(batches, total: int):
     """(id + total * (1 if the id before ended its word), how often)"""
     for b in batches:
-        runs = [np.frombuffer(x, np.int32) for x in b.column("_ids").to_pylist()]
+        runs = [r for x in b.column("_ids").to_pylist() for r in _opened(x)]
         ids = np.concatenate([np.zeros(0, np.int32), *runs]).astype(np.int64)
         before = np.r_[1, ids[:-1] % 2][: len(ids)]
         size = np.array([len(x) for x in runs], np.int64)
@@ -179,7 +204,7 @@ def _counted(batches, total: int):
 
 def _taught(batches, scorer: Scorer, piece: int, pieces: int, high: float, low: float):
     """The model after a slice of the partition's windows, times their number, and the number."""
-    runs = sorted(x for b in batches for x in b.column("_ids").to_pylist() if x)
+    runs = sorted(r.tobytes() for b in batches for x in b.column("_ids").to_pylist() for r in _opened(x))
     if not runs:
         return
     ids = np.concatenate([np.frombuffer(x, np.int32) for x in runs])
@@ -209,7 +234,7 @@ def train(texts: DataFrame, n_bytes: int, path: str, vocabulary: int, share: flo
     share = min(1.0, max(share, least_mb * 1e6 / n_bytes))
     passes = max(1, math.ceil(least_mb * 1e6 / n_bytes / share - 0.5))  # of a corpus smaller than that
     parts = max(1, round(share * n_bytes / (part_mb * 1e6)))
-    runs = texts.mapInArrow(lambda x: _runs(x, share, parts, path), "_part int, _ids binary").repartition(parts, "_part").select("_ids").checkpoint()
+    runs = texts.mapInArrow(lambda x: _bundled(_runs(x, share, parts, path)), "_part int, _ids binary").repartition(parts, "_part").select("_ids").checkpoint()
     total = len(scorer.of)
     counts = runs.mapInArrow(lambda x: _counted(x, total), "_code long, _n long").groupBy("_code").agg(F.sum("_n")).toArrow()  # two rows an id of the vocabulary at most
     scorer.begin(counts.column(0).to_numpy(), counts.column(1).to_numpy())

@@ -285,3 +285,16 @@ def test_the_language_model_learns_from_every_text(spark, monkeypatch):
     ids = np.concatenate(runs)
     assert (ids >= 0).sum() == sum(len(lm.pieces_of(lm.words_of(t.encode()), lm.TOKENIZER)[0]) for t in texts)
     assert (ids[ids >= 0] % 2).sum() == len(words)  # each word ends once
+
+
+def test_sealed_runs_open_as_they_were_in_few_bytes():
+    import numpy as np
+
+    from codelake.llm import attention_lm as lm
+
+    r = np.random.default_rng(1)
+    runs = [np.append(np.minimum(r.zipf(1.2, int(r.integers(1, 300))), 100_000), -1).astype(np.int32) for _ in range(400)]
+    data = lm._sealed(runs)
+    assert [x.tolist() for x in lm._opened(data)] == [x.tolist() for x in runs]
+    assert len(data) < 2.5 * sum(map(len, runs))  # four bytes an id before
+    assert lm._opened(lm._sealed([])) == []
