@@ -10,6 +10,8 @@ if it begins it); the others by frequency.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 WINDOW, BACK = 32, 8
@@ -92,50 +94,50 @@ class Model:
 
     def log_probs(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target of each window."""
-        p = self.p
+        p, d, h = self.p, self.d, self.h
         out = np.empty(target.shape, _F)
         if not hasattr(self, "tables"):
             # a row's two last inputs tell the kind of the id before, so that the products add the biases
             members = np.concatenate([p["M"], (p["m"] + self.off).transpose(1, 0, 2)], axis=1)
-            self.tables = [p["E"] @ p[m] for m in "QKV"], [p["P"] @ p[m] for m in "QKV"], np.concatenate([p["C"], p["c"]]), members, np.ones(self.a, _F), np.ones(self.b, _F), p["T"] + p["t"]
-        (tq, tk, tv), (pq, pk, pv), classes, members, ones_a, ones_b, told = self.tables
-        for i in range(0, len(x), 1024):
-            b = x[i : i + 1024]
-            q, k, v = tq[b[:, BACK:]] + pq[BACK:], tk[b] + pk, tv[b] + pv
-            s = q @ k.transpose(0, 2, 1)
-            s *= self.d**-0.5
+            kinds = np.stack([1 - self.kind, self.kind], axis=1)
+            told = np.concatenate([p["T"] + p["t"], kinds], axis=1, dtype=_F)
+            o = np.concatenate([p["O"], np.zeros((d, 2))], axis=1, dtype=_F)
+            self.tables = np.concatenate([p["Q"] * d**-0.5, p["K"], p["V"]], axis=1), np.concatenate([p["C"], p["c"]]), members, np.ones(self.a, _F), np.ones(self.b, _F), np.ones(WINDOW, _F), told, o
+        qkv, classes, members, ones_a, ones_b, ones, told, mix = self.tables
+        for i in range(0, len(x), 128):  # so few windows that what is computed stays near
+            b = x[i : i + 128]
+            n = len(b)
+            e = p["E"].take(b.ravel(), axis=0).reshape(n, WINDOW, d)
+            e += p["P"]
+            own = (e.reshape(-1, d) @ qkv).reshape(n, WINDOW, 3 * d)
+            s = own[:, BACK:, :d] @ own[:, :, d : 2 * d].transpose(0, 2, 1)
             s += self.causal[BACK:]
             pads = np.flatnonzero(b[:, BACK - 1] == PAD)
             if len(pads):
                 s[pads] += np.where(b[pads] == PAD, -1e9, 0).astype(_F)[:, None, :]
             np.exp(s, out=s)  # scores are small: no maximum is taken off
-            o = s @ v
-            o /= s.sum(-1, keepdims=True)
-            t = target[i : i + 1024].ravel()
-            a, m = t // self.b, t % self.b
+            o = (s @ own[:, :, 2 * d :]).reshape(-1, d)
+            o *= (1 / (s.reshape(-1, WINDOW) @ ones))[:, None]
+            t = target[i : i + 128].ravel()
+            a = t // self.b
             order = np.argsort(a.astype(np.uint8 if self.a < 256 else np.int32), kind="stable")  # rows by class
-            a, m = a[order], m[order]
-            inp = b[:, BACK:].ravel()[order]
-            u = np.empty((len(t), self.h + 2), _F)
-            np.matmul(o.reshape(-1, self.d)[order], p["O"], out=u[:, : self.h])
-            u[:, : self.h] += told[inp]
+            t, a = t[order], a[order]
+            u = o.take(order, axis=0) @ mix
+            u += told.take(b[:, BACK:].ravel()[order], axis=0)
             np.maximum(u, 0, out=u)
-            u[:, self.h + 1] = self.kind[inp]
-            u[:, self.h] = 1 - u[:, self.h + 1]
             z = u @ classes
             rows = np.arange(len(t))
-            got = z[rows, a]
+            got = z.ravel().take(rows * self.a + a)
             np.exp(z, out=z)
             y = np.empty((len(t), self.b), _F)
             for c, lo, hi in self._runs(a):
                 np.matmul(u[lo:hi], members[c], out=y[lo:hi])
-            got += y[rows, m]
+            got += y.ravel().take(rows * self.b + (t - a * self.b))
             np.exp(y, out=y)
-            got -= np.log(z @ ones_a)
-            got -= np.log(y @ ones_b)
+            got -= np.log((z @ ones_a) * (y @ ones_b))
             flat = np.empty(len(t), _F)
             flat[order] = got
-            out[i : i + 1024] = flat.reshape(-1, STEP)
+            out[i : i + 128] = flat.reshape(-1, STEP)
         return out
 
     @staticmethod
@@ -225,18 +227,15 @@ class Model:
 
     def descend(self, x: np.ndarray, target: np.ndarray, batch: int, high: float, low: float) -> list[float]:
         """One pass in the order given, by Adam, at rates from `high` to `low`."""
-        first = {k: np.zeros_like(v) for k, v in self.p.items()}
-        second = {k: np.zeros_like(v) for k, v in self.p.items()}
+        own = _Pass(self)
         losses, total = [], -(-len(x) // batch)
+        class_of = np.where(target == PAD, self.a, target // self.b).astype(np.uint8 if self.a < 255 else np.int32)
         for i in range(1, total + 1):
-            own = slice((i - 1) * batch, i * batch)
-            loss, g = self.step(x[own], target[own])
+            rows = slice((i - 1) * batch, i * batch)
+            loss = own.step(x[rows], target[rows], class_of[rows])
             losses.append(loss)
-            lr = (high + (low - high) * i / total) * min(1, i / 10)
-            for k, d in g.items():
-                first[k] += 0.1 * (d - first[k])
-                second[k] += 0.01 * (d * d - second[k])
-                self.p[k] -= (lr * (first[k] / (1 - 0.9**i)) / (np.sqrt(second[k] / (1 - 0.99**i)) + 1e-8)).astype(_F)
+            own.move((high + (low - high) * i / total) * min(1, i / 10), i)
+        own.end()
         return losses
 
     def packed(self) -> np.ndarray:
@@ -250,3 +249,159 @@ class Model:
             self.p[k] = flat[at : at + n].reshape(self.p[k].shape).astype(_F)
             at += n
         self.__dict__.pop("tables", None)
+
+
+class _Pass:
+    """A pass over windows: the gradients of Model.step and Adam, with all parameters in one array and little copied.
+
+    Tables that are read together lie together: E and T, Q, K and V, C and c, M and m (with the biases of members that
+    the last class lacks). Rows without a target are left out, not multiplied by zero.
+    """
+
+    def __init__(self, model: Model):
+        self.model, (d, h, a, b, v) = model, (model.d, model.h, model.a, model.b, model.v)
+        shapes = {"ET": (v, d + h), "P": (WINDOW, d), "QKV": (d, 3 * d), "O": (d, h), "t": (h,), "C": (h + 2, a), "M": (a, h + 2, b)}
+        size = sum(math.prod(s) for s in shapes.values())
+        self.flat, self.grad, first, second = (np.zeros(size, _F) for _ in range(4))
+        room = np.zeros(min(size, 16384), _F)
+        cuts = [slice(i, min(i + len(room), size)) for i in range(0, size, len(room))]
+        self.stretches = [(self.flat[c], self.grad[c], first[c], second[c], room[: c.stop - c.start]) for c in cuts]
+        self.w, self.g, at = {}, {}, 0
+        for k, s in shapes.items():
+            for of, flat in ((self.w, self.flat), (self.g, self.grad)):
+                of[k] = flat[at : at + math.prod(s)].reshape(s)
+            at += math.prod(s)
+        views = self._views(self.w)
+        for k, x in views.items():
+            x[...] = model.p[k]
+        views["m"] += model.off
+        self.m, model.p = model.p["m"], views
+        self.ends = model.kind.astype(_F)
+        self.causal = np.ascontiguousarray(model.causal[BACK:])
+        self.ones_a, self.ones_b = np.ones(a, _F), np.ones(b, _F)
+
+    def _views(self, of: dict) -> dict:
+        """The model's parameters (or their gradients) by name."""
+        d, h = self.model.d, self.model.h
+        return {
+            "E": of["ET"][:, :d], "T": of["ET"][:, d:], "P": of["P"], "Q": of["QKV"][:, :d], "K": of["QKV"][:, d : 2 * d], "V": of["QKV"][:, 2 * d :], "O": of["O"], "t": of["t"],
+            "C": of["C"][:h], "c": of["C"][h:], "M": of["M"][:, :h], "m": of["M"][:, h:].transpose(1, 0, 2),
+        }
+
+    def step(self, x: np.ndarray, target: np.ndarray, class_of: np.ndarray) -> float:
+        """The mean loss; gradients go to self.grad."""
+        with np.errstate(all="ignore"):
+            loss = self._step(x, target, class_of)
+        if not math.isfinite(loss):  # scores too large to go without their maximum
+            loss, g = self.model.step(x, target)
+            for k, to in self._views(self.g).items():
+                to[...] = g[k]
+        return loss
+
+    def _step(self, x: np.ndarray, target: np.ndarray, class_of: np.ndarray) -> float:
+        model, w, g = self.model, self.w, self.g
+        n, d, h = len(x), model.d, model.h
+        self.grad[:] = 0
+        flat = x.ravel()
+        et = w["ET"].take(flat, axis=0)
+        e = (et[:, :d].reshape(n, WINDOW, d) + w["P"]).reshape(-1, d)
+        qkv = (e @ w["QKV"]).reshape(n, WINDOW, 3 * d)
+        q, k, v = qkv[:, BACK:, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
+        s = q @ k.transpose(0, 2, 1)
+        s *= _F(d**-0.5)
+        s += self.causal
+        pads = np.flatnonzero(x[:, BACK - 1] == PAD)
+        if len(pads):
+            s[pads] += np.where(x[pads] == PAD, -1e9, 0).astype(_F)[:, None, :]
+        np.exp(s, out=s)
+        s *= 1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, _F)).reshape(n, STEP, 1)
+        o = (s @ v).reshape(-1, d)
+
+        order = np.argsort(class_of.ravel(), kind="stable")  # rows by class, those without a target last
+        per = np.bincount(class_of.ravel(), minlength=model.a + 1)
+        live = len(order) - int(per[-1])
+        order = order[:live]
+        place = order + BACK * (order // STEP + 1)  # of the inputs
+        t = target.ravel()[order]
+        a = class_of.ravel()[order].astype(np.int64)
+        m = t - a * model.b
+        base = o.take(order, axis=0)
+        u = np.empty((live, h + 2), _F)
+        told = base @ w["O"]
+        told += et.take(place, axis=0)[:, d:]
+        told += w["t"]
+        u[:, :h] = told
+        u[:, h + 1] = self.ends[flat[place]]
+        u[:, h] = 1 - u[:, h + 1]
+        np.maximum(u, 0, out=u)
+        z = u @ w["C"]
+        y = np.empty((live, model.b), _F)
+        ends = np.cumsum(per[:-1])
+        runs = [(c, hi - size, hi) for c, (size, hi) in enumerate(zip(per[:-1].tolist(), ends.tolist())) if size]
+        for c, lo, hi in runs:
+            np.matmul(u[lo:hi], w["M"][c], out=y[lo:hi])
+        share, rows, loss = _F(1 / max(live, 1)), np.arange(live), 0.0
+        for scores, own, ones in ((z, a, self.ones_a), (y, m, self.ones_b)):
+            np.exp(scores, out=scores)
+            by = 1 / (scores @ ones)
+            at = rows * len(ones) + own
+            got = scores.ravel().take(at) * by
+            scores *= (by * share)[:, None]
+            scores.ravel()[at] = (got - 1) * share
+            loss -= float(np.log(got + _F(1e-12)).sum())
+
+        np.matmul(u.T, z, out=g["C"])
+        du = z @ w["C"][:h].T
+        for c, lo, hi in runs:
+            np.matmul(u[lo:hi].T, y[lo:hi], out=g["M"][c])
+            np.matmul(y[lo:hi], w["M"][c, :h].T, out=told[lo:hi])
+        du += told
+        du *= u[:, :h] > 0
+        g["t"][:] = np.ones(live, _F) @ du
+        np.matmul(base.T, du, out=g["O"])
+        do = np.zeros((n * STEP, d), _F)
+        do[order] = du @ w["O"].T
+        do = do.reshape(n, STEP, d)
+        dw = do @ v.transpose(0, 2, 1)
+        dw *= s
+        dw -= s * (dw.reshape(-1, WINDOW) @ np.ones(WINDOW, _F)).reshape(n, STEP, 1)
+        dw *= _F(d**-0.5)
+        back = np.empty((n, WINDOW, 3 * d), _F)
+        back[:, :BACK, :d] = 0
+        np.matmul(dw, k, out=back[:, BACK:, :d])
+        np.matmul(dw.transpose(0, 2, 1), q, out=back[:, :, d : 2 * d])
+        np.matmul(s.transpose(0, 2, 1), do, out=back[:, :, 2 * d :])
+        back = back.reshape(-1, 3 * d)
+        np.matmul(e.T, back, out=g["QKV"])
+        both = np.zeros((n * WINDOW, d + h), _F)
+        np.matmul(back, w["QKV"].T, out=both[:, :d])
+        both[place, d:] = du
+        g["P"][:] = both[:, :d].reshape(n, WINDOW, d).sum(0)
+        order = np.argsort(flat.astype(np.int16) if model.v < 2**15 else flat, kind="stable")
+        ids = flat[order]
+        cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        g["ET"][ids[cut]] = np.add.reduceat(both.take(order, axis=0), cut, axis=0)
+        return loss * float(share)
+
+    def move(self, rate: float, i: int) -> None:
+        """Step i of Adam, a stretch at a time; the moments are kept ten and a hundred times as large."""
+        by = math.sqrt(0.01 / (1 - 0.99**i))
+        least, rate = _F(1e-8 / by), _F(rate * 0.1 / (1 - 0.9**i) / by)
+        for p, g, first, second, room in self.stretches:
+            first *= _F(0.9)
+            first += g
+            second *= _F(0.99)
+            np.multiply(g, g, out=g)
+            second += g
+            np.sqrt(second, out=room)
+            room += least
+            np.divide(first, room, out=room)
+            room *= rate
+            p -= room
+
+    def end(self) -> None:
+        """The model's parameters as arrays of their own again."""
+        lacked = np.broadcast_to(self.model.off < 0, self.m.shape)
+        self.model.p["m"][lacked] = self.m[lacked]
+        self.model.p = {k: np.array(x, order="C") for k, x in self.model.p.items()}
+        self.model.__dict__.pop("tables", None)

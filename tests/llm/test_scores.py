@@ -298,3 +298,41 @@ def test_sealed_runs_open_as_they_were_in_few_bytes():
     assert [x.tolist() for x in lm._opened(data)] == [x.tolist() for x in runs]
     assert len(data) < 2.5 * sum(map(len, runs))  # four bytes an id before
     assert lm._opened(lm._sealed([])) == []
+
+
+def test_a_pass_moves_the_model_as_plain_adam_does_without_its_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    ids = np.r_[rng.integers(4, 30, 900), 2, rng.integers(4, 30, 5), 2, 2].astype(np.int32)
+    x, target, _ = attention.windows_of(ids, np.array([901, 6, 1]))
+    new, plain = (attention.Model(30, members=8, width=4, hidden=6) for _ in range(2))
+    assert (new.off < 0).any()  # the last class lacks members
+    step, losses = attention.Model.step, []
+    first, second = ({k: np.zeros(v.shape) for k, v in plain.p.items()} for _ in range(2))
+    for i in range(1, -(-len(x) // 16) + 1):
+        own = slice((i - 1) * 16, i * 16)
+        loss, g = step(plain, x[own], target[own])
+        losses.append(loss)
+        rate = (0.01 + (0.005 - 0.01) * i / -(-len(x) // 16)) * min(1, i / 10)
+        for k, d in g.items():
+            first[k] = 0.9 * first[k] + 0.1 * d
+            second[k] = 0.99 * second[k] + 0.01 * d * d
+            plain.p[k] = (plain.p[k] - rate * first[k] / (1 - 0.9**i) / (np.sqrt(second[k] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
+    calls = []
+    monkeypatch.setattr(attention.Model, "step", lambda *a: calls.append(1) or step(*a))
+    assert np.allclose(new.descend(x, target, 16, 0.01, 0.005), losses, atol=1e-4)
+    assert not calls  # its whole-array steps cost too much
+    for k, v in plain.p.items():
+        assert new.p[k].shape == v.shape and new.p[k].dtype == np.float32 and np.quantile(abs(new.p[k] - v), 0.99) < 1e-3, k
+    new.p["c"][:, 0] += 1000  # too large for exp without the maximum
+    assert np.isfinite(new.descend(x, target, 16, 0.001, 0.001)).all() and calls
+    assert all(np.isfinite(v).all() for v in new.p.values())
+
+
+def test_log_probs_add_up_to_one():
+    rng = np.random.default_rng(4)
+    ids = np.r_[rng.integers(4, 30, 200), 2].astype(np.int32)
+    x, target, _ = attention.windows_of(ids, np.array([201]))
+    m = attention.Model(30, members=8, width=4, hidden=6)
+    m.begin(np.arange(30) % 2, rng.integers(0, 9, (2, 30)).astype(float))
+    every = np.stack([m.log_probs(x, np.full(target.shape, i, np.int32)) for i in range(30)])
+    assert np.allclose(np.exp(every.astype(float)).sum(0), 1, atol=1e-4)
