@@ -10,7 +10,9 @@ if it begins it); the others by frequency.
 
 from __future__ import annotations
 
+import ctypes
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -21,6 +23,17 @@ FIRST = RARE + 4  # of the ids by frequency
 _F = np.float32
 
 
+@lru_cache(1)
+def keep_room() -> bool:
+    """Lets glibc keep up to 16 MB of freed memory, so that arrays of under 1 MB, made anew by each step, cost no page faults; False elsewhere."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (AttributeError, OSError, TypeError):
+        return False
+    trim, mmap = -1, -3  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+    return bool(mallopt(mmap, 1 << 20) and mallopt(trim, 16 << 20))
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     x = np.exp(x - x.max(-1, keepdims=True))
     x /= x.sum(-1, keepdims=True)
@@ -94,7 +107,8 @@ class Model:
 
     def log_probs(self, x: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target of each window."""
-        p, d, h = self.p, self.d, self.h
+        keep_room()
+        p, d = self.p, self.d
         out = np.empty(target.shape, _F)
         if not hasattr(self, "tables"):
             # a row's two last inputs tell the kind of the id before, so that the products add the biases
@@ -227,6 +241,7 @@ class Model:
 
     def descend(self, x: np.ndarray, target: np.ndarray, batch: int, high: float, low: float) -> list[float]:
         """One pass in the order given, by Adam, at rates from `high` to `low`."""
+        keep_room()
         own = _Pass(self)
         losses, total = [], -(-len(x) // batch)
         class_of = np.where(target == PAD, self.a, target // self.b).astype(np.uint8 if self.a < 255 else np.int32)

@@ -212,7 +212,9 @@ def _taught(batches, scorer: Scorer, piece: int, pieces: int, high: float, low:
     own = np.array_split(np.random.default_rng(len(x) + piece // pieces).permutation(len(x)), pieces)[piece % pieces]
     if not len(own):
         return
-    scorer.model.descend(x[own], target[own], 64, high, low)
+    x, target = x[own], target[own]
+    del runs, ids  # what other rounds take need not stay beside the pass
+    scorer.model.descend(x, target, 64, high, low)
     data = np.append(scorer.model.packed().astype(np.float64) * len(own), len(own)).tobytes()
     from pyspark import TaskContext
 

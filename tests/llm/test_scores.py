@@ -336,3 +336,17 @@ def test_log_probs_add_up_to_one():
     m.begin(np.arange(30) % 2, rng.integers(0, 9, (2, 30)).astype(float))
     every = np.stack([m.log_probs(x, np.full(target.shape, i, np.int32)) for i in range(30)])
     assert np.allclose(np.exp(every.astype(float)).sum(0), 1, atol=1e-4)
+
+
+def test_a_pass_uses_its_memory_again():
+    import resource
+
+    if not attention.keep_room():
+        pytest.skip("not glibc")
+    ids = np.append(np.random.default_rng(5).integers(4, 1600, 64 * 24 * 20 - 1), 2).astype(np.int32)
+    x, target, _ = attention.windows_of(ids, np.array([len(ids)]))
+    m = attention.Model(1600)
+    m.descend(x, target, 64, 0.01, 0.01)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+    m.descend(x, target, 64, 0.01, 0.01)
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before < 200 * 20  # page faults; 860 a step before
