@@ -14,15 +14,16 @@ Classes are joined to components by alternating stars over the links, with a che
 similarity a bit differs with a probability of about 0.15, far more than two of 64. So fingerprints are longer and cut
 into segments that each differ by at most one bit often enough (`_shape`): segments have a bit less than the
 logarithm of the number of rows, so that unlike texts rarely meet, and there are so many of them that a pair at 0.8 shares a one-wildcard
-variant with a probability of `recall`. Who shares one is compared by 64 bits of the fingerprint; of a small group all near
+variant with a probability of `recall`. Only the segments' halves are sent, and the variants made where they meet. Who shares one is compared by 64 bits of the fingerprint; of a small group all near
 pairs are taken, of a larger one the least spanning tree, which leaves a path of nearer pairs for each
 pair that it leaves out. Pairs taken are compared by the whole fingerprint, and the rest verified on the texts by their exact similarity.
 
 Fingerprints miss a pair now and then, and a tree may rest on a pair that the texts do not bear out. So `_rest` joins what these links
 leave apart, exactly: two sets of similarity 0.8 share one of the first shingles of either, a fifth of them, in any one order of all
-shingles. A first pass finds the shingles that texts of different components have among these; a second sends each text's own such
-shingles, as a list, to the buckets that they hash to. Texts that share as many of these as the similarity asks for and are not yet in one component are candidates,
-told once, by the bucket of their least common shingle, less those whose counts of shingles in 256 bins exclude it, and are verified on the texts.
+shingles. Of texts that are alike, the first shingle that both have stands so early in either that the rest can still be as alike. So a first pass
+finds the shingles that may be this for texts of different components; a second sends each of them with its text's counts of shingles in a few
+bins, at most 256, whatever the text's length. Texts that are not yet in one component and that neither the place nor the counts exclude are candidates; they
+are compared by counts in 256 bins and verified on the texts.
 Frequent shingles come last in the order; only this order is from a sample.
 
 Defined cases: null text has no words; no words: fingerprint zero, linked like any other; fewer words than a shingle has: the
@@ -32,6 +33,7 @@ named are ignored (in `keep_one` kept as they are), whatever their names. Texts
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import tempfile
@@ -148,6 +150,12 @@ def ensure_checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "codelake-checkpoints"))
 
 
+def _release(spark: SparkSession) -> None:
+    """Shuffle files of frames that are no longer held stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(_node, _root) for every node of an edge: its component's smallest node, by alternating stars."""
     spark = edges.sparkSession
@@ -217,19 +225,22 @@ def _sketch(shingles: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(ones * 2 > len(shingles), bitorder="little").view(np.uint64)
 
 
-def _variants(batches, bits: int, segments: int):
-    """(signature, class, 64 bits of its fingerprint): each segment with each bit wildcarded."""
+def _halves(batches, bits: int, segments: int):
+    """(key, class, 64 bits of its fingerprint): each segment by either of its halves, and the other half after it. Segments that differ by
+    at most one bit have a half in common, so they meet there, and the variants with a bit wildcarded are made by who gets both."""
+    low = bits // 2
+    width = bits - low
     for b in batches:
         cls = b.column("_cls").to_numpy()
         fp = np.frombuffer(b"".join(b.column("_fp").to_pylist()), np.uint8).reshape(len(cls), -1)[:, :-_BINS]  # the counts of its shingles follow
         one = np.unpackbits(fp, axis=1, bitorder="little")
         near = np.ascontiguousarray(fp[:, :8]).view(np.int64).ravel()
-        weight = U(1) << np.arange(bits, dtype=np.uint64)
+        weight = U(1) << np.arange(width, dtype=np.uint64)
         for k in range(segments):
-            own = one[:, k * bits : (k + 1) * bits].astype(np.uint64) @ weight
-            for i in range(bits):
-                sig = own & ~(U(1) << U(i)) | U(k * bits + i << bits)  # segment, wildcarded bit and the other bits
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(cls), pa.array(near)], names=["_sig", "_cls", "_near"])
+            first, last = (one[:, k * bits + lo : k * bits + hi].astype(np.uint64) @ weight[: hi - lo] for lo, hi in ((0, low), (low, bits)))
+            for side, (same, free) in enumerate(((last, first), (first, last))):
+                key = U(2 * k + side << 2 * width) | same << U(width) | free
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(cls), pa.array(near)], names=["_key", "_cls", "_near"])
 
 
 def _tree(near: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -299,53 +310,137 @@ def _prefix(shingles: np.ndarray, similarity: float, heavy: np.ndarray, rank: np
     return shingles[np.argsort(own)[:many]]
 
 
-def _apart(sig: np.ndarray, cls: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float) -> pa.RecordBatch:
-    """Pairs of classes (smaller first) of different components whose sizes allow the similarity, how many of the shingles they share here, and
-    how many they must share in all; rows sorted by shingle, size and class.
-
-    Of the text whose first shingles end earlier, all first shingles that the other has are among the other's first. So at most the
-    larger rest of the two can be shared besides, and the similarity asks for the others."""
-    new = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])][: len(sig)]  # copies of a text
-    sig, cls, n, root = (x[new] for x in (sig, cls, n, root))
+def _meeting(sig: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float, most: int | None = None):
+    """(i, j), arrays of rows that share a shingle, are of different components and whose sizes allow the similarity; rows sorted by shingle
+    and size. most: shingles that more rows have are left out."""
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
     size = np.diff(np.r_[first, len(sig)])
     mixed = np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first) if len(sig) else np.zeros(0, bool)
     run = np.repeat(np.where(mixed, size, 0), size)
-    out, o, at = [], 1, np.flatnonzero((run > 1) & (run <= 64))
+    o, at = 1, np.flatnonzero((run > 1) & (run <= 64))
     while len(at):
         at = at[at + o < len(sig)]
         at = at[(sig[at] == sig[at + o]) & (n[at] >= similarity * n[at + o] - 1e-9)]
         ok = at[root[at] != root[at + o]]
-        out.append((ok, ok + o))
+        yield ok, ok + o
         o += 1
-    for f, k in zip(first[mixed & (size > 64)].tolist(), size[mixed & (size > 64)].tolist()):
+    large = mixed & (size > 64) & (size <= (len(sig) if most is None else most))
+    for f, k in zip(first[large].tolist(), size[large].tolist()):
         order = f + np.argsort(root[f : f + k], kind="stable")  # by component, then by size
         cut = np.flatnonzero(np.r_[True, root[order][1:] != root[order][:-1]])
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), k]):
             x, y = order[lo:hi], order[hi:]
             for i in x.tolist():  # those of later components
                 ok = y[(n[y] >= similarity * n[i] - 1e-9) & (n[i] >= similarity * n[y] - 1e-9)]
-                out.append((np.full(len(ok), i), ok))
-    i, j = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in out)]) for k in (0, 1))
+                yield np.full(len(ok), i), ok
+
+
+def _apart(sig: np.ndarray, cls: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float) -> pa.RecordBatch:
+    """Pairs of classes (smaller first) of different components whose sizes allow the similarity, how many of the shingles they share here, and
+    how many they must share in all; rows sorted by shingle, size and class.
+
+    Of the text whose first shingles end earlier, all first shingles that the other has are among the other's first. So at most the
+    larger rest of the two can be shared besides, and the similarity asks for the others."""
+    new = np.r_[True, (sig[1:] != sig[:-1]) | (cls[1:] != cls[:-1])][: len(sig)]  # copies of a text
+    sig, cls, n, root = (x[new] for x in (sig, cls, n, root))
+    found = [*_meeting(sig, n, root, similarity)]
+    i, j = (np.concatenate([np.zeros(0, np.int64), *(p[k] for p in found)]) for k in (0, 1))
     after = np.ceil(similarity * n - 1e-9).astype(np.int64) - 1  # shingles that are not among the first
     need = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9).astype(np.int64) - np.maximum(after[i], after[j])
     pairs, one, many = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1), axis=0, return_index=True, return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1])), pa.array(many), pa.array(need[one])], names=["_a", "_b", "_c", "_need"])
 
 
-def _mixed(batches):
-    """Shingles that texts of different components have among their first."""
-    every = [[c.to_numpy() for c in b.columns] for b in batches]
-    sig, root = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in every)]) for k in (0, 1))
-    order = np.lexsort((root, sig))
-    sig, root = sig[order], root[order]
+def _early(n: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the shingle that rows i and j share stands early enough in both to be the first that they share: what stands before it in one is
+    not in the other, and the similarity bounds how many those can be."""
+    must = np.ceil(similarity / (1 + similarity) * (n[i] + n[j]) - 1e-9).astype(np.int64)
+    return (at[i] <= n[i] - must) & (at[j] <= n[j] - must)
+
+
+_SIDE = np.int64(32)
+
+
+def _useful(sig: np.ndarray, cls: np.ndarray, place: np.ndarray, root: np.ndarray, similarity: float, most: int = 64) -> np.ndarray:
+    """Rows whose shingle may be the first that their text shares with one of another component. Of a shingle that more than `most` texts of
+    several components have, all rows. place: the text's size and where the shingle stands in it. The order is by shingle and size."""
+    order = np.lexsort((cls, place >> _SIDE, sig))
+    order = order[np.r_[True, (np.diff(sig[order]) != 0) | (np.diff(cls[order]) != 0)][: len(order)]]  # copies of a text
+    sig, root, n, at = sig[order], root[order], place[order] >> _SIDE, place[order] & np.int64(0xFFFFFFFF)
+    ok = np.zeros(len(sig), bool)
+    for i, j in _meeting(sig, n, root, similarity, most):
+        early = _early(n, at, i, j, similarity)
+        ok[i[early]] = ok[j[early]] = True
     first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]][: len(sig)])
-    last = np.r_[first[1:], len(sig)][: len(first)] - 1
-    yield pa.RecordBatch.from_arrays([pa.array(sig[first[root[first] < root[last]]])], names=["_sig"])
+    size = np.diff(np.r_[first, len(sig)])
+    large = (size > most) & (np.minimum.reduceat(root, first) < np.maximum.reduceat(root, first)) if len(sig) else np.zeros(0, bool)
+    return order[ok | np.repeat(large, size)]
+
+
+def _fewer(bins: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The bins of each text, neighbours added up until one has 4 shingles or more."""
+    out: list[bytes] = [b""] * len(n)
+    many = 1 << np.log2(np.maximum(n, 1) / 4).astype(np.int64).clip(3, 8)
+    for k in np.unique(many).tolist():
+        own = np.flatnonzero(many == k)
+        for i, x in zip(own.tolist(), _folded(bins[own], k)):
+            out[i] = x.tobytes()
+    return out
+
+
+def _folded(bins: np.ndarray, many: int) -> np.ndarray:
+    return np.minimum(bins.reshape(len(bins), many, -1).sum(2, dtype=np.int64), _FULL).astype(np.uint8)  # one that is full stays so
+
+
+def _alike(bins: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows the bins allow; of the two, the finer are added up."""
+    size = np.array([len(x) for x in bins], np.int64)
+    ok = np.zeros(len(i), bool)
+    least = np.minimum(size[i], size[j])
+    for k in np.unique(least).tolist():
+        own = np.flatnonzero(least == k)
+        rows, to = np.unique(np.r_[i[own], j[own]], return_inverse=True)
+        x = np.empty((len(rows), k), np.uint8)
+        for many in np.unique(size[rows]).tolist():
+            at = np.flatnonzero(size[rows] == many)
+            x[at] = _folded(np.frombuffer(b"".join(bins[rows[at]].tolist()), np.uint8).reshape(len(at), many), k)
+        for lo in range(0, len(own), 1 << 13):
+            hi = min(lo + (1 << 13), len(own))
+            ok[own[lo:hi]] = _possible(x[to[lo:hi]], x[to[len(own) + lo : len(own) + hi]], similarity)
+    return ok
+
+
+def _shared(batches, similarity: float):
+    """Pairs of classes (smaller first), of different components, that share a first shingle early enough in both and whose bins allow the
+    similarity; rows sorted by shingle. A task tells a pair once."""
+    told = np.zeros((0, 2), np.int64)
+    for sig, cls, place, root, bins in _whole(batches):
+        order = np.lexsort((cls, place >> _SIDE, sig))
+        sig, cls, root, bins, n, at = sig[order], cls[order], root[order], bins[order], place[order] >> _SIDE, place[order] & np.int64(0xFFFFFFFF)
+        found, held = [], 0
+        meeting = _meeting(sig, n, root, similarity)
+        while True:
+            pair = next(meeting, None)
+            if pair is not None:
+                early = _early(n, at, *pair, similarity)
+                found.append((pair[0][early], pair[1][early]))
+                held += len(found[-1][0])
+            if found and (pair is None or held >= 1 << 16):
+                i, j = (np.concatenate([p[k] for p in found]) for k in (0, 1))
+                both = np.unique(np.stack([np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])], 1), axis=0, return_index=True)
+                ok = _alike(bins, i[both[1]], j[both[1]], similarity)
+                told = np.unique(np.concatenate([told, both[0][ok]]), axis=0)
+                found, held = [], 0
+            if pair is None:
+                break
+        if len(told) > 1 << 18:
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(told[:, k])) for k in (0, 1)], names=["_a", "_b"])
+            told = told[:0]
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(told[:, k])) for k in (0, 1)], names=["_a", "_b"])
 
 
 def _spread(batches, buckets: int):
-    """Each text's shingles to each bucket that has one of them."""
+    """Each text's shingles to each bucket that has one of them. Lists grow with the square of a text, so `near_copies` sends counts instead."""
     for b in batches:
         own = [np.frombuffer(x, np.int64) for x in b.column("_own").to_pylist()]
         to = [np.unique(x.view(np.uint64) % U(buckets)).astype(np.int32) for x in own]
@@ -381,7 +476,7 @@ def _met(table: pa.Table, buckets: int, similarity: float) -> pa.Table:
     return pa.table([pa.array(np.ascontiguousarray(v)) for v in (x.min(1), x.max(1))] if len(x) else [pa.array([], pa.int64())] * 2, names=["_a", "_b"])
 
 
-def _rest(texts: DataFrame, rows: int, roots: DataFrame, parts: int, shingle: int, similarity: float, most_known: int) -> DataFrame:
+def _rest(texts: DataFrame, rows: int, classes: DataFrame, roots: DataFrame, parts: int, shingle: int, similarity: float, most_known: int) -> DataFrame:
     """(_a, _b): candidates for links between components, each once, none left out."""
     spark, share = texts.sparkSession, min(1.0, 20_000 / max(rows, 1))
 
@@ -401,6 +496,8 @@ def _rest(texts: DataFrame, rows: int, roots: DataFrame, parts: int, shingle: in
     often = texts.mapInArrow(sampled, "_cls long, _all binary").dropDuplicates(["_cls"]).select("_cls", "_all").mapInArrow(spread, "_sig long").groupBy("_sig").agg(F.count("*").alias("_n"))
     got = often.where("_n > 2").orderBy(F.desc("_n"), "_sig").limit(500_000).toArrow()  # of the sample: only places shingles in the order
     order = np.argsort(got.column(0).to_numpy().view(np.uint64))
+    del often
+    _release(spark)
     held = spark.sparkContext.broadcast((got.column(0).to_numpy().view(np.uint64)[order], got.column(1).to_numpy()[order]))
 
     def begun(batches):
@@ -431,75 +528,69 @@ def _rest(texts: DataFrame, rows: int, roots: DataFrame, parts: int, shingle: in
         return np.where(node[at] == cls, root[at], cls) if len(node) else cls
 
     def entries(batches):
-        for sig, cls, _ in begun(batches):
-            every = np.concatenate([np.zeros(0, np.uint64), *sig]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(np.repeat(root_of(cls) if few else cls, [len(x) for x in sig]))], names=["_sig", "_root"])
-
-    def rooted(rows: DataFrame, cls: str, root: str) -> DataFrame:
-        """The rows with each class's component as `root`, by a join."""
-        own = roots.select(F.col("_node"), F.col("_root").alias("_to"))
-        return rows.join(own, rows[cls] == own["_node"], "left").withColumn(root, F.coalesce("_to", cls)).drop("_node", "_to")
-
-    first = texts.mapInArrow(entries, "_sig long, _root long")
-    first = first if few else rooted(first, "_root", "_root")
-    mixed = first.repartition(parts, "_sig").mapInArrow(_mixed, "_sig long").checkpoint()
-    listed = mixed.count() <= most_known
-    if listed:
-        common = spark.sparkContext.broadcast(np.sort(mixed.toArrow().column(0).to_numpy().view(np.uint64)))  # 8 MB
-
-    def chosen(batches):
         for sig, cls, size in begun(batches):
-            if listed and len(common.value):
-                sig = [x[common.value[np.minimum(np.searchsorted(common.value, x), len(common.value) - 1)] == x] for x in sig]
-            elif listed:
-                sig = [x[:0] for x in sig]
-            own = np.flatnonzero([len(x) > 0 for x in sig])
-            yield pa.RecordBatch.from_arrays([pa.array(cls[own]), pa.array(size[own]), pa.array([sig[i].tobytes() for i in own.tolist()], pa.binary())], names=["_cls", "_n", "_own"])
-
-    def parted(batches):
-        for b in batches:
-            own = [np.frombuffer(x, np.int64) for x in b.column("_own").to_pylist()]
-            many = [len(x) for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(k).to_numpy(), many)) for k in (0, 1)] + [pa.array(np.concatenate([np.zeros(0, np.int64), *own]))], names=["_cls", "_n", "_sig"])
-
-    def gathered(batches):
+            many = [len(x) for x in sig]
+            at = np.concatenate([np.zeros(0, np.int64), *(np.arange(k) for k in many)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *sig]).view(np.int64)), pa.array(np.repeat(cls, many)), pa.array(np.repeat(size, many) << _SIDE | at)], names=["_sig", "_cls", "_place"])
+
+    def useful(batches):
+        every = [[c.to_numpy() for c in b.columns] for b in batches]
+        sig, cls, place = (np.concatenate([np.zeros(0, np.int64), *(x[k] for x in every)]) for k in range(3))
+        every.clear()
+        own = _useful(sig, cls, place, root_of(cls) if few else cls, similarity)
+        for lo in range(0, len(own), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[own[lo : lo + 10_000]]) for x in (sig, cls, place)], names=["_sig", "_cls", "_place"])
+
+    def fewer(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.array(x, np.int64).tobytes() for x in b.column(2).to_pylist()], pa.binary())], names=["_cls", "_n", "_own"])
-
-    def told(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(root_of(b.column(0).to_numpy()))], names=["_cls", "_n", "_own", "_root"])
-
-    kind = "_bucket int, _cls long, _n long, _own binary, _root long"
-    if listed and few:
-        sent = texts.mapInArrow(lambda x: _spread(told(chosen(x)), parts), kind)  # one Python worker a task
-    else:
-        if listed:
-            lists = texts.mapInArrow(chosen, "_cls long, _n long, _own binary")
-        else:
-            lists = texts.mapInArrow(lambda x: parted(chosen(x)), "_cls long, _n long, _sig long").join(mixed, "_sig", "left_semi")
-            lists = lists.groupBy("_cls", "_n").agg(F.collect_set("_sig").alias("_sigs")).mapInArrow(gathered, "_cls long, _n long, _own binary")
-        if few:
-            sent = lists.mapInArrow(lambda x: _spread(told(x), parts), kind)
-        else:
-            sent = rooted(lists, "_cls", "_root").select("_cls", "_n", "_own", "_root").mapInArrow(lambda x: _spread(x, parts), kind)
-    return sent.groupBy("_bucket").applyInArrow(lambda t: _met(t, parts, similarity), "_a long, _b long")
-
-
-def _by_signature(batches, most: int):
-    rest = None
+            bins = np.frombuffer(b"".join(b.column("_bins").to_pylist()), np.uint8).reshape(b.num_rows, _BINS)
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(_fewer(bins, b.column("_place").to_numpy() >> _SIDE), pa.binary())], names=["_sig", "_cls", "_place", "_root", "_bins"])
+
+    kind = "_sig long, _cls long, _place long"
+    met = texts.mapInArrow(entries, kind).repartition(parts, "_sig").mapInArrow(useful, kind)
+    own = classes.join(roots, classes["_cls"] == roots["_node"], "left").select(F.col("_cls").alias("_of"), F.coalesce("_root", "_cls").alias("_root"), F.expr(f"substring(_fp, -{_BINS}, {_BINS})").alias("_bins"))
+    told = met.join(own, met["_cls"] == own["_of"]).select("_sig", "_cls", "_place", "_root", "_bins").mapInArrow(fewer, kind + ", _root long, _bins binary")
+    return told.repartition(parts, "_sig").sortWithinPartitions("_sig").mapInArrow(lambda x: _shared(x, similarity), "_a long, _b long").distinct()
+
+
+def _by_half(batches, bits: int, most: int):
+    """Candidates among rows sorted by key; a variant has a bit of the half that may differ wildcarded."""
+    low = bits // 2
+    width = bits - low
+
+    def candidates(key: np.ndarray, cls: np.ndarray, near: np.ndarray):
+        for i in range(width):
+            own = slice(None) if i < low else np.flatnonzero(key >> 2 * width & 1)  # the last half may be longer by a bit
+            sig, c, n = key[own] & ~np.int64(1 << i), cls[own], near[own]
+            order = np.argsort(sig, kind="stable")
+            sig = sig[order]
+            run = np.r_[False, sig[1:] == sig[:-1]][: len(sig)]
+            order, sig = (x[run | np.r_[run[1:], False][: len(sig)]] for x in (order, sig))  # the others meet none
+            if len(sig):
+                last = np.lexsort((c[order], n[order], sig))  # one order everywhere, so that trees of the same texts agree
+                order = order[last]
+                yield _candidates_of(sig[last], c[order], n[order], most)
+
+    for own in _whole(batches, lambda key: key >> width):
+        yield from candidates(*own)
+
+
+def _whole(batches, of=lambda key: key):
+    """The columns of batches sorted by the first, as arrays that never part rows of the same of(first); binary columns are arrays of objects."""
+    rest, many = [], 0
     for x in batches:
-        own = [x.column(i).to_numpy() for i in range(3)]
-        if rest is not None:
-            own = [np.r_[a, b] for a, b in zip(rest, own)]
-        if not len(own[0]):
+        if not x.num_rows:
             continue
-        cut = int(np.searchsorted(own[0], own[0][-1]))  # the last signature may go on
-        rest = [a[cut:] for a in own]
-        if cut:
-            yield _candidates_of(*(a[:cut] for a in own), most)
-    if rest is not None and len(rest[0]):
-        yield _candidates_of(*rest, most)
+        own = [c.to_numpy(zero_copy_only=False) for c in x.columns]
+        by = of(own[0])
+        cut = int(np.searchsorted(by, by[-1]))  # the last may go on
+        if cut or rest and of(rest[-1][0][-1:])[0] != by[0]:
+            done = [*rest, [a[:cut] for a in own]]
+            rest = []
+            yield [np.concatenate(a) for a in zip(*done)]
+        rest.append([a[cut:] for a in own])
+    if rest:
+        yield [np.concatenate(a) for a in zip(*rest)]
 
 
 def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, recall: float = 0.97, most_known: int = 1_000_000) -> DataFrame:
@@ -524,11 +615,13 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
             yield pa.RecordBatch.from_arrays([pa.array(np.array([*got], np.uint64).view(np.int64)), pa.array([*got.values()], pa.binary())], names=["_cls", "_fp"])
 
     classes = texts.mapInArrow(sketched, "_cls long, _fp binary").groupBy("_cls").agg(F.min("_fp").alias("_fp")).checkpoint()
-    dealt = classes.repartition(parts, "_cls")  # a class has bits * segments rows next
-    signed = dealt.mapInArrow(lambda x: _variants(x, bits, segments), "_sig long, _cls long, _near long").repartition(parts, "_sig").sortWithinPartitions("_sig", "_near", "_cls")  # one order everywhere, so that trees of the same texts agree
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
     most = lambda n: math.ceil(n * differ + 2.5 * math.sqrt(n * differ * (1 - differ)))  # noqa: E731  of n bits, for all but one pair in a hundred
-    pairs = signed.mapInArrow(lambda x: _by_signature(x, most(64)), "_a long, _b long").distinct()
+
+    def near() -> DataFrame:
+        halved = classes.mapInArrow(lambda x: _halves(x, bits, segments), "_key long, _cls long, _near long")
+        signed = halved.repartition(parts, F.shiftright("_key", bits - bits // 2)).sortWithinPartitions("_key")
+        return signed.mapInArrow(lambda x: _by_half(x, bits, most(64)), "_a long, _b long").distinct()
 
     def nearer(batches):
         for b in batches:
@@ -575,8 +668,10 @@ def near_copies(df: DataFrame, text_col: str = "text", shingle: int = 5, similar
         both = pairs.join(own.withColumnsRenamed({"_cls": "_a", "_raw": "_x"}), "_a").join(own.withColumnsRenamed({"_cls": "_b", "_raw": "_y"}), "_b").select("_a", "_b", "_x", "_y")
         return both.mapInArrow(verified, "_a long, _b long")
 
-    roots = components(true(compared(pairs, lambda x: possible(nearer(x)))))
-    more = compared(_rest(texts, rows, roots, parts, shingle, similarity, most_known), possible)
+    roots = components(true(compared(near(), lambda x: possible(nearer(x)))))
+    _release(df.sparkSession)
+    more = compared(_rest(texts, rows, classes, roots, parts, shingle, similarity, most_known), possible)
+    _release(df.sparkSession)
     linked = roots.select(F.col("_node").alias("_a"), F.col("_root").alias("_b"))
     return components(linked.union(true(more))).withColumnRenamed("_node", "_cls")
 
@@ -606,6 +701,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     rooted = least.join(roots, least["__codelake_class"] == roots["_cls"], "left").select("__codelake_class", "_m", F.coalesce("_root", "__codelake_class").alias("_root"))
     chosen = rooted.groupBy("_root").agg(F.min(F.struct("_m", "__codelake_class")).alias("_c"))
     chosen = chosen.select(F.col("_c.__codelake_class").alias("__codelake_of"), F.col("_c._m._best").alias("__codelake_best"), F.col("_c._m._n").alias("_n")).checkpoint()
+    del rows, least, rooted
+    _release(df.sparkSession)
     joined = lambda kept: own.join(kept, (F.col("__codelake_class") == F.col("__codelake_of")) & best.eqNullSafe(F.col("__codelake_best")), "left_semi").select(*[F.col(f"`{n}`") for n in df.columns])
     if chosen.where("_n > 1").isEmpty():
         return joined(chosen)

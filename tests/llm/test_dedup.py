@@ -295,6 +295,55 @@ def test_bins_leave_no_pair_out_and_most_unlike_ones():
     assert simhash._possible(simhash._bins(x)[None], simhash._bins(x[:170_000])[None], 0.8)[0]
 
 
+def test_halves_meet_as_all_variants_do():
+    import pyarrow as pa
+
+    r = np.random.default_rng(9)
+    for bits, segments in ((16, 4), (17, 3)):
+        base = r.integers(0, 256, (40, 16)).astype(np.uint8)
+        fp = np.concatenate([base, *(base ^ np.packbits(r.random((40, 128)) < p, axis=1) for p in (0.02, 0.05, 0.1)), *[base[:1]] * 3])  # the last make a large group
+        fp = np.concatenate([fp, np.repeat(base[:1], 30, axis=0) ^ np.packbits(r.random((30, 128)) < 0.01, axis=1)])
+        cls, rows = np.arange(len(fp)), pa.array([x.tobytes() + bytes(simhash._BINS) for x in fp], pa.binary())
+        sent = [*simhash._halves([pa.record_batch([pa.array(cls), rows], names=["_cls", "_fp"])], bits, segments)]
+        assert sum(b.num_rows for b in sent) == 2 * segments * len(fp)  # not bits * segments
+        t = pa.Table.from_batches(sent).sort_by("_key")
+        got = {(a, b) for x in simhash._by_half(t.to_batches(max_chunksize=50), bits, 20) for a, b in zip(*(c.to_pylist() for c in x.columns))}
+        near, one, want = fp[:, :8].copy().view(np.int64).ravel(), np.unpackbits(fp, axis=1, bitorder="little"), set()
+        for k in range(segments):
+            own = one[:, k * bits : (k + 1) * bits].astype(np.int64) @ (1 << np.arange(bits))
+            for i in range(bits):
+                sig = own & ~(1 << i)
+                order = np.lexsort((cls, near, sig))
+                x = simhash._candidates_of(sig[order], cls[order], near[order], 20)
+                want |= set(zip(*(c.to_pylist() for c in x.columns)))
+        assert got == want and len(want) > 60
+
+
+def test_what_is_sent_of_a_text_for_a_shared_shingle_is_bounded_and_loses_no_pair():
+    import pyarrow as pa
+
+    r = np.random.default_rng(10)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    passage, sets = r.integers(0, 2**63, 40).astype(np.uint64), []
+    for k in range(60):
+        x = r.integers(0, 2**63, int(r.integers(20, 3000))).astype(np.uint64)
+        sets += [np.unique(np.r_[x, passage])] + [np.unique(np.r_[x[int(len(x) * p) :], passage, r.integers(0, 2**63, int(len(x) * q)).astype(np.uint64)]) for p, q in ((0.02, 0.15), (0.1, 0.08), (0.2, 0), (0, 0.24), (0.2, 0.3))]
+    first = [simhash._prefix(x, 0.8, *none) for x in sets]
+    many, cls = [len(x) for x in first], np.repeat(np.arange(len(sets)), [len(x) for x in first])
+    sig, n = np.concatenate(first).view(np.int64), np.array([len(x) for x in sets])
+    place = n[cls] << 32 | np.concatenate([np.arange(k) for k in many])
+    own = simhash._useful(sig, cls, place, cls, 0.8)
+    assert len(own) == len(simhash._useful(*(np.repeat(x, 2) for x in (sig, cls, place, cls)), 0.8))  # a copy of each
+    bins = simhash._fewer(np.stack([simhash._bins(x) for x in sets])[cls[own]], place[own] >> 32)
+    assert max(map(len, bins)) == 256 and max(many) > 500
+    t = pa.table({"_sig": sig[own], "_cls": cls[own], "_place": place[own], "_root": cls[own], "_bins": pa.array(bins, pa.binary())}).sort_by("_sig")
+    got = [(a, b) for x in simhash._shared(t.to_batches(max_chunksize=100), 0.8) for a, b in zip(*(c.to_pylist() for c in x.columns))]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and (same := len(np.intersect1d(sets[i], sets[j], assume_unique=True))) >= 0.8 * (n[i] + n[j] - same)}
+    assert len(got) == len(set(got)) and want <= set(got) and len(want) > 150 and len(got) < 4 * len(want)
+    one = np.zeros(70, np.int64), np.arange(70), np.full(70, (100 << 32) + 15)  # too late in each, but more rows than are compared here
+    assert len(simhash._useful(*one, np.arange(70), 0.8)) == 70 and not len(simhash._useful(*one, np.zeros(70, np.int64), 0.8)) and not len(simhash._useful(*one, np.arange(70), 0.8, most=100))
+
+
 def test_empty_tables(empty):
     assert substring_dedup.substring_dedup(empty).count() == 0
     assert suffix_dedup.suffix_dedup(empty).count() == 0
